@@ -6,21 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motorlens.llm import byte_bpe, quality_classifier
+from motorlens.llm import byte_bpe, exact_dedup, quality_classifier, source_mix, token_files, url_filter
 from motorlens.llm.shared import documents, table
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.query(spark, documents(spark, sf_dir))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.query(spark, documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.query(spark, table(spark, sf_dir, "pages"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.query(spark, documents(spark, sf_dir))
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.query(spark, documents(spark, sf_dir))
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.query(spark, documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_classifier, op6_byte_bpe)}
+    return {f.__name__: f for f in (op3_token_files, op4_quality_classifier, op5_url_filter, op6_byte_bpe, op7_exact_dedup, op8_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_filter": url_filter.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_source_mix": source_mix.SQL}

@@ -101,6 +101,13 @@ def crc_remainder(col: str, modulus: int):
 # ---------------------------------------------------------------- text in Arrow
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows from here on: texts are long, and workers hold a batch whole."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def chunks(texts: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of whole texts of about limit bytes; NULL counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
