@@ -81,7 +81,7 @@ def fit(docs: DataFrame, ids: DataFrame, features: Features, bits: int, epochs:
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Ftrl(bits, **rates)
-        rows = [(np.frombuffer(a, np.uint32).astype(np.int64), np.frombuffer(x, np.float32).astype(np.float64), y) for b in batches for y, a, x in zip(b.column("y").to_pylist(), b.column("at").to_pylist(), b.column("x").to_pylist())]
+        rows = [(np.frombuffer(a, np.uint32), np.frombuffer(x, np.float32), y) for b in batches for y, a, x in zip(b.column("y").to_pylist(), b.column("at").to_pylist(), b.column("x").to_pylist())]
         for _ in range(epochs):
             for at, x, y in rows:
                 model.learn(at, x, y)
