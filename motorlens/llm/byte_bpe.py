@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from motorlens.llm.shared import chunks
+from motorlens.llm.shared import chunks, small_batches
 
 # ---------------------------------------------------------------- automaton
 
@@ -157,8 +157,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Merger:
     """Cached pair merging by rank; of equal ranks the leftmost pair merges first."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 300_000):
-        self.ranks, self.limit, self.cache = ranks, limit, {}
+    def __init__(self, ranks: dict[bytes, int], limit: int = 200_000):
+        self.ranks, self.limit = ranks, limit
+        self.cache, self.old = {}, {}  # this generation and the one before
 
     def merge(self, piece: bytes) -> list[int]:
         ranks = self.ranks
@@ -190,13 +191,14 @@ class Merger:
         """Little-endian uint32 ids of each piece."""
         cache = self.cache
         if len(cache) > self.limit:
-            cache.clear()
+            self.old, self.cache = cache, (cache := {})
+        old = self.old
         out = list(map(cache.get, pieces))
         for i, x in enumerate(out):
             if x is None:
                 piece = pieces[i]
                 if (x := cache.get(piece)) is None:
-                    x = np.array(self.merge(piece.encode()), "<u4").tobytes()
+                    x = old.get(piece) or np.array(self.merge(piece.encode()), "<u4").tobytes()
                     if len(piece) <= 64:
                         cache[piece] = x
                 out[i] = x
@@ -276,10 +278,8 @@ def decode(ids: Column, ranks_path: str) -> Column:
     @F.arrow_udf(T.BinaryType())
     def run(lists: pa.Array) -> pa.Array:
         words = vocabulary(ranks_path)
-        off = lists.offsets.to_numpy()
-        flat = lists.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].tolist() if len(lists) else []
-        got, base = list(map(words.__getitem__, flat)), off[0] if len(off) else 0
-        return pa.array([b"".join(got[i - base : j - base]) for i, j in zip(off, off[1:])], pa.binary())
+        off, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        return pa.array([b"".join(map(words.__getitem__, flat[i:j].tolist())) for i, j in zip(off, off[1:])], pa.binary())
 
     return run(F.coalesce(ids, F.array().cast("array<int>")))
 
@@ -293,6 +293,7 @@ def default_ranks() -> str:
 def query(spark: SparkSession, docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of docs."""
     path = ranks_path or default_ranks()
+    small_batches(spark)
     ids = docs.select("doc_id", encode(F.col("text"), path).alias("ids"))
     both = ids.select("doc_id", "ids", decode(F.col("ids"), path).alias("bytes"))
     return both.select(
