@@ -227,7 +227,7 @@ def features(costs: np.ndarray) -> ftrl.Features:
 def train(docs: DataFrame, labels: DataFrame, costs: np.ndarray, max_rows: int = MAX_ROWS) -> np.ndarray:
     """Weights learnt from labels.toxic of rows whose crc32 remainder by 3 is not 1."""
     ids = ftrl.training_ids(labels, "toxic", 3, 1, max_rows)
-    return ftrl.fit(docs, ids, features(costs), BITS, epochs=2, alpha=0.3, l1=1.0, l2=0.05)
+    return ftrl.fit(docs, ids, features(costs), BITS, epochs=5, alpha=0.5, l1=1.0, l2=0.05)
 
 
 def score(docs: DataFrame, w: np.ndarray, costs: np.ndarray, text: str = "text", out: str = "score") -> DataFrame:
