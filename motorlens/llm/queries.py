@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motorlens.llm import byte_bpe, exact_dedup, quality_classifier, quality_rules, source_mix, token_files, toxicity, url_filter
+from motorlens.llm import byte_bpe, exact_dedup, lm_scoring, ngram_join, quality_classifier, quality_rules, source_mix, token_files, toxicity, url_filter
 from motorlens.llm.shared import documents, table
 
 
@@ -14,6 +14,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.query(spark, documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.query(spark, documents(spark, sf_dir))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.query(spark, documents(spark, sf_dir))
 
@@ -42,8 +46,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.query(spark, documents(spark, sf_dir))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.query(spark, documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_token_files, op4_quality_classifier, op5_url_filter, op6_byte_bpe, op7_exact_dedup, op8_source_mix, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_token_files, op4_quality_classifier, op5_url_filter, op6_byte_bpe, op7_exact_dedup, op8_source_mix, op9_quality_rules, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
