@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from motorlens.schemas import FX_TO_EUR
 
-_WIDE_SPACES = "    "
+_WIDE_SPACES = "\u00a0\u202f\u2009\u2007"
 _PLAIN = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, 0x250)]
 _FROM = "".join(c for c, d in _PLAIN if len(d) > 1 and ord(d[0]) < 128)
 _TO = "".join(d[0] for _, d in _PLAIN if len(d) > 1 and ord(d[0]) < 128)
@@ -152,5 +152,5 @@ def fingerprint(make: Column, model: Column, year: Column, km: Column, fuel: Col
     return F.substring(F.sha1(F.concat_ws("|", *parts).cast("binary")), 1, 24)
 
 
-def thousands(value: Column, separator: str = " ") -> Column:
+def thousands(value: Column, separator: str = "\u202f") -> Column:
     return F.translate(F.format_number(F.bround(value), 0), ",", separator)

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motorlens import schemas as s
+from motorlens.functions import signals as sg
+from motorlens.functions import text as tx
+from motorlens.operators import alerts, deals, expert, profile, state
 from motorlens.operators import valuation as val
-from motorlens.plans.market_sql import CHAIN
-from motorlens.sources.fixtures import as_of, listings
+from motorlens.plans.market_sql import BEST, CHAIN, HEADLINE, SAID, SCORE
+from motorlens.sources.fixtures import DUCK, as_of, listings
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -82,9 +85,9 @@ def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valued(spark, sf_dir).select("id", "tier", "confidence")
 
 
-@query(CHAIN + "SELECT id, round(fair_price_eur, 0) AS fair_price_eur, round(low_eur, 0) AS low_eur, round(high_eur, 0) AS high_eur, comps_count, round(delta_pct, 3) AS delta_pct, method FROM val")
+@query(CHAIN + "SELECT id, round(fair_price_eur, 0) AS fair_price_eur, round(low_eur, 0) AS low_eur, round(high_eur, 0) AS high_eur, comps_count, delta_pct, method FROM val")
 def valuation_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return valued(spark, sf_dir).select("id", *[F.round(c, 0).alias(c) for c in ("fair_price_eur", "low_eur", "high_eur")], "comps_count", F.round("delta_pct", 3).alias("delta_pct"), "method")
+    return valued(spark, sf_dir).select("id", *[F.round(c, 0).alias(c) for c in ("fair_price_eur", "low_eur", "high_eur")], "comps_count", "delta_pct", "method")
 
 
 @query(CHAIN + "SELECT kind, count(*) AS n, round(median(delta_pct), 3) AS median_delta_pct FROM val WHERE comps_count > 0 GROUP BY kind")
@@ -99,3 +102,192 @@ def same_car_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = (F.abs(F.col("a.km") - F.col("b.km")) <= 3000) & (F.abs(F.col("a.price_eur") - F.col("b.price_eur")) / F.least("a.price_eur", "b.price_eur") <= 0.15)
     on = (F.col("a.make") == F.col("b.make")) & (F.col("a.model") == F.col("b.model")) & (F.col("a.year") == F.col("b.year")) & (F.col("a.power_hp") == F.col("b.power_hp")) & (F.col("a.id") < F.col("b.id"))
     return a.join(b, on & near).select(F.col("a.id").alias("id"), F.col("b.id").alias("twin_id"))
+
+
+# ---------------------------------------------------------------- wording, report, score
+
+
+def _worded(df: DataFrame) -> DataFrame:
+    return df.withColumns({"title": F.concat_ws(" ", "make", "model", "year"), "version": F.lit(None).cast("string")})
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = expert.report(_worded(valued(spark, sf_dir)), as_of())
+    return expert.score(df.withColumn("price_dropped", F.col("id") % 9 == 0), as_of())
+
+
+_SIGNALS = DUCK + ", " + SAID
+
+
+@query(_SIGNALS + " SELECT id, code, polarity, weight, category, cost FROM listings JOIN said USING (sentence)")
+def signals_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = listings(spark, sf_dir).select("id", F.explode(sg.detect_signals(F.col("description"))).alias("s"))
+    return df.select("id", "s.code", "s.polarity", "s.weight", "s.category", "s.cost")
+
+
+@query(_SIGNALS + ", a AS (SELECT sentence, sum(weight) FILTER (polarity = 'risk') AS r, sum(weight) FILTER (polarity = 'positive') AS g FROM said GROUP BY sentence) SELECT id, round(least(1, greatest(0, (coalesce(r, 0) - 0.35::DOUBLE * coalesce(g, 0)) / 2.2::DOUBLE)), 4) AS risk FROM listings LEFT JOIN a USING (sentence)")
+def signal_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = listings(spark, sf_dir).select("id", sg.detect_signals(F.col("description")).alias("s"))
+    return df.select("id", F.round(sg.risk_of(F.col("s")), 4).alias("risk"))
+
+
+@query(_SIGNALS + ", a AS (SELECT sentence, sum(cost) FILTER (polarity = 'risk') AS c FROM said GROUP BY sentence) SELECT id, coalesce(c, 0)::INT AS repair_eur FROM listings LEFT JOIN a USING (sentence)")
+def repair_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = listings(spark, sf_dir).select("id", sg.detect_signals(F.col("description")).alias("s"))
+    return df.select("id", sg.repair_budget(F.col("s")).alias("repair_eur"))
+
+
+@query(SCORE + "SELECT id, unnest(codes) AS code FROM df WHERE len(codes) > 0")
+def defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _worded(listings(spark, sf_dir))
+    per_year = tx.km_per_year(F.col("km"), tx.age_years(F.col("year"), as_of()))
+    return sg.match_defects(df, per_year).select("id", F.explode("defects").alias("d")).select("id", "d.code")
+
+
+@query(SCORE + "SELECT id, condition_score::INT AS condition_score, consistency_score::INT AS consistency_score, repairs_eur, expert_verdict AS verdict, n_flags::INT AS n_flags FROM r")
+def expert_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = expert.report(_worded(valued(spark, sf_dir)), as_of())
+    return df.select("id", "report.condition_score", "report.consistency_score", "report.repairs_eur", "report.verdict", F.size("report.red_flags").alias("n_flags"))
+
+
+@query(SCORE + "SELECT id, risk_score::INT AS risk_score FROM r")
+def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return expert.report(_worded(valued(spark, sf_dir)), as_of()).select("id", "report.risk_score")
+
+
+@query(SCORE + "SELECT id, n_factors::INT AS n_factors, round(p1, 2) AS market_points, round(p3, 2) AS condition_points FROM u")
+def score_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    point = lambda label: F.round(F.get(F.filter("factors", lambda f: f["label"] == label), 0)["points"], 2)
+    return scored(spark, sf_dir).select("id", F.size("factors").alias("n_factors"), point("Position prix").alias("market_points"), point("Etat apparent").alias("condition_points"))
+
+
+@query(SCORE + "SELECT id, score, round(net_gain_eur, 0) AS net_gain_eur FROM deal")
+def deal_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(spark, sf_dir).select("id", "score", F.round("net_gain_eur", 0).alias("net_gain_eur"))
+
+
+@query(SCORE + f"SELECT id, verdict, {HEADLINE} AS headline FROM deal")
+def verdict_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(spark, sf_dir).select("id", "verdict", "headline")
+
+
+# ---------------------------------------------------------------- serving
+
+
+@query(SCORE + "SELECT id, make, model, score, verdict FROM deal ORDER BY score DESC, id LIMIT 20")
+def top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(spark, sf_dir).orderBy(F.desc("score"), "id").limit(20).select("id", "make", "model", "score", "verdict")
+
+
+@query(SCORE + ", " + BEST + " SELECT id, score, others FROM best")
+def best_per_vehicle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deals.best_per_vehicle(scored(spark, sf_dir).where("active")).select("id", "score", "others")
+
+
+@query(SCORE + ", " + BEST + " SELECT id, others, round(spread_eur, 0) AS spread_eur FROM best WHERE others > 0")
+def vehicle_groups_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deals.best_per_vehicle(scored(spark, sf_dir).where("active")).where("others > 0").select("id", "others", F.round("spread_eur", 0).alias("spread_eur"))
+
+
+@query(SCORE + ", " + BEST + " SELECT id, score, verdict, others FROM best ORDER BY score DESC, id LIMIT 60")
+def deals_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deals.top_deals(scored(spark, sf_dir)).select("id", "score", "verdict", "others")
+
+
+@query(SCORE + f"SELECT count(*) AS total, count(score) AS analysed, count(*) FILTER (score >= {s.GREAT}) AS great, 4 AS watchlists FROM listings LEFT JOIN (SELECT id, score FROM deal) USING (id)")
+def dashboard_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = listings(spark, sf_dir).select("id").join(scored(spark, sf_dir).select("id", "score"), "id", "left")
+    return deals.dashboard(every, len(WATCHLISTS))
+
+
+#: The standing queries of the alert queries.
+WATCHLISTS = [
+    s.Watchlist(1, "german saloons", s.SearchQuery(make="bmw", price_max=30000), min_score=60),
+    s.Watchlist(2, "small and cheap", s.SearchQuery(price_max=12000, km_max=120000, countries=("FR", "BE")), ("sitea", "siteb")),
+    s.Watchlist(3, "electric", s.SearchQuery(fuel="electric", year_min=2018), min_score=0),
+    s.Watchlist(4, "any clio", s.SearchQuery(make="Renault", model="clio v3"), min_score=50),
+]
+_WATCH = """ w AS (SELECT 1 AS watchlist_id, id, score FROM deal WHERE active AND score >= 60 AND lower(make) = 'bmw' AND price_eur <= 30000
+  UNION ALL SELECT 2, id, score FROM deal WHERE active AND score >= 75 AND price_eur <= 12000 AND km <= 120000 AND country IN ('FR', 'BE') AND source IN ('sitea', 'siteb')
+  UNION ALL SELECT 3, id, score FROM deal WHERE active AND score >= 75 AND fuel = 'electric' AND year >= 2018
+  UNION ALL SELECT 4, id, score FROM deal WHERE active AND score >= 50 AND make = 'Renault' AND lower(model) = 'clio v3')"""
+
+
+@query(SCORE + "," + _WATCH + " SELECT watchlist_id, id, score FROM w")
+def watchlist_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alerts.matched(scored(spark, sf_dir), WATCHLISTS).select("watchlist_id", "id", "score")
+
+
+def _sent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of an earlier run: every seventh listing, for all watchlists."""
+    return listings(spark, sf_dir).where("id % 7 = 0").select(F.explode(F.sequence(F.lit(1), F.lit(4))).alias("watchlist_id"), F.col("id").alias("listing_id"))
+
+
+@query(SCORE + "," + _WATCH + " SELECT watchlist_id, id FROM w WHERE id % 7 <> 0")
+def alerts_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alerts.new_alerts(scored(spark, sf_dir), WATCHLISTS, _sent(spark, sf_dir), cap=1 << 30).select("watchlist_id", "id")
+
+
+@query(SCORE + "," + _WATCH + " SELECT watchlist_id, id, position::INT AS position FROM (SELECT *, row_number() OVER (PARTITION BY watchlist_id ORDER BY score DESC, id) AS position FROM w WHERE id % 7 <> 0) WHERE position <= 20")
+def alerts_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alerts.new_alerts(scored(spark, sf_dir), WATCHLISTS, _sent(spark, sf_dir)).select("watchlist_id", "id", "position")
+
+
+# ---------------------------------------------------------------- filters and state over listings
+
+
+@query(DUCK + " SELECT id, price_eur FROM listings WHERE active AND price_eur IS NOT NULL AND make = 'Volkswagen' AND price_eur BETWEEN 4000 AND 25000 AND year >= 2015 AND km <= 150000 AND country IN ('FR', 'DE')")
+def search_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = s.SearchQuery(make="Volkswagen", price_min=4000, price_max=25000, year_min=2015, km_max=150000, countries=("FR", "DE"))
+    return deals.search_filter(listings(spark, sf_dir), q).select("id", "price_eur")
+
+
+@query(DUCK + " SELECT id FROM listings WHERE active AND price_eur IS NOT NULL AND (analyzed_hours > 24 OR analyzed_hours = 0 OR id % 17 = 0)")
+def candidates_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = deals.search_filter(listings(spark, sf_dir), s.SearchQuery())
+    return state.stale(df, F.nullif(F.col("analyzed_hours"), F.lit(0)), F.col("id") % 17 == 0).select("id")
+
+
+@query(DUCK + " SELECT id FROM listings WHERE price_eur IS NOT NULL AND price_eur <> 0")
+def ingest_admissible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.admissible(_worded(listings(spark, sf_dir))).select("id")
+
+
+@query(DUCK + " SELECT id, active AND NOT (source = 'sitea' AND seen_days > 30) AS active FROM listings")
+def stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.deactivate(listings(spark, sf_dir), "sitea", F.col("seen_days") > 30).select("id", "active")
+
+
+@query(DUCK + " SELECT DISTINCT make FROM listings ORDER BY make")
+def distinct_makes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deals.distinct_makes(listings(spark, sf_dir))
+
+
+@query(DUCK + " SELECT id FROM listings WHERE id % 17 = 0")
+def touched_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = listings(spark, sf_dir)
+    return df.join(df.where("id % 17 = 0").select("id").union(df.where("id % 34 = 0").select("id")).distinct(), "id", "left_semi").select("id")
+
+
+@query(DUCK + " SELECT id, CASE WHEN id % 3 = 0 THEN NULL WHEN id % 5 = 0 THEN fuel WHEN id % 4 = 0 THEN 'diesel' ELSE fuel END AS fuel, CASE WHEN id % 2 = 0 AND id % 3 <> 0 THEN km WHEN id % 2 = 1 THEN km END AS km FROM (SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN NULL ELSE fuel END AS fuel) FROM listings)")
+def stub_detail_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = listings(spark, sf_dir)
+    stub = df.select("id", F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 5 == 0, F.lit("unknown")).when(F.col("id") % 4 == 0, F.lit("diesel")).otherwise(F.col("fuel")).cast("string").alias("fuel"), F.when(F.col("id") % 2 == 1, F.col("km")).alias("km"))
+    return deals.complete(stub, df.where("id % 3 <> 0").select("id", "fuel", "km"), "id", ("fuel", "km"))
+
+
+@query(DUCK + " SELECT count(*) AS seen, count(*) FILTER (price_eur IS NOT NULL AND id % 4 <> 0) AS created, count(*) FILTER (price_eur IS NOT NULL AND id % 4 = 0) AS updated, count(*) FILTER (price_eur IS NOT NULL AND id % 4 = 0 AND id % 8 = 0) AS price_drops, count(*) FILTER (price_eur IS NULL) AS skipped FROM listings")
+def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _worded(listings(spark, sf_dir))
+    stored = df.where("id % 4 = 0").withColumn("price_eur", F.when(F.col("id") % 8 == 0, F.col("price_eur") + 100).otherwise(F.col("price_eur")))
+    return state.ingest_stats(df, stored, ("source", "source_id"))
+
+
+@query(SCORE + "SELECT source, count(*) AS seen, count(*) FILTER (comps_count > 0) AS valued, sum((score >= 75)::INT)::BIGINT AS great FROM deal GROUP BY source")
+def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("comps_count") > 0).alias("valued"), F.sum((F.col("score") >= s.GREAT).cast("int")).alias("great"))
+
+
+@query(DUCK + " SELECT field, filled FROM (SELECT count(price_eur) AS price_eur, count(*) FILTER (description <> '') AS description, count(*) FILTER (seller_type <> 'unknown') AS seller_type, count(km) AS km FROM listings) UNPIVOT (filled FOR field IN (price_eur, description, seller_type, km))")
+def field_fill_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.filled(listings(spark, sf_dir), ("price_eur", "description", "seller_type", "km"))

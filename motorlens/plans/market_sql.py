@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from motorlens import schemas as s
+from motorlens.functions import vocab as _v
 from motorlens.sources.fixtures import AS_OF, DUCK, SENTENCES
 
 Y = AS_OF[:4]
@@ -67,9 +68,42 @@ val AS (SELECT m.*, coalesce(tier_no, 0) AS tier_no, coalesce(comps, 0)::INT AS
 """
 )
 
-from motorlens.functions import vocab as _v  # noqa: E402
-
 _known = {r[0]: ("risk", r[1], r[2], r[3], r[4], k) for k, r in enumerate(_v.RISKS)} | {r[0]: ("positive", r[1], r[2], r[3], r[4], 100 + k) for k, r in enumerate(_v.POSITIVES)}
 _q = lambda x: x.replace("'", "''")
 #: What the wording of each fixture sentence says, as rows; the truth comes from the fixture, not from a parser.
 SAID = "said(sentence, code, polarity, label, weight, category, cost, turn) AS (VALUES " + ", ".join(f"({i}, '{c}', '{_known[c][0]}', '{_q(_known[c][1])}', {_known[c][2]}::DOUBLE, '{_known[c][3]}', {_known[c][4]}, {_known[c][5]})" for i, (_, codes) in enumerate(SENTENCES) for c in codes) + ")"
+
+#: Expert report and score over `val`; terms are added in the order of the engine's rules.
+SCORE = (
+    CHAIN
+    + ", "
+    + SAID
+    + f""",
+sg AS (SELECT sentence, count(*) FILTER (polarity = 'risk' AND weight >= 0.6) AS heavy, count(*) FILTER (polarity = 'risk' AND weight < 0.6) AS light, count(*) FILTER (polarity = 'positive') AS good,
+      coalesce(sum(cost) FILTER (polarity = 'risk'), 0)::INT AS cost, coalesce(max(weight) FILTER (polarity = 'risk'), 0) AS worst, bool_or(code = 'km_non_garanti') AS no_km,
+      coalesce(sum(CASE WHEN polarity <> 'risk' THEN 0 WHEN weight >= 0.85 THEN 60 WHEN weight >= 0.6 THEN 30 WHEN weight >= 0.3 THEN 12 ELSE 3 END), 0)::INT AS points FROM said GROUP BY sentence),
+df AS (SELECT id, list_filter([CASE WHEN fuel IN ('electric', 'phev') AND year BETWEEN 2011 AND 2030 THEN 'ev_sante_batterie' END, CASE WHEN fuel = 'diesel' AND year BETWEEN 2009 AND 2030 AND km / age <= 12000 AND age >= 0.5 THEN 'fap_trajets_courts' END,
+        CASE WHEN make = 'Renault' AND model LIKE 'Zoe%' AND year BETWEEN 2012 AND 2022 THEN 'zoe_batterie_location' END, CASE WHEN make = 'Tesla' AND year BETWEEN 2017 AND 2021 THEN 'tesla_m3_suspension' END], lambda x: x IS NOT NULL) AS codes FROM m),
+r0 AS (SELECT val.*, coalesce(heavy, 0) AS heavy, coalesce(light, 0) AS light, coalesce(good, 0) AS good, coalesce(cost, 0) AS cost, coalesce(worst, 0) AS worst, coalesce(no_km, false) AS no_km, coalesce(points, 0) AS points,
+      CASE WHEN age >= 0.5 THEN km / age END AS kmy, delta_pct * 100 AS pct FROM val LEFT JOIN sg USING (sentence)),
+r1 AS (SELECT *, pct > 22 AND heavy + light = 0 AS unexplained FROM r0),
+r2 AS (SELECT *, heavy + light + unexplained::INT + coalesce(kmy > 32000, false)::INT AS n_flags, points + 12 * (unexplained::INT + coalesce(kmy > 32000, false)::INT) AS flag_points,
+      greatest(0, least(100, 70 - 12 * heavy - 6 * light + least(20, 6 * good))) AS condition_score, greatest(0, least(100, 80 - 20 * unexplained::INT - 15 * no_km::INT)) AS consistency_score,
+      CASE WHEN worst >= 0.85 THEN 'avoid' WHEN pct > 12 AND heavy = 0 THEN 'grab' ELSE 'check' END AS expert_verdict FROM r1),
+r AS (SELECT *, cost AS repairs_eur, greatest(0, least(100, flag_points + greatest(0, 60 - consistency_score) // 2)) AS risk_score FROM r2),
+t AS (SELECT *, CASE WHEN comps_count > 0 THEN greatest(-40, least(45, pct * 1.7::DOUBLE)) * (0.35::DOUBLE + 0.65::DOUBLE * confidence) ELSE -5 END AS p1, -0.45::DOUBLE * risk_score AS p2,
+      (condition_score - 60) * 0.25::DOUBLE AS p3, (consistency_score - 70) * 0.22::DOUBLE AS p4, CASE WHEN repairs_eur > 0 THEN -least(28, repairs_eur / greatest(price_eur, 1) * 90::DOUBLE) END AS p5,
+      CASE expert_verdict WHEN 'grab' THEN 8 WHEN 'avoid' THEN -20 END AS p6, CASE WHEN id % 9 = 0 THEN 5 END AS p7, CASE WHEN photos_n BETWEEN 1 AND 3 THEN -4 END AS p8, CASE WHEN photos_n >= 10 THEN 2 END AS p9,
+      CASE WHEN seller_type = 'private' THEN 2 END AS p10, CASE WHEN kmy > 30000 THEN -4 END AS p11, CASE WHEN kmy > 0 AND kmy < 6000 AND age > 4 THEN -3 END AS p12 FROM r),
+u AS (SELECT *, 50::DOUBLE + (0::DOUBLE + p1 + CASE WHEN risk_score > 0 THEN p2 ELSE 0 END + p3 + p4 + coalesce(p5, 0) + coalesce(p6, 0) + coalesce(p7, 0) + coalesce(p8, 0) + coalesce(p9, 0) + coalesce(p10, 0) + coalesce(p11, 0) + coalesce(p12, 0)) AS total,
+      4 - 1 + (risk_score > 0)::INT + (p5 IS NOT NULL)::INT + (p6 IS NOT NULL)::INT + (p7 IS NOT NULL)::INT + (p8 IS NOT NULL)::INT + (p9 IS NOT NULL)::INT + (p10 IS NOT NULL)::INT + (p11 IS NOT NULL)::INT + (p12 IS NOT NULL)::INT AS n_factors FROM t),
+scored AS (SELECT *, round_even(greatest(0, least(100, total)), 0)::INT AS score, delta_eur - repairs_eur AS net_gain_eur, NOT (comps_count > 0) OR confidence < {s.MIN_CONFIDENCE} AS thin FROM u),
+deal AS (SELECT *, CASE WHEN expert_verdict = 'avoid' THEN 'avoid' WHEN thin THEN 'unknown' WHEN score >= {s.GREAT} THEN 'grab' WHEN score >= {s.CHECK} THEN 'check' ELSE 'avoid' END AS verdict,
+      replace(format('{{:,}}', round_even(net_gain_eur, 0)::BIGINT), ',', chr(8239)) AS gain FROM scored)
+"""
+)
+HEADLINE = """CASE WHEN thin AND comps_count > 0 THEN 'Seulement ' || comps_count || CASE WHEN comps_count > 1 THEN ' references comparables' ELSE ' reference comparable' END || ': prix non jugeable'
+  WHEN thin THEN 'Pas assez de references pour juger le prix' WHEN score >= 80 THEN 'Affaire serieuse: environ ' || gain || ' EUR de gain net estime'
+  WHEN score >= 65 THEN 'Interessant, sous reserve de verification (gain estime ' || gain || ' EUR)' WHEN score >= 45 THEN 'Prix coherent avec le marche, rien d''exceptionnel'
+  WHEN net_gain_eur > 0 THEN 'Bon marche, mais les risques annulent l''economie' ELSE 'Au-dessus du marche pour ce qu''il propose' END"""
+BEST = "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY score DESC, price_eur, id) AS rn, (count(*) OVER (PARTITION BY fingerprint) - 1)::INT AS others, greatest(0, max(price_eur) OVER (PARTITION BY fingerprint) - price_eur) AS spread_eur FROM deal WHERE active) WHERE rn = 1)"
