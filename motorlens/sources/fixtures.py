@@ -109,10 +109,10 @@ def as_of() -> "F.Column":
 def observations(spark: SparkSession, sf_dir: str, coarse: bool = False) -> DataFrame:
     """listing_id, price_eur, seen_at, event_id from the events; coarse: most moves are under one euro."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    price = F.round(1000 + F.col("value") / 10, 2) if coarse else F.round(1000 + 10 * F.col("value"), 2)
+    price = (1000 + F.floor("value") / 10) if coarse else F.round(1000 + 10 * F.col("value"), 2)
     return e.select(F.col("user_id").alias("listing_id"), price.alias("price_eur"), F.col("ts").alias("seen_at"), "event_id")
 
 
 def observations_sql(coarse: bool = False) -> str:
-    price = "round(1000 + value / 10, 2)" if coarse else "round(1000 + 10 * value, 2)"
+    price = "1000 + floor(value) / 10" if coarse else "round(1000 + 10 * value, 2)"
     return f"WITH obs AS (SELECT user_id AS listing_id, {price} AS price_eur, ts AS seen_at, event_id FROM events)"
