@@ -85,7 +85,7 @@ class WordEncoder:
 
     TAIL = ".,;:!?|)]}\"%*$&#"
 
-    def __init__(self, path: str, dtype: str, limit: int = 250_000):
+    def __init__(self, path: str, dtype: str, limit: int = 450_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
