@@ -11,8 +11,9 @@ and links with nothing. Two texts link when 100 * |intersection| >= 80 * |union|
    both prefixes, so lists of equal shingles hold all candidates.
 4. Only the links that join components are needed. In a short list all pairs are candidates. In a long list (a common
    shingle, a large group of near copies) a pivot of each size band is paired with its band; verified links then join
-   components, and lists that lie in one component are finished. What remains after the pivot rounds is paired completely
-   across components, so no link between components is lost and no group is expanded into all its pairs.
+   components, and lists that lie in one component are finished. Rounds go on with other pivots while they join
+   components and many pairs are open; what then remains is paired completely across components, so no link between
+   components is lost and no group is expanded into all its pairs.
 5. Pairs pass the length and positional filters where they are made; each pair that is left is verified once, on whole
    texts, after the suffix filter.
 
@@ -41,7 +42,8 @@ FREQUENT, FREQUENT_FROM = 1 << 20, 5
 KEY_SHIFT = np.uint64(24)
 #: Lists up to this length are paired completely at once; entries of a long list that one task takes.
 SHORT, LIST_ROWS = 6, 50_000
-PIVOT_ROUNDS = 2
+#: Pivots of a band in one round, and rounds at most before what is left is paired completely.
+PIVOTS, PIVOT_ROUNDS = 3, 8
 
 
 # ---------------------------------------------------------------- sets
@@ -334,11 +336,10 @@ def candidate_pairs(lists: DataFrame, turn: int, complete: bool) -> DataFrame:
             i = s
             while i < e:  # a band: sizes up to 5/4 of its smallest
                 top = s + int(np.searchsorted(size[s:e], size[i] * 5 // 4, side="right"))
-                p = i if turn == 0 else i + int(np.argmin(mix64(ids[i:top].astype(np.uint64) + np.uint64(turn))))
-                reach = slice(s + int(np.searchsorted(size[s:e], -(-size[p] * 4 // 5))), s + int(np.searchsorted(size[s:e], size[p] * 5 // 4, side="right")))
-                j = np.arange(reach.start, reach.stop)
-                add(np.full(len(j), p), j)
-                i = max(top, i + 1)
+                for p in (i + np.argsort(mix64(ids[i:top].astype(np.uint64) + np.uint64(turn)))[:PIVOTS]).tolist():
+                    j = np.arange(s + int(np.searchsorted(size[s:e], -(-size[p] * 4 // 5))), s + int(np.searchsorted(size[s:e], size[p] * 5 // 4, side="right")))
+                    add(np.full(len(j), p), j)
+                i = top
         a, b = np.concatenate(left), np.concatenate(right)
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -364,6 +365,15 @@ def open_lists(lists: DataFrame, comps: DataFrame | None, turn: int, complete: b
     return rows.withColumn("salt", F.explode(where)).drop("salts", "top")
 
 
+def open_pairs(lists: DataFrame, comps: DataFrame | None) -> tuple[int, int]:
+    """Entries of lists that hold several components, and pairs across components in them."""
+    named = lists.withColumn("comp", F.col("id")) if comps is None else lists.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    parts = named.groupBy("token", "comp").agg(F.count(F.lit(1)).cast("double").alias("m"))
+    each = parts.groupBy("token").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    r = each.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs")).head()
+    return int(r["n"] or 0), int(r["pairs"] or 0)
+
+
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose texts link. texts: doc_id, text of one row for each class."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
@@ -438,21 +448,24 @@ def components_of(docs: DataFrame) -> DataFrame:
     order = frequent(chosen, buckets, scratch)
     lists = scratch.save(prefix_lists(chosen, order, buckets_for(total // 4)), "lists")
 
-    comps, found, done = None, None, None
+    comps, found, done, moved = None, None, None, True
     for turn in range(PIVOT_ROUNDS + 1):
-        complete = turn == PIVOT_ROUNDS
+        entries, cross = open_pairs(lists, comps)
+        if not cross:
+            break
+        complete = turn == PIVOT_ROUNDS or not moved or cross <= entries
         pairs = candidate_pairs(open_lists(lists, comps, turn, complete), turn, complete)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs, f"pairs{turn}")
-        if pairs.isEmpty():
-            if complete:
-                break
-            continue
         done = pairs if done is None else done.union(pairs)
         new = scratch.save(verify(pairs, chosen), f"links{turn}")
-        found = new if found is None else found.union(new)
-        comps = join_components(found, scratch)
+        moved = not new.isEmpty()
+        if moved:
+            found = new if found is None else found.union(new)
+            comps = join_components(found, scratch)
+        if complete:
+            break
     named = rows.join(copied, "digest", "left").withColumn("id", F.coalesce("id", "doc_id"))
     if comps is None:
         return named.select("doc_id", "n_shingles", F.col("id").alias("component_id"))
