@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motorlens.llm.shared import chunks, crc_remainder
+from motorlens.llm.shared import chunks, crc_remainder, small_batches
 
 #: Features of documents: (bytes, offsets) -> (row pointer, bucket of each feature, value of each feature).
 Features = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -89,6 +89,7 @@ def fit(docs: DataFrame, ids: DataFrame, features: Features, bits: int, epochs:
         w[-1] = model.bias()
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], ["w"])
 
+    small_batches(docs.sparkSession)
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     rows = sample.select("doc_id", "text", "y", "turn").mapInArrow(make, "turn long, doc_id long, y int, at binary, x binary")
     got = rows.repartition(1).sortWithinPartitions("turn", "doc_id").mapInArrow(learn, "w binary").collect()
@@ -105,6 +106,7 @@ def dot(w: np.ndarray, ptr: np.ndarray, at: np.ndarray, x: np.ndarray) -> np.nda
 
 def scorer(spark, w: np.ndarray, features: Features):
     """Arrow UDF text -> score; w is broadcast (its size is fixed by the number of buckets)."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(w)
 
     @F.arrow_udf("double")
