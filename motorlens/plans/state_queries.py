@@ -114,7 +114,17 @@ def page_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", ul.page_number(F.col("url")).alias("page_no"))
 
 
-@query()
+_HREF = "(?is)<a\\s[^>]*href\\s*=\\s*[\"'']([^\"''#][^\"'']*)[\"'']"
+_LINKS = f"""WITH a AS (SELECT url, unnest(regexp_extract_all(html, '{_HREF}', 1)) AS href, generate_subscripts(regexp_extract_all(html, '{_HREF}', 1), 1) - 1 AS position FROM pages),
+b AS (SELECT *, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) AS root, regexp_replace(regexp_extract(regexp_replace(regexp_replace(url, '#.*$', ''), '\\?.*$', ''), '://[^/]*(.*)$', 1), '[^/]*$', '') AS folder FROM a),
+c AS (SELECT url, position, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^([a-zA-Z]+:)', 1) || href WHEN starts_with(href, '/') THEN root || href ELSE root || CASE WHEN folder = '' THEN '/' ELSE folder END || href END AS l FROM b),
+d AS (SELECT url, position, regexp_replace(regexp_replace(l, '#.*$', ''), '\\?.*$', '') AS base, list_filter(string_split(regexp_extract(regexp_replace(l, '#.*$', ''), '\\?(.*)$', 1), '&'), lambda p: regexp_matches(p, '^[^=]+=.+') AND NOT list_contains([{_TRACK}], lower(regexp_extract(p, '^([^=]*)', 1)))) AS kept FROM c),
+e AS (SELECT url, position, CASE WHEN len(kept) > 0 THEN base || '?' || array_to_string(kept, '&') ELSE base END AS link, regexp_extract(regexp_replace(regexp_extract(base, '://[^/]*(.*)$', 1), '/+$', ''), '([^/]*)$', 1) AS tail FROM d),
+f AS (SELECT *, CASE WHEN regexp_extract(tail, '([0-9]{{5,}})', 1) <> '' THEN regexp_extract(tail, '([0-9]{{5,}})', 1) WHEN tail <> '' THEN tail ELSE link END AS listing_id FROM e WHERE regexp_matches(link, '^https?://'))
+SELECT url, position::INT AS position, link, listing_id FROM (SELECT *, row_number() OVER (PARTITION BY url, listing_id ORDER BY position) AS rn FROM f) WHERE rn = 1"""
+
+
+@query(_LINKS)
 def link_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pg.links(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
