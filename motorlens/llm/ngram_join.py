@@ -91,21 +91,22 @@ def needed(a: int, b: int) -> int:
     return (4 * (a + b) + 8) // 9
 
 
-def suffix_distance(x: np.ndarray, y: np.ndarray, rank, most: int, depth: int = 1) -> int:
-    """A lower bound of the symmetric difference of two arrays in the common order, by halving around a pivot."""
+def suffix_distance(x: np.ndarray, y: np.ndarray, most: int, depth: int = 1) -> int:
+    """A lower bound of the symmetric difference of two sorted sets, by halving around a pivot; any common order of the
+    shingles will do, and that of their hashes needs no frequencies."""
     if depth > 3 or not len(x) or not len(y):
         return abs(len(x) - len(y))
     mid = y[len(y) // 2]
-    k = int(np.searchsorted(rank(x), rank(mid)))
+    k = int(np.searchsorted(x, mid))
     same = k < len(x) and x[k] == mid
     xl, xr, yl, yr = x[:k], x[k + same :], y[: len(y) // 2], y[len(y) // 2 + 1 :]
     low = abs(len(xl) - len(yl)) + abs(len(xr) - len(yr)) + (not same)
     if low > most:
         return low
-    left = suffix_distance(xl, yl, rank, most - abs(len(xr) - len(yr)) - (not same), depth + 1)
+    left = suffix_distance(xl, yl, most - abs(len(xr) - len(yr)) - (not same), depth + 1)
     if (low := left + abs(len(xr) - len(yr)) + (not same)) > most:
         return low
-    return left + (not same) + suffix_distance(xr, yr, rank, most - left - (not same), depth + 1)
+    return left + (not same) + suffix_distance(xr, yr, most - left - (not same), depth + 1)
 
 
 def links(x: np.ndarray, y: np.ndarray) -> bool:
@@ -114,7 +115,7 @@ def links(x: np.ndarray, y: np.ndarray) -> bool:
     if not a or not b or 5 * min(a, b) < 4 * max(a, b):
         return False
     need = needed(a, b)
-    if suffix_distance(x, y, lambda v: v, a + b - 2 * need) > a + b - 2 * need:
+    if suffix_distance(x, y, a + b - 2 * need) > a + b - 2 * need:
         return False
     return len(np.intersect1d(x, y, assume_unique=True)) >= need
 
