@@ -178,7 +178,7 @@ def frequent(docs: DataFrame, buckets: int, scratch: Scratch) -> Order:
         for b in batches:
             for _, _, data, off in chunks(b.column(0)):
                 held += [np.unique(s >> KEY_SHIFT) for s in shingle_sets(data, off) if len(s)]
-            if sum(map(len, held)) > 4_000_000:
+            if sum(map(len, held)) > 1_000_000:
                 yield flush()
         if held:
             yield flush()
@@ -256,7 +256,7 @@ def prefix_lists(docs: DataFrame, order: Order, buckets: int) -> DataFrame:
                         p = shared.value.arrange(s)[: prefix_length(len(s))] >> KEY_SHIFT
                         held.append((p, ids[lo + d], len(s)))
                         n += len(p)
-                if n > 1_500_000:
+                if n > 500_000:
                     yield flush()
                     n = 0
         if held:
