@@ -44,6 +44,8 @@ KEY_SHIFT = np.uint64(24)
 SHORT, LIST_ROWS = 6, 50_000
 #: Pivots of a band in one round, and rounds at most before what is left is paired completely.
 PIVOTS, PIVOT_ROUNDS = 3, 8
+#: Edges that a task holds while it contracts them.
+STAR_ROWS = 1_000_000
 
 
 # ---------------------------------------------------------------- sets
@@ -405,30 +407,58 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, smallest id of its component) of every node of edges (a, b) that isn't the smallest itself."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        p, q = label[x], label[y]
+        if (p == q).all():
+            break
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while (label[label] != label).any():
+            label = label[label]
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
+def contract_parts(edges: DataFrame) -> DataFrame:
+    """The edges (id, comp) of each partition as stars around its own components' smallest ids: never more edges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        row = lambda: pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["id", "comp"])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            if len(a) + sum(len(x) for x, _ in held) > STAR_ROWS:
+                a, b = contract(np.concatenate([a, *(x for x, _ in held)]), np.concatenate([b, *(y for _, y in held)]))
+                held.clear()
+                if 2 * len(a) > STAR_ROWS:  # what is left over joins in the next round
+                    yield row()
+                    a, b = a[:0], b[:0]
+        a, b = contract(np.concatenate([a, *(x for x, _ in held)]), np.concatenate([b, *(y for _, y in held)]))
+        if len(a):
+            yield row()
+
+    return edges.mapInArrow(run, "id long, comp long")
+
+
 def join_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """id, comp: the smallest id that edges (a, b) reach, for each id in edges. Hooks every node to its smallest
-    neighbour, jumps to roots, contracts, and repeats while edges remain between roots."""
-    edges = scratch.save(edges.where("a <> b").distinct(), "edges")
-    out = None
-    while not edges.isEmpty():
-        both = edges.union(edges.select("b", "a"))
-        hook = scratch.save(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "hook")
-        while True:
-            up = hook.select(F.col("id").alias("comp"), F.col("comp").alias("root"))
-            jumped = scratch.save(hook.join(up, "comp").select("id", F.col("root").alias("comp"), (F.col("root") != F.col("comp")).alias("moved")), "jump")
-            moved = not jumped.where("moved").isEmpty()
-            scratch.drop(hook)
-            hook = jumped.drop("moved")
-            if not moved:
-                break
-        to = hook.withColumnRenamed("comp", "to")
-        if out is None:
-            out = hook
-        else:
-            out = scratch.save(out.join(to.withColumnRenamed("id", "comp"), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), "components")
-        ends = edges.join(to.withColumnRenamed("id", "a"), "a").select(F.col("to").alias("a"), "b").join(to.withColumnRenamed("id", "b"), "b").select("a", F.col("to").alias("b"))
-        edges = scratch.save(ends.where("a <> b").distinct(), "edges")
-    return out if out is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("comp"))
+    """id, comp: the smallest id that edges (a, b) reach, for each id in edges that isn't the smallest itself.
+
+    Rounds of stars: larger neighbours of a node go to its smallest neighbour, then each node's smaller neighbours are
+    joined, where edges are contracted in their partitions before and after they are dealt out by node. A round whose
+    every node has either one smaller neighbour or only larger ones is the last."""
+    stars = edges.where("a <> b").select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("comp")).distinct()
+    while True:
+        stars = scratch.save(contract_parts(contract_parts(stars).repartition("id")), "stars")
+        both = stars.select(F.col("id").alias("u"), F.col("comp").alias("v")).union(stars.select("comp", "id"))
+        near = both.groupBy("u").agg(F.min("v").alias("lo"), F.max(F.when(F.col("v") < F.col("u"), F.col("v"))).alias("below"), F.max("v").alias("hi"))
+        near = scratch.save(near.select("u", F.least("lo", "u").alias("lo"), F.expr("lo < u and (below <> lo or hi > u)").alias("open")), "near")
+        if near.where("open").isEmpty():
+            return near.where("lo < u").select(F.col("u").alias("id"), F.col("lo").alias("comp"))
+        stars = stars.join(near.select(F.col("u").alias("comp"), "lo"), "comp").select("id", F.col("lo").alias("comp"))
 
 
 def components_of(docs: DataFrame) -> DataFrame:
@@ -449,7 +479,7 @@ def components_of(docs: DataFrame) -> DataFrame:
     order = frequent(chosen, buckets, scratch)
     lists = scratch.save(prefix_lists(chosen, order, buckets_for(total // 4)), "lists")
 
-    comps, found, done, moved = None, None, None, True
+    comps, done, moved = None, None, True
     for turn in range(PIVOT_ROUNDS + 1):
         entries, cross = open_pairs(lists, comps)
         if not cross:
@@ -463,8 +493,7 @@ def components_of(docs: DataFrame) -> DataFrame:
         new = scratch.save(verify(pairs, chosen), f"links{turn}")
         moved = not new.isEmpty()
         if moved:
-            found = new if found is None else found.union(new)
-            comps = join_components(found, scratch)
+            comps = join_components(new if comps is None else new.union(comps.select("id", "comp")), scratch)
         if complete:
             break
     named = rows.join(copied, "digest", "left").withColumn("id", F.coalesce("id", "doc_id"))

@@ -133,6 +133,27 @@ def test_join_filters_never_lose_a_link():
         assert ngram_join.links(x, y) == (n > 0 and 100 * n >= 80 * (len(x) + len(y) - n))
 
 
+@pytest.mark.parametrize("held", [8, 1_000_000])
+def test_components_like_union_find(spark, monkeypatch, held):
+    """A path, a star around a large id, repeated and turned edges, loops and random edges, over several partitions."""
+    monkeypatch.setattr(ngram_join, "STAR_ROWS", held)
+    r = np.random.default_rng(4)
+    edges = [(i, i + 1) for i in range(60)] + [(200, i) for i in range(101, 140)] + [(300, 299), (299, 300), (300, 300), (7, 7)]
+    edges += [(int(a), int(b)) for a, b in r.integers(1000, 1200, (90, 2))]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        lo, hi = sorted((find(a), find(b)))
+        root[hi] = lo
+    got = ngram_join.join_components(spark.createDataFrame(edges, "a long, b long").repartition(7), Scratch(spark, "test")).collect()
+    assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in root if find(x) != x)
+
+
 def test_join_empty(spark):
     assert ngram_join.query(spark, docs(spark, [])).count() == 0
     assert ngram_join.keep(docs(spark, [(1, None, "a", "b", 1), (2, None, "a", "b", 1)])).count() == 2
