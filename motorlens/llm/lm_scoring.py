@@ -4,61 +4,67 @@ Two interpolated bigram models, of target texts and of the background (all texts
 bigrams, one order and one smoothing, so they differ in counts alone. A text's score is the mean over its words of
 -log p_target + log p_background: below 0, the text is closer to the target.
 
-Counts cover every word of every document: tasks count locally, sums are shuffled. The model itself is bounded: the
-``VOCABULARY`` most frequent words (others are one unknown word) and the ``BIGRAMS`` most frequent word pairs; what pruned
-pairs would have had goes to the lower order, so every context still sums to one.
+The model grows with the corpus: it keeps every word and every word pair seen twice or more, as tables in the shared
+folder; what pairs seen once would have had goes to the lower order, so every context still sums to one. Nothing that
+grows with the vocabulary comes to the driver or is broadcast.
+
+The loss of a word w after c is -rest(c) - log p(w), plus a correction if the pair is in the model. So a text's loss is a
+sum over its words, its last word and its pairs, each looked up by one 64-bit key. Batches of texts send their distinct
+keys, cut in ranges, to the tasks that hold the same range of the tables; these answer with partial sums for each text.
+A common word or pair is asked for once by each batch, so it makes no task large. Pairs and texts are dealt with in passes,
+which bound the disk in use, not what is read: all passes together cover every pair and every text.
 
 Target texts are documents labelled quality 1 and not toxic. Texts that are NULL, empty or without words have no words and
-score 0. Ties at a bound are cut at a whole count, so the model does not depend on the order of rows. Repeated rows count
-as often as they occur and score alike. Without target texts, both models are the background's and all scores are 0.
+score 0. Repeated rows count as often as they occur and score alike. Without target texts, both models are the
+background's and all scores are 0.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from motorlens.llm.shared import BROADCAST_ROWS, Scratch, chunks, hashes, segments, small_batches
 
-VOCABULARY, BIGRAMS = 1 << 15, 1 << 19
 DISCOUNT, ADD = 0.75, 0.5
-#: Number of the unknown word and of the text's beginning.
-UNKNOWN, BEGIN = 0, 1
+#: Key of the text's beginning, and what tells keys of last words and of pairs from those of words.
+BEGIN, LAST, PAIR = 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B
+#: Words of the corpus for each range of keys, at most.
+RANGE_WORDS = 4_000_000
+#: Pairs are counted, and texts are scored, in so many passes, whose shuffles are not on disk at the same time.
+PAIR_PASSES, TEXT_PASSES = 2, 3
 
 
 @dataclass
-class Model:
-    """words: sorted hashes, word k + 2; one row of counts for the background and one for the target."""
+class Words:
+    """The vocabulary: a table of key, n, t, rest and unigram (background, target), and its number of words."""
 
-    words: np.ndarray
-    unigram: np.ndarray  # [2, words + 2], log probability
-    pairs: np.ndarray  # sorted context << 32 | word
-    gain: np.ndarray  # [2, pairs], discounted relative frequency
-    rest: np.ndarray  # [2, words + 2], log of what a context leaves to the lower order
+    table: DataFrame
+    size: int
 
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        return word_ids(self.words, h)
+    def __len__(self) -> int:
+        return self.size
 
-    def losses(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """-log p of each word under background and target, [2, n]."""
-        lower = np.exp(self.rest[:, context] + self.unigram[:, word])
-        if len(self.pairs):
-            key = (context << 32) | word
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            lower = lower + np.where(self.pairs[at] == key, self.gain[:, at], 0.0)
-        return -np.log(lower)
 
+@dataclass
+class Model:
+    """values: key, background, target: what a key adds to a text's losses. unknown and begin: log p of a word that is not
+    in the vocabulary, and log of what the text's beginning leaves to the lower order (background, target)."""
 
-def word_ids(words: np.ndarray, h: np.ndarray) -> np.ndarray:
-    if not len(words):
-        return np.zeros(len(h), np.int64)
-    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-    return np.where(words[at] == h, at + 2, UNKNOWN)
+    words: Words
+    values: DataFrame
+    unknown: tuple[float, float]
+    begin: tuple[float, float]
+    tokens: int
 
 
 def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,115 +72,205 @@ def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hashes(data, starts, ends, lower=True), first
 
 
-def _contexts(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _contexts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The word before each word, or BEGIN."""
-    context = np.empty(len(ids), np.int64)
-    context[1:] = ids[:-1]
+    context = np.empty(len(h), np.uint64)
+    context[1:] = h[:-1]
     context[first[:-1][first[:-1] < first[1:]]] = BEGIN
     return context
 
 
-def _counts(docs: DataFrame, keys_of, limit: int) -> DataFrame:
-    """key, n, t: occurrences in all texts and in target texts. docs: text, target."""
+def pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return ((context << np.uint64(17)) | (context >> np.uint64(47))) ^ word ^ np.uint64(PAIR)
+
+
+def _pair_key(context: str, word: str) -> F.Column:
+    return F.shiftleft(context, 17).bitwiseOR(F.shiftrightunsigned(context, 47)).bitwiseXOR(F.col(word)).bitwiseXOR(F.lit(PAIR))
+
+
+def _counts(docs: DataFrame, keys_of, names: tuple[str, ...], limit: int) -> DataFrame:
+    """names, n, t: occurrences in all texts and in target texts. docs: text, target. keys_of: columns names of each word,
+    a key that tells them apart, and the first word of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]] = []
 
         def flush() -> pa.RecordBatch:
-            keys, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            t = np.bincount(inverse, weights=np.concatenate([w for _, w in held]), minlength=len(keys))
+            keys, at, inverse = np.unique(np.concatenate([k for k, _, _ in held]), return_index=True, return_inverse=True)
+            t = np.bincount(inverse, weights=np.concatenate([w for _, w, _ in held]), minlength=len(keys))
             n = np.bincount(inverse, minlength=len(keys))
+            columns = [np.concatenate([c[i] for _, _, c in held])[at].view(np.int64) for i in range(len(names))]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(t.astype(np.int64))], ["key", "n", "t"])
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(n.astype(np.int64)), pa.array(t.astype(np.int64))], [*names, "n", "t"])
 
         for b in batches:
             target = b.column("target").to_numpy(zero_copy_only=False)
             for lo, hi, data, off in chunks(b.column("text")):
-                keys, first = keys_of(data, off)
+                columns, keys, first = keys_of(data, off)
                 if len(keys):
-                    # keys_of may leave out words; it then gives the first key of each text.
-                    held.append((keys, np.repeat(target[lo:hi], np.diff(first)).astype(np.float64)))
-            if sum(len(k) for k, _ in held) > limit:
+                    held.append((keys, np.repeat(target[lo:hi], np.diff(first)).astype(np.float64), columns))
+            if sum(len(k) for k, _, _ in held) > limit:
                 yield flush()
         if held:
             yield flush()
 
-    return docs.select("text", "target").mapInArrow(run, "key long, n long, t long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    schema = ", ".join(f"{c} long" for c in (*names, "n", "t"))
+    return docs.select("text", "target").mapInArrow(run, schema).groupBy(*names).agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+
+
+def _singles(data: np.ndarray, off: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+    h, first = _words(data, off)
+    return (h,), h, first
 
 
-def _top(counts: DataFrame, most: int) -> pa.Table:
-    """Rows with the largest n: all down to the smallest n that leaves at most so many. The counts of counts that come to
-    the driver are bounded by putting those above 2^16 together."""
-    sizes = sorted((r["n"], r["m"]) for r in counts.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count(F.lit(1)).alias("m")).collect())
-    left, least = 0, 1 << 62
-    for n, m in reversed(sizes):
-        if left + m > most:
-            break
-        left, least = left + m, n
-    return counts.where(F.col("n") >= least).toArrow()
+def _pairs(turn: int):
+    def run(data: np.ndarray, off: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+        h, first = _words(data, off)
+        context = _contexts(h, first)
+        keys = pair_keys(context, h)
+        now = keys % np.uint64(PAIR_PASSES) == turn
+        before = np.zeros(len(keys) + 1, np.int64)
+        np.cumsum(now, out=before[1:])
+        return (context[now], h[now]), keys[now], before[first]
+
+    return run
+
+
+def _release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def train(docs: DataFrame, scratch: Scratch) -> Model:
     """The models of docs (text, target)."""
-    got = _top(scratch.save(_counts(docs, _words, 2_000_000), "words"), VOCABULARY)
-    words = np.sort(got.column("key").to_numpy().view(np.uint64))
-    shared = docs.sparkSession.sparkContext.broadcast(words)
-
-    def pairs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h, first = _words(data, off)
-        ids = word_ids(shared.value, h)
-        context = _contexts(ids, first)
-        known = (ids != UNKNOWN) & (context != UNKNOWN)
-        kept = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum(known, out=kept[1:])
-        return ((context << 32) | ids)[known].view(np.uint64), kept[first]
-
-    def singles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h, first = _words(data, off)
-        return word_ids(shared.value, h).view(np.uint64), first
-
-    size = len(words) + 2
-    one = np.zeros((2, size))
-    table = _counts(docs, singles, 1 << 22).toArrow()  # VOCABULARY + 1 rows at most
-    one[:, table.column("key").to_numpy()] = np.stack([table.column("n").to_numpy(), table.column("t").to_numpy()])
-    got = _top(scratch.save(_counts(docs, pairs, 2_000_000).where("n > 1"), "pairs"), BIGRAMS)
-    keys, both = got.column("key").to_numpy(), np.stack([got.column("n").to_numpy(), got.column("t").to_numpy()]).astype(float)
-    order = np.argsort(keys)
-    keys, both = keys[order], both[:, order]
+    words = scratch.save(_counts(docs, _singles, ("key",), 2_000_000), "words")
+    saved = [words]
+    for turn in range(PAIR_PASSES):
+        _release(docs.sparkSession)
+        saved.append(scratch.save(_counts(docs, _pairs(turn), ("c", "w"), 2_000_000).where("n > 1"), "pairs"))
+    pairs = reduce(DataFrame.unionByName, saved[1:])
+    count, *total = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
     starts = docs.where("text is not null").groupBy("target").agg(F.count(F.when(F.col("text").rlike("[^ \\t-\\r]"), 1)).alias("n")).collect()
-    if not one[1].any():  # no target text
-        one[1], both[1] = one[0], both[0]
-        texts = [sum(r["n"] for r in starts)] * 2
-    else:
-        texts = [sum(r["n"] for r in starts), sum(r["n"] for r in starts if r["target"])]
-    context_total = one.copy()  # a text's last word has no successor: the leftover goes to the lower order
-    context_total[:, BEGIN] = texts
-    c = keys >> 32
-    gain = np.maximum(both - DISCOUNT, 0) / np.maximum(context_total[:, c], 1)
-    used = np.stack([np.bincount(c, weights=g, minlength=size) for g in gain]) if len(c) else np.zeros((2, size))
-    one[:, BEGIN] = 0
-    unigram = np.log((one + ADD) / (one.sum(1, keepdims=True) + ADD * size))
-    return Model(words, unigram, keys, gain, np.log(np.maximum(1 - used, 1e-9)))
+    texts = [sum(r["n"] for r in starts), sum(r["n"] for r in starts if r["target"])]
+    if not total[1]:  # no target text
+        words, pairs = words.withColumn("t", F.col("n")), pairs.withColumn("t", F.col("n"))
+        total, texts = [total[0]] * 2, [texts[0]] * 2
+    size = count + 2
+    unknown = tuple(float(np.log(ADD / (x + ADD * size))) for x in total)
+
+    sides = ("n", "t")
+    # A text's last word has no successor: the leftover goes to the lower order.
+    gained = pairs.groupBy(F.col("c").alias("key")).agg(*[F.sum(F.greatest(F.col(x) - DISCOUNT, F.lit(0.0))).alias(f"gain_{x}") for x in sides])
+    begin = docs.sparkSession.createDataFrame([(BEGIN, *texts)], "key long, n long, t long")
+    known = words.unionByName(begin).join(gained, "key", "left")
+    for k, x in enumerate(sides):
+        rest = 1 - F.coalesce(f"gain_{x}", F.lit(0.0)) / F.greatest(x, F.lit(1))
+        known = known.withColumn(f"rest_{x}", F.log(F.greatest(rest, F.lit(1e-9)))).withColumn(f"unigram_{x}", F.log((F.col(x) + ADD) / (total[k] + ADD * size)))
+    known = scratch.save(known.drop("gain_n", "gain_t"), "known")
+    _release(docs.sparkSession)
+    own = F.col("key") != BEGIN
+    left = known.where(~own).first()
+
+    context = known.select(F.col("key").alias("c"), *[F.greatest(x, F.lit(1)).alias(f"of_{x}") for x in sides], *[f"rest_{x}" for x in sides])
+    word = known.where(own).select(F.col("key").alias("w"), *[f"unigram_{x}" for x in sides])
+    gain = {x: F.greatest(F.col(x) - DISCOUNT, F.lit(0.0)) / F.col(f"of_{x}") for x in sides}
+    names = dict(zip(sides, ("background", "target")))
+    corrected = pairs.join(context, "c").join(word, "w").select(_pair_key("c", "w").alias("key"), *[(-F.log1p(gain[x] * F.exp(-F.col(f"rest_{x}") - F.col(f"unigram_{x}")))).alias(names[x]) for x in sides])
+    each = known.where(own).select("key", *[(unknown[k] - F.col(f"unigram_{x}") - F.col(f"rest_{x}")).alias(names[x]) for k, x in enumerate(sides)])
+    last = known.where(own & (F.col("rest_n") < 0)).select(F.col("key").bitwiseXOR(F.lit(LAST)).alias("key"), *[F.col(f"rest_{x}").alias(names[x]) for x in sides])
+    values = scratch.save(corrected.unionByName(each).unionByName(last), "values")
+    scratch.drop(*saved)
+    return Model(Words(known.where(own), count), values, unknown, (left["rest_n"], left["rest_t"]), total[0])
+
+
+def _asked(data: np.ndarray, off: np.ndarray, ranges: int) -> tuple[np.ndarray, Iterator[tuple]]:
+    """Words of each text, and for each range (range, keys, entries of each key, texts of the entries, times they occur)."""
+    h, first = _words(data, off)
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
+    full = np.flatnonzero(first[:-1] < first[1:])
+    keys = np.concatenate([h, h[first[1:][full] - 1] ^ np.uint64(LAST), pair_keys(_contexts(h, first), h)])
+    order = np.argsort(keys, kind="stable")
+    keys, docs = keys[order], np.concatenate([doc, full, doc])[order]
+    new = np.ones(len(keys), bool)  # an entry: one key in one text
+    new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
+    at = np.flatnonzero(new)
+    times, keys, docs = np.diff(np.append(at, len(keys))), keys[at], docs[at]
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    bounds, keys = np.append(at, len(keys)), keys[at]
+    part = ((keys >> np.uint64(33)) * np.uint64(ranges)) >> np.uint64(31)
+    cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(keys)) if len(keys) else [0]
+    kind = np.uint16 if len(off) <= 1 << 16 else np.uint32
+
+    def cut() -> Iterator[tuple]:
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            a, b = bounds[i], bounds[j]
+            yield int(part[i]), keys[i:j].tobytes(), np.diff(bounds[i : j + 1]).astype(np.uint32).tobytes(), docs[a:b].astype(kind).tobytes(), times[a:b].astype(np.uint32).tobytes()
+
+    return np.diff(first), cut()
+
+
+def _answer(asked: pa.Table, values: pa.Table) -> pa.Table:
+    """Sums for each text over the values of one range; rows that carry the texts' columns pass through."""
+    known = values.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(known)
+    known, both = known[order], np.stack([values.column(c).to_numpy()[order] for c in ("background", "target")])
+    out: list[tuple] = []
+    for keys, runs, docs, times in zip(*[asked.column(c).to_pylist() for c in ("keys", "runs", "docs", "times")]):
+        if keys is None:
+            out.append((None, None, None))
+            continue
+        k, m = np.frombuffer(keys, np.uint64), np.frombuffer(times, np.uint32)
+        d = np.frombuffer(docs, np.uint16 if len(docs) == 2 * len(m) else np.uint32)
+        at = np.minimum(np.searchsorted(known, k), max(len(known) - 1, 0))
+        got = np.where(known[at] == k, both[:, at], 0.0) if len(known) else np.zeros((2, len(k)))
+        got = np.repeat(got, np.frombuffer(runs, np.uint32), axis=1) * m
+        some = np.flatnonzero(np.bincount(d, weights=got.any(0)))
+        sums = [np.bincount(d, weights=g)[some] for g in got]
+        out.append((some.astype(np.uint32).tobytes(), sums[0].tobytes(), sums[1].tobytes()))
+    docs, background, target = [pa.array([r[i] for r in out], pa.binary()) for i in range(3)]
+    return pa.table([asked.column("batch"), docs, background, target, asked.column("rows"), asked.column("n_words")], ["batch", "docs", "background", "target", "rows", "n_words"])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "lm") -> DataFrame:
-    """docs with struct out (n_words, background, target): the words and the sums of their losses in nats."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.arrow_udf("n_words long, background double, target double")
-    def run(texts: pa.Array) -> pa.Array:
-        n, sums = [np.zeros(0, np.int64)], [np.zeros((2, 0))]
-        for _, _, data, off in chunks(texts):
-            h, first = _words(data, off)
-            ids = shared.value.ids(h)
-            total = np.zeros((2, len(ids) + 1))
-            np.cumsum(shared.value.losses(_contexts(ids, first), ids), axis=1, out=total[:, 1:])
-            n.append(np.diff(first))
-            sums.append(np.diff(total[:, first], axis=1))
-        both = np.concatenate(sums, axis=1)
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(n)), pa.array(both[0]), pa.array(both[1])], ["n_words", "background", "target"])
-
-    return docs.withColumn(out, run(F.col(text)))
+    """docs without text, with struct out (n_words, background, target): the words and the sums of their losses in nats."""
+    others = T.StructType([f for f in docs.schema if f.name != text])
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-model.tokens // RANGE_WORDS))
+    blob, texts = T.BinaryType(), [T.StructField("rows", T.ArrayType(others)), T.StructField("n_words", T.BinaryType())]
+    asking = T.StructType([T.StructField("batch", T.LongType()), T.StructField("p", T.LongType()), *[T.StructField(c, blob) for c in ("keys", "runs", "docs", "times")], *texts])
+    answers = T.StructType([T.StructField("batch", T.LongType()), *[T.StructField(c, blob) for c in ("docs", "background", "target")], *texts])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = TaskContext.get().partitionId() << 32
+        for b in batches:
+            rest = pa.StructArray.from_arrays([b.column(c) for c in others.names], others.names)
+            for lo, hi, data, off in chunks(b.column(text), 8 << 20):
+                n, parts = _asked(data, off, ranges)
+                cells = list(zip(*parts)) or [()] * 5
+                m, part = len(cells[0]), rest.slice(lo, hi - lo)
+                rows = pa.ListArray.from_arrays(pa.array(np.append(np.zeros(m + 1, np.int32), np.int32(hi - lo))), part.take(pa.array(np.arange(hi - lo))))
+                columns = [pa.array([batch] * (m + 1), pa.int64()), pa.array([*cells[0], batch % ranges], pa.int64()), *[pa.array([*c, None], pa.binary()) for c in cells[1:]]]
+                yield pa.RecordBatch.from_arrays([*columns, rows, pa.array([None] * m + [n.astype(np.int64).tobytes()], pa.binary())], asking.names)
+                batch += 1
+
+    def gather(got: pa.Table) -> pa.Table:
+        head = next(k for k, n in enumerate(got.column("n_words").to_pylist()) if n is not None)
+        n = np.frombuffer(got.column("n_words")[head].as_py(), np.int64)
+        at = np.frombuffer(b"".join(x for x in got.column("docs").to_pylist() if x is not None), np.uint32)
+        both = []
+        for k, c in enumerate(("background", "target")):
+            sums = np.frombuffer(b"".join(x for x in got.column(c).to_pylist() if x is not None))
+            both.append(np.bincount(at, weights=sums, minlength=len(n)) - n * model_unknown[k] - (n > 0) * model_begin[k])
+        rows = got.column("rows")[head].values
+        lm = pa.StructArray.from_arrays([pa.array(n), *map(pa.array, both)], ["n_words", "background", "target"])
+        return pa.table([*rows.flatten(), lm], [*others.names, out])
+
+    model_unknown, model_begin = model.unknown, model.begin
+    asked = docs.select(*others.names, text).mapInArrow(ask, asking)
+    held = model.values.withColumn("p", F.shiftright(F.shiftrightunsigned("key", 33) * F.lit(ranges).cast("long"), 31))
+    answered = asked.groupBy("p").cogroup(held.groupBy("p")).applyInArrow(_answer, answers)
+    losses = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("background", T.DoubleType()), T.StructField("target", T.DoubleType())])
+    return answered.groupBy("batch").applyInArrow(gather, T.StructType([*others.fields, T.StructField(out, losses)]))
 
 
 def targeted(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -189,6 +285,11 @@ def query(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     small_batches(spark)
     scratch = Scratch(spark, "lm-scoring")
     model = train(targeted(docs, labels), scratch)
-    lm = score(docs.select("doc_id", "text"), model).drop("text")
+    turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(TEXT_PASSES))
+    done = []
+    for k in range(TEXT_PASSES):
+        _release(spark)
+        done.append(scratch.save(score(docs.select("doc_id", "text").where(turn == k), model), "scores"))
+    lm = reduce(DataFrame.unionByName, done)
     difference = F.when(F.col("lm.n_words") > 0, (F.col("lm.target") - F.col("lm.background")) / F.col("lm.n_words")).otherwise(0.0)
     return lm.select("doc_id", F.col("lm.n_words").alias("n_words"), F.col("lm.target").alias("target_nats"), F.col("lm.background").alias("background_nats"), difference.alias("score"))

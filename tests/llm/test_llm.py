@@ -327,6 +327,22 @@ def test_lm_like_brute_force(spark):
     assert lm_scoring.query(spark, docs(spark, []), labels).count() == 0
 
 
+def test_lm_keeps_every_word_and_repeated_pair(spark):
+    rows = [(2 * k + j, " ".join(f"w{i}" for i in range(100 * k, 100 * k + 100)), "en", "a", 1) for k in range(400) for j in (0, 1)]
+    labels = spark.createDataFrame([(2 * k, 1, 0) for k in range(400)], "doc_id long, quality int, toxic int")
+    model = lm_scoring.train(lm_scoring.targeted(docs(spark, rows), labels), Scratch(spark, "test"))
+    assert len(model.words) == 40_000  # more than 2^15
+    text = spark.createDataFrame([(1, "w39900 W39901"), (2, "w39900 never"), (3, None)], "doc_id long, text string")
+    got = {x["doc_id"]: x["lm"] for x in lm_scoring.score(text, model).collect()}
+    for side, n, total, starts in (("background", 2, 80_000, 800), ("target", 1, 40_000, 400)):
+        uni = lambda c: (c + 0.5) / (total + 0.5 * 40_002)  # noqa: E731, B023
+        gain = (n - 0.75) / n
+        begin = -np.log((n - 0.75) / starts + (1 - 400 * (n - 0.75) / starts) * uni(n))
+        assert abs(got[1][side] - begin + np.log(gain + (1 - gain) * uni(n))) < 1e-6
+        assert abs(got[2][side] - begin + np.log((1 - gain) * uni(0))) < 1e-6
+    assert (got[3]["n_words"], got[3]["background"]) == (0, 0.0)
+
+
 def test_pipeline_stages_are_their_operators(spark, tmp_path):
     import corpus_pipeline
 
