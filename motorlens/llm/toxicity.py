@@ -139,12 +139,6 @@ SUSPECT = re.compile(
     rf"|(?=[a-z0-9@$!|+(<^]*[a-z])[a-z0-9@$!|+(<^]*[0-9@$!|+(<^][a-z0-9@$!|+(<^]*[a-z0-9@$]"
     r"|[a-z]*([a-z])\2{2,}[a-z]*",
 )
-_SIGNS = np.zeros(256, bool)
-_SIGNS[[ord(c) for c in "0123456789@$!|+(<^"]] = True
-_LETTERS = np.zeros(256, bool)
-_LETTERS[97:123] = _LETTERS[65:91] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 
 
 class Restorer:
@@ -168,30 +162,13 @@ class Restorer:
         return SUSPECT.sub(lambda m: self.read(m.group()), text.lower())
 
     def chunk(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes and offsets with suspect texts restored. Which texts to look at is found on the bytes."""
+        """Bytes and offsets of the restored texts, in lower case. Every text is looked at."""
         if not len(data):
             return data, off
-        low = _LOWER[data]
-        letter = _LETTERS[low]
-        mark = np.zeros(len(low) + 1, np.int64)
-        near = np.zeros(len(low), bool)
-        near[:-1] |= _SIGNS[low[:-1]] & letter[1:]  # a sign before a letter
-        near[2:] |= letter[2:] & (low[2:] == low[1:-1]) & (low[2:] == low[:-2])  # three alike
-        gap = ~letter & (low < 128)
-        near[4:] |= letter[4:] & gap[3:-1] & letter[2:-2] & gap[1:-3] & letter[:-4]  # a b c
-        np.cumsum(near, out=mark[1:])
-        hit = np.flatnonzero(mark[off[1:]] > mark[off[:-1]])
-        if not len(hit):
-            return data, off
-        parts, sizes, last = [], np.diff(off), 0
-        raw = data.tobytes()
-        for d in hit.tolist():
-            new = self.text(raw[off[d] : off[d + 1]].decode()).encode()
-            parts += [raw[off[last] : off[d]], new]
-            sizes[d], last = len(new), d + 1
-        parts.append(raw[off[last] :])
+        raw, at = data.tobytes(), off.tolist()
+        parts = [self.text(raw[i:j].decode()).encode() for i, j in zip(at, at[1:])]
         new_off = np.zeros(len(off), np.int64)
-        np.cumsum(sizes, out=new_off[1:])
+        np.cumsum([len(x) for x in parts], out=new_off[1:])
         return np.frombuffer(b"".join(parts), np.uint8), new_off
 
 
@@ -235,7 +212,7 @@ def score(docs: DataFrame, w: np.ndarray, costs: np.ndarray, text: str = "text",
 
 
 def restore(docs: DataFrame, costs: np.ndarray, text: str = "text", out: str = "restored") -> DataFrame:
-    """docs with the restored text (lower case where anything was looked at); NULL becomes empty."""
+    """docs with the restored text, in lower case; NULL becomes empty."""
     restorer = Restorer(costs)
 
     @F.arrow_udf("string")

@@ -265,6 +265,28 @@ def test_restoring():
         assert [new.tobytes()[i:j].decode() for i, j in zip(at, at[1:])] == ["nothing here", "a idiot", "", "x"]
 
 
+class Seen(toxicity.Restorer):
+    """Notes the spans that reach the lattice."""
+
+    def __init__(self):
+        self.spans = []
+
+    def read(self, span):
+        self.spans.append(span)
+        return span
+
+    def of(self, text):
+        self.spans.clear()
+        for _, _, data, off in chunks(pa.array([text])):
+            self.chunk(data, off)
+        return self.spans
+
+
+def test_toxicity_chunk_looks_where_the_expression_does():
+    for written in ("m 0 r 0 n", "1 d 1 0 t", "i--d--i--o--t", "i  d  i  o  t", "a$$"):
+        assert Seen().of(f"you {written}") == [m.group() for m in toxicity.SUSPECT.finditer(f"you {written}")] != []
+
+
 def labelled(spark):
     good, bad = prose(300, 21), prose(300, 22)
     rows = [(k, t, "en", "a", 1) for k, t in enumerate(good)] + [(1000 + k, t + " $$$ junk!! idiot " * 3, "en", "a", 1) for k, t in enumerate(bad)]
