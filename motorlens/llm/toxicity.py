@@ -132,12 +132,19 @@ def decode(span: str, costs: np.ndarray) -> str:
     return "".join(reversed(out))
 
 
-#: A span that the channel may have written: letters one by one with separators, or a word with signs or repeats inside.
-_LETTERISH = r"[a-z0-9@$!|+(<^]"
+#: A span that the channel may have written, from the signs of the lattice itself: letters one by one with separators
+#: (three at least), a word with a sign or a form of several signs in it, or a word with a letter doubled. The lattice
+#: decides what of it is plain text. A sign that ends a word counts if it is not one that plain text ends with.
+_FORMS = "|".join(re.escape(p) for p in PAIRS if not p.isalpha())
+_SIGN = "[" + re.escape("".join(LOOKS)) + "]"
+_ONE = "[a-z" + re.escape("".join(LOOKS)) + "]"
+_UNIT = f"(?>{_FORMS}|{_ONE})"
+_GAP = "[" + re.escape(SEPARATORS) + "]{1,2}"
+_LAST = "[a-z" + re.escape("".join(c for c in LOOKS if c not in "!|+(<^")) + "]"
 SUSPECT = re.compile(
-    rf"(?<![^\s\"'(\[])(?:{_LETTERISH}(?P<sep>[ .\-_*~]{{1,2}}))(?:{_LETTERISH}(?P=sep)){{2,}}{_LETTERISH}+(?![^\s\"'.,;:!?)\]])"
-    rf"|(?=[a-z0-9@$!|+(<^]*[a-z])[a-z0-9@$!|+(<^]*[0-9@$!|+(<^][a-z0-9@$!|+(<^]*[a-z0-9@$]"
-    r"|[a-z]*([a-z])\2{2,}[a-z]*",
+    rf"(?<![^\s\"'(\[]){_UNIT}(?:{_GAP}{_UNIT}){{2,}}+{_UNIT}*+(?![^\s\"'.,;:!?)\]])"
+    rf"|(?<!{_ONE})(?=[a-z]*(?:{_FORMS}|{_SIGN}))(?=(?:{_FORMS}|{_SIGN})*[a-z]|(?:{_SIGN}*(?:{_FORMS}))){_UNIT}*(?:{_FORMS}|{_LAST})"
+    r"|(?<![a-z])[a-z]*([a-z])\1[a-z]*",
 )
 
 

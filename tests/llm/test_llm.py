@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -287,6 +288,21 @@ def test_toxicity_chunk_looks_where_the_expression_does():
         assert Seen().of(f"you {written}") == [m.group() for m in toxicity.SUSPECT.finditer(f"you {written}")] != []
 
 
+@pytest.mark.parametrize("written", [
+    *[f"wo{c}rd" for c in toxicity.LOOKS], *[f"{c}ord" for c in toxicity.LOOKS], *[f"wo{c}rd" for c in toxicity.PAIRS], *[f"{c}ord" for c in toxicity.PAIRS if c != "vv"],
+    *[f"wor{c}" for c in toxicity.PAIRS], *[c.join("idiot") for c in toxicity.SEPARATORS], "wor#", "wor%", "idio7", "a s s", "i.d-i_o t", "idiiot",
+])
+def test_toxicity_whole_channel_reaches_the_lattice(written):
+    assert Seen().of(f"you {written}") == [written]
+
+
+def test_toxicity_spans_stay_linear():
+    start = time.monotonic()
+    for text in ("/\\" * 20_000, "|_" * 20_000, "ab" * 20_000, "a." * 20_000 + "é", "(" * 20_000, "$a" * 20_000 + "!" * 20_000):
+        Seen().of(text)
+    assert time.monotonic() - start < 20
+
+
 def labelled(spark):
     good, bad = prose(300, 21), prose(300, 22)
     rows = [(k, t, "en", "a", 1) for k, t in enumerate(good)] + [(1000 + k, t + " $$$ junk!! idiot " * 3, "en", "a", 1) for k, t in enumerate(bad)]
