@@ -83,12 +83,9 @@ LOOK_COST, DROP_COST, REPEAT_COST, DOUBLE_COST = 1.5, 0.7, 1.0, 4.0
 _CODE = {chr(96 + i): i for i in range(1, 27)}
 
 
-def edges(span: str, i: int) -> list[tuple[int, str, float]]:
-    """(next position, written letters, channel cost) of the lattice's edges at i."""
+def edges(span: str, i: int, run: int) -> list[tuple[int, str, float]]:
+    """(next position, written letters, channel cost) of the lattice's edges at i, where one sign stands run times."""
     c, n = span[i], len(span)
-    run = 1
-    while i + run < n and span[i + run] == c:
-        run += 1
     out = [(i + 1, c, 0.0)]
     letters = [c] if c in _CODE else list(LOOKS.get(c, ""))
     for x in letters:
@@ -108,12 +105,16 @@ def edges(span: str, i: int) -> list[tuple[int, str, float]]:
 def decode(span: str, costs: np.ndarray) -> str:
     """The cheapest reading of a lower-case span: channel and character model together."""
     n = len(span)
+    runs = [1] * n
+    for i in range(n - 2, -1, -1):
+        if span[i] == span[i + 1]:
+            runs[i] = runs[i + 1] + 1
     best: list[dict[tuple[int, int], tuple[float, tuple | None]]] = [{} for _ in range(n + 1)]
     best[0][0, 0] = (0.0, None)
     for i in range(n):
         if not best[i]:
             continue
-        steps = edges(span, i)
+        steps = edges(span, i, runs[i])
         for state, (cost, back) in best[i].items():
             for j, x, channel in steps:
                 if x:
@@ -124,6 +125,7 @@ def decode(span: str, costs: np.ndarray) -> str:
                 old = best[j].get(new)
                 if old is None or total < old[0]:
                     best[j][new] = (total, trail)
+        best[i] = {}
     _, trail = min(((cost + costs[s[0], s[1], 0], trail) for s, (cost, trail) in best[n].items()), key=lambda v: v[0])
     out = []
     while trail is not None:
@@ -151,15 +153,14 @@ SUSPECT = re.compile(
 class Restorer:
     """Restores texts; keeps the readings of spans it has met."""
 
-    LIMIT, LONGEST = 50_000, 200
+    LIMIT = 50_000
 
     def __init__(self, costs: np.ndarray):
         self.costs, self.seen = costs, {}
 
     def read(self, span: str) -> str:
         if (out := self.seen.get(span)) is None:
-            # A longer span is read in windows that overlap nowhere; words are never this long.
-            out = "".join(decode(span[k : k + self.LONGEST], self.costs) for k in range(0, len(span), self.LONGEST))
+            out = decode(span, self.costs)
             if len(self.seen) > self.LIMIT:
                 self.seen.clear()
             self.seen[span] = out

@@ -303,6 +303,16 @@ def test_toxicity_spans_stay_linear():
     assert time.monotonic() - start < 20
 
 
+def test_long_spans_are_read_whole():
+    x = toxicity._CLASS[np.frombuffer(("you are a stupid moron " * 50).encode(), np.uint8)].astype(np.int64)
+    costs = toxicity.trigram_costs(np.bincount(x[:-2] * 841 + x[1:-1] * 29 + x[2:], minlength=29**3))
+    assert toxicity.Restorer(costs).text(".".join("stupid" * 60)) == "stupid" * 60  # 719 signs
+    start = time.monotonic()
+    for text in ("x" * 30_000, "w " * 20_000, "$" * 20_000 + "a", "a." * 20_000):
+        toxicity.Restorer(costs).text(text)
+    assert time.monotonic() - start < 60
+
+
 def labelled(spark):
     good, bad = prose(300, 21), prose(300, 22)
     rows = [(k, t, "en", "a", 1) for k, t in enumerate(good)] + [(1000 + k, t + " $$$ junk!! idiot " * 3, "en", "a", 1) for k, t in enumerate(bad)]
