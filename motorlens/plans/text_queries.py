@@ -106,6 +106,12 @@ def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", tx.slugify(F.substring("text", 1, 60)).alias("slug"))
 
 
+@row_query("SELECT doc_id, regexp_replace(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
+def slugify_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slugs of whole texts."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", tx.slugify(F.col("text")).alias("slug"))
+
+
 @row_query(DUCK + " SELECT id, fingerprint FROM listings")
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings(spark, sf_dir).select("id", "fingerprint")

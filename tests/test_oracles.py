@@ -37,6 +37,11 @@ def test_oracle(spark, duck, name):
     assert plain(map(tuple, df.select(*columns).collect())) == plain(wanted)
 
 
+def test_slugs_of_whole_texts(spark):
+    df = entry.queries()["slugify_whole"](spark, SF)
+    assert df.where("length(slug) > 60").count() > 100
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 20
 
