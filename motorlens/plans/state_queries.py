@@ -93,6 +93,16 @@ def protected_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.protect(old, new, "id").select("id", "kind")
 
 
+@query("SELECT o_orderkey // 2 AS id, CASE WHEN NOT bool_or(o_orderkey % 2 = 1) THEN CASE WHEN (o_orderkey // 2) % 7 = 0 THEN 'photos' ELSE 'old' END WHEN bool_or(o_orderkey % 2 = 0) AND (o_orderkey // 2) % 7 = 0 AND (o_orderkey // 2) % 5 <> 0 THEN 'photos' ELSE 'new' END AS kind FROM orders GROUP BY o_orderkey // 2")
+def protected_overwrite_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all orders: even keys are the old analyses, odd keys the new ones."""
+    k, n = F.col("o_orderkey"), F.expr("o_orderkey div 2")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    old = o.where(k % 2 == 0).select(n.alias("id"), F.when(n % 7 == 0, 4).otherwise(0).alias("photos"), F.when(n % 7 == 0, "photos").otherwise("old").alias("kind"))
+    new = o.where(k % 2 == 1).select(n.alias("id"), F.when(n % 5 == 0, 3).otherwise(0).alias("photos"), F.lit("new").alias("kind"))
+    return state.protect(old, new, "id").select("id", "kind")
+
+
 # ---------------------------------------------------------------- pages
 
 _TRACK = ", ".join(f"'{p}'" for p in v.TRACKING)
@@ -173,3 +183,11 @@ def paginated_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 4000")
     rows = o.select((F.col("o_custkey") % 20).alias("search"), F.expr("o_orderkey div 20").alias("page_no"), (F.col("o_orderkey") % 20).alias("position"), ((F.col("o_orderkey") * 7) % 900).alias("listing_id"))
     return pg.paginate(rows, 30).select("search", "listing_id")
+
+
+@query("WITH r AS (SELECT o_orderkey // 4000 * 20 + o_custkey % 20 AS search, o_orderkey // 20 AS page_no, o_orderkey % 20 AS position, (o_orderkey * 7) % 900 AS listing_id FROM orders), m AS (SELECT *, row_number() OVER (PARTITION BY search, listing_id ORDER BY page_no, position) = 1 AS fresh FROM r), s AS (SELECT search, min(page_no) AS stop FROM (SELECT search, page_no FROM m GROUP BY ALL HAVING count(*) FILTER (fresh) = 0) GROUP BY search), k AS (SELECT m.*, row_number() OVER (PARTITION BY search ORDER BY page_no, position) AS rn FROM m LEFT JOIN s USING (search) WHERE fresh AND (stop IS NULL OR page_no < stop)) SELECT search, listing_id FROM k WHERE rn <= 30")
+def paginated_scan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all orders: each 4,000 keys are the results of twenty searches more."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rows = o.select(F.expr("o_orderkey div 4000 * 20 + o_custkey % 20").alias("search"), F.expr("o_orderkey div 20").alias("page_no"), (F.col("o_orderkey") % 20).alias("position"), ((F.col("o_orderkey") * 7) % 900).alias("listing_id"))
+    return pg.paginate(rows, 30).select("search", "listing_id")
