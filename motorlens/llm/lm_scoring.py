@@ -1,70 +1,48 @@
 """Operator 10, language-model scoring by cross-entropy difference.
 
-Two interpolated bigram models, of target texts and of the background (all texts), share one vocabulary, one set of
-bigrams, one order and one smoothing, so they differ in counts alone. A text's score is the mean over its words of
--log p_target + log p_background: below 0, the text is closer to the target.
+Two bigram models, of target texts and of the background (all texts), share one vocabulary, one order and one smoothing, so
+they differ in counts alone:
 
-The model grows with the corpus: it keeps every word and every word pair seen twice or more, as tables in the shared
-folder; what pairs seen once would have had goes to the lower order, so every context still sums to one. Nothing that
-grows with the vocabulary comes to the driver or is broadcast.
+    p(w | c) = (n(c, w) + MU * p(w)) / (n(c) + MU)        p(w) = (n(w) + ADD) / (N + ADD * (V + 1))
 
-The loss of a word w after c is -rest(c) - log p(w), plus a correction if the pair is in the model. So a text's loss is a
-sum over its words, its last word and its pairs, each looked up by one 64-bit key. Batches of texts send their distinct
-keys, cut in ranges, to the tasks that hold the same range of the tables; these answer with partial sums for each text.
-A common word or pair is asked for once by each batch, so it makes no task large. Pairs and texts are dealt with in passes,
-which bound the disk in use, not what is read: all passes together cover every pair and every text.
+A text's score is the mean over its words of -log p_target + log p_background: below 0, the text is closer to the target.
+A text is never scored by what it has itself put into a model: its own counts are taken out of every n before (leaving one
+out), so targets have no advantage from having been seen, and a text that occurs twice differs from one that occurs once.
+
+The model grows with the corpus: every word and every pair of words counts, however rare, and nothing is cut off. Nothing
+that grows with the vocabulary comes to the driver or is broadcast. Counting and looking up are one exchange there and one
+back: each batch of texts sends its distinct keys with their counts, cut in ranges of keys; the task of a range adds up the
+counts of all batches and answers each batch with the totals of its own keys, in the same order; the answers meet the
+batch's texts, which are then scored. A common word or pair is one entry for each batch, so it makes no task large. Keys
+carry 20 bits more than the corpus has words, so that one meets another with a probability below one in a million.
 
 Target texts are documents labelled quality 1 and not toxic. Texts that are NULL, empty or without words have no words and
 score 0. Repeated rows count as often as they occur and score alike. Without target texts, both models are the
-background's and all scores are 0.
+background's and all scores are 0. Rows that are not ``counted`` are scored by the models of the others.
 """
 
 from __future__ import annotations
 
-import gc
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from motorlens.llm.shared import BROADCAST_ROWS, Scratch, chunks, hashes, segments, small_batches
-
-DISCOUNT, ADD = 0.75, 0.5
-#: Key of the text's beginning, and what tells keys of last words and of pairs from those of words.
-BEGIN, LAST, PAIR = 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B
-#: Words of the corpus for each range of keys, at most.
-RANGE_WORDS = 4_000_000
-#: Pairs are counted, and texts are scored, in so many passes, whose shuffles are not on disk at the same time.
-PAIR_PASSES, TEXT_PASSES = 2, 3
-
-
-@dataclass
-class Words:
-    """The vocabulary: a table of key, n, t, rest and unigram (background, target), and its number of words."""
-
-    table: DataFrame
-    size: int
-
-    def __len__(self) -> int:
-        return self.size
+from motorlens.llm.shared import BROADCAST_ROWS, chunks, hashes, pack, pack_sorted, segments, small_batches, unpack, unpack_sorted
 
-
-@dataclass
-class Model:
-    """values: key, background, target: what a key adds to a text's losses. unknown and begin: log p of a word that is not
-    in the vocabulary, and log of what the text's beginning leaves to the lower order (background, target)."""
-
-    words: Words
-    values: DataFrame
-    unknown: tuple[float, float]
-    begin: tuple[float, float]
-    tokens: int
+MU, ADD = 4.0, 0.5
+#: Hash of the text's beginning, and what tells keys of pairs from those of words.
+BEGIN, PAIR = 0x1F83D9ABFB41BD6B, 0x3C6EF372FE94F82B
+#: Bytes of text of one batch, and bytes of the corpus for each range of keys at most.
+BATCH, RANGE_BYTES = 4 << 20, 48 << 20
+#: Ranges for each shuffle partition: several, so that hashing them to partitions comes out even.
+RANGES_EACH = 3
 
 
 def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +50,7 @@ def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hashes(data, starts, ends, lower=True), first
 
 
-def _contexts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+def contexts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The word before each word, or BEGIN."""
     context = np.empty(len(h), np.uint64)
     context[1:] = h[:-1]
@@ -80,197 +58,169 @@ def _contexts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return context
 
 
-def pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return ((context << np.uint64(17)) | (context >> np.uint64(47))) ^ word ^ np.uint64(PAIR)
-
-
-def _pair_key(context: str, word: str) -> F.Column:
-    return F.shiftleft(context, 17).bitwiseOR(F.shiftrightunsigned(context, 47)).bitwiseXOR(F.col(word)).bitwiseXOR(F.lit(PAIR))
-
+class Batch:
+    """The distinct keys of a batch of texts: words (even, the text's beginning among them) and pairs (odd), ascending.
 
-def _counts(docs: DataFrame, keys_of, names: tuple[str, ...], limit: int) -> DataFrame:
-    """names, n, t: occurrences in all texts and in target texts. docs: text, target. keys_of: columns names of each word,
-    a key that tells them apart, and the first word of each text."""
+    word, context, pair: the place of each occurrence's keys among them; doc: its text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]] = []
-
-        def flush() -> pa.RecordBatch:
-            keys, at, inverse = np.unique(np.concatenate([k for k, _, _ in held]), return_index=True, return_inverse=True)
-            t = np.bincount(inverse, weights=np.concatenate([w for _, w, _ in held]), minlength=len(keys))
-            n = np.bincount(inverse, minlength=len(keys))
-            columns = [np.concatenate([c[i] for _, _, c in held])[at].view(np.int64) for i in range(len(names))]
-            held.clear()
-            return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(n.astype(np.int64)), pa.array(t.astype(np.int64))], [*names, "n", "t"])
-
-        for b in batches:
-            target = b.column("target").to_numpy(zero_copy_only=False)
-            for lo, hi, data, off in chunks(b.column("text")):
-                columns, keys, first = keys_of(data, off)
-                if len(keys):
-                    held.append((keys, np.repeat(target[lo:hi], np.diff(first)).astype(np.float64), columns))
-            if sum(len(k) for k, _, _ in held) > limit:
-                yield flush()
-        if held:
-            yield flush()
-
-    schema = ", ".join(f"{c} long" for c in (*names, "n", "t"))
-    return docs.select("text", "target").mapInArrow(run, schema).groupBy(*names).agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-
-def _singles(data: np.ndarray, off: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
-    h, first = _words(data, off)
-    return (h,), h, first
-
-
-def _pairs(turn: int):
-    def run(data: np.ndarray, off: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+    def __init__(self, data: np.ndarray, off: np.ndarray, bits: int):
         h, first = _words(data, off)
-        context = _contexts(h, first)
-        keys = pair_keys(context, h)
-        now = keys % np.uint64(PAIR_PASSES) == turn
-        before = np.zeros(len(keys) + 1, np.int64)
-        np.cumsum(now, out=before[1:])
-        return (context[now], h[now]), keys[now], before[first]
-
-    return run
-
-
-def _release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def train(docs: DataFrame, scratch: Scratch) -> Model:
-    """The models of docs (text, target)."""
-    words = scratch.save(_counts(docs, _singles, ("key",), 2_000_000), "words")
-    saved = [words]
-    for turn in range(PAIR_PASSES):
-        _release(docs.sparkSession)
-        saved.append(scratch.save(_counts(docs, _pairs(turn), ("c", "w"), 2_000_000).where("n > 1"), "pairs"))
-    pairs = reduce(DataFrame.unionByName, saved[1:])
-    count, *total = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
-    starts = docs.where("text is not null").groupBy("target").agg(F.count(F.when(F.col("text").rlike("[^ \\t-\\r]"), 1)).alias("n")).collect()
-    texts = [sum(r["n"] for r in starts), sum(r["n"] for r in starts if r["target"])]
-    if not total[1]:  # no target text
-        words, pairs = words.withColumn("t", F.col("n")), pairs.withColumn("t", F.col("n"))
-        total, texts = [total[0]] * 2, [texts[0]] * 2
-    size = count + 2
-    unknown = tuple(float(np.log(ADD / (x + ADD * size))) for x in total)
-
-    sides = ("n", "t")
-    # A text's last word has no successor: the leftover goes to the lower order.
-    gained = pairs.groupBy(F.col("c").alias("key")).agg(*[F.sum(F.greatest(F.col(x) - DISCOUNT, F.lit(0.0))).alias(f"gain_{x}") for x in sides])
-    begin = docs.sparkSession.createDataFrame([(BEGIN, *texts)], "key long, n long, t long")
-    known = words.unionByName(begin).join(gained, "key", "left")
-    for k, x in enumerate(sides):
-        rest = 1 - F.coalesce(f"gain_{x}", F.lit(0.0)) / F.greatest(x, F.lit(1))
-        known = known.withColumn(f"rest_{x}", F.log(F.greatest(rest, F.lit(1e-9)))).withColumn(f"unigram_{x}", F.log((F.col(x) + ADD) / (total[k] + ADD * size)))
-    known = scratch.save(known.drop("gain_n", "gain_t"), "known")
-    _release(docs.sparkSession)
-    own = F.col("key") != BEGIN
-    left = known.where(~own).first()
-
-    context = known.select(F.col("key").alias("c"), *[F.greatest(x, F.lit(1)).alias(f"of_{x}") for x in sides], *[f"rest_{x}" for x in sides])
-    word = known.where(own).select(F.col("key").alias("w"), *[f"unigram_{x}" for x in sides])
-    gain = {x: F.greatest(F.col(x) - DISCOUNT, F.lit(0.0)) / F.col(f"of_{x}") for x in sides}
-    names = dict(zip(sides, ("background", "target")))
-    corrected = pairs.join(context, "c").join(word, "w").select(_pair_key("c", "w").alias("key"), *[(-F.log1p(gain[x] * F.exp(-F.col(f"rest_{x}") - F.col(f"unigram_{x}")))).alias(names[x]) for x in sides])
-    each = known.where(own).select("key", *[(unknown[k] - F.col(f"unigram_{x}") - F.col(f"rest_{x}")).alias(names[x]) for k, x in enumerate(sides)])
-    last = known.where(own & (F.col("rest_n") < 0)).select(F.col("key").bitwiseXOR(F.lit(LAST)).alias("key"), *[F.col(f"rest_{x}").alias(names[x]) for x in sides])
-    values = scratch.save(corrected.unionByName(each).unionByName(last), "values")
-    scratch.drop(*saved)
-    return Model(Words(known.where(own), count), values, unknown, (left["rest_n"], left["rest_t"]), total[0])
-
-
-def _asked(data: np.ndarray, off: np.ndarray, ranges: int) -> tuple[np.ndarray, Iterator[tuple]]:
-    """Words of each text, and for each range (range, keys, entries of each key, texts of the entries, times they occur)."""
-    h, first = _words(data, off)
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
-    full = np.flatnonzero(first[:-1] < first[1:])
-    keys = np.concatenate([h, h[first[1:][full] - 1] ^ np.uint64(LAST), pair_keys(_contexts(h, first), h)])
-    order = np.argsort(keys, kind="stable")
-    keys, docs = keys[order], np.concatenate([doc, full, doc])[order]
-    new = np.ones(len(keys), bool)  # an entry: one key in one text
-    new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
-    at = np.flatnonzero(new)
-    times, keys, docs = np.diff(np.append(at, len(keys))), keys[at], docs[at]
-    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    bounds, keys = np.append(at, len(keys)), keys[at]
-    part = ((keys >> np.uint64(33)) * np.uint64(ranges)) >> np.uint64(31)
-    cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(keys)) if len(keys) else [0]
-    kind = np.uint16 if len(off) <= 1 << 16 else np.uint32
-
-    def cut() -> Iterator[tuple]:
-        for i, j in zip(cuts[:-1], cuts[1:]):
-            a, b = bounds[i], bounds[j]
-            yield int(part[i]), keys[i:j].tobytes(), np.diff(bounds[i : j + 1]).astype(np.uint32).tobytes(), docs[a:b].astype(kind).tobytes(), times[a:b].astype(np.uint32).tobytes()
-
-    return np.diff(first), cut()
-
-
-def _answer(asked: pa.Table, values: pa.Table) -> pa.Table:
-    """Sums for each text over the values of one range; rows that carry the texts' columns pass through."""
-    known = values.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(known)
-    known, both = known[order], np.stack([values.column(c).to_numpy()[order] for c in ("background", "target")])
-    out: list[tuple] = []
-    for keys, runs, docs, times in zip(*[asked.column(c).to_pylist() for c in ("keys", "runs", "docs", "times")]):
-        if keys is None:
-            out.append((None, None, None))
-            continue
-        k, m = np.frombuffer(keys, np.uint64), np.frombuffer(times, np.uint32)
-        d = np.frombuffer(docs, np.uint16 if len(docs) == 2 * len(m) else np.uint32)
-        at = np.minimum(np.searchsorted(known, k), max(len(known) - 1, 0))
-        got = np.where(known[at] == k, both[:, at], 0.0) if len(known) else np.zeros((2, len(k)))
-        got = np.repeat(got, np.frombuffer(runs, np.uint32), axis=1) * m
-        some = np.flatnonzero(np.bincount(d, weights=got.any(0)))
-        sums = [np.bincount(d, weights=g)[some] for g in got]
-        out.append((some.astype(np.uint32).tobytes(), sums[0].tobytes(), sums[1].tobytes()))
-    docs, background, target = [pa.array([r[i] for r in out], pa.binary()) for i in range(3)]
-    return pa.table([asked.column("batch"), docs, background, target, asked.column("rows"), asked.column("n_words")], ["batch", "docs", "background", "target", "rows", "n_words"])
-
-
-def score(docs: DataFrame, model: Model, text: str = "text", out: str = "lm") -> DataFrame:
-    """docs without text, with struct out (n_words, background, target): the words and the sums of their losses in nats."""
-    others = T.StructType([f for f in docs.schema if f.name != text])
-    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-model.tokens // RANGE_WORDS))
-    blob, texts = T.BinaryType(), [T.StructField("rows", T.ArrayType(others)), T.StructField("n_words", T.BinaryType())]
-    asking = T.StructType([T.StructField("batch", T.LongType()), T.StructField("p", T.LongType()), *[T.StructField(c, blob) for c in ("keys", "runs", "docs", "times")], *texts])
-    answers = T.StructType([T.StructField("batch", T.LongType()), *[T.StructField(c, blob) for c in ("docs", "background", "target")], *texts])
+        self.sizes, self.doc = np.diff(first), np.repeat(np.arange(len(off) - 1), np.diff(first))
+        context = contexts(h, first)
+        pairs = ((context << np.uint64(17)) | (context >> np.uint64(47))) ^ h ^ np.uint64(PAIR)
+        with np.errstate(over="ignore"):
+            pairs = pairs * np.uint64(0xD6E8FEB86659FD93)
+        shift, one = np.uint64(65 - bits), np.uint64(1)
+        full = self.sizes > 0
+        begin = np.full(int(full.sum()), BEGIN, np.uint64)
+        keys = np.concatenate([(h >> shift) << one, (begin >> shift) << one, ((pairs >> shift) << one) | one])
+        self.keys, at = np.unique(keys, return_inverse=True)
+        n = len(h)
+        self.word, self.pair, self.begins, self.begin_doc = at[:n], at[n + len(begin) :], at[n : n + len(begin)], np.flatnonzero(full)
+        self.context = np.empty(n, np.int64)
+        self.context[1:] = self.word[:-1]
+        self.start = np.zeros(n, bool)
+        self.start[first[:-1][full]] = True
+        self.context[self.start] = self.begins
+
+    def counts(self, weight: np.ndarray) -> np.ndarray:
+        """Occurrences of each key, weighted by text."""
+        w = weight[self.doc]
+        n = np.bincount(self.word, weights=w, minlength=len(self.keys)) + np.bincount(self.pair, weights=w, minlength=len(self.keys))
+        return (n + np.bincount(self.begins, weights=weight[self.begin_doc], minlength=len(self.keys))).astype(np.uint32)
+
+    def own(self, at: np.ndarray) -> np.ndarray:
+        """How often the text of each occurrence has the key at its place."""
+        _, inverse, n = np.unique(self.doc * len(self.keys) + at, return_inverse=True, return_counts=True)
+        return n[inverse].astype(np.float64)
+
+
+def begin_key(bits: int) -> int:
+    return (BEGIN >> (65 - bits)) << 1
+
+
+def losses(b: Batch, n: np.ndarray, t: np.ndarray, corpus: tuple[int, int, int], counted: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
+    """-log p summed over each text, background and target. n, t: totals of the batch's keys. corpus: V, N, N of targets."""
+    word, pair = b.own(b.word), b.own(b.pair)
+    context = np.empty(len(word))
+    context[1:] = word[:-1]
+    context[b.start] = 1.0
+    out = []
+    for total, size, took in ((n, corpus[1], counted), (t, corpus[2], counted & target)) if corpus[2] else ((n, corpus[1], counted),) * 2:
+        mine = took[b.doc].astype(np.float64)
+        uni = (total[b.word] - mine * word + ADD) / (size - mine * b.sizes[b.doc] + ADD * (corpus[0] + 1))
+        p = (total[b.pair] - mine * pair + MU * uni) / (total[b.context] - mine * context + MU)
+        out.append(np.bincount(b.doc, weights=-np.log(p), minlength=len(b.sizes)).astype(np.float64))
+    return out
+
+
+def _asking(others: T.StructType) -> T.StructType:
+    blob = T.BinaryType()
+    head = [T.StructField("rows", T.ArrayType(others)), *[T.StructField(c, blob) for c in ("texts", "offsets", "flags")]]
+    return T.StructType([T.StructField("batch", T.LongType()), T.StructField("p", T.IntegerType()), *[T.StructField(c, blob) for c in ("a", "b", "c")], *head])
+
+
+def score(docs: DataFrame, text: str = "text", target: str = "target", counted: str | None = None, out: str = "lm") -> DataFrame:
+    """docs without text, target and counted, with struct out (n_words, background, target): words, sums of losses in nats.
+
+    An input column named as out is replaced. target: boolean, whether the row is a target text. counted: boolean, whether the row counts in the models (all do)."""
+    spark, flags = docs.sparkSession, [target, *([counted] if counted else [])]
+    small_batches(spark)
+    others = T.StructType([f for f in docs.schema if f.name not in (text, out, *flags)])
+    schema = _asking(others)
+    size = docs.agg(F.sum(F.octet_length(F.col(text)))).head()[0] or 0
+    ranges = RANGES_EACH * max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    bits = min(64, 20 + max(20, math.ceil(math.log2(size + 1))))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = TaskContext.get().partitionId() << 32
-        for b in batches:
-            rest = pa.StructArray.from_arrays([b.column(c) for c in others.names], others.names)
-            for lo, hi, data, off in chunks(b.column(text), 8 << 20):
-                n, parts = _asked(data, off, ranges)
-                cells = list(zip(*parts)) or [()] * 5
-                m, part = len(cells[0]), rest.slice(lo, hi - lo)
-                rows = pa.ListArray.from_arrays(pa.array(np.append(np.zeros(m + 1, np.int32), np.int32(hi - lo))), part.take(pa.array(np.arange(hi - lo))))
-                columns = [pa.array([batch] * (m + 1), pa.int64()), pa.array([*cells[0], batch % ranges], pa.int64()), *[pa.array([*c, None], pa.binary()) for c in cells[1:]]]
-                yield pa.RecordBatch.from_arrays([*columns, rows, pa.array([None] * m + [n.astype(np.int64).tobytes()], pa.binary())], asking.names)
+        edges = (np.arange(1, ranges, dtype=np.float64) * (2.0**bits / ranges)).astype(np.uint64)
+        for rb in batches:
+            rest = pa.StructArray.from_arrays([rb.column(c) for c in others.names], others.names) if others.names else pa.nulls(rb.num_rows)
+            marks = [rb.column(c).fill_null(False).to_numpy(zero_copy_only=False) for c in flags]
+            for lo, hi, data, off in chunks(rb.column(text), BATCH):
+                of_target = marks[0][lo:hi]
+                of_count = marks[1][lo:hi] if counted else np.ones(hi - lo, bool)
+                b = Batch(data, off, bits)
+                n, t = b.counts(of_count.astype(float)), b.counts((of_count & of_target).astype(float))
+                cuts = [0, *np.searchsorted(b.keys, edges).tolist(), len(b.keys)]
+                cells = [[pack_sorted(b.keys[i:j]), pack(n[i:j]), pack(t[i:j])] for i, j in zip(cuts, cuts[1:])]
+                rows = pa.ListArray.from_arrays(pa.array(np.append(np.zeros(ranges + 1, np.int32), np.int32(hi - lo))), rest.slice(lo, hi - lo))
+                only = lambda x: pa.array([None] * ranges + [x], pa.binary())
+                columns = [pa.array([batch] * (ranges + 1), pa.int64()), pa.array([*range(ranges), batch % ranges], pa.int32())]
+                columns += [pa.array([*(c[k] for c in cells), None], pa.binary()) for k in range(3)]
+                raw = data.tobytes()
+                columns += [rows, only(pa.compress(raw, codec="zstd", asbytes=True)), only(off.astype(np.int64).tobytes()), only(np.stack([of_target, of_count]).tobytes())]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
                 batch += 1
 
-    def gather(got: pa.Table) -> pa.Table:
-        head = next(k for k, n in enumerate(got.column("n_words").to_pylist()) if n is not None)
-        n = np.frombuffer(got.column("n_words")[head].as_py(), np.int64)
-        at = np.frombuffer(b"".join(x for x in got.column("docs").to_pylist() if x is not None), np.uint32)
-        both = []
-        for k, c in enumerate(("background", "target")):
-            sums = np.frombuffer(b"".join(x for x in got.column(c).to_pylist() if x is not None))
-            both.append(np.bincount(at, weights=sums, minlength=len(n)) - n * model_unknown[k] - (n > 0) * model_begin[k])
-        rows = got.column("rows")[head].values
-        lm = pa.StructArray.from_arrays([pa.array(n), *map(pa.array, both)], ["n_words", "background", "target"])
-        return pa.table([*rows.flatten(), lm], [*others.names, out])
-
-    model_unknown, model_begin = model.unknown, model.begin
-    asked = docs.select(*others.names, text).mapInArrow(ask, asking)
-    held = model.values.withColumn("p", F.shiftright(F.shiftrightunsigned("key", 33) * F.lit(ranges).cast("long"), 31))
-    answered = asked.groupBy("p").cogroup(held.groupBy("p")).applyInArrow(_answer, answers)
-    losses = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("background", T.DoubleType()), T.StructField("target", T.DoubleType())])
-    return answered.groupBy("batch").applyInArrow(gather, T.StructType([*others.fields, T.StructField(out, losses)]))
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A range's rows come one after another: totals of its keys, then the share of each batch. Texts pass through."""
+        first = np.uint64(begin_key(bits))
+
+        def close(p: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            keys = [unpack_sorted(a) for _, a, _, _ in held]
+            known, at = np.unique(np.concatenate(keys), return_inverse=True)
+            n, t = (np.bincount(at, weights=np.concatenate([unpack(r[k], "<u4") for r in held]), minlength=len(known)).astype(np.int64) for k in (2, 3))
+            words = (known & np.uint64(1) == 0) & (known != first) & (n > 0)
+            about = np.array([words.sum(), n[words].sum(), t[words].sum()], np.int64).tobytes()
+            ends = np.cumsum([len(k) for k in keys])
+            done = [(pack(n[at[e - len(k) : e]]), pack(t[at[e - len(k) : e]])) for k, e in zip(keys, ends)]
+            columns = [pa.array([r[0] for r in held], pa.int64()), pa.array([p] * len(held), pa.int32()), *[pa.array([d[k] for d in done], pa.binary()) for k in range(2)], pa.array([about] * len(held), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(held), f.type) for f in arrow[5:]]], schema.names)
+
+        last, held = None, []
+        for rb in batches:
+            arrow = rb.schema
+            arrow = [arrow.field(k) for k in range(len(arrow))]
+            head = pc.is_valid(rb.column("texts"))
+            if (heads := rb.filter(head)).num_rows:
+                yield pa.RecordBatch.from_arrays([heads.column(0), pa.array([-1] * heads.num_rows, pa.int32()), *heads.columns[2:]], schema.names)
+            asked = rb.filter(pc.invert(head))
+            for i, p, *cells in zip(*(asked.column(k).to_pylist() for k in range(5))):
+                if p != last and held:
+                    yield from close(last, held)
+                    held = []
+                last = p
+                held.append((i, *cells))
+        if held:
+            yield from close(last, held)
+
+    names = [*others.names, out]
+    result = T.StructType([*others.fields, T.StructField(out, T.StructType([T.StructField("n_words", T.LongType()), T.StructField("background", T.DoubleType()), T.StructField("target", T.DoubleType())]))])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A batch's rows come one after another: its texts, then the answers in the order of its keys."""
+
+        def close(head: pa.RecordBatch, held: list[tuple]) -> pa.RecordBatch:
+            off = np.frombuffer(head.column("offsets")[0].as_py(), np.int64)
+            data = np.frombuffer(pa.decompress(head.column("texts")[0].as_py(), int(off[-1]), codec="zstd", asbytes=True), np.uint8)
+            of_target, of_count = np.frombuffer(head.column("flags")[0].as_py(), bool).reshape(2, -1)
+            b = Batch(data, off, bits)
+            n, t = (np.concatenate([unpack(r[k], "<i8") for r in held]) for k in (0, 1))
+            corpus = np.sum([np.frombuffer(r[2], np.int64) for r in held], axis=0)
+            both = losses(b, n, t, tuple(corpus.tolist()), of_count, of_target)
+            lm = pa.StructArray.from_arrays([pa.array(b.sizes.astype(np.int64)), *map(pa.array, both)], ["n_words", "background", "target"])
+            rows = head.column("rows")[0].values
+            return pa.RecordBatch.from_arrays([*(rows.flatten() if others.names else []), lm], names)
+
+        last, head, held = None, None, []
+        for rb in batches:
+            for k, (i, p) in enumerate(zip(rb.column(0).to_pylist(), rb.column(1).to_pylist())):
+                if i != last and head is not None:
+                    yield close(head, held)
+                if i != last:
+                    last, head, held = i, None, []
+                if p < 0:
+                    head = rb.slice(k, 1)
+                else:
+                    held.append(tuple(rb.column(c)[k].as_py() for c in (2, 3, 4)))
+        if head is not None:
+            yield close(head, held)
+
+    asked = docs.select(*others.names, text, *flags).mapInArrow(ask, schema)
+    answered = asked.repartition("p").sortWithinPartitions("p").mapInArrow(answer, schema)
+    return answered.repartition("batch").sortWithinPartitions("batch", "p").mapInArrow(gather, result)
 
 
 def targeted(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -282,14 +232,6 @@ def targeted(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, target_nats, background_nats (sums over the text), score (difference for each word)."""
-    small_batches(spark)
-    scratch = Scratch(spark, "lm-scoring")
-    model = train(targeted(docs, labels), scratch)
-    turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(TEXT_PASSES))
-    done = []
-    for k in range(TEXT_PASSES):
-        _release(spark)
-        done.append(scratch.save(score(docs.select("doc_id", "text").where(turn == k), model), "scores"))
-    lm = reduce(DataFrame.unionByName, done)
+    lm = score(targeted(docs, labels))
     difference = F.when(F.col("lm.n_words") > 0, (F.col("lm.target") - F.col("lm.background")) / F.col("lm.n_words")).otherwise(0.0)
     return lm.select("doc_id", F.col("lm.n_words").alias("n_words"), F.col("lm.target").alias("target_nats"), F.col("lm.background").alias("background_nats"), difference.alias("score"))

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorlens.llm.shared import BROADCAST_ROWS, Scratch, chunks, hashes, mix64, ngram_hashes, segments, semi_join_sized, small_batches
+from motorlens.llm.shared import BROADCAST_ROWS, Scratch, chunks, hashes, mix64, ngram_hashes, pack, pack_sorted, segments, semi_join_sized, small_batches, unpack, unpack_sorted
 
 WORDS = 5
 #: Frequent shingles at most (12 bytes each, broadcast), and documents that make a shingle frequent.
@@ -122,27 +122,6 @@ def links(x: np.ndarray, y: np.ndarray) -> bool:
     return len(np.intersect1d(x, y, assume_unique=True)) >= need
 
 
-# ---------------------------------------------------------------- packed columns
-
-
-def pack(v: np.ndarray) -> bytes:
-    """Byte planes: equal high bytes lie together, and shuffles compress them away."""
-    return np.ascontiguousarray(v).view(np.uint8).reshape(len(v), -1).T.tobytes()
-
-
-def unpack(raw: bytes, dtype: str) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(dtype).ravel()
-
-
-def pack_sorted(v: np.ndarray) -> bytes:
-    return pack(np.diff(v, prepend=np.uint64(0)))
-
-
-def unpack_sorted(raw: bytes) -> np.ndarray:
-    return np.cumsum(unpack(raw, "<u8"), dtype=np.uint64)
-
-
 def buckets_for(entries: int) -> int:
     """A power of two, so that a bucket has about 100,000 entries."""
     return 1 << min(20, max(4, int(entries // 100_000).bit_length()))

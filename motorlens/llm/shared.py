@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
-_LEFT: list[tuple[SparkSession, str]] = []
 
 
 # ---------------------------------------------------------------- scratch
@@ -109,7 +108,11 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) ->
             spark.conf.set(key, str(most))
 
 
-def chunks(texts: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+#: Bytes of text that are worked on at once: NumPy arrays take some 60 to 100 bytes for each of them.
+CHUNK = 1 << 18
+
+
+def chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of whole texts of about limit bytes; NULL counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -162,13 +165,17 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        m = 1 << int(n - 1).bit_length()
-        for k, base in enumerate((_P, _PINV)):
-            a = np.full(m, base, np.uint64)
-            a[0] = 1
-            _POWERS[k] = np.multiply.accumulate(a)
-    return _POWERS[0][:n], _POWERS[1][:n]
+    """Powers 0..n-1 of the base and of its inverse; tables for more than a chunk are not kept."""
+    if len(_POWERS[0]) >= n:
+        return _POWERS[0][:n], _POWERS[1][:n]
+    made = []
+    for base in (_P, _PINV):
+        a = np.full(1 << int(n - 1).bit_length(), base, np.uint64)
+        a[0] = 1
+        made.append(np.multiply.accumulate(a))
+    if n <= 2 * CHUNK:
+        _POWERS[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def segments(data: np.ndarray, off: np.ndarray, classes: np.ndarray = WORD_CLASS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,8 +195,17 @@ def segments(data: np.ndarray, off: np.ndarray, classes: np.ndarray = WORD_CLASS
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hash of each segment: differences of one running polynomial, shifted back to the segment's start."""
+    """64-bit hash of each segment: differences of one running polynomial, shifted back to the segment's start. A long
+    text goes in blocks of whole segments, which change no hash."""
     n = len(data)
+    if n > 2 * CHUNK and len(starts) > 1:
+        out, i = np.empty(len(starts), np.uint64), 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(starts, starts[i] + CHUNK)))
+            lo, hi = int(starts[i]), int(ends[i:j].max())
+            out[i:j] = hashes(data[lo:hi], starts[i:j] - lo, ends[i:j] - lo, lower)
+            i = j
+        return out
     power, inverse = _powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     with np.errstate(over="ignore"):
@@ -197,6 +213,29 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool =
         return mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+# ---------------------------------------------------------------- packed columns
+
+
+def pack(v: np.ndarray) -> bytes:
+    """Byte planes: equal high bytes lie together, and shuffles compress them away."""
+    return np.ascontiguousarray(v).view(np.uint8).reshape(len(v), v.itemsize).T.tobytes()
+
+
+def unpack(raw: bytes, dtype: str) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, len(raw) // width).T).view(dtype).ravel()
+
+
+def pack_sorted(v: np.ndarray) -> bytes:
+    return pack(np.diff(v, prepend=np.uint64(0)))
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw, "<u8"), dtype=np.uint64)
+
+
+# ---------------------------------------------------------------- n-grams
+
 _ORDER = [pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(16)]
 
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -115,7 +116,8 @@ class WordEncoder:
     def _split(self, chunk: bytes) -> tuple[str, str]:
         text = chunk.decode()
         head = text.rstrip(self.TAIL)
-        if not head or not head[-1].isalpha() or len(head[-1].lower()) > 1 or "<" in text:
+        # A letter that its normal form writes as a base and a mark keeps its tail, which the splitter joins with the mark.
+        if not head or not head[-1].isalpha() or len(head[-1].lower()) > 1 or "<" in text or not unicodedata.is_normalized("NFC", head[-1]):
             head = text
         tail = text[len(head) :]
         return (head.lower() if head.isascii() and "<" not in head else head), tail

@@ -343,52 +343,91 @@ def test_ftrl_learns_a_sign():
     assert w[1] > 0 > w[0]
 
 
-def test_lm_like_brute_force(spark):
-    rows = ODD[:5] + [(100 + k, t, "en", "a", 1) for k, t in enumerate(prose(80, 31, 40))]
-    labels = spark.createDataFrame([(100 + k, 1, 0) for k in range(0, 80, 2)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
-    df = lm_scoring.targeted(docs(spark, rows), labels)
-    model = lm_scoring.train(df, Scratch(spark, "test"))
-    texts = {i: re.findall(WORD, (t or "").lower()) for i, t, *_ in rows}
-    target = {100 + k for k in range(0, 80, 2)}
-    n1, n2 = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
+def lm_brute(texts, target, counted):
+    """Losses of each text under models of all other texts: (background, target)."""
+    def grams(i):
+        w = texts[i]
+        return collections.Counter(w), collections.Counter(zip(["<s>", *w], w)), collections.Counter(["<s>", *w] if w else [])
+
+    own = {i: grams(i) for i in texts}
+    out = {}
+    vocabulary = len({w for i in texts if i in counted for w in texts[i]})
     for i, w in texts.items():
-        for side in (0, 1) if i in target else (0,):
-            n1[side].update(w)
-            n2[side].update(zip(["<s>", *w], w))
-    assert len(model.words) == len(n1[0])
-    starts = [sum(bool(w) for w in texts.values()), sum(bool(w) for i, w in texts.items() if i in target)]
-    kept = {p for p, n in n2[0].items() if n > 1}
-    size = len(n1[0]) + 2
-
-    def loss(side, a, b):
-        total = starts[side] if a == "<s>" else n1[side][a]
-        gain = {p: max(n2[side][p] - 0.75, 0) / max(total, 1) for p in kept if p[0] == a}
-        low = (n1[side][b] + 0.5) / (sum(n1[side].values()) + 0.5 * size)
-        return -np.log(gain.get((a, b), 0) + max(1 - sum(gain.values()), 1e-9) * low)
-
-    got = {x["doc_id"]: x["lm"] for x in lm_scoring.score(docs(spark, rows).select("doc_id", "text"), model).collect()}
-    for i, w in texts.items():
-        pairs = list(zip(["<s>", *w], w))
-        assert got[i]["n_words"] == len(w)
-        assert abs(got[i]["background"] - sum(loss(0, *p) for p in pairs)) < 1e-4 * (1 + len(w))
-        assert abs(got[i]["target"] - sum(loss(1, *p) for p in pairs)) < 1e-4 * (1 + len(w))
+        both = []
+        for side in (counted, counted & target) if counted & target else (counted, counted):
+            rest = [own[j] for j in side if j != i]
+            n1, n2, c = (sum((x[k] for x in rest), collections.Counter()) for k in range(3))
+            total = sum(n1.values())
+            uni = lambda x: (n1[x] + 0.5) / (total + 0.5 * (vocabulary + 1))  # noqa: E731, B023
+            both.append(-sum(np.log((n2[a, b] + 4 * uni(b)) / (c[a] + 4)) for a, b in zip(["<s>", *w], w)))
+        out[i] = (len(w), *both)
+    return out
+
+
+@pytest.mark.parametrize("targets", [2, 0])
+def test_lm_like_brute_force(spark, targets):
+    """Texts of odd kinds, repeated texts, NULL and repeated ids, rows that do not count, no target text."""
+    rows = ODD[:6] + [(100 + k, t, "en", "a", 1) for k, t in enumerate(prose(60, 31, 40))] + [(300, prose(1, 31, 40)[0], "en", "a", 1), (None, "it it", "en", "a", 1), (100, "again", "en", "a", 1)]
+    keyed = [(k, *r) for k, r in enumerate(rows)]
+    df = spark.createDataFrame(keyed, "k long, " + DOCS).repartition(3)
+    flags = df.select("k", "doc_id", F.lit("clash").alias("lm_"), F.col("text"), (F.col("k") % 4 < targets).alias("target"), (F.col("k") % 7 != 3).alias("counted"))
+    texts = {k: re.findall(WORD, (t or "").translate({65 + j: 97 + j for j in range(26)})) for k, _, t, *_ in keyed}
+    want = lm_brute(texts, {k for k in texts if k % 4 < targets}, {k for k in texts if k % 7 != 3})
+    got = lm_scoring.score(flags, counted="counted")
+    assert got.columns == ["k", "doc_id", "lm_", "lm"]
+    got = {x["k"]: x["lm"] for x in got.collect()}
+    assert set(got) == set(want)
+    for k, (n, background, target) in want.items():
+        assert got[k]["n_words"] == n
+        assert abs(got[k]["background"] - background) < 1e-6 * (1 + n) and abs(got[k]["target"] - target) < 1e-6 * (1 + n)
+
+
+def test_lm_query_on_odd_tables(spark):
+    labels = spark.createDataFrame([(5, 1, 0), (None, 1, 0), (5, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {x["doc_id"]: x for x in lm_scoring.query(spark, docs(spark), labels).collect()}
+    assert len(got) == len(ODD) and got[1]["score"] == got[2]["score"] == got[3]["score"] == 0.0 and got[9]["n_words"] == 20000
     assert lm_scoring.query(spark, docs(spark, []), labels).count() == 0
+    assert {x["score"] for x in lm_scoring.query(spark, docs(spark), labels.where("false")).collect()} == {0.0}
+
+
+def test_lm_tells_texts_that_occur_twice(spark):
+    """Every pair counts, however rare: a text whose copy is elsewhere has a far smaller background loss."""
+    r = random.Random(8)
+    texts = [" ".join(f"w{r.randrange(3000)}" for _ in range(60)) for _ in range(300)]
+    rows = [(k, t, "en", "a", 1) for k, t in enumerate(texts)] + [(1000 + k, t, "en", "a", 1) for k, t in enumerate(texts[:40])]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(100, 200)], "doc_id long, quality int, toxic int")
+    got = {x["doc_id"]: x["background_nats"] / x["n_words"] for x in lm_scoring.query(spark, docs(spark, rows), labels).collect()}
+    assert max(got[k] for k in range(40)) < min(got[k] for k in range(40, 300))
+
+
+@pytest.mark.parametrize("limit", [1 << 10, 1 << 18, 2 << 20])
+def test_chunk_size_changes_nothing(limit, monkeypatch):
+    """Sets and features of chunks of any size, and of texts longer than the blocks that hashes takes."""
+    import motorlens.llm.shared as shared
 
+    texts = pa.array([r[1] for r in ODD] + prose(300, 3) + [" ".join(prose(200, 4))])
+    def all_of(size, block):
+        monkeypatch.setattr(shared, "CHUNK", block)
+        sets, rows = [], []
+        for _, _, data, off in chunks(texts, size):
+            sets += [s.tobytes() for s in ngram_join.shingle_sets(data, off)]
+            ptr, at, x = quality_classifier.features(data, off)
+            rows += [(at[i:j].tobytes(), np.round(x[i:j], 9).tobytes()) for i, j in zip(ptr, ptr[1:])]
+        return sets, rows
+
+    assert all_of(limit, 1 << 18) == all_of(1 << 16, 500)
+
+
+def test_token_ids_of_every_letter_before_a_sign():
+    """Words that end in any letter, also one that the normaliser decomposes, with a sign behind it."""
+    from tokenizers import Tokenizer
 
-def test_lm_keeps_every_word_and_repeated_pair(spark):
-    rows = [(2 * k + j, " ".join(f"w{i}" for i in range(100 * k, 100 * k + 100)), "en", "a", 1) for k in range(400) for j in (0, 1)]
-    labels = spark.createDataFrame([(2 * k, 1, 0) for k in range(400)], "doc_id long, quality int, toxic int")
-    model = lm_scoring.train(lm_scoring.targeted(docs(spark, rows), labels), Scratch(spark, "test"))
-    assert len(model.words) == 40_000  # more than 2^15
-    text = spark.createDataFrame([(1, "w39900 W39901"), (2, "w39900 never"), (3, None)], "doc_id long, text string")
-    got = {x["doc_id"]: x["lm"] for x in lm_scoring.score(text, model).collect()}
-    for side, n, total, starts in (("background", 2, 80_000, 800), ("target", 1, 40_000, 400)):
-        uni = lambda c: (c + 0.5) / (total + 0.5 * 40_002)  # noqa: E731, B023
-        gain = (n - 0.75) / n
-        begin = -np.log((n - 0.75) / starts + (1 - 400 * (n - 0.75) / starts) * uni(n))
-        assert abs(got[1][side] - begin + np.log(gain + (1 - gain) * uni(n))) < 1e-6
-        assert abs(got[2][side] - begin + np.log((1 - gain) * uni(0))) < 1e-6
-    assert (got[3]["n_words"], got[3]["background"]) == (0, 0.0)
+    path = token_files.default_tokenizer()
+    model, own = Tokenizer.from_file(path), token_files.WordEncoder(path, "<u2")
+    texts = [f"ab{chr(c)}. {chr(c)}," for c in range(1, 0x32000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(texts), 20_000):
+        for t, e in zip(texts[lo : lo + 20_000], model.encode_batch_fast(texts[lo : lo + 20_000], add_special_tokens=False)):
+            assert np.frombuffer(own.ids(t.encode()), "<u2").tolist() == e.ids
 
 
 def test_pipeline_stages_are_their_operators(spark, tmp_path):
