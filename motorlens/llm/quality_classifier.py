@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motorlens.llm import ftrl
-from motorlens.llm.shared import TOKEN_CLASS, crc_remainder, hashes, ngram_hashes, segments
+from motorlens.llm.shared import BROADCAST_ROWS, TOKEN_CLASS, Scratch, crc_remainder, fresh, hashes, ngram_hashes, segments
 
 BITS = 18
 MAX_ROWS = 20_000
@@ -51,6 +51,16 @@ def query(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that are not rejected, with the columns of docs."""
-    name = "_quality_score"
-    return score(docs, train(docs, labels), out=name).where(F.col(name) >= threshold).drop(name)
+    """The rows of docs that are not rejected, with the columns of docs, whatever their names.
+
+    Scores depend on the text alone, so rows are told apart by doc_id where it identifies them: only doc_id and text go
+    through Python, and the rejected ids are taken off. Where ids are NULL or repeated, whole rows are scored."""
+    scratch = Scratch(docs.sparkSession, "quality-keep")
+    w = train(docs, labels)
+    scored = scratch.save(score(docs.select("doc_id", "text"), w, out="score").select("doc_id", (F.col("score") >= threshold).alias("good")), "scored")
+    rows, ids, named = scored.agg(F.count(F.lit(1)), F.count("doc_id"), F.count_if(~F.col("good"))).first()
+    if ids == rows and scored.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        rejected = scored.where("not good").select("doc_id")
+        return docs.join(F.broadcast(rejected) if named <= BROADCAST_ROWS else rejected, "doc_id", "left_anti").select(docs.columns)
+    name = fresh("quality", docs)
+    return score(docs, w, out=name).where(F.col(name) >= threshold).drop(name)

@@ -92,6 +92,14 @@ def semi_join_sized(df: DataFrame, ids: DataFrame, key: str, limit: int = BROADC
     return df.join(F.broadcast(ids) if n <= limit else ids, key, "left_semi")
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name like name that none of frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while f"_{name}" in taken:
+        name += "_"
+    return f"_{name}"
+
+
 def crc_remainder(col: str, modulus: int):
     """crc32 of the id as text, modulo; NULL ids give NULL."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(modulus)
@@ -197,20 +205,18 @@ def segments(data: np.ndarray, off: np.ndarray, classes: np.ndarray = WORD_CLASS
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """64-bit hash of each segment: differences of one running polynomial, shifted back to the segment's start. A long
     text goes in blocks of whole segments, which change no hash."""
-    n = len(data)
-    if n > 2 * CHUNK and len(starts) > 1:
-        out, i = np.empty(len(starts), np.uint64), 0
-        while i < len(starts):
-            j = max(i + 1, int(np.searchsorted(starts, starts[i] + CHUNK)))
-            lo, hi = int(starts[i]), int(ends[i:j].max())
-            out[i:j] = hashes(data[lo:hi], starts[i:j] - lo, ends[i:j] - lo, lower)
-            i = j
-        return out
-    power, inverse = _powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * power[:n], out=total[1:])
-        return mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = len(starts) if len(data) <= 2 * CHUNK else max(i + 1, int(np.searchsorted(starts, starts[i] + CHUNK)))
+        lo, hi = int(starts[i]), int(ends[i:j].max())
+        power, inverse = _powers(hi - lo + 1)
+        total = np.zeros(hi - lo + 1, np.uint64)
+        at, to = starts[i:j] - lo, ends[i:j] - lo
+        with np.errstate(over="ignore"):
+            np.cumsum((_BYTE_LOWER if lower else _BYTE)[data[lo:hi]] * power[: hi - lo], out=total[1:])
+            out[i:j] = mix64((total[to] - total[at]) * inverse[at] + (to - at).astype(np.uint64))
+        i = j
+    return out
 
 
 # ---------------------------------------------------------------- packed columns

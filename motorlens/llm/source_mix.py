@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from motorlens.llm.shared import Scratch
+from motorlens.llm.shared import Scratch, fresh
 
 WEIGHTS, MAX_REPEATS = (1, 2, 3), 3
 #: Ranges of finish time for each unit, and the last range, which is open.
@@ -60,7 +60,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
     sizes = scratch.save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")), "sizes")
     sources = scratch.save(targets(sizes, weights, max_repeats, fraction), "sources")
     few = sources.count() <= BROADCAST_SOURCES
-    digits = max(1, math.ceil(math.log(max(sizes.count(), 1) / RANGE_ROWS + 1, 16)))
+    most = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0] or 1
+    digits = max(1, math.ceil(math.log(most / RANGE_ROWS + 1, 16)))
     s = F.broadcast(sources) if few else sources
     rows = sizes.withColumnRenamed("source", "own").join(s, F.col("own").eqNullSafe(F.col("source"))).drop("own").withColumn("range", F.substring("key", 1, digits))
     ranges = rows.groupBy("rank", "range").agg(F.sum("size").alias("words"))
@@ -95,20 +96,19 @@ def resample(docs: DataFrame, **options) -> DataFrame:
 
     doc_id should identify rows; rows that share an id, a source and a text are alike in the mix but for their copies,
     which are dealt to them by rank."""
-    took = mix(docs.select("doc_id", "source", "text"), **options).where("copies > 0").select("doc_id", "source", "size", "copies")
-    w = Window.partitionBy("_i", "_s", "_z").orderBy(F.lit(1))
+    i, z, nth, mine, copies, copy = (fresh(c, docs) for c in ("id", "size", "nth", "mine", "copies", "copy"))
     scratch = Scratch(docs.sparkSession, "source-mix-copies")
-    took = scratch.save(took.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("copies").alias("_copies")), "copies")
+    took = mix(docs.select("doc_id", "source", "text"), **options).where("copies > 0")
+    took = scratch.save(took.select(F.col("doc_id").alias(i), F.col("source").alias(nth + "s"), F.col("size").alias(z), F.col("copies").alias(copies)), "copies")
     n = took.count()
-    unique = took.select("_i").distinct().count() == n and took.where("_i is null").isEmpty()
-    if unique:
-        out = docs.join(took.select(F.col("_i").alias("doc_id"), "_copies"), "doc_id")
+    if took.select(i).distinct().count() == n and took.where(F.col(i).isNull()).isEmpty():
+        out = docs.join(took.select(F.col(i).alias("doc_id"), copies), "doc_id")
     else:
-        took = took.withColumn("_nth", F.row_number().over(w.orderBy(F.desc("_copies"))))
-        mine = docs.withColumn("_zz", word_count(F.col("text")))
-        mine = mine.withColumn("_mine", F.row_number().over(Window.partitionBy("doc_id", "source", "_zz").orderBy("text")))
-        out = mine.join(took, mine["doc_id"].eqNullSafe(took["_i"]) & mine["source"].eqNullSafe(took["_s"]) & (mine["_zz"] == took["_z"]) & (mine["_mine"] == took["_nth"]))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+        took = took.withColumn(nth, F.row_number().over(Window.partitionBy(i, nth + "s", z).orderBy(F.desc(copies))))
+        rows = docs.withColumn(z + "_", word_count(F.col("text")))
+        rows = rows.withColumn(mine, F.row_number().over(Window.partitionBy("doc_id", "source", z + "_").orderBy("text")))
+        out = rows.join(took, F.col("doc_id").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(nth + "s")) & (F.col(z + "_") == F.col(z)) & (F.col(mine) == F.col(nth)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
