@@ -15,6 +15,7 @@ import base64
 import heapq
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -157,7 +158,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Merger:
     """Cached pair merging by rank; of equal ranks the leftmost pair merges first."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 100_000):
         self.ranks, self.limit = ranks, limit
         self.cache, self.old = {}, {}  # this generation and the one before
 
@@ -222,7 +223,7 @@ def vocabulary(path: str) -> list[bytes]:
 def encode_texts(texts: pa.Array, m: Merger) -> list[tuple[bytes, np.ndarray, np.ndarray]]:
     """Of each text: ids (uint32 bytes), where its pieces start in characters, and the ids before each piece."""
     out = []
-    for lo, hi, data, _ in chunks(texts, 1 << 20):
+    for lo, hi, data, _ in chunks(texts):
         text = data.tobytes().decode()
         lens = pc.utf8_length(pc.fill_null(texts.slice(lo, hi - lo), "")).to_numpy(zero_copy_only=False)
         off = np.zeros(hi - lo + 1, np.int64)
@@ -290,15 +291,31 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def round_trip(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
+    """docs without text, with ids array<int> and bytes, what the ids decode to. One worker encodes and decodes a batch."""
+    others = [f for f in docs.schema if f.name not in (text, "ids", "bytes")]
+    names = [f.name for f in others]
+    out = T.StructType([*others, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("bytes", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, words = merger(ranks_path), vocabulary(ranks_path)
+        for b in batches:
+            for lo, hi, part in ((lo, hi, b.column(text).slice(lo, hi - lo)) for lo, hi, _, _ in chunks(b.column(text))):
+                ids = [np.frombuffer(x, "<u4").astype(np.int32) for x, _, _ in encode_texts(part, m)]
+                raw = pa.array([b"".join(map(words.__getitem__, x.tolist())) for x in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in names), _lists(ids, pa.int32()), raw], out.names)
+
+    small_batches(docs.sparkSession)
+    return docs.select(*names, text).mapInArrow(run, out)
+
+
+def digests() -> list[Column]:
+    """n_tokens, ids_sha256 and decoded_sha256 of columns ids and bytes."""
+    written = F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")
+    return [F.size("ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256")]
+
+
 def query(spark: SparkSession, docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of docs."""
-    path = ranks_path or default_ranks()
-    small_batches(spark)
-    ids = docs.select("doc_id", encode(F.col("text"), path).alias("ids"))
-    both = ids.select("doc_id", "ids", decode(F.col("ids"), path).alias("bytes"))
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("bytes"), 256).alias("decoded_sha256"),
-    )
+    both = round_trip(docs.select("doc_id", "text"), ranks_path or default_ranks())
+    return both.select("doc_id", *digests())

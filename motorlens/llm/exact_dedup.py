@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorlens.llm.shared import Scratch, fresh
+from motorlens.llm.shared import Scratch, fresh, sized
 
 #: Entries of a memtable before it flushes a run.
 MEMTABLE = 200_000
@@ -166,7 +166,7 @@ def keep(docs: DataFrame, which: str = "min") -> DataFrame:
     ids = members.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     shared = ids.where("n > 1").select("doc_id").unionByName(dropped.join(ids.select("doc_id"), "doc_id", "left_semi")).distinct()
     if shared.isEmpty() and members.where("doc_id is null").isEmpty():
-        return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+        return docs.join(sized(dropped, dropped.count()), "doc_id", "left_anti").select(docs.columns)
     sha, (key, kept_id, kept_sha) = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), (fresh(c, docs) for c in ("sha", "kept_id", "kept_sha"))
     chosen = members.where("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha)).distinct()
     rows = docs.withColumn(key, sha)

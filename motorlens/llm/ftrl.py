@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motorlens.llm.shared import chunks, crc_remainder, small_batches
+from motorlens.llm.shared import chunks, crc_remainder, release, small_batches
 
 #: Features of documents: (bytes, offsets) -> (row pointer, bucket of each feature, value of each feature).
 Features = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -48,6 +48,23 @@ class Ftrl:
         self.n[-1] = n + g * g
 
 
+def pack_row(at: np.ndarray, x: np.ndarray) -> bytes:
+    """A sparse row in few bytes: steps between its ascending buckets, its distinct values, and which value each has."""
+    steps, (values, which) = np.diff(at, prepend=0), np.unique(x.astype("<f4"), return_inverse=True)
+    kinds = ["<u2" if (n := int(v.max(initial=0))) < 1 << 16 else "<u4" for v in (steps, which)]
+    if len(values) <= 256:
+        kinds[1] = "u1"
+    head = np.array([len(at), len(values), *(np.dtype(k).itemsize for k in kinds)], "<u4")
+    return head.tobytes() + values.tobytes() + steps.astype(kinds[0]).tobytes() + which.astype(kinds[1]).tobytes()
+
+
+def unpack_row(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, k, a, b = np.frombuffer(raw, "<u4", 4).tolist()
+    values, mid = np.frombuffer(raw, "<f4", k, 16), 16 + 4 * k
+    at = np.cumsum(np.frombuffer(raw, f"<u{a}", n, mid), dtype=np.int64)
+    return at, values[np.frombuffer(raw, f"<u{b}", n, mid + a * n)] if n else np.zeros(0, "<f4")
+
+
 def training_ids(labels: DataFrame, label: str, modulus: int, held: int, max_rows: int) -> DataFrame:
     """(doc_id, y, turn): at most max_rows labelled ids outside the held-out remainder, smallest hashes first.
 
@@ -75,23 +92,24 @@ def fit(docs: DataFrame, ids: DataFrame, features: Features, bits: int, epochs:
                 ptr, at, x = features(data, off)
                 yield pa.RecordBatch.from_arrays([
                     b.column("turn").slice(lo, hi - lo), b.column("doc_id").slice(lo, hi - lo), b.column("y").slice(lo, hi - lo),
-                    pa.array([at[i:j].astype(np.uint32).tobytes() for i, j in zip(ptr, ptr[1:])], pa.binary()),
-                    pa.array([x[i:j].astype(np.float32).tobytes() for i, j in zip(ptr, ptr[1:])], pa.binary()),
-                ], ["turn", "doc_id", "y", "at", "x"])
+                    pa.array([pack_row(at[i:j], x[i:j]) for i, j in zip(ptr, ptr[1:])], pa.binary()),
+                ], ["turn", "doc_id", "y", "row"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Ftrl(bits, **rates)
-        rows = [(np.frombuffer(a, np.uint32), np.frombuffer(x, np.float32), y) for b in batches for y, a, x in zip(b.column("y").to_pylist(), b.column("at").to_pylist(), b.column("x").to_pylist())]
+        rows = [(y, row) for b in batches for y, row in zip(b.column("y").to_pylist(), b.column("row").to_pylist())]
         for _ in range(epochs):
-            for at, x, y in rows:
-                model.learn(at, x, y)
+            for y, row in rows:
+                model.learn(*unpack_row(row), y)
+        del rows
+        release()
         w = model.weights().astype(np.float32)
         w[-1] = model.bias()
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], ["w"])
 
     small_batches(docs.sparkSession)
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    rows = sample.select("doc_id", "text", "y", "turn").mapInArrow(make, "turn long, doc_id long, y int, at binary, x binary")
+    rows = sample.select("doc_id", "text", "y", "turn").mapInArrow(make, "turn long, doc_id long, y int, row binary")
     got = rows.repartition(1).sortWithinPartitions("turn", "doc_id").mapInArrow(learn, "w binary").collect()
     w = [np.frombuffer(r["w"], np.float32) for r in got]
     return max(w, key=lambda v: float(np.abs(v).sum())) if w else np.zeros((1 << bits) + 1, np.float32)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from motorlens.llm.shared import BROADCAST_ROWS, chunks, hashes, pack, pack_sorted, segments, small_batches, unpack, unpack_sorted
+from motorlens.llm.shared import chunks, hashes, pack, pack_sorted, release, segments, sized, small_batches, unpack, unpack_sorted
 
 MU, ADD = 4.0, 0.5
 #: Hash of the text's beginning, and what tells keys of pairs from those of words.
@@ -114,6 +114,20 @@ def losses(b: Batch, n: np.ndarray, t: np.ndarray, corpus: tuple[int, int, int],
     return out
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in batches of about size bytes."""
+    held, n = [], 0
+    for rb in batches:
+        if held and n + rb.nbytes > size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+        if rb.num_rows:
+            held.append(rb)
+            n += rb.nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _asking(others: T.StructType) -> T.StructType:
     blob = T.BinaryType()
     head = [T.StructField("rows", T.ArrayType(others)), *[T.StructField(c, blob) for c in ("texts", "offsets", "flags")]]
@@ -135,7 +149,7 @@ def score(docs: DataFrame, text: str = "text", target: str = "target", counted:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = TaskContext.get().partitionId() << 32
         edges = (np.arange(1, ranges, dtype=np.float64) * (2.0**bits / ranges)).astype(np.uint64)
-        for rb in batches:
+        for rb in gathered(batches, BATCH):
             rest = pa.StructArray.from_arrays([rb.column(c) for c in others.names], others.names) if others.names else pa.nulls(rb.num_rows)
             marks = [rb.column(c).fill_null(False).to_numpy(zero_copy_only=False) for c in flags]
             for lo, hi, data, off in chunks(rb.column(text), BATCH):
@@ -153,6 +167,7 @@ def score(docs: DataFrame, text: str = "text", target: str = "target", counted:
                 columns += [rows, only(pa.compress(raw, codec="zstd", asbytes=True)), only(off.astype(np.int64).tobytes()), only(np.stack([of_target, of_count]).tobytes())]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
                 batch += 1
+            release()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A range's rows come one after another: totals of its keys, then the share of each batch. Texts pass through."""
@@ -226,8 +241,7 @@ def score(docs: DataFrame, text: str = "text", target: str = "target", counted:
 def targeted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, target of every row of docs."""
     good = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id", F.lit(True).alias("good")).distinct()
-    few = good.count() <= BROADCAST_ROWS
-    return docs.select("doc_id", "text").join(F.broadcast(good) if few else good, "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("target"))
+    return docs.select("doc_id", "text").join(sized(good, good.count()), "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("target"))
 
 
 def query(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorlens.llm.shared import BROADCAST_ROWS, Scratch, chunks, hashes, mix64, ngram_hashes, pack, pack_sorted, segments, semi_join_sized, small_batches, unpack, unpack_sorted
+from motorlens.llm.shared import BROADCAST_ROWS, Scratch, chunks, hashes, mix64, ngram_hashes, pack, pack_sorted, segments, semi_join_sized, sized, small_batches, unpack, unpack_sorted
 
 WORDS = 5
 #: Frequent shingles at most (12 bytes each, broadcast), and documents that make a shingle frequent.
@@ -44,8 +44,8 @@ KEY_SHIFT = np.uint64(24)
 SHORT, LIST_ROWS = 6, 50_000
 #: Pivots of a band in one round, and rounds at most before what is left is paired completely.
 PIVOTS, PIVOT_ROUNDS = 3, 8
-#: Edges that a task holds while it contracts them.
-STAR_ROWS = 1_000_000
+#: Edges that a task holds while it contracts them; entries and pairs that it gathers before it goes on.
+STAR_ROWS, CELL_BLOCK, FLUSH_PAIRS = 500_000, 100_000, 500_000
 
 
 # ---------------------------------------------------------------- sets
@@ -277,44 +277,49 @@ def _survive(size, pos, i, j) -> np.ndarray:
     return (5 * np.minimum(a, b) >= 4 * np.maximum(a, b)) & (np.minimum(a - pos[i], b - pos[j]) >= need)
 
 
-def candidate_pairs(lists: DataFrame, turn: int, complete: bool) -> DataFrame:
-    """Distinct pairs a < b across components. lists: token, salt, id, size, pos, comp, minor, n (length of the list).
-
-    complete: all pairs across components; entries outside the list's largest component (minor) are in every salt, and
-    pairs of two such entries come from salt 0 alone."""
+def _pairs_of(v: dict[str, np.ndarray], turn: int, complete: bool) -> Iterator[np.ndarray]:
+    """Pairs across components (a, b, comp of a, comp of b; a < b) of whole cells, whose entries stand by token, cell, size, id."""
+    token, cell, ids, size, pos, comp = (v[c] for c in ("token", "cell", "id", "size", "pos", "comp"))
+    new = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])))
+    lens = np.diff(np.append(new, len(token)))
+    held, n = [], 0
+
+    def add(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal n
+        ok = (comp[i] != comp[j]) & _survive(size, pos, i, j)
+        if complete:  # majors meet minors, then blocks of minors each other
+            ok &= np.where(v["kind"][i] == 0, v["minor"][i] != v["minor"][j], (v["kind"][i] == 1) | (v["block"][i] != v["block"][j]))
+        i, j = i[ok], j[ok]
+        turned = ids[i] > ids[j]
+        i, j = np.where(turned, j, i), np.where(turned, i, j)
+        held.append(np.stack([ids[i], ids[j], comp[i], comp[j]], 1))
+        n += len(i)
+
+    def flush() -> np.ndarray:
+        nonlocal n
+        out = np.unique(np.concatenate(held), axis=0)
+        held.clear()
+        n = 0
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if t is None or not t.num_rows:
-            return
-        token, salt, ids, size, pos, comp, minor = (t.column(c).to_numpy().astype(np.int64) for c in ("token", "salt", "id", "size", "pos", "comp", "minor"))
-        by = np.lexsort((ids, size, salt, token))
-        token, salt, ids, size, pos, comp, minor = (v[by] for v in (token, salt, ids, size, pos, comp, minor))
-        new = np.flatnonzero((np.diff(token, prepend=token[0] - 1) != 0) | (np.diff(salt, prepend=salt[0] - 1) != 0))
-        lens = np.diff(np.append(new, len(token)))
+    if not complete:
         which = np.repeat(np.arange(len(new)), lens)
-        left, right = [], []
-
-        def add(i: np.ndarray, j: np.ndarray) -> None:
-            ok = (comp[i] != comp[j]) & _survive(size, pos, i, j)
-            if complete:
-                ok &= (salt[i] == 0) | (minor[i] == 0) | (minor[j] == 0)
-            left.append(ids[i[ok]])
-            right.append(ids[j[ok]])
-
         short = lens[which] <= SHORT
         for k in range(1, SHORT):
-            i = np.flatnonzero(short[:-k] & (which[:-k] == which[k:])) if len(which) > k else np.zeros(0, np.int64)
-            add(i, i + k)
-        for s, n in zip(new[lens > SHORT].tolist(), lens[lens > SHORT].tolist()):
-            e = s + n
-            if complete:
-                last = np.searchsorted(size[s:e], size[s:e] * 5 // 4, side="right") + s
-                for i in range(s, e - 1):
-                    if last[i - s] > i + 1:
-                        j = np.arange(i + 1, last[i - s])
-                        add(np.full(len(j), i), j)
-                continue
+            if len(which) > k:
+                i = np.flatnonzero(short[:-k] & (which[:-k] == which[k:]))
+                add(i, i + k)
+    for s, m in zip(new.tolist(), lens.tolist()):
+        e = s + m
+        if complete:
+            last = np.searchsorted(size[s:e], size[s:e] * 5 // 4, side="right") + s
+            for i in range(s, e - 1):
+                if last[i - s] > i + 1:
+                    j = np.arange(i + 1, last[i - s])
+                    add(np.full(len(j), i), j)
+                if n > FLUSH_PAIRS:
+                    yield flush()
+        elif m > SHORT:
             i = s
             while i < e:  # a band: sizes up to 5/4 of its smallest
                 top = s + int(np.searchsorted(size[s:e], size[i] * 5 // 4, side="right"))
@@ -322,44 +327,85 @@ def candidate_pairs(lists: DataFrame, turn: int, complete: bool) -> DataFrame:
                     j = np.arange(s + int(np.searchsorted(size[s:e], -(-size[p] * 4 // 5))), s + int(np.searchsorted(size[s:e], size[p] * 5 // 4, side="right")))
                     add(np.full(len(j), p), j)
                 i = top
-        a, b = np.concatenate(left), np.concatenate(right)
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    return lists.repartition("token", "salt").select("token", "salt", "id", "size", "pos", "comp", "minor").mapInArrow(run, "a long, b long").distinct()
-
-
-def open_lists(lists: DataFrame, comps: DataFrame | None, turn: int, complete: bool) -> DataFrame:
-    """The lists that hold several components, with their entries' components and salts."""
-    if comps is not None:
-        lists = lists.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    else:
-        lists = lists.withColumn("comp", F.col("id"))
-    whole = lists.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").drop("lo", "hi")
-    rows = lists.join(whole, "token").withColumn("salts", F.ceil(F.col("n") / LIST_ROWS).cast("int"))
-    salt = F.pmod(F.xxhash64("id", F.lit(turn)), F.col("salts")).cast("int")
-    if not complete:
-        return rows.withColumns({"salt": salt, "minor": F.lit(0)}).drop("salts")
-    parts = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"))
-    largest = parts.groupBy("token").agg(F.max(F.struct("m", "comp")).alias("top")).select("token", F.col("top.comp").alias("top"))
-    rows = rows.join(largest, "token").withColumn("minor", (F.col("comp") != F.col("top")).cast("int"))
-    where = F.when(F.col("minor") == 1, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(salt))
-    return rows.withColumn("salt", F.explode(where)).drop("salts", "top")
+        if n > FLUSH_PAIRS:
+            yield flush()
+    if held:
+        yield flush()
+
+
+def candidate_pairs(cells: DataFrame, turn: int, complete: bool) -> DataFrame:
+    """Distinct pairs a < b across components, with their components. Tasks take cells as they come, never a partition whole."""
+    names = cells.columns
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def table() -> dict[str, np.ndarray]:
+            return {c: np.concatenate([x[c] for x in held]) for c in names}
 
-def open_pairs(lists: DataFrame, comps: DataFrame | None) -> tuple[int, int]:
-    """Entries of lists that hold several components, and pairs across components in them."""
-    named = lists.withColumn("comp", F.col("id")) if comps is None else lists.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    parts = named.groupBy("token", "comp").agg(F.count(F.lit(1)).cast("double").alias("m"))
-    each = parts.groupBy("token").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    r = each.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs")).head()
-    return int(r["n"] or 0), int(r["pairs"] or 0)
+        def out(v: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for pairs in _pairs_of(v, turn, complete):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(4)], ["a", "b", "ca", "cb"])
+
+        for batch in batches:
+            held.append({c: batch.column(c).to_numpy().astype(np.int64) for c in names})
+            n += batch.num_rows
+            if n > CELL_BLOCK:  # all cells but the last are whole
+                v = table()
+                cut = int(np.flatnonzero((v["token"] != v["token"][-1]) | (v["cell"] != v["cell"][-1]))[-1] + 1) if v["token"][0] != v["token"][-1] or v["cell"][0] != v["cell"][-1] else 0
+                if cut:
+                    yield from out({c: x[:cut] for c, x in v.items()})
+                held = [{c: x[cut:] for c, x in v.items()}]
+                n = len(v["token"]) - cut
+        if n:
+            yield from out(table())
+
+    return cells.repartition("token", "cell").sortWithinPartitions("token", "cell", "size", "id").mapInArrow(run, "a long, b long, ca long, cb long").distinct()
+
+
+def pivot_cells(lists: DataFrame, turn: int) -> DataFrame:
+    """The entries of lists (with n, the length of their list), long lists dealt to several cells, otherwise in each round."""
+    cell = F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("n") / LIST_ROWS)).cast("int")
+    return lists.select("token", cell.alias("cell"), "id", "size", "pos", "comp")
+
+
+def complete_cells(lists: DataFrame) -> DataFrame:
+    """Cells in which every two entries of different components of a list meet.
+
+    Entries outside the list's largest component are minors. Kind 0: a part of the majors with all minors. Kinds 1 and 2:
+    minors alone, a block with itself or two blocks. A list whose entries are all apart has minors alone, on a grid of cells."""
+    parts = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"))
+    shape = parts.groupBy("token").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all"))
+    shape = shape.select("token", F.col("top.comp").alias("top"), F.ceil(F.col("top.m") / LIST_ROWS).cast("int").alias("cuts"), F.ceil((F.col("all") - F.col("top.m")) / LIST_ROWS).cast("int").alias("blocks"))
+    rows = lists.join(shape, "token").withColumn("minor", (F.col("comp") != F.col("top")).cast("int"))
+    rows = rows.withColumn("block", F.when(F.col("minor") == 1, F.pmod(F.xxhash64("id", F.lit(1)), "blocks")).otherwise(0).cast("int"))
+    cell = lambda c, kind: F.struct(c.cast("int").alias("cell"), F.lit(kind).alias("kind"))
+    major = F.array(cell(F.pmod(F.xxhash64("id", F.lit(2)), "cuts"), 0))
+    with_majors = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda c: cell(c, 0))
+    # Cells behind those of the majors: block x with block y >= x has the number x * blocks + y.
+    at = lambda x, y: F.col("cuts") + x * F.col("blocks") + y
+    grid = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.struct(at(F.least(F.col("block"), y), F.greatest(F.col("block"), y)).cast("int").alias("cell"), F.when(F.col("block") == y, 1).otherwise(2).alias("kind")))
+    cells = F.when(F.col("minor") == 1, F.concat(with_majors, grid)).otherwise(major)
+    return rows.withColumn("at", F.explode(cells)).select("token", "at.cell", "id", "size", "pos", "comp", "minor", "block", "at.kind")
+
+
+def still_open(lists: DataFrame, moved: DataFrame | None, scratch: Scratch) -> tuple[DataFrame, int, int]:
+    """The entries of lists that hold several components, with n, the length of their list; how many they are; and the
+    pairs across components in them. moved: id, comp of components that have joined others."""
+    lists = lists.drop("n")
+    if moved is not None:
+        lists = lists.join(sized(moved.select(F.col("id").alias("comp"), F.col("comp").alias("new")), moved.count()), "comp", "left").withColumn("comp", F.coalesce("new", "comp")).drop("new")
+    parts = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).cast("double").alias("m"))
+    each = parts.groupBy("token").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.count(F.lit(1)).alias("k"))
+    each = scratch.save(each.where("k > 1").select("token", F.col("n").cast("long").alias("n"), ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("cross")), "open")
+    tokens, entries, cross = each.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("cross"), F.lit(0.0))).first()
+    return scratch.save(lists.join(sized(each.select("token", "n"), tokens), "token"), "lists"), entries, int(cross)
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose texts link. texts: doc_id, text of one row for each class."""
+    """The components (a, b) of the pairs whose texts link. texts: doc_id, text of one row for each class."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    mine = semi_join_sized(texts, ids, "doc_id", BROADCAST_ROWS)
+    mine = semi_join_sized(texts, ids, "doc_id")
     near = mine.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     far = mine.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     rows = pairs.join(near, "b").join(far, "a")
@@ -381,9 +427,9 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             ok = [links(of(i, s), of(j, t)) for i, j, s, t in zip(a, b, batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())]
             keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("ca").filter(keep), batch.column("cb").filter(keep)], ["a", "b"])
 
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return rows.select("a", "b", "ca", "cb", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
 def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -426,12 +472,16 @@ def contract_parts(edges: DataFrame) -> DataFrame:
 def join_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """id, comp: the smallest id that edges (a, b) reach, for each id in edges that isn't the smallest itself.
 
-    Rounds of stars: larger neighbours of a node go to its smallest neighbour, then each node's smaller neighbours are
-    joined, where edges are contracted in their partitions before and after they are dealt out by node. A round whose
-    every node has either one smaller neighbour or only larger ones is the last."""
-    stars = edges.where("a <> b").select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("comp")).distinct()
+    Edges are contracted in partitions of STAR_ROWS. If that leaves several partitions, rounds of stars follow: larger
+    neighbours of a node go to its smallest neighbour, then each node's smaller neighbours are joined, where edges are
+    contracted in their partitions before and after they are dealt out by node. A round whose every node has either one
+    smaller neighbour or only larger ones is the last."""
+    stars = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("comp")).distinct(), "edges")
+    parts = -(-stars.count() // STAR_ROWS)
+    if parts <= 1:
+        return scratch.save(contract_parts(stars.coalesce(1)), "stars")
     while True:
-        stars = scratch.save(contract_parts(contract_parts(stars).repartition("id")), "stars")
+        stars = scratch.save(contract_parts(contract_parts(stars.coalesce(parts)).repartition("id")), "stars")
         both = stars.select(F.col("id").alias("u"), F.col("comp").alias("v")).union(stars.select("comp", "id"))
         near = both.groupBy("u").agg(F.min("v").alias("lo"), F.max(F.when(F.col("v") < F.col("u"), F.col("v"))).alias("below"), F.max("v").alias("hi"))
         near = scratch.save(near.select("u", F.least("lo", "u").alias("lo"), F.expr("lo < u and (below <> lo or hi > u)").alias("open")), "near")
@@ -452,29 +502,40 @@ def components_of(docs: DataFrame) -> DataFrame:
     others = scratch.save(rows.where("n_shingles > 0").join(copied, "digest").where("doc_id <> id").select("doc_id").distinct(), "others")
     chosen = docs.where("doc_id is not null")
     n = others.count()
-    chosen = chosen.join(F.broadcast(others) if n <= BROADCAST_ROWS else others, "doc_id", "left_anti") if n else chosen
+    chosen = chosen.join(sized(others, n), "doc_id", "left_anti") if n else chosen
+    if n > BROADCAST_ROWS:  # one shuffle of the texts, not one for each pass over them
+        chosen = scratch.save(chosen, "chosen")
     total = rows.agg(F.sum("n_shingles")).head()[0] or 0
     buckets = buckets_for(total)
     order = frequent(chosen, buckets, scratch)
-    lists = scratch.save(prefix_lists(chosen, order, buckets_for(total // 4)), "lists")
+    lists = scratch.save(prefix_lists(chosen, order, buckets_for(total // 4)).withColumn("comp", F.col("id")), "lists")
 
-    comps, done, moved = None, None, True
+    comps, done, moved = None, None, None
     for turn in range(PIVOT_ROUNDS + 1):
-        entries, cross = open_pairs(lists, comps)
+        lists, entries, cross = still_open(lists, moved, scratch)
         if not cross:
             break
-        complete = turn == PIVOT_ROUNDS or not moved or cross <= entries
-        pairs = candidate_pairs(open_lists(lists, comps, turn, complete), turn, complete)
+        complete = turn == PIVOT_ROUNDS or turn > 0 and (moved is None or cross <= entries)
+        pairs = candidate_pairs(complete_cells(lists) if complete else pivot_cells(lists, turn), turn, complete)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs, f"pairs{turn}")
-        done = pairs if done is None else done.union(pairs)
+        done = pairs.select("a", "b") if done is None else done.union(pairs.select("a", "b"))
         new = scratch.save(verify(pairs, chosen), f"links{turn}")
-        moved = not new.isEmpty()
-        if moved:
-            comps = join_components(new if comps is None else new.union(comps.select("id", "comp")), scratch)
+        moved = None if new.isEmpty() else join_components(new, scratch)
+        if moved is not None:
+            old = comps
+            if comps is not None:
+                to = sized(moved.select(F.col("id").alias("comp"), F.col("comp").alias("new")), moved.count())
+                moved_on = comps.join(to, "comp", "left").select("id", F.coalesce("new", "comp").alias("comp"))
+                comps = scratch.save(moved_on.unionByName(moved), "comps")
+                scratch.drop(old)
+            else:
+                comps = moved
         if complete:
             break
+        if not turn:  # short lists have been paired completely
+            lists = lists.where(F.col("n") > SHORT)
     named = rows.join(copied, "digest", "left").withColumn("id", F.coalesce("id", "doc_id"))
     if comps is None:
         return named.select("doc_id", "n_shingles", F.col("id").alias("component_id"))
@@ -486,8 +547,7 @@ def keep(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "ngram-join-keep")
     members = scratch.save(components_of(docs), "members")
     dropped = scratch.save(members.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    few = dropped.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti")
+    return docs.join(sized(dropped, dropped.count()), "doc_id", "left_anti").select(docs.columns)
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:

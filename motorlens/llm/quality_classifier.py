@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motorlens.llm import ftrl
-from motorlens.llm.shared import BROADCAST_ROWS, TOKEN_CLASS, Scratch, crc_remainder, fresh, hashes, ngram_hashes, segments
+from motorlens.llm.shared import TOKEN_CLASS, Scratch, crc_remainder, fresh, hashes, ngram_hashes, segments, sized
 
 BITS = 18
 MAX_ROWS = 20_000
@@ -61,6 +61,6 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Da
     rows, ids, named = scored.agg(F.count(F.lit(1)), F.count("doc_id"), F.count_if(~F.col("good"))).first()
     if ids == rows and scored.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         rejected = scored.where("not good").select("doc_id")
-        return docs.join(F.broadcast(rejected) if named <= BROADCAST_ROWS else rejected, "doc_id", "left_anti").select(docs.columns)
+        return docs.join(sized(rejected, named), "doc_id", "left_anti").select(docs.columns)
     name = fresh("quality", docs)
     return score(docs, w, out=name).where(F.col(name) >= threshold).drop(name)

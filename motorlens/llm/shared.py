@@ -7,6 +7,8 @@ segmentation equals code-point segmentation for the classes used here.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
 
 
 # ---------------------------------------------------------------- scratch
@@ -43,12 +46,20 @@ def _remove_local(url: str) -> None:
     shutil.rmtree(url.removeprefix("file://"), ignore_errors=True)
 
 
+def plain_reads(spark: SparkSession) -> None:
+    """Read Parquet column chunks as streams from here on, unless the session says otherwise: vectored reads of texts keep
+    a direct buffer of a whole column chunk in every reading thread, some 200 MB in an executor of two cores."""
+    if spark.conf.get(key := "parquet.hadoop.vectored.io.enabled", None) is None:
+        spark.conf.set(key, "false")
+
+
 class Scratch:
     """Tables written to the shared folder. They cut lineage and survive the loss of executors."""
 
     def __init__(self, spark: SparkSession, name: str):
+        plain_reads(spark)
         self.spark, self.root = spark, f"{shared_root(spark)}/motorlens/{name}-{uuid.uuid4().hex[:12]}"
-        self.paths: dict[int, str] = {}
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
@@ -58,14 +69,14 @@ class Scratch:
         path = self.path(name)
         df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths[id(out)] = (out, path)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete saved tables that no later plan reads."""
         for df in frames:
-            if path := self.paths.pop(id(df), None):
-                remove(self.spark, path)
+            if found := self.paths.pop(id(df), None):
+                remove(self.spark, found[1])
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -82,14 +93,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows up to which a list of ids is broadcast (8 bytes each); beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Rows up to which a narrow table (an id, a number or two) is broadcast, at some 60 bytes each; beyond it the join shuffles.
+BROADCAST_ROWS = 500_000
+
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df, marked for broadcast if it has no more rows than may be."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
-def semi_join_sized(df: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows of df whose key is in ids (distinct). Broadcasts ids only if their count is within limit."""
-    n = ids.count()
-    return df.join(F.broadcast(ids) if n <= limit else ids, key, "left_semi")
+
+def semi_join_sized(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key is in ids (distinct)."""
+    return df.join(sized(ids, ids.count()), key, "left_semi")
 
 
 def fresh(name: str, *frames: DataFrame) -> str:
@@ -108,14 +123,22 @@ def crc_remainder(col: str, modulus: int):
 # ---------------------------------------------------------------- text in Arrow
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 2 << 20) -> None:
     """Arrow batches of at most so many rows and about so many bytes from here on: texts are long, and workers hold a batch whole."""
+    plain_reads(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
         if not 0 < now <= most:
             spark.conf.set(key, str(most))
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker lives on after its task, and holds what it once needed."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 #: Bytes of text that are worked on at once: NumPy arrays take some 60 to 100 bytes for each of them.
 CHUNK = 1 << 18
 
@@ -138,6 +161,8 @@ def chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.n
         hi = min(n, max(hi, lo + 1))
         yield lo, hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
+    if off[-1] - off[0] > CHUNK:
+        release()
 
 
 # ---------------------------------------------------------------- words and hashes

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from motorlens.llm.shared import Scratch, fresh
+from motorlens.llm.shared import Scratch, fresh, sized
 
 WEIGHTS, MAX_REPEATS = (1, 2, 3), 3
 #: Ranges of finish time for each unit, and the last range, which is open.
@@ -102,7 +102,7 @@ def resample(docs: DataFrame, **options) -> DataFrame:
     took = scratch.save(took.select(F.col("doc_id").alias(i), F.col("source").alias(nth + "s"), F.col("size").alias(z), F.col("copies").alias(copies)), "copies")
     n = took.count()
     if took.select(i).distinct().count() == n and took.where(F.col(i).isNull()).isEmpty():
-        out = docs.join(took.select(F.col(i).alias("doc_id"), copies), "doc_id")
+        out = docs.join(sized(took.select(F.col(i).alias("doc_id"), copies), n), "doc_id")
     else:
         took = took.withColumn(nth, F.row_number().over(Window.partitionBy(i, nth + "s", z).orderBy(F.desc(copies))))
         rows = docs.withColumn(z + "_", word_count(F.col("text")))

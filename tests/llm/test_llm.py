@@ -125,6 +125,19 @@ def test_join_like_brute_force(spark, monkeypatch, short):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_join_of_lists_without_links(spark, monkeypatch, rounds):
+    """Texts that share passages but hardly a link: every list is long, and what no pivot joins is paired on the grid of cells."""
+    for name, value in (("SHORT", 2), ("LIST_ROWS", 7), ("PIVOT_ROUNDS", rounds), ("CELL_BLOCK", 40), ("FLUSH_PAIRS", 30)):
+        monkeypatch.setattr(ngram_join, name, value)
+    r = random.Random(17)
+    common = prose(4, 18, 30)
+    rows = [(k, " ".join([r.choice(common), *(f"u{r.randrange(10**6)}" for _ in range(r.randint(0, 14)))]), "en", "a", 1) for k in range(150)]
+    rows += [(500 + k, rows[k][1] + " x", "en", "a", 1) for k in range(0, 40, 3)]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.query(spark, docs(spark, rows)).collect()}
+    assert got == brute_components(rows)
+
+
 def test_join_filters_never_lose_a_link():
     r = np.random.default_rng(1)
     for _ in range(2000):
@@ -335,6 +348,48 @@ def test_classifiers_on_held_out_rows(spark, module):
     assert module.query(spark, docs(spark, []), labels).count() == 0
 
 
+def test_ftrl_rows_pack_without_loss():
+    r = np.random.default_rng(2)
+    for n, top in ((0, 10), (1, 1 << 20), (900, 1 << 18), (5, 1 << 24)):
+        at, x = np.unique(r.integers(0, top, n)), r.random(1)
+        for values in (np.repeat(x, len(at)), r.random(len(at)), np.log1p(r.integers(1, 5, len(at)))):
+            a, b = ftrl.unpack_row(ftrl.pack_row(at, values))
+            assert a.tolist() == at.tolist() and b.tolist() == values.astype("<f4").tolist()
+    at, x = np.arange(70_000), r.random(70_000)
+    assert ftrl.unpack_row(ftrl.pack_row(at, x))[1].tolist() == x.astype("<f4").tolist()
+
+
+def test_ftrl_like_a_dense_model(spark):
+    """Every update on dense vectors, coordinate by coordinate, gives the weights that fit learns in a task."""
+    rows = [(k, t, "en", "a", 1) for k, t in enumerate(prose(60, 44, 12))]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    ids = ftrl.training_ids(labels, "quality", 5, 0, 1000)
+    bits, rate = 6, {"alpha": 0.5, "l1": 0.05, "l2": 0.1}
+    got = ftrl.fit(docs(spark, rows), ids, lambda data, off: quality_classifier.features(data, off, bits), bits, epochs=2, **rate)
+    z, n, size = [0.0] * 65, [0.0] * 65, 64
+
+    def weight(i):
+        if i == size:
+            return -z[i] / ((1 + n[i] ** 0.5) / 0.5)
+        return 0.0 if abs(z[i]) <= 0.05 else -(z[i] - np.sign(z[i]) * 0.05) / ((1 + n[i] ** 0.5) / 0.5 + 0.1)
+
+    order = [(r["doc_id"], r["y"]) for r in ids.orderBy("turn", "doc_id").collect()]
+    for _ in range(2):
+        for i, y in order:
+            for _, _, data, off in chunks(pa.array([rows[i][1]])):
+                ptr, at, x = quality_classifier.features(data, off, bits)
+            dense = np.zeros(65)
+            dense[at] = x.astype("<f4")
+            dense[size] = 1.0
+            w = [weight(k) for k in range(65)]
+            p = 1 / (1 + np.exp(-float(np.dot(w, dense))))
+            for k in range(65):
+                g = (p - y) * dense[k]
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / 0.5 * w[k]
+                n[k] += g * g
+    assert np.abs(got - np.array([weight(k) for k in range(65)])).max() < 1e-5
+
+
 def test_ftrl_learns_a_sign():
     m = ftrl.Ftrl(4)
     for k in range(200):
