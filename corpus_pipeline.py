@@ -6,10 +6,9 @@ Every stage takes all that its predecessor kept, is written as Parquet and read
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from motorlens.llm import byte_bpe, exact_dedup, ngram_join, quality_classifier, source_mix
-from motorlens.llm.shared import Scratch, documents, small_batches, table
+from motorlens.llm.shared import Scratch, documents, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +33,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids, and the digests of the ids and of what they decode to, for each row."""
-    small_batches(spark)
-    path = byte_bpe.default_ranks()
-    ids = docs.select("doc_id", "source", byte_bpe.encode(F.col("text"), path).alias("ids"))
-    return ids.withColumn("bytes", byte_bpe.decode(F.col("ids"), path)).select(
-        "doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("bytes", 256).alias("decoded_sha256"),
-    )
+    both = byte_bpe.round_trip(docs.select("doc_id", "source", "text"), byte_bpe.default_ranks())
+    n_tokens, ids_sha, decoded_sha = byte_bpe.digests()
+    return both.select("doc_id", "source", n_tokens, "ids", ids_sha, decoded_sha)
 
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("source mix", mix), ("byte BPE", tokens)]
