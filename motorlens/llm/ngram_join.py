@@ -14,8 +14,9 @@ and links with nothing. Two texts link when 100 * |intersection| >= 80 * |union|
    components, and lists that lie in one component are finished. Rounds go on with other pivots while they join
    components and many pairs are open; what then remains is paired completely across components, so no link between
    components is lost and no group is expanded into all its pairs.
-5. Pairs pass the length and positional filters where they are made; each pair that is left is verified once, on whole
-   texts, after the suffix filter.
+5. Pairs pass the length and positional filters where they are made, in the complete pairing also a suffix filter on
+   sketches (counts of shingles by hash range); each pair that is left is verified once, on whole texts, after the
+   suffix filter.
 
 Rows that share an id are one document; each row is reported with its own text's set. A NULL id never names a component.
 Only doc_id and text are read by :func:`components_of`; :func:`keep` passes other columns through.
@@ -42,8 +43,11 @@ FREQUENT, FREQUENT_FROM = 1 << 20, 5
 KEY_SHIFT = np.uint64(24)
 #: Lists up to this length are paired completely at once; entries of a long list that one task takes.
 SHORT, LIST_ROWS = 6, 50_000
-#: Pivots of a band in one round, and rounds at most before what is left is paired completely.
-PIVOTS, PIVOT_ROUNDS = 3, 8
+#: Pivots of a band in one round, and rounds at most before what is left is paired completely; that is also done once
+#: there are few pairs across components for each entry of an open list and a round has joined few components.
+PIVOTS, PIVOT_ROUNDS, CROSS_EACH = 3, 8, 256
+#: Ranges of a sketch.
+SKETCH = 256
 #: Edges that a task holds while it contracts them; entries and pairs that it gathers before it goes on.
 STAR_ROWS, CELL_BLOCK, FLUSH_PAIRS = 500_000, 100_000, 500_000
 
@@ -290,6 +294,9 @@ def _pairs_of(v: dict[str, np.ndarray], turn: int, complete: bool) -> Iterator[n
         if complete:  # majors meet minors, then blocks of minors each other
             ok &= np.where(v["kind"][i] == 0, v["minor"][i] != v["minor"][j], (v["kind"][i] == 1) | (v["block"][i] != v["block"][j]))
         i, j = i[ok], j[ok]
+        if complete and len(i):
+            ok = may_share(v["sketch"][i], v["sketch"][j], (4 * (size[i] + size[j]) + 8) // 9)
+            i, j = i[ok], j[ok]
         turned = ids[i] > ids[j]
         i, j = np.where(turned, j, i), np.where(turned, i, j)
         held.append(np.stack([ids[i], ids[j], comp[i], comp[j]], 1))
@@ -333,6 +340,30 @@ def _pairs_of(v: dict[str, np.ndarray], turn: int, complete: bool) -> Iterator[n
         yield flush()
 
 
+def sketch(x: np.ndarray) -> np.ndarray:
+    """How many of a set's shingles lie in each of SKETCH equal ranges; 255 stands for 255 or more."""
+    return np.minimum(np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8)
+
+
+def may_share(x: np.ndarray, y: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """The suffix filter with fixed pivots: whether sketches x[k] and y[k] allow an intersection of need[k]."""
+    low = np.minimum(x, y)
+    return (low.sum(axis=1, dtype=np.int64) >= need) | ((low == 255).any(axis=1))
+
+
+def sketches(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """id, sketch of the documents of ids. texts: doc_id, text of one row for each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, data, off in chunks(b.column("text")):
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array([sketch(x).tobytes() for x in shingle_sets(data, off)], pa.binary())], ["id", "sketch"])
+
+    rows = semi_join_sized(texts, ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id").mapInArrow(run, "id long, sketch binary")
+    # Rows that share an id are one document: of their sketches, the larger counts bound them all.
+    return rows.groupBy("id").agg(F.collect_set("sketch").alias("sketches"))
+
+
 def candidate_pairs(cells: DataFrame, turn: int, complete: bool) -> DataFrame:
     """Distinct pairs a < b across components, with their components. Tasks take cells as they come, never a partition whole."""
     names = cells.columns
@@ -347,8 +378,14 @@ def candidate_pairs(cells: DataFrame, turn: int, complete: bool) -> DataFrame:
             for pairs in _pairs_of(v, turn, complete):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(4)], ["a", "b", "ca", "cb"])
 
+        def column(batch: pa.RecordBatch, c: str) -> np.ndarray:
+            if c != "sketch":
+                return batch.column(c).to_numpy().astype(np.int64)
+            each = [np.frombuffer(b"".join(x), np.uint8).reshape(-1, SKETCH).max(axis=0) for x in batch.column(c).to_pylist()]
+            return np.stack(each) if each else np.zeros((0, SKETCH), np.uint8)
+
         for batch in batches:
-            held.append({c: batch.column(c).to_numpy().astype(np.int64) for c in names})
+            held.append({c: column(batch, c) for c in names})
             n += batch.num_rows
             if n > CELL_BLOCK:  # all cells but the last are whole
                 v = table()
@@ -386,7 +423,7 @@ def complete_cells(lists: DataFrame) -> DataFrame:
     at = lambda x, y: F.col("cuts") + x * F.col("blocks") + y
     grid = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.struct(at(F.least(F.col("block"), y), F.greatest(F.col("block"), y)).cast("int").alias("cell"), F.when(F.col("block") == y, 1).otherwise(2).alias("kind")))
     cells = F.when(F.col("minor") == 1, F.concat(with_majors, grid)).otherwise(major)
-    return rows.withColumn("at", F.explode(cells)).select("token", "at.cell", "id", "size", "pos", "comp", "minor", "block", "at.kind")
+    return rows.withColumn("at", F.explode(cells)).select("token", "at.cell", "id", "size", "pos", "comp", "minor", "block", "at.kind", F.col("sketches").alias("sketch"))
 
 
 def still_open(lists: DataFrame, moved: DataFrame | None, scratch: Scratch) -> tuple[DataFrame, int, int]:
@@ -515,8 +552,14 @@ def components_of(docs: DataFrame) -> DataFrame:
         lists, entries, cross = still_open(lists, moved, scratch)
         if not cross:
             break
-        complete = turn == PIVOT_ROUNDS or turn > 0 and (moved is None or cross <= entries)
-        pairs = candidate_pairs(complete_cells(lists) if complete else pivot_cells(lists, turn), turn, complete)
+        joined = moved.count() if moved is not None else 0
+        complete = turn == PIVOT_ROUNDS or turn > 0 and (not joined or cross <= entries or cross <= CROSS_EACH * entries and joined <= entries // 1000)
+        if complete:
+            known = scratch.save(sketches(lists, chosen), "sketches")
+            cells = complete_cells(lists.join(known, "id"))
+        else:
+            cells = pivot_cells(lists, turn)
+        pairs = candidate_pairs(cells, turn, complete)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs, f"pairs{turn}")
