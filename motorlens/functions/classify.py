@@ -68,54 +68,64 @@ def is_premium(make: Column) -> Column:
     return F.coalesce(make.isin(*PREMIUM_MAKES), F.lit(False))
 
 
-def _alias_pattern(alias: str) -> str:
-    return "\\b" + re.escape(alias).replace("\\ ", " ") + "\\b"
+def _let(value: Column, of) -> Column:
+    """of(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), of), 0)
 
 
-def _by_alias(hay: Column, aliases: list[str]) -> Column:
-    out = F.lit(None).cast("string")
-    for a in reversed(aliases):
-        out = F.when(hay.rlike(_alias_pattern(a)), F.lit(a)).otherwise(out)
-    return out
+_LONGEST = sorted(v.MAKES, key=len, reverse=True)
+#: Every alias that stands at a word of the text: at each place the longest, found by looking ahead, so that none hides another.
+_ALIASES = "\\b(?=(" + "|".join(re.escape(a).replace("\\ ", " ") for a in _LONGEST) + ")\\b)"
 
 
-_LONGEST = sorted(v.MAKES, key=len, reverse=True)
+def _table(pairs: dict) -> Column:
+    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+
+
+def _best_alias(hay: Column, order: list[str]) -> Column:
+    """The alias in hay that comes first in order, or NULL; one scan of hay."""
+    ranks = F.transform(F.regexp_extract_all(hay, F.lit(_ALIASES), 1), lambda a: F.try_element_at(_table({x: k for k, x in enumerate(order, 1)}), a))
+    return F.try_element_at(F.array(*map(F.lit, order)), F.array_min(ranks))
 
 
 def _make_of(alias: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in v.MAKES.items() for x in pair]), alias)
+    return F.try_element_at(_table(v.MAKES), alias)
 
 
 def canonical_make(value: Column) -> Column:
     """Exact alias, else the first alias found as a word in the table's order, else the name in title case."""
-    key = tx.strip_accents(F.lower(F.trim(value)))
-    named = F.coalesce(_make_of(key), _make_of(_by_alias(key, list(v.MAKES))))
+    named = _let(tx.strip_accents(F.lower(F.trim(value))), lambda key: F.coalesce(_make_of(key), _make_of(_best_alias(key, list(v.MAKES)))))
     return F.when(F.coalesce(value, F.lit("")) != "", F.coalesce(named, F.nullif(tx.title_case(F.trim(value)), F.lit(""))))
 
 
 def detect_make(text: Column) -> Column:
-    return _make_of(_by_alias(tx.haystack(text), _LONGEST))
+    return make_in(tx.haystack(text))
+
+
+def make_in(hay: Column) -> Column:
+    return _make_of(_best_alias(hay, _LONGEST))
 
 
 def canonical_model(make: Column, text: Column) -> Column:
     """A make's own model expressions on the text without its longest make alias, else the first usable word."""
-    hay = tx.haystack(text)
-    bare = F.trim(hay)
-    for a in reversed(_LONGEST):
-        bare = F.when(hay.rlike(_alias_pattern(a)), F.trim(F.regexp_replace(hay, _alias_pattern(a), " "))).otherwise(bare)
-    rule = F.lit(None).cast("string")
-    for name, rules in v.MODELS.items():
-        found = F.lit(None).cast("string")
-        for pattern, prefix in reversed(rules):
-            got = F.regexp_extract(bare, pattern, 1)
-            label = F.concat(F.lit(prefix or ""), got)
-            found = F.when(bare.rlike(pattern), tx.title_case(F.trim(label))).otherwise(found)
-        rule = F.when(make == name, found).otherwise(rule)
-    tokens = F.transform(F.split(bare, "\\s+"), lambda t: F.regexp_replace(t, "^[-.,()]+|[-.,()]+$", ""))
-    digits = lambda t: t.rlike("^[0-9]+$")
-    usable = F.filter(tokens, lambda t: (digits(t) & F.length(t).between(3, 4)) | (~digits(t) & (F.length(t) >= 2) & ~t.isin(*v.MODEL_STOPWORDS)))
-    word = F.get(usable, 0)
-    return F.when(F.coalesce(text, F.lit("")) != "", F.coalesce(rule, tx.title_case(word)))
+
+    def bare(hay: Column) -> Column:
+        return _let(_best_alias(hay, _LONGEST), lambda a: F.trim(F.when(a.isNull(), hay).otherwise(F.regexp_replace(hay, F.concat(F.lit("\\b\\Q"), a, F.lit("\\E\\b")), F.lit(" ")))))
+
+    def model(words: Column) -> Column:
+        rule = F.lit(None).cast("string")
+        for name, rules in v.MODELS.items():
+            found = F.lit(None).cast("string")
+            for pattern, prefix in reversed(rules):
+                label = F.concat(F.lit(prefix or ""), F.regexp_extract(words, pattern, 1))
+                found = F.when(words.rlike(pattern), tx.title_case(F.trim(label))).otherwise(found)
+            rule = F.when(make == name, found).otherwise(rule)
+        tokens = F.transform(F.split(words, "\\s+"), lambda t: F.regexp_replace(t, "^[-.,()]+|[-.,()]+$", ""))
+        digits = lambda t: t.rlike("^[0-9]+$")
+        usable = F.filter(tokens, lambda t: (digits(t) & F.length(t).between(3, 4)) | (~digits(t) & (F.length(t) >= 2) & ~t.isin(*v.MODEL_STOPWORDS)))
+        return F.coalesce(rule, tx.title_case(F.get(usable, 0)))
+
+    return F.when(F.coalesce(text, F.lit("")) != "", _let(tx.haystack(text), lambda hay: _let(bare(hay), model)))
 
 
 def power_in(text: Column) -> Column:

@@ -92,6 +92,23 @@ POWER_BADGES = ("tce", "sce", "tdi", "hdi", "bluehdi", "dci", "tsi", "tfsi", "th
 # Codes on result cards, and seller types of schema.org.
 CARD_SELLER = {"d": "pro", "dealer": "pro", "pro": "pro", "p": "private", "private": "private", "priv": "private"}
 CARD_FUEL = {"b": "essence", "d": "diesel", "e": "electrique", "c": "gnv", "h": "hydrogene", "l": "gpl", "m": "ethanol", "2": "electrique/essence", "3": "electrique/diesel"}
+
+# Data attributes of a results page's card by field, and class names behind which it writes power and the
+# price before.
+CARD_FIELDS = {
+    "price": ("data-price", "data-price-value", "data-amount"),
+    "km": ("data-mileage", "data-km", "data-kilometers"),
+    "registration": ("data-first-registration", "data-registration", "data-firstregistration"),
+    "postcode": ("data-listing-zip-code", "data-zip-code", "data-zipcode", "data-postcode"),
+    "make": ("data-make", "data-brand"),
+    "model": ("data-model",),
+    "seller": ("data-seller-type", "data-sellertype"),
+    "fuel": ("data-fuel-type", "data-fuel"),
+    "gearbox": ("data-transmission-type", "data-transmission", "data-gearbox"),
+    "power": ("data-power", "data-power-hp"),
+}
+CARD_POWER = ("ListItemPill_text", "VehicleDetails", "vehicle-details", "listing-power")
+CARD_BEFORE = ("PreviousPrice_price", "data-previous-price", "previous-price", "old-price")
 # Parameters of a URL that only follow clicks, and those that name an advert.
 TRACKING = ("ipc", "ipl", "source", "source_otp", "position", "ap_tier", "boost_level", "applied_boost_level", "relevance_adjustment", "boosting_product", "ref", "referrer", "cid", "gclid", "fbclid", "msclkid", "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "search_id", "sort", "atype")
 ID_PARAMS = ("id", "adid", "listingid", "annonceid", "offerid", "vehicleid")

@@ -68,3 +68,52 @@ def complete(stubs: DataFrame, details: DataFrame, key: str, columns: tuple[str,
     d = details.select(key, *[F.col(c).alias(f"_d_{c}") for c in columns])
     blank = lambda c: F.col(c).isNull() | F.col(c).cast("string").isin("", "unknown")
     return stubs.join(d, key, "left").withColumns({c: F.when(blank(c), F.coalesce(F.col(f"_d_{c}"), F.col(c))).otherwise(F.col(c)) for c in columns}).drop(*[f"_d_{c}" for c in columns])
+
+
+#: Two adverts of one car: km apart at most, and price apart at most as a share of the cheaper.
+SAME_KM, SAME_PRICE = 3000, 0.15
+
+
+def same_car(df: DataFrame) -> DataFrame:
+    """id, twin_id (id < twin_id) of adverts that look like one car though a field differs: equal make, model and year
+    (unknown equals unknown); km, power and price near each other where both are known. df: those columns and id."""
+    a, b = df.alias("a"), df.alias("b")
+    x, y = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    known = lambda c: F.coalesce(x(c) != 0, F.lit(False)) & F.coalesce(y(c) != 0, F.lit(False))
+    near = F.coalesce(F.abs(x("km") - y("km")) <= SAME_KM, F.lit(True)) & (~known("power_hp") | (x("power_hp") == y("power_hp")))
+    near &= ~known("price_eur") | (F.abs(x("price_eur") - y("price_eur")) / F.least(x("price_eur"), y("price_eur")) <= SAME_PRICE)
+    alike = x("make").eqNullSafe(y("make")) & x("model").eqNullSafe(y("model")) & x("year").eqNullSafe(y("year")) & (x("id") < y("id"))
+    return a.join(b, alike & near).select(x("id").alias("id"), y("id").alias("twin_id"))
+
+
+def to_reopen(scored: DataFrame, sources: tuple[str, ...], limit: int) -> DataFrame:
+    """The adverts of a shortlist to open again: best score first, those without a description of sources that can open
+    adverts. limit is a budget of requests, not of successes."""
+    return scored.where(F.col("source").isin(*sources) & (F.coalesce("description", F.lit("")) == "")).orderBy(F.desc("score"), "id").limit(limit)
+
+
+def completed(listed: DataFrame, opened: DataFrame, key: str) -> DataFrame:
+    """Adverts as their own page tells them, with what only the results page knew: open or unknown fields are filled, the
+    longer list of photos stays, options are united, maps are merged with the advert's own entries on top. Rows of opened
+    without a description change nothing and are left out; others have the columns of listed."""
+    o = opened.where(F.coalesce("description", F.lit("")) != "").select(key, *[F.col(c).alias(f"_{c}") for c in listed.columns if c != key and c in opened.columns])
+    both = listed.join(o, key)
+
+    def merged(name: str, kind: str) -> Column:
+        if f"_{name}" not in both.columns:
+            return F.col(name)
+        mine, full = F.col(name), F.col(f"_{name}")
+        if name == "photos":
+            return F.when(F.coalesce(F.size(mine), F.lit(0)) > F.coalesce(F.size(full), F.lit(0)), mine).otherwise(full)
+        if kind.startswith("array"):
+            empty = F.array().cast(kind)
+            return F.array_sort(F.array_union(F.coalesce(mine, empty), F.coalesce(full, empty)))
+        if kind.startswith("map"):
+            return F.when(mine.isNull(), full).when(full.isNull(), mine).otherwise(F.map_concat(F.map_filter(mine, lambda k, _: ~F.map_contains_key(full, k)), full))
+        if name == "scraped_at":
+            return full
+        open_ = full.isNull() | F.coalesce(full.cast("string").isin("", "unknown"), F.lit(False))
+        held = mine.isNotNull() & (mine.cast("string") != "")
+        return F.when(open_ & held, mine).otherwise(full)
+
+    return both.select(*[F.col(c) if c == key else merged(c, k).alias(c) for c, k in listed.dtypes])

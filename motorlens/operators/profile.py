@@ -35,10 +35,18 @@ def link_shapes(links: DataFrame, path: Column, least: int = 3) -> DataFrame:
     return shaped.groupBy("shape").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "shape")
 
 
-def verdict(allowed: Column, status: Column, js_only: Column, links: Column, listed: Column, samples: Column, complete: Column) -> Column:
-    """The level of a source from what its pages show, worst cause first."""
+def verdict(error: Column, allowed: Column, status: Column, listed_complete: Column, links: Column, js_only: Column, samples: Column, usable: Column) -> Column:
+    """The level of a source from what its pages show. A results page that publishes whole adverts needs no links and no
+    samples; an HTTP status of 400 or more, or an error, tells nothing else."""
     return (
-        F.when(~allowed, F.lit("interdit")).when(status.isNull() | (status >= 400), F.lit("echec"))
-        .when((links == 0) & js_only, F.lit("js")).when(links == 0, F.lit("motif"))
-        .when((samples == 0) & (listed > 0), F.lit("liste")).when(complete == 0, F.lit("extraction")).when(complete < samples, F.lit("partiel")).otherwise(F.lit("ok"))
+        F.when(F.coalesce(error, F.lit("")) != "", F.lit("echec")).when(~allowed, F.lit("interdit")).when(status >= 400, F.lit("echec"))
+        .when(listed_complete > 0, F.lit("liste")).when((links == 0) & js_only, F.lit("js")).when(links == 0, F.lit("motif"))
+        .when(samples == 0, F.lit("partiel")).when(usable == 0, F.lit("extraction")).when(usable < samples, F.lit("partiel")).otherwise(F.lit("ok"))
     )
+
+
+def missing(samples: DataFrame, fields: tuple[str, ...] = CRITICAL, most: int = 4) -> DataFrame:
+    """field, n of critical fields that samples lack, most often first: a report of the first four."""
+    kinds = dict(samples.dtypes)
+    one = samples.agg(*[F.count_if(~is_filled(f, kinds[f])).alias(f) for f in fields])
+    return one.unpivot([], list(fields), "field", "n").where("n > 0").orderBy(F.desc("n"), "field").limit(most)

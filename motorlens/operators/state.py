@@ -82,3 +82,30 @@ def ingest_stats(seen: DataFrame, stored: DataFrame, keys: tuple[str, ...]) -> D
     j = seen.join(s, list(keys), "left")
     known = F.col("_known").isNotNull()
     return j.agg(F.count(F.lit(1)).alias("seen"), F.count_if(ok & ~known).alias("created"), F.count_if(ok & known).alias("updated"), F.count_if(ok & known & (F.col("price_eur") < F.col("_stored") - MOVE)).alias("price_drops"), F.count_if(~ok).alias("skipped"))
+
+
+def applied(stored: DataFrame, batch: DataFrame, keys: tuple[str, ...], at: str, turn: str) -> DataFrame:
+    """The admissible rows of batch in the order in which they are applied, each with the price it replaces (previous),
+    created, and moved: a new advert, or a price more than a euro from the one before. batch may repeat an advert."""
+    old = stored.select(*keys, F.col(at), F.lit(None).cast("long").alias(turn), "price_eur", F.lit(0).alias("_new"))
+    rows = admissible(batch).withColumn("_new", F.lit(1))
+    w = Window.partitionBy(*keys).orderBy("_new", at, turn)
+    rows = old.unionByName(rows, allowMissingColumns=True).withColumns({"previous": F.lag("price_eur").over(w), "created": F.row_number().over(w) == 1})
+    moved = F.col("created") | F.coalesce((F.col("previous") != 0) & (F.abs(F.col("price_eur") - F.col("previous")) > MOVE), F.lit(False))
+    return rows.where("_new = 1").withColumn("moved", moved).drop("_new")
+
+
+def ingest(stored: DataFrame, batch: DataFrame, keys: tuple[str, ...], at: str, turn: str) -> DataFrame:
+    """The stored state after a batch, with price_changed_at of the last move, and touched: whether this batch moved the price."""
+    rows = applied(stored, batch, keys, at, turn)
+    moves = rows.where("moved").groupBy(*keys).agg(F.max(at).alias("_moved_at"))
+    now = upsert(stored.drop("price_changed_at", "touched"), rows.drop("previous", "created", "moved"), keys, at).drop(turn)
+    then = stored.select(*keys, (F.col("price_changed_at") if "price_changed_at" in stored.columns else F.lit(None).cast("timestamp")).alias("_before"))
+    out = now.join(moves, list(keys), "left").join(then, list(keys), "left")
+    return out.withColumns({"price_changed_at": F.coalesce("_moved_at", "_before"), "touched": F.col("_moved_at").isNotNull()}).drop("_moved_at", "_before")
+
+
+def seeded(rows: DataFrame, keys: tuple[str, ...], at: str) -> DataFrame:
+    """Price points a second before the first sight of new adverts that state a higher price they had before."""
+    new = rows.where(F.col("created") & (F.col("previous_price") > F.col("price_eur")))
+    return new.select(*keys, F.col("previous_price").alias("price_eur"), (F.col(at) - F.expr("interval 1 second")).alias("seen_at"))

@@ -95,13 +95,11 @@ def population_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return val.quality(valued(spark, sf_dir))
 
 
-@query(CHAIN + f"SELECT DISTINCT t.id, c.id AS twin_id FROM listings t JOIN listings c ON t.make = c.make AND t.model = c.model AND t.year = c.year AND t.id < c.id WHERE abs(t.km - c.km) <= 3000 AND t.power_hp = c.power_hp AND abs(t.price_eur - c.price_eur) / least(t.price_eur, c.price_eur) <= 0.15 AND t.price_eur > {s.MIN_PRICE} AND c.price_eur > {s.MIN_PRICE}")
+@query(DUCK + f", f AS (SELECT id, make, model, year, CASE WHEN id % 37 = 0 THEN NULL ELSE km END AS km, CASE WHEN id % 41 = 0 THEN NULL ELSE power_hp END AS power_hp, price_eur FROM listings WHERE price_eur > {s.MIN_PRICE}) SELECT t.id, c.id AS twin_id FROM f t JOIN f c ON t.make = c.make AND t.model = c.model AND t.year = c.year AND t.id < c.id WHERE coalesce(abs(t.km - c.km) <= 3000, true) AND coalesce(t.power_hp = c.power_hp, true) AND abs(t.price_eur - c.price_eur) / least(t.price_eur, c.price_eur) <= 0.15")
 def same_car_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = listings(spark, sf_dir).where(F.col("price_eur") > s.MIN_PRICE).select("id", "make", "model", "year", "km", "power_hp", "price_eur")
-    a, b = facts.alias("a"), facts.alias("b")
-    near = (F.abs(F.col("a.km") - F.col("b.km")) <= 3000) & (F.abs(F.col("a.price_eur") - F.col("b.price_eur")) / F.least("a.price_eur", "b.price_eur") <= 0.15)
-    on = (F.col("a.make") == F.col("b.make")) & (F.col("a.model") == F.col("b.model")) & (F.col("a.year") == F.col("b.year")) & (F.col("a.power_hp") == F.col("b.power_hp")) & (F.col("a.id") < F.col("b.id"))
-    return a.join(b, on & near).select(F.col("a.id").alias("id"), F.col("b.id").alias("twin_id"))
+    """Some adverts leave km or power open."""
+    facts = listings(spark, sf_dir).where(F.col("price_eur") > s.MIN_PRICE)
+    return deals.same_car(facts.select("id", "make", "model", "year", F.when(F.col("id") % 37 != 0, F.col("km")).alias("km"), F.when(F.col("id") % 41 != 0, F.col("power_hp")).alias("power_hp"), "price_eur"))
 
 
 # ---------------------------------------------------------------- wording, report, score

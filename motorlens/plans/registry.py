@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from motorlens.plans import market_queries, state_queries, text_queries
+from motorlens.plans import market_queries, page_queries, state_queries, text_queries
 
-QUERIES = {**market_queries.QUERIES, **text_queries.QUERIES, **state_queries.QUERIES}
-ORACLES = {**market_queries.ORACLES, **text_queries.ORACLES, **state_queries.ORACLES}
+QUERIES = {**market_queries.QUERIES, **text_queries.QUERIES, **state_queries.QUERIES, **page_queries.QUERIES}
+ORACLES = {**market_queries.ORACLES, **text_queries.ORACLES, **state_queries.ORACLES, **page_queries.ORACLES}

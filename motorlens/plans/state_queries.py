@@ -63,7 +63,11 @@ def stream_price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_folder(sf_dir))
     raw = raw.select(F.col("user_id").cast("long").alias("listing_id"), (1000 + F.floor("value") / 10).alias("price_eur"), F.col("ts").cast("timestamp").alias("seen_at"), F.col("event_id").cast("long").alias("event_id")).where("event_id is not null")
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="motorlens-stream-")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="motorlens-stream-")
     out = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
     prices.run_once(raw, f"{out}/points", f"{out}/checkpoint")
     return spark.read.schema(prices.POINT).parquet(f"{out}/points").select("listing_id", "price_eur", "event_id")
@@ -78,23 +82,14 @@ def _folder(sf_dir: str) -> str:
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State after two batches: orders taken as sightings of 3,000 adverts, old ones first."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_orderkey") % 3000).alias("k"), F.col("o_orderkey").alias("seen"), F.col("o_totalprice").alias("price"))
-    stored = state.latest(o.where("seen % 2 = 0"), ("k",), ("seen",))
-    late = o.where("seen % 2 = 1")
-    newest = stored.unionByName(late)
-    return state.latest(newest, ("k",), ("seen",)).select("k", "price")
-
-
-@query("SELECT o_orderkey % 500 AS id, CASE WHEN bool_or(o_orderkey % 7 = 0 AND o_orderkey < 500) AND NOT bool_or(o_orderkey % 5 = 0 AND o_orderkey BETWEEN 500 AND 999) THEN 'photos' ELSE 'new' END AS kind FROM orders WHERE o_orderkey < 1000 GROUP BY 1")
-def protected_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey").where("o_orderkey < 1000")
-    k = F.col("o_orderkey")
-    old = o.where(k < 500).select(k.alias("id"), F.when(k % 7 == 0, 4).otherwise(0).alias("photos"), F.when(k % 7 == 0, "photos").otherwise("old").alias("kind"))
-    new = o.where(k >= 500).select((k - 500).alias("id"), F.when(k % 5 == 0, 3).otherwise(0).alias("photos"), F.lit("new").alias("kind"))
-    return state.protect(old, new, "id").select("id", "kind")
+    half = o.agg(F.expr("max(seen) div 2").alias("half"))
+    o = o.crossJoin(F.broadcast(half))  # one row
+    stored = state.latest(o.where("seen <= half").drop("half"), ("k",), ("seen",))
+    return state.upsert(stored, o.where("seen > half").drop("half"), ("k",), "seen").select("k", "price")
 
 
 @query("SELECT o_orderkey // 2 AS id, CASE WHEN NOT bool_or(o_orderkey % 2 = 1) THEN CASE WHEN (o_orderkey // 2) % 7 = 0 THEN 'photos' ELSE 'old' END WHEN bool_or(o_orderkey % 2 = 0) AND (o_orderkey // 2) % 7 = 0 AND (o_orderkey // 2) % 5 <> 0 THEN 'photos' ELSE 'new' END AS kind FROM orders GROUP BY o_orderkey // 2")
-def protected_overwrite_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def protected_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over all orders: even keys are the old analyses, odd keys the new ones."""
     k, n = F.col("o_orderkey"), F.expr("o_orderkey div 2")
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
@@ -165,7 +160,7 @@ def jsonld_vehicle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT * FROM (VALUES ('11111111', 1, 7000::DOUBLE, NULL::INT), ('22222222', 2, 9000, 80467)) t(listing_id, position, price, km)")
 def item_list_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pg.item_list_rows(_own(spark)).select("listing_id", "position", "price", "km")
+    return pg.item_list_rows(_own(spark)).select(F.col("source_id").alias("listing_id"), "position", "price", "km")
 
 
 @query("SELECT 'https://a.de/auto/1234567' AS url, 'og:title' AS property, 'Golf' AS content")
@@ -178,15 +173,8 @@ def microdata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pg.microdata(_own(spark))
 
 
-@query("WITH r AS (SELECT o_custkey % 20 AS search, o_orderkey // 20 AS page_no, o_orderkey % 20 AS position, (o_orderkey * 7) % 900 AS listing_id FROM orders WHERE o_orderkey < 4000), m AS (SELECT *, row_number() OVER (PARTITION BY search, listing_id ORDER BY page_no, position) = 1 AS fresh FROM r), s AS (SELECT search, min(page_no) AS stop FROM (SELECT search, page_no FROM m GROUP BY ALL HAVING count(*) FILTER (fresh) = 0) GROUP BY search), k AS (SELECT m.*, row_number() OVER (PARTITION BY search ORDER BY page_no, position) AS rn FROM m LEFT JOIN s USING (search) WHERE fresh AND (stop IS NULL OR page_no < stop)) SELECT search, listing_id FROM k WHERE rn <= 30")
-def paginated_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 4000")
-    rows = o.select((F.col("o_custkey") % 20).alias("search"), F.expr("o_orderkey div 20").alias("page_no"), (F.col("o_orderkey") % 20).alias("position"), ((F.col("o_orderkey") * 7) % 900).alias("listing_id"))
-    return pg.paginate(rows, 30).select("search", "listing_id")
-
-
 @query("WITH r AS (SELECT o_orderkey // 4000 * 20 + o_custkey % 20 AS search, o_orderkey // 20 AS page_no, o_orderkey % 20 AS position, (o_orderkey * 7) % 900 AS listing_id FROM orders), m AS (SELECT *, row_number() OVER (PARTITION BY search, listing_id ORDER BY page_no, position) = 1 AS fresh FROM r), s AS (SELECT search, min(page_no) AS stop FROM (SELECT search, page_no FROM m GROUP BY ALL HAVING count(*) FILTER (fresh) = 0) GROUP BY search), k AS (SELECT m.*, row_number() OVER (PARTITION BY search ORDER BY page_no, position) AS rn FROM m LEFT JOIN s USING (search) WHERE fresh AND (stop IS NULL OR page_no < stop)) SELECT search, listing_id FROM k WHERE rn <= 30")
-def paginated_scan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def paginated_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over all orders: each 4,000 keys are the results of twenty searches more."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     rows = o.select(F.expr("o_orderkey div 4000 * 20 + o_custkey % 20").alias("search"), F.expr("o_orderkey div 20").alias("page_no"), (F.col("o_orderkey") % 20).alias("position"), ((F.col("o_orderkey") * 7) % 900).alias("listing_id"))

@@ -38,16 +38,16 @@ def test_oracle(spark, duck, name):
 
 
 def test_slugs_of_whole_texts(spark):
-    df = entry.queries()["slugify_whole"](spark, SF)
+    df = entry.queries()["slugify"](spark, SF)
     assert df.where("length(slug) > 60").count() > 100
 
 
 def test_whole_scan_and_overwrite_take_every_order(spark):
-    """Tables of another size: the capped queries give the same rows for it."""
+    """The result grows with the table."""
     big = "/root/testdata/sf0.01"
     keys = spark.read.parquet(f"{big}/orders.parquet").selectExpr("o_orderkey div 2 AS id").distinct()
-    assert entry.queries()["protected_overwrite_whole"](spark, big).count() == keys.count()
-    assert entry.queries()["paginated_scan_whole"](spark, big).where("search >= 20").count() > 0
+    assert entry.queries()["protected_overwrite"](spark, big).count() == keys.count()
+    assert entry.queries()["paginated_scan"](spark, big).where("search >= 20").count() > 0
 
 
 def test_entry(spark):
