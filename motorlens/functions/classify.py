@@ -18,6 +18,11 @@ def any_of(keywords: tuple[str, ...]) -> str:
     return f"(?<![a-z0-9])(?:{words})(?![a-z0-9])"
 
 
+def _let(value: Column, of) -> Column:
+    """of(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), of), 0)
+
+
 #: Not right after a word of equipment: `hayon electrique` is a tailgate.
 _NOT_EQUIPMENT = f"(?<!(?:^|\\s)(?:{'|'.join(v.EQUIPMENT)})\\s{{1,9}})"
 
@@ -38,23 +43,37 @@ def _fuel_of(hay: Column) -> Column:
     return F.coalesce(found, badge)
 
 
-def detect_fuel(*parts: Column) -> Column:
+def fuel_in(*hays: Column) -> Column:
     """Earlier parts win; a hybrid becomes a plug-in if a later part says so."""
-    found = F.filter(F.array(*[_fuel_of(tx.haystack(p)) for p in parts]), lambda f: f.isNotNull())
-    first = F.get(found, 0)
-    return F.when((first == "hybrid") & F.array_contains(found, "phev"), F.lit("phev")).otherwise(F.coalesce(first, F.lit("unknown")))
+    fuels = F.filter(F.transform(F.array(*hays), _fuel_of), lambda f: f.isNotNull())
+    return _let(fuels, lambda found: F.when((F.get(found, 0) == "hybrid") & F.array_contains(found, "phev"), F.lit("phev")).otherwise(F.coalesce(F.get(found, 0), F.lit("unknown"))))
+
+
+def detect_fuel(*parts: Column) -> Column:
+    return fuel_in(*[tx.haystack(p) for p in parts])
+
+
+def gearbox_in(hay: Column) -> Column:
+    return F.coalesce(first_class(hay, v.GEARBOX), F.lit("unknown"))
 
 
 def detect_gearbox(*parts: Column) -> Column:
-    return F.coalesce(first_class(tx.haystack(*parts), v.GEARBOX), F.lit("unknown"))
+    return _let(tx.haystack(*parts), gearbox_in)
+
+
+def body_in(hay: Column) -> Column:
+    return F.coalesce(first_class(hay, v.BODY), F.lit("unknown"))
 
 
 def detect_body(*parts: Column) -> Column:
-    return F.coalesce(first_class(tx.haystack(*parts), v.BODY), F.lit("unknown"))
+    return _let(tx.haystack(*parts), body_in)
 
 
 def detect_options(*parts: Column) -> Column:
-    hay = tx.haystack(*parts)
+    return _let(tx.haystack(*parts), options_in)
+
+
+def options_in(hay: Column) -> Column:
     found = F.array(*[F.when(hay.rlike(any_of(words)), F.lit(code)) for code, words in v.OPTIONS.items()])
     return F.array_sort(F.filter(found, lambda c: c.isNotNull()))
 
@@ -68,11 +87,6 @@ def is_premium(make: Column) -> Column:
     return F.coalesce(make.isin(*PREMIUM_MAKES), F.lit(False))
 
 
-def _let(value: Column, of) -> Column:
-    """of(value), with value evaluated once."""
-    return F.get(F.transform(F.array(value), of), 0)
-
-
 _LONGEST = sorted(v.MAKES, key=len, reverse=True)
 #: Every alias that stands at a word of the text: at each place the longest, found by looking ahead, so that none hides another.
 _ALIASES = "\\b(?=(" + "|".join(re.escape(a).replace("\\ ", " ") for a in _LONGEST) + ")\\b)"
@@ -129,33 +143,43 @@ def canonical_model(make: Column, text: Column) -> Column:
 
 
 def power_in(text: Column) -> Column:
+    return _let(tx.haystack(text), power_of)
+
+
+def power_of(hay: Column) -> Column:
     """Power with its unit, else the number behind an engine badge."""
-    hay = tx.haystack(text)
     unit = F.nullif(F.regexp_extract(hay, "(\\d{2,4})\\s*(ch|cv|hp|ps|bhp|kw)\\b", 0), F.lit(""))
     badge = F.nullif(F.regexp_extract(hay, f"\\b({'|'.join(v.POWER_BADGES)})\\s*[- ]?(\\d{{2,3}})\\b", 2), F.lit(""))
     return F.when(unit.isNotNull(), tx.parse_power_hp(unit)).otherwise(tx.parse_power_hp(badge))
 
 
 def km_in(text: Column) -> Column:
-    return tx.parse_km(F.nullif(F.regexp_extract(tx.haystack(text), "([\\d.,\\s]{2,12})\\s*(km|miles|mi)\\b", 0), F.lit("")))
+    return km_of(tx.haystack(text))
+
+
+def km_of(hay: Column) -> Column:
+    return tx.parse_km(F.nullif(F.regexp_extract(hay, "([\\d.,\\s]{2,12})\\s*(km|miles|mi)\\b", 0), F.lit("")))
 
 
 def enrich(df: DataFrame, as_of: Column) -> DataFrame:
     """Fill what an advert's own text tells; values that are there stay. df has the text columns of a listing."""
     blank = lambda name: F.col(name).isNull() | (F.col(name) == "unknown")
     df = df.withColumns({"title": F.coalesce(tx.clean_text(F.col("title")), F.col("title")), "description": tx.clean_text(F.col("description"))})
-    whole = F.concat_ws(" ", F.col("title"), F.coalesce(F.col("description"), F.lit("")))
-    parts = (F.col("title"), F.col("version"), F.col("description"))
-    df = df.withColumn("make", F.coalesce(canonical_make(F.col("make")), detect_make(whole)))
+    # Haystacks are made once, as columns; what they are asked for comes in the next projection.
+    title, version, said, whole, every, options = hays = [f"_hay_{c}" for c in ("title", "version", "description", "whole", "all", "options")]
+    join = lambda *names: F.array_join(F.filter(F.array(*map(F.col, names)), lambda p: p != ""), " ")
+    df = df.withColumns({title: tx.haystack(F.col("title")), version: tx.haystack(F.col("version")), said: tx.haystack(F.col("description")), options: tx.haystack(F.array_join("options", " "))})
+    df = df.withColumns({whole: F.concat_ws(" ", title, said), every: join(title, version, said)})
+    df = df.withColumns({"make": F.coalesce(canonical_make(F.col("make")), make_in(F.col(whole))), options: join(every, options)})
     return df.withColumns({
         "model": F.when(F.coalesce(F.col("model"), F.lit("")) == "", canonical_model(F.col("make"), F.col("title"))).otherwise(F.coalesce(canonical_model(F.col("make"), F.col("model")), F.col("model"))),
-        "fuel": F.when(blank("fuel"), detect_fuel(*parts)).otherwise(F.col("fuel")),
-        "gearbox": F.when(blank("gearbox"), detect_gearbox(*parts)).otherwise(F.col("gearbox")),
-        "body": F.when(blank("body"), detect_body(*parts)).otherwise(F.col("body")),
-        "power_hp": F.coalesce(F.col("power_hp"), power_in(whole)),
-        "km": F.coalesce(F.col("km"), km_in(whole)),
+        "fuel": F.when(blank("fuel"), fuel_in(F.col(title), F.col(version), F.col(said))).otherwise(F.col("fuel")),
+        "gearbox": F.when(blank("gearbox"), gearbox_in(F.col(every))).otherwise(F.col("gearbox")),
+        "body": F.when(blank("body"), body_in(F.col(every))).otherwise(F.col("body")),
+        "power_hp": F.coalesce(F.col("power_hp"), power_of(F.col(whole))),
+        "km": F.coalesce(F.col("km"), km_of(F.col(whole))),
         "year": F.coalesce(F.col("year"), tx.parse_year(F.col("title"), as_of), F.year("first_registration")),
         "seller_type": F.when(blank("seller_type"), detect_seller(F.col("seller_name"), F.col("description"))).otherwise(F.col("seller_type")),
-        "options": F.array_sort(F.array_union(F.coalesce(F.col("options"), F.array().cast("array<string>")), detect_options(*parts, F.array_join("options", " ")))),
+        "options": F.array_sort(F.array_union(F.coalesce(F.col("options"), F.array().cast("array<string>")), options_in(F.col(options)))),
         "price_eur": F.coalesce(F.col("price_eur"), tx.to_eur(F.col("price"), F.col("currency"))),
-    })
+    }).drop(*hays)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from motorlens.operators import deals, profile, state
 from motorlens.sources import pages as pg
+from motorlens.sources.fixtures import spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -24,7 +25,7 @@ def query(sql: str):
 
 def _adverts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey").cast("long")
-    df = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("id"))
+    df = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("id")))
     return df.select("id", (2000 + F.col("id") % 30000).alias("price"), (10000 + (F.col("id") * 7) % 90000).alias("km"), (60 + F.col("id") % 200).alias("power"))
 
 

@@ -95,8 +95,14 @@ DUCK = (
 )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than cores dealt to all cores, before work on its rows; larger tables are as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"))
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_mktsegment")
     df = spark.sql(listings_sql(), orders=orders, customer=customer).drop("raw_price")
     return df.withColumn("fingerprint", tx.fingerprint(F.col("make"), F.col("model"), F.col("year"), F.col("km"), F.col("fuel"), F.col("power_hp")))
