@@ -3,16 +3,22 @@
 Each text gives counts (words, characters in words, symbols, repeated lines, words in repeated 3-word windows). A text fails
 the base rules if it has under 50 words or over half of its words lie in repeated windows. The others' transformed counts
 form a vector; for every language and source a minimum covariance determinant (MCD) estimate of centre and covariance is
-found by concentration steps from two deterministic starts (the classical estimate; medians and quartile ranges), and
-texts with a large squared Mahalanobis distance are rejected.
+found by concentration steps from two deterministic starts (the classical estimate; medians and quartile ranges). A start
+takes steps until its determinant falls no further, and the smaller determinant of the two wins. Texts with a large squared
+Mahalanobis distance are rejected.
+
+The same is estimated for each language and for all texts. A group of n texts is judged by the moments of a mixture: its own
+estimate with weight n / (n + shrink), its language's, which is mixed with that of all texts likewise, with the rest. Small
+groups thus lean on what is known of their language, large ones on themselves, without a size at which the rule changes.
 
 Every step is one pass over a small table of vectors (five numbers a text) with map-side combining, so a group with a third
 of all rows is spread over all tasks. The h smallest distances of a group are found on a histogram of distances, whose size
 does not depend on the rows; the estimate uses every row up to the bin in which the h-th falls.
 
-NULL texts have no words and fail the base rules. NULL languages and sources are groups of their own. Groups with fewer
-than ``min_group`` vectors share one pooled estimate; if that has fewer too, its rows are kept. Variances have a floor, so
-constant statistics and repeated rows do not make the covariance singular. Only doc_id, text, lang, source are read.
+NULL texts have no words and fail the base rules. NULL languages and sources are groups of their own. Every text that passes
+the base rules is judged, if need be by an estimate of its own group alone (a single row lies at its own centre). Variances
+have a floor, so constant statistics and repeated rows do not make the covariance singular. Ids play no part: rows with NULL
+or repeated ids are judged like others. Only doc_id, text, lang, source are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -26,8 +32,10 @@ from motorlens.llm.shared import Scratch
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 DIM = 5
-#: Share of a group's vectors that the estimate rests on, concentration steps, smallest group of its own.
-SUPPORT, STEPS, MIN_GROUP = 0.75, 3, 100
+#: Share of a group's vectors that the estimate rests on, and the texts that an estimate one level up counts for.
+SUPPORT, SHRINK = 0.75, 100
+#: A start is done once the logarithm of the determinant's root falls by less than this; steps it takes at most.
+TOLERANCE, STEPS = 1e-3, 30
 #: Standard deviations below which no direction is taken to be narrower, in the order of VECTOR.
 FLOORS = (0.25, 0.05, 0.04, 0.05, 0.10)
 #: A text is rejected beyond this quantile of the chi-square distribution.
@@ -175,37 +183,60 @@ def estimates(vectors: DataFrame, scratch: Scratch) -> DataFrame:
     near = (lambda df: F.broadcast(df)) if small else (lambda df: df)
     based = vectors.join(near(shift), "group")
     params = _moments(based, ["group"], 1.0).withColumn("start", F.lit(0)).unionByName(_quartiles(vectors, shift).withColumn("start", F.lit(1)))
-    params = scratch.save(params, "start")
+    best = open_ = scratch.save(params, "start")
     for step in range(STEPS):
-        far = _distance(based.join(near(params.drop("logdet")), "group")).withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-6) * 16))
+        far = _distance(based.join(near(open_.drop("logdet")), "group")).withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-6) * 16))
         counts = far.groupBy("group", "start", "bin").agg(F.count(F.lit(1)).alias("n"))
         w = Window.partitionBy("group", "start")
         cut = counts.withColumns({"through": F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(w)}).where(F.col("through") >= SUPPORT * F.col("all")).groupBy("group", "start").agg(F.min("bin").alias("last"))
         cut = scratch.save(cut, f"cut{step}")
-        inner = far.join(near(cut), ["group", "start"]).where("bin <= last")
-        params = scratch.save(_moments(inner, ["group", "start"], factor), f"step{step}")
-    best = params.withColumn("order", F.row_number().over(Window.partitionBy("group").orderBy("logdet", "start")))
-    return scratch.save(best.where("order = 1").drop("order", "start", "logdet"), "estimates")
+        taken = scratch.save(_moments(far.join(near(cut), ["group", "start"]).where("bin <= last"), ["group", "start"], factor), f"step{step}")
+        if not step:  # a start's own determinant is of all rows and compares with none
+            best = open_ = taken
+            continue
+        held = open_.select("group", "start", F.col("logdet").alias("held"))
+        open_ = scratch.save(taken.join(near(held), ["group", "start"]).where(F.col("logdet") < F.col("held") - TOLERANCE).drop("held"), f"open{step}")
+        if open_.isEmpty():
+            break
+        best = scratch.save(best.join(near(open_.select("group", "start")), ["group", "start"], "left_anti").unionByName(open_), f"best{step}")
+    first = best.withColumn("order", F.row_number().over(Window.partitionBy("group").orderBy("logdet", "start")))
+    out = first.where("order = 1").drop("order", "start", "logdet").join(near(shift.select("group", "rows")), "group")
+    return scratch.save(out, "estimates")
+
+
+def mixed(own: DataFrame, above: DataFrame, shrink: float) -> DataFrame:
+    """own (group, parent, rows, centre, factor) with the moments of its mixture with its parent's estimate in above."""
+    names = [f"c{j}" for j in range(DIM)] + [f"l{i}{j}" for i in range(DIM) for j in range(i + 1)]
+    both = own.join(above.select(F.col("group").alias("parent"), *[F.col(n).alias(f"p_{n}") for n in names]), "parent")
+    w, v = F.col("rows") / (F.col("rows") + F.lit(float(shrink))), {}
+    gap = [F.col(f"c{j}") - F.col(f"p_c{j}") for j in range(DIM)]
+    for i in range(DIM):
+        for j in range(i + 1):
+            mine, theirs = (sum((F.col(f"{p}l{i}{k}") * F.col(f"{p}l{j}{k}") for k in range(j + 1)), F.lit(0.0)) for p in ("", "p_"))
+            v[f"v{i}{j}"] = w * mine + (1 - w) * theirs + w * (1 - w) * gap[i] * gap[j]
+    centre = [(F.col(f"p_c{j}") + w * gap[j]).alias(f"c{j}") for j in range(DIM)]
+    return _cholesky(both.select("group", *centre, *[c.alias(n) for n, c in v.items()]), ["group"]).drop("logdet")
 
 
-def judge(docs: DataFrame, min_group: int = MIN_GROUP, quantile: float = QUANTILE) -> DataFrame:
-    """doc_id, the counts, base_failed, d2 (NULL where not judged by distance) and kept, for every row of docs."""
+def judge(docs: DataFrame, shrink: float = SHRINK, quantile: float = QUANTILE) -> DataFrame:
+    """doc_id, the counts, base_failed, d2 (NULL for texts that fail the base rules) and kept, for every row of docs."""
     scratch = Scratch(docs.sparkSession, "quality-rules")
     stats = statistics(docs.select("doc_id", "text", "lang", "source")).drop("text")
-    group = F.struct("lang", "source")
-    stats = scratch.save(stats.withColumns({f"x{j}": v for j, v in enumerate(vector())}), "statistics")
+    name = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
+    levels = {"group": name("lang", "source"), "parent": name("lang"), "top": F.lit("all")}
+    stats = scratch.save(stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *[c.alias(n) for n, c in levels.items()], *[v.alias(f"x{j}") for j, v in enumerate(vector())]), "statistics")
     good = stats.where("not base_failed")
-    sizes = good.groupBy(group.alias("own")).agg(F.count(F.lit(1)).alias("rows")).select("own", (F.col("rows") >= min_group).alias("large"))
-    sizes = scratch.save(sizes, "groups")
-    few = sizes.count() <= BROADCAST_GROUPS
-    near = (lambda df: F.broadcast(df)) if few else (lambda df: df)
-    key = F.when(F.col("large"), F.to_json(F.col("own"), {"ignoreNullFields": "false"})).otherwise(F.lit("rest"))
-    vectors = good.withColumn("_g", group).join(near(sizes), F.col("_g").eqNullSafe(F.col("own"))).withColumn("group", key).select("group", *[f"x{j}" for j in range(DIM)])
+    vectors = scratch.save(good.select(F.explode(F.array(*levels)).alias("group"), *[f"x{j}" for j in range(DIM)]), "vectors")
     found = estimates(vectors, scratch)
-    pooled = vectors.where("group = 'rest'").limit(min_group).count() >= min_group
-    judged = stats.withColumn("_g", group).join(near(sizes), F.col("_g").eqNullSafe(F.col("own")), "left").withColumn("group", key).join(near(found if pooled else found.where("group <> 'rest'")), "group", "left")
+    tree = scratch.save(good.select(*levels).distinct(), "tree")
+    few = tree.count() <= BROADCAST_GROUPS
+    near = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    languages = tree.select(F.col("parent").alias("group"), F.col("top").alias("parent")).distinct()
+    above = scratch.save(mixed(found.join(near(languages), "group"), found.where("group = 'all'"), shrink), "languages")
+    own = scratch.save(mixed(found.join(near(tree.select("group", "parent")), "group"), above, shrink), "groups")
     d2 = F.when(~F.col("base_failed"), F.col("d2"))
-    return _distance(judged).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", d2.alias("d2"), (~F.col("base_failed") & F.coalesce(F.col("d2") <= chi2_quantile(quantile, DIM), F.lit(True))).alias("kept"))
+    judged = _distance(stats.join(near(own), "group", "left"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", d2.alias("d2"), (~F.col("base_failed") & (F.col("d2") <= chi2_quantile(quantile, DIM))).alias("kept"))
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:

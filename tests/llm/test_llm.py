@@ -242,6 +242,57 @@ def test_rules_reject_outliers_and_run_no_python(spark):
     assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
 
 
+def plain_mcd(x, share=quality_rules.SUPPORT, starts=60):
+    """Centre and covariance of the smallest determinant over many random starts, with exact halves."""
+    floors, r, best = np.diag(np.square(quality_rules.FLOORS)), np.random.default_rng(3), None
+    h, factor = int(np.ceil(share * len(x))), quality_rules.consistency(share, 5)
+    for _ in range(starts):
+        inner, last = x[r.choice(len(x), 30, replace=False)], np.inf
+        while True:
+            c, v = inner.mean(0), np.cov(inner.T, bias=True) * factor + floors
+            det = np.linalg.slogdet(v)[1]
+            if det > last - 1e-9:
+                break
+            last, inner = det, x[np.argsort(np.einsum("ij,jk,ik->i", x - c, np.linalg.inv(v), x - c))[:h]]
+        if best is None or last < best[0]:
+            best = last, c, v
+    return best[1:]
+
+
+def test_estimates_like_a_plain_search(spark):
+    r = np.random.default_rng(7)
+    mix = r.normal(size=(5, 5))
+    inner = {g: r.normal(size=(n, 5)) @ mix + k for k, (g, n) in enumerate({"a": 900, "b": 500}.items())}
+    groups = {g: np.vstack([x, r.normal(12, 0.3, (len(x) // 6, 5))]) for g, x in inner.items()}
+    rows = [(g, *map(float, x)) for g, xs in groups.items() for x in xs]
+    vectors = spark.createDataFrame(rows, "group string, x0 double, x1 double, x2 double, x3 double, x4 double")
+    for e in quality_rules.estimates(vectors, Scratch(spark, "mcd")).collect():
+        x = groups[e["group"]]
+        c, v = plain_mcd(x)
+        low = np.array([[e[f"l{i}{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+        assert e["rows"] == len(x)
+        far = lambda c, v: np.einsum("ij,jk,ik->i", x - c, np.linalg.inv(v), x - c)
+        mine, best = far(np.array([e[f"c{j}"] for j in range(5)]), low @ low.T), far(c, v)
+        assert np.linalg.slogdet(low @ low.T)[1] < np.linalg.slogdet(v)[1] + 0.3
+        assert np.corrcoef(mine, best)[0, 1] > 0.99
+        limit = quality_rules.chi2_quantile(0.9999, 5)
+        planted = np.arange(len(x)) >= len(inner[e["group"]])
+        assert (mine[planted] > limit).all() and (mine[~planted] <= limit).mean() > 0.97
+
+
+def test_rules_judge_small_groups_and_odd_ids(spark):
+    """Junk alone in its group is measured by its language; NULL and repeated ids count as rows; extra columns do no harm."""
+    rows = [(k % 350 or None, t, "en", "a", 1) for k, t in enumerate(prose(400, 11, 300))]
+    junk = [(5000 + k, " ".join(x + "$$$" for x in t.split()), "en", f"s{k}", 1) for k, t in enumerate(prose(9, 12, 600)) if len(t.split()) >= 50]
+    other = [(6000 + k, t, None, None, 1) for k, t in enumerate(prose(3, 13, 300)) if len(t.split()) >= 50]
+    df = docs(spark, rows + junk + other).withColumns({c: F.lit("x") for c in ("group", "d2", "x0", "_words", "rows", "kept")})
+    got = quality_rules.judge(df).collect()
+    assert len(got) == len(rows + junk + other)
+    assert all((x["d2"] is None) == x["base_failed"] and x["kept"] is not None for x in got)
+    assert junk and not any(x["kept"] for x in got if 5000 <= (x["doc_id"] or 0) < 6000)
+    assert all(x["kept"] for x in got if not x["base_failed"] and not 5000 <= (x["doc_id"] or 0) < 6000)
+
+
 def test_chi_square():
     assert abs(quality_rules.chi2_quantile(0.975, 5) - 12.832501994) < 1e-6
     assert abs(quality_rules.gamma_p(2.5, 1.0) - 0.15085496391539) < 1e-9
