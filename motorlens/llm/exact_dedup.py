@@ -1,12 +1,16 @@
 """Operator 7, exact dedup over a log-structured merge index of text digests.
 
-1. Memtables gather digest -> (smallest id, largest id, rows) and flush as sorted runs; every run file has Bloom filters.
-2. Compaction merges the runs: one entry for each digest, with the smallest and largest identifier.
+1. Memtables gather digest -> (smallest id, largest id, rows) and flush as sorted runs.
+2. Compaction merges the runs, range by range of digests: Spark's sort brings equal digests together, and one pass over the
+   sorted entries joins neighbours into one, with the smallest and largest identifier.
 3. A Bloom filter of the digests that have several rows, of bounded size, tells which texts to look at again. Those are
    grouped by digest *and whole text* with map-side combining: this is the byte verification, and one hot group becomes
    one row for each map task before anything is shuffled. Only digests that several different texts share (none, for a
    sound digest) take the slower path that joins on the text itself.
 
+:class:`Index` keeps what was compacted, batch after batch: each table of a level has a Bloom filter, a new batch looks only
+into tables whose filters admit its digests, and a level with ``fanout`` tables is compacted into one of the next.
+
 A NULL text counts as empty; every row comes back, repeated rows included, and group_size counts rows. Rows repeated with
 the same id and text are all marked kept in the membership; :func:`keep` returns one of them. A NULL id never becomes
 keep_id while the group has another id; if all are NULL, keep_id is NULL and those rows are kept.
@@ -16,9 +20,11 @@ Other columns pass through :func:`keep` unread, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,9 +74,36 @@ def sorted_runs(digests: DataFrame, memtable: int = MEMTABLE) -> DataFrame:
     return digests.select(F.col("doc_id").cast("long").alias("doc_id"), "digest").mapInArrow(run, RUNS)
 
 
+def _joined(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Entries of sorted digests with equal neighbours joined. A NULL id yields to any other."""
+    digest = b.column("digest")
+    starts = np.flatnonzero(np.r_[True, pc.not_equal(digest[1:], digest[:-1]).to_numpy(zero_copy_only=False)])
+    out = [digest.take(pa.array(starts))]
+    for name, least, missing in (("low", np.minimum, np.iinfo(np.int64).max), ("high", np.maximum, np.iinfo(np.int64).min)):
+        c = b.column(name)
+        none = np.logical_and.reduceat(c.is_null().to_numpy(zero_copy_only=False), starts)
+        out.append(pa.array(least.reduceat(c.fill_null(missing).to_numpy(), starts), pa.int64(), mask=none))
+    out.append(pa.array(np.add.reduceat(b.column("n").to_numpy(), starts)))
+    return pa.RecordBatch.from_arrays(out, ["digest", "low", "high", "n"])
+
+
+def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merges one range of sorted entries as a stream; only the last entry of a batch waits for the next one."""
+    waiting = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        b = _joined(b if waiting is None else pa.concat_batches([waiting, b]))
+        if b.num_rows > 1:
+            yield b.slice(0, b.num_rows - 1)
+        waiting = b.slice(b.num_rows - 1)
+    if waiting is not None:
+        yield waiting
+
+
 def compact(runs: DataFrame) -> DataFrame:
-    """One entry for each digest of all runs."""
-    return runs.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+    """One entry for each digest of all runs, sorted in ranges of digests."""
+    return runs.select("digest", "low", "high", "n").repartitionByRange("digest").sortWithinPartitions("digest").mapInArrow(merge, RUNS)
 
 
 def _places(digests: list[bytes], bits: int) -> np.ndarray:
@@ -134,7 +167,7 @@ def membership(docs: DataFrame, keep: str = "min", digest_bytes: int = 32, memta
     plain = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     sha = F.unhex(F.sha2(plain, 256))
     digests = scratch.save(docs.select("doc_id", sha.alias("sha")), "digests").withColumn("digest", F.substring("sha", 1, digest_bytes))
-    runs = scratch.save(sorted_runs(digests, memtable), "runs", **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": str(memtable)})
+    runs = scratch.save(sorted_runs(digests, memtable), "runs")
     level = scratch.save(compact(runs).where("n > 1"), "compacted")
     scratch.drop(runs)
     n = level.count()
@@ -157,6 +190,60 @@ def membership(docs: DataFrame, keep: str = "min", digest_bytes: int = 32, memta
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+class Index:
+    """A log-structured index that grows batch by batch.
+
+    levels: for each level its tables (digest, low, high, n) and their filters. A batch enters level 0 as one table of merged
+    runs; ``fanout`` tables of a level become one of the next, so that n batches leave some fanout * log(n) tables to look
+    into. A filter has 16 MB at most: beyond some ten million digests it admits ever more, and the join with its table decides
+    alone. An empty batch changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, fanout: int = 4, digest_bytes: int = 32, memtable: int = MEMTABLE):
+        self.spark, self.fanout, self.digest_bytes, self.memtable = spark, fanout, digest_bytes, memtable
+        self.scratch, self.levels = Scratch(spark, "exact-index"), [[]]
+
+    def _coded(self, docs: DataFrame) -> DataFrame:
+        plain = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+        return docs.select("doc_id", plain.alias("bytes"), F.substring(F.unhex(F.sha2(plain, 256)), 1, self.digest_bytes).alias("digest"))
+
+    def _enter(self, level: int, entries: DataFrame) -> None:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        table = self.scratch.save(entries, f"level{level}")
+        if n := table.count():
+            self.levels[level].append((table, bloom(table, n)))
+        if len(self.levels[level]) >= self.fanout:
+            full, self.levels[level] = [t for t, _ in self.levels[level]], []
+            self._enter(level + 1, compact(reduce(DataFrame.unionByName, full)))
+            self.scratch.drop(*full)
+
+    def known(self, digests: DataFrame) -> DataFrame:
+        """Those of digests (distinct) that a table has: filters first, then the tables that they leave."""
+        found = digests.limit(0)
+        for table, bits in (t for level in self.levels for t in level):
+            found = found.unionByName(table.select("digest").join(digests.where(may_contain(self.spark, bits)("digest")), "digest", "left_semi"))
+        return found.distinct()
+
+    def add(self, batch: DataFrame, earlier: DataFrame) -> DataFrame:
+        """doc_id, keep_id (the smallest id of equal texts in batch and earlier) and known (whether earlier has the text) for
+        each row of batch, which then belongs to the index. earlier: the rows of all batches before, read for hits alone."""
+        coded = self._coded(batch)
+        entries = self.scratch.save(compact(sorted_runs(coded, self.memtable)), "batch")
+        hits = self.scratch.save(self.known(entries.select("digest")), "hits")
+        rows = hits.count()
+        old = self._coded(earlier).join(sized(hits, rows), "digest", "left_semi").withColumn("old", F.lit(True))
+        both = old.unionByName(coded.join(sized(hits, rows), "digest", "left_semi").withColumn("old", F.lit(False)))
+        texts = both.groupBy("digest", "bytes").agg(F.min("doc_id").alias("keep_id"), F.bool_or("old").alias("known"))
+        own = membership(batch, "min", self.digest_bytes, self.memtable).withColumn("digest", F.substring(F.unhex("text_sha256"), 1, self.digest_bytes))
+        new = own.join(sized(hits, rows), "digest", "left_anti").select("doc_id", "keep_id", F.lit(False).alias("known"))
+        seen = coded.join(sized(hits, rows), "digest", "left_semi").join(texts, ["digest", "bytes"]).select("doc_id", "keep_id", "known")
+        out = self.scratch.save(new.unionByName(seen), "added")
+        self._enter(0, entries)
+        self.scratch.drop(entries, hits)
+        return out
+
+
 def keep(docs: DataFrame, which: str = "min") -> DataFrame:
     """One row of docs for each distinct text, with the columns of docs. doc_id should identify rows; where it does
     not, one row of each (doc_id, text) remains."""

@@ -185,6 +185,37 @@ def test_exact_dedup(spark, digest_bytes):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_compaction_merges_sorted_runs(spark):
+    r = random.Random(4)
+    rows = [(bytes([r.randrange(40)]) * 3, *((None, None) if (i := r.choice([None, r.randrange(-9, 999)])) is None else (i, i + r.randrange(5))), r.randrange(1, 4)) for _ in range(3000)]
+    want = {}
+    for d, low, high, n in rows:
+        a, b, c = want.get(d, (None, None, 0))
+        want[d] = (low if a is None else a if low is None else min(a, low), high if b is None else b if high is None else max(b, high), c + n)
+    df = exact_dedup.compact(spark.createDataFrame(rows, exact_dedup.RUNS).repartition(7))
+    assert {bytes(x["digest"]): (x["low"], x["high"], x["n"]) for x in df.collect()} == want and df.count() == len(want)
+    batch = pa.RecordBatch.from_pylist([{"digest": d, "low": a, "high": b, "n": n} for d, a, b, n in sorted(rows, key=lambda x: x[0])], pa.schema([("digest", pa.binary()), ("low", pa.int64()), ("high", pa.int64()), ("n", pa.int64())]))
+    small = [batch.slice(k, 37) for k in range(0, len(rows), 37)]
+    assert [x.as_py() for b in exact_dedup.merge(iter(small)) for x in b.column(0)] == sorted(want)
+
+
+@pytest.mark.parametrize("digest_bytes", [32, 1])
+def test_index_grows_batch_by_batch(spark, digest_bytes):
+    """Short digests collide, so bytes must decide; two tables a level are compacted."""
+    r, index, seen, all_rows = random.Random(digest_bytes), exact_dedup.Index(spark, 2, digest_bytes, 5), {}, []
+    texts = [None, "", "漢字", *prose(40, 21, 6)]
+    for b in range(5):
+        rows = [(b * 100 + k if r.random() < 0.95 else None, r.choice(texts), "en", "a", 1) for k in range(20 if b != 3 else 0)]
+        before, least = set(seen), dict(seen)
+        for i, text, *_ in rows:
+            t = text or ""
+            least[t] = i if least.get(t) is None else least[t] if i is None else min(least[t], i)
+        got = index.add(docs(spark, rows), docs(spark, all_rows)).collect()
+        assert collections.Counter(map(tuple, got)) == collections.Counter((i, least[t or ""], (t or "") in before) for i, t, *_ in rows)
+        seen, all_rows = least, all_rows + rows
+    assert len(index.levels) >= 3 and all(len(level) < 2 for level in index.levels)
+
+
 def test_exact_dedup_keep(spark):
     df = docs(spark, [(1, "a", "x", "y", 1), (1, "a", "x", "y", 1), (2, "a", "x", "y", 1), (3, None, "x", "y", 1), (None, "b", "x", "y", 1), (1, "c", "x", "y", 1)]).withColumn("keep_id", F.lit("clash"))
     out = exact_dedup.keep(df, "max")
