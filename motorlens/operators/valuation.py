@@ -66,33 +66,54 @@ def _tier(t: s.Tier) -> Column:
     return ok & (F.col("t_country") == F.col("c_country")) if t.country else ok
 
 
-def pairs(targets: DataFrame, market: DataFrame, max_age_days: int = s.MAX_AGE_DAYS) -> DataFrame:
-    """t_*, c_* and tier (1..5) of every admissible pair. Both sides carry FACTS; only those columns are read."""
+#: Years of a band. Comparables lie in one band; a target goes into the few bands that its widest tier reaches.
+BAND = 6
+
+
+def pairs(targets: DataFrame, market: DataFrame, max_age_days: int = s.MAX_AGE_DAYS, exclude_ids: tuple[int, ...] = ()) -> DataFrame:
+    """t_*, c_* and tier (1..5) of every admissible pair. Both sides carry FACTS; only those columns are read.
+
+    The band of years is part of the join key, so a popular model is spread over tasks and cars far apart in age never
+    meet. Targets of unknown year, which no tier restricts by year, are joined by themselves without it."""
     t = targets.select(*[F.col(c).alias(f"t_{c}") for c in FACTS])
-    c = market.where((F.col("price_eur") > s.MIN_PRICE) & (F.col("seen_days") <= max_age_days)).select(*[F.col(c).alias(f"c_{c}") for c in FACTS])
+    offered = (F.col("price_eur") > s.MIN_PRICE) & (F.col("seen_days") <= max_age_days)
+    c = market.where(offered & ~F.col("id").isin(*exclude_ids) if exclude_ids else offered).select(*[F.col(c).alias(f"c_{c}") for c in FACTS])
     tier = F.lit(None).cast("int")
     for k in range(len(s.TIERS), 0, -1):
         tier = F.when(_tier(s.TIERS[k - 1]), F.lit(k)).otherwise(tier)
     same = (F.col("t_make") == F.col("c_make")) & (F.col("t_model") == F.col("c_model")) & (F.col("t_is_synthetic") == F.col("c_is_synthetic"))
     other = (F.col("t_id") != F.col("c_id")) & ((F.col("c_fingerprint") == "") | (F.col("t_fingerprint") != F.col("c_fingerprint")))
     # The widest tier goes into the join condition, so that only admissible pairs leave the join.
-    return t.join(c, same & other & _tier(s.TIERS[-1])).withColumn("tier", tier)
+    fits, reach = same & other & _tier(s.TIERS[-1]), s.TIERS[-1].years
+    band, known = (lambda y: F.floor(y / BAND)), F.coalesce(F.col("t_year"), F.lit(0)) != 0
+    spread = t.where(known).withColumn("t_band", F.explode(F.sequence(band(F.col("t_year") - reach), band(F.col("t_year") + reach))))
+    dated = spread.join(c.withColumn("c_band", band(F.col("c_year"))), (F.col("t_band") == F.col("c_band")) & fits).drop("t_band", "c_band")
+    return dated.unionByName(t.where(~known).join(c, fits)).withColumn("tier", tier)
+
 
+def comparables(found: DataFrame, min_count: int = s.MIN_COMPS, limit: int | None = None) -> DataFrame:
+    """The chosen comparables: one row for each target and car, with chosen (tier number) and comps (their count).
 
-def comparables(found: DataFrame, min_count: int = s.MIN_COMPS) -> DataFrame:
-    """The chosen comparables: one row for each target and car, with chosen (tier number) and comps (their count)."""
+    limit: adverts that a tier may take for a target, those of the smallest ids; None takes all."""
     lean = found.select("t_id", "t_factor", "t_km", "t_year", F.when(F.col("c_fingerprint") == "", F.concat(F.lit("id:"), F.col("c_id"))).otherwise(F.col("c_fingerprint")).alias("car"), "tier", F.struct(F.col("c_price_eur").alias("price"), F.col("c_id").alias("id"), F.col("c_factor").alias("factor"), F.col("c_year").alias("year"), F.col("c_km").alias("km"), F.col("c_country").alias("country")).alias("ad"))
-    cheapest = [F.min(F.when(F.col("tier") <= k, F.col("ad"))).alias(f"ad{k}") for k in range(1, 6)]
-    cars = lean.repartition("t_id").groupBy("t_id", "t_factor", "t_km", "t_year", "car").agg(F.min("tier").alias("tier"), *cheapest)
+    lean, taken = lean.repartition("t_id"), {k: F.col("tier") <= k for k in range(1, 6)}
+    if limit is not None:
+        by_id = Window.partitionBy("t_id").orderBy("ad.id")
+        lean = lean.withColumns({f"r{k}": F.count(F.when(taken[k], 1)).over(by_id) for k in taken})
+        taken = {k: taken[k] & (F.col(f"r{k}") <= limit) for k in taken}
+    cheapest = [F.min(F.when(taken[k], F.col("ad"))).alias(f"ad{k}") for k in range(1, 6)]
+    cars = lean.groupBy("t_id", "t_factor", "t_km", "t_year", "car").agg(*cheapest)
     w = Window.partitionBy("t_id")
-    cars = cars.withColumns({f"n{k}": F.count(F.when(F.col("tier") <= k, 1)).over(w) for k in range(1, 6)})
-    chosen = F.lit(None).cast("int")
+    cars = cars.withColumns({f"n{k}": F.count(f"ad{k}").over(w) for k in range(1, 6)})
+    # Failing that, the first tier with the most cars: a limit may leave a wider tier fewer than a narrower one.
+    chosen, most = F.lit(None).cast("int"), F.greatest(*[F.col(f"n{k}") for k in range(1, 6)])
     for k in range(5, 0, -1):
-        chosen = F.when(F.col(f"n{k}") == F.col("n5"), F.lit(k)).otherwise(chosen)
+        chosen = F.when(F.col(f"n{k}") == most, F.lit(k)).otherwise(chosen)
     for k in range(5, 0, -1):
         chosen = F.when(F.col(f"n{k}") >= min_count, F.lit(k)).otherwise(chosen)
-    kept = cars.withColumn("chosen", chosen).where("tier <= chosen")
-    return kept.select("t_id", "t_factor", "t_km", "t_year", "car", "chosen", F.element_at(F.array(*[F.col(f"n{k}") for k in range(1, 6)]), F.col("chosen")).alias("comps"), F.element_at(F.array(*[F.col(f"ad{k}") for k in range(1, 6)]), F.col("chosen")).alias("ad"))
+    of = lambda name: F.element_at(F.array(*[F.col(f"{name}{k}") for k in range(1, 6)]), F.col("chosen"))
+    kept = cars.withColumn("chosen", chosen).withColumns({"comps": of("n"), "ad": of("ad")}).where("ad is not null")
+    return kept.select("t_id", "t_factor", "t_km", "t_year", "car", "chosen", "comps", "ad")
 
 
 # ---------------------------------------------------------------- estimates
@@ -163,11 +184,11 @@ def estimate(targets: DataFrame, chosen: DataFrame, as_of: Column) -> DataFrame:
     }).drop("centre", "low", "high", "comps")
 
 
-def value_market(listings: DataFrame, as_of: Column, targets: DataFrame | None = None) -> DataFrame:
-    """Valuation of targets (all priced listings if none are given) against listings."""
+def value_market(listings: DataFrame, as_of: Column, targets: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Valuation of targets (all priced listings if none are given) against listings. limit: as for comparables."""
     market = vehicle_factor(listings, as_of)
     mine = vehicle_factor(targets, as_of) if targets is not None else market.where("price_eur is not null")
-    return estimate(mine, comparables(pairs(mine, market)), as_of)
+    return estimate(mine, comparables(pairs(mine, market), limit=limit), as_of)
 
 
 def quality(valued: DataFrame, kind: str = "kind") -> DataFrame:

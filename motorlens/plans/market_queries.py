@@ -56,6 +56,25 @@ def comps_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return val.comparables(_pairs(spark, sf_dir)).select(F.col("t_id").alias("id"), F.col("ad.id").alias("comp_id"), F.col("ad.price").alias("price_eur"))
 
 
+_LIMIT, _KS = 12, range(1, len(s.TIERS) + 1)
+
+
+@query(
+    CHAIN + "SELECT DISTINCT tid AS id, tier_no, cars AS comps FROM (WITH r AS (SELECT *, "
+    + ", ".join(f"count(*) FILTER (tier <= {k}) OVER (PARTITION BY tid ORDER BY cid) AS r{k}" for k in _KS)
+    + " FROM p WHERE cid % 5 <> 0 OR cid > 100), b AS (SELECT tid, "
+    + ", ".join(f"count(DISTINCT car) FILTER (tier <= {k} AND r{k} <= {_LIMIT}) AS n{k}" for k in _KS)
+    + " FROM r GROUP BY tid) SELECT tid, " + (most := "greatest(" + ", ".join(f"n{k}" for k in _KS) + ")") + " AS most, CASE "
+    + " ".join(f"WHEN n{k} >= {s.MIN_COMPS} THEN {k}" for k in _KS) + " " + " ".join(f"WHEN n{k} = {most} THEN {k}" for k in _KS)
+    + " END AS tier_no, CASE tier_no " + " ".join(f"WHEN {k} THEN n{k}" for k in _KS) + " END AS cars FROM b)"
+)
+def comps_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiers that take twelve adverts each, without some ids."""
+    m = _market(spark, sf_dir)
+    found = val.pairs(m.where("price_eur is not null"), m, exclude_ids=tuple(range(0, 101, 5)))
+    return val.comparables(found, limit=_LIMIT).select(F.col("t_id").alias("id"), F.col("chosen").alias("tier_no"), "comps").distinct()
+
+
 def valued(spark: SparkSession, sf_dir: str) -> DataFrame:
     return val.value_market(listings(spark, sf_dir), as_of())
 
