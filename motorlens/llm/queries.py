@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motorlens.llm import byte_bpe, exact_dedup, lm_scoring, ngram_join, quality_classifier, quality_rules, source_mix, token_files, toxicity, url_filter
+from motorlens.llm import byte_bpe, exact_dedup, filter_audit, license_scan, lm_scoring, ngram_join, quality_classifier, quality_rules, source_mix, token_files, toxicity, url_filter, vector_codes
 from motorlens.llm.shared import documents, table
 
 
@@ -50,9 +50,29 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.query(spark, documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.query(spark, documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.query(spark, documents(spark, sf_dir))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.query(spark, table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_token_files, op4_quality_classifier, op5_url_filter, op6_byte_bpe, op7_exact_dedup, op8_source_mix, op9_quality_rules, op10_lm_scoring)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_toxicity, op2_ngram_join, op3_token_files, op4_quality_classifier, op5_url_filter, op6_byte_bpe, op7_exact_dedup, op8_source_mix, op9_quality_rules, op10_lm_scoring,
+            op11_filter_audit, op12_license_scan, op13_vector_codes,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": url_filter.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_source_mix": source_mix.SQL}
+    return {
+        "op5_url_filter": url_filter.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_source_mix": source_mix.SQL, "op11_filter_audit": filter_audit.SQL, "op13_vector_codes": vector_codes.SQL,
+    }
