@@ -93,7 +93,7 @@ POWER_BADGES = ("tce", "sce", "tdi", "hdi", "bluehdi", "dci", "tsi", "tfsi", "th
 CARD_SELLER = {"d": "pro", "dealer": "pro", "pro": "pro", "p": "private", "private": "private", "priv": "private"}
 CARD_FUEL = {"b": "essence", "d": "diesel", "e": "electrique", "c": "gnv", "h": "hydrogene", "l": "gpl", "m": "ethanol", "2": "electrique/essence", "3": "electrique/diesel"}
 
-# Data attributes of a results page's card by field, and class names behind which it writes power and the
+# Data attributes of a results page's card by field, and selectors of where it writes power and the
 # price before.
 CARD_FIELDS = {
     "price": ("data-price", "data-price-value", "data-amount"),
@@ -107,8 +107,11 @@ CARD_FIELDS = {
     "gearbox": ("data-transmission-type", "data-transmission", "data-gearbox"),
     "power": ("data-power", "data-power-hp"),
 }
-CARD_POWER = ("ListItemPill_text", "VehicleDetails", "vehicle-details", "listing-power")
-CARD_BEFORE = ("PreviousPrice_price", "data-previous-price", "previous-price", "old-price")
+CARD_POWER = ('[class*="ListItemPill_text"]', '[class*="VehicleDetails"]', ".vehicle-details", ".listing-power")
+CARD_BEFORE = ('[class*="PreviousPrice_price"]', "[data-previous-price]", ".previous-price", ".old-price")
+# Schema.org types of sellers, and names of fuels in schema.org.
+SELLER_KINDS = {"pro": ("autodealer", "organization", "localbusiness", "store", "corporation"), "private": ("person", "individual")}
+FUEL_HINTS = {"diesel": "diesel", "gasoline": "essence", "petrol": "essence", "benzin": "essence", "electric": "electrique", "hybrid": "hybride", "lpg": "gpl", "cng": "gnv"}
 # Parameters of a URL that only follow clicks, and those that name an advert.
 TRACKING = ("ipc", "ipl", "source", "source_otp", "position", "ap_tier", "boost_level", "applied_boost_level", "relevance_adjustment", "boosting_product", "ref", "referrer", "cid", "gclid", "fbclid", "msclkid", "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "search_id", "sort", "atype")
 ID_PARAMS = ("id", "adid", "listingid", "annonceid", "offerid", "vehicleid")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from motorlens.operators import deals, profile, state
 from motorlens.sources import pages as pg
-from motorlens.sources.fixtures import spread
+from motorlens.sources import trees
+from motorlens.sources.fixtures import as_of, spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -26,10 +27,10 @@ def query(sql: str):
 def _adverts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey").cast("long")
     df = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("id")))
-    return df.select("id", (2000 + F.col("id") % 30000).alias("price"), (10000 + (F.col("id") * 7) % 90000).alias("km"), (60 + F.col("id") % 200).alias("power"))
+    return df.select("id", (2000 + F.col("id") % 30000).alias("price"), (10000 + (F.col("id") * 7) % 90000).alias("km"), (60 + F.col("id") % 200).alias("power"), (2008 + F.col("id") % 15).alias("year"), (1 + F.col("id") % 12).alias("month"))
 
 
-_ADVERTS = "WITH a AS (SELECT o_orderkey::BIGINT AS id, 2000 + o_orderkey % 30000 AS price, 10000 + (o_orderkey * 7) % 90000 AS km, 60 + o_orderkey % 200 AS power FROM orders)"
+_ADVERTS = "WITH a AS (SELECT o_orderkey::BIGINT AS id, 2000 + o_orderkey % 30000 AS price, 10000 + (o_orderkey * 7) % 90000 AS km, 60 + o_orderkey % 200 AS power, 2008 + o_orderkey % 15 AS year, 1 + o_orderkey % 12 AS month FROM orders)"
 
 
 def _say(template: str, **values: Column) -> Column:
@@ -48,55 +49,110 @@ def _dotted(n: Column) -> Column:
     return F.concat(F.floor(n / 1000).cast("string"), F.lit("."), F.lpad((n % 1000).cast("string"), 3, "0"))
 
 
+#: How deep the results list lies in graphs.
+_DEEP = 10
+
+
 def _result_pages(a: DataFrame) -> DataFrame:
-    """Twenty adverts a page, the first of them listed twice. Every third has its km on its card alone, every fifth its price."""
-    i, value = F.col("id"), {"id": F.col("id"), "n": 1000000 + F.col("id"), "km": F.col("km"), "price": F.col("price"), "power": F.col("power"), "dotted_km": _dotted(F.col("km")), "dotted": _dotted(F.col("price"))}
-    km = F.when(i % 3 != 0, _say(',"mileageFromOdometer":{"@type":"QuantitativeValue","value":"⟨dotted_km⟩","unitCode":"KMT"}', **value)).otherwise("")
+    """Twenty adverts a page, the first of them listed twice. Every third has its km on its card alone, every thirteenth a
+    km that cannot be, every fifth its price on its card alone. Cards hold a named gallery before their pills, whose text is
+    in nested tags."""
+    i, value = F.col("id"), {"id": F.col("id"), "n": 1000000 + F.col("id"), "km": F.col("km"), "price": F.col("price"), "power": F.col("power"), "dotted_km": _dotted(F.col("km")), "dotted": _dotted(F.col("price")), "since": F.concat_ws("/", F.lpad(F.col("month").cast("string"), 2, "0"), "year")}
+    km = F.when(i % 13 == 0, F.lit(',"mileageFromOdometer":98000000')).when(i % 3 != 0, _say(',"mileageFromOdometer":{"@type":"QuantitativeValue","value":"⟨dotted_km⟩","unitCode":"KMT"}', **value)).otherwise("")
     seller = F.when(i % 4 == 0, F.lit(',"seller":{"@type":"AutoDealer","name":"X"}')).otherwise("")
     offer = F.when(i % 5 != 0, _say(',"offers":{"@type":"Offer","price":"⟨dotted⟩ €"⟨seller⟩}', **value, seller=seller)).otherwise("")
     item = _say('{"@type":"ListItem","item":{"@type":"https://schema.org/Car","name":"Car ⟨id⟩"⟨km_⟩⟨offer⟩,"url":"/d/advert-⟨n⟩?ref=x"}}', **value, km_=km, offer=offer)
     before = F.when(i % 7 == 0, F.col("price") + 500).when(i % 7 == 1, F.col("price") - 500)
-    card = _say('<article class="card" data-guid="⟨n⟩" data-price="⟨price⟩" data-mileage="⟨km⟩" data-zip-code="⟨zip⟩" data-seller-type="⟨code⟩"><h2>Car</h2><span class="ListItemPill_text__a1">Diesel</span><span class="ListItemPill_text__a1">9 kW (⟨power⟩ Ch)</span>⟨old⟩</article>', **value, zip=F.lpad((i % 99999).cast("string"), 5, "0"), code=F.element_at(F.array(F.lit("p"), F.lit("d"), F.lit("z")), (i % 3 + 1).cast("int")), old=F.when(before.isNotNull(), F.concat(F.lit('<s class="PreviousPrice_price__b">'), before.cast("string"), F.lit(" €</s>"))))
+    card = _say('<article class="card" data-guid="⟨n⟩" data-price="⟨price⟩" data-mileage="⟨km⟩" data-zip-code="⟨zip⟩" data-seller-type="⟨code⟩" data-first-registration="⟨since⟩" data-fuel="b"><div id="gallery-⟨n⟩"><img src="x.jpg"></div><h2>Car</h2><div><span class="ListItemPill_text__a1">Diesel</span><span class="ListItemPill_text__a1"><i>9 kW</i> (<b>⟨power⟩ <u>Ch</u></b>)</span></div>⟨old⟩</article>', **value, zip=F.lpad((i % 99999).cast("string"), 5, "0"), code=F.element_at(F.array(F.lit("p"), F.lit("d"), F.lit("z")), (i % 3 + 1).cast("int")), old=F.when(before.isNotNull(), F.concat(F.lit('<s class="PreviousPrice_price__b"><em>'), before.cast("string"), F.lit("</em> €</s>"))))
     rows = a.select(F.expr("id div 20").alias("page"), F.struct("id", item.alias("item"), card.alias("card")).alias("r")).groupBy("page").agg(F.array_sort(F.collect_list("r")).alias("r"))
     items = F.concat_ws(",", F.transform("r", lambda x: x["item"]), F.col("r")[0]["item"])
-    html = F.concat(F.lit('<html><script type="application/ld+json">[{"@type":"WebSite"},{"@type":"SearchResultsPage","mainEntity":{"@type":"ItemList","itemListElement":['), items, F.lit("]}},]</script>"), F.concat_ws("", F.transform("r", lambda x: x["card"])), F.lit("</html>"))
+    deep, shut = '{"@graph":[' * _DEEP, "]}" * _DEEP
+    html = F.concat(F.lit(f'<html><script type="application/ld+json">[{{"@type":"WebSite"}},{deep}{{"@type":"SearchResultsPage","mainEntity":{{"@type":"ItemList","itemListElement":['), items, F.lit(f"]}}}}{shut},]</script>"), F.concat_ws("", F.transform("r", lambda x: x["card"])), F.lit("</html>"))
     return rows.select(F.concat(F.lit("https://a.de/search?page="), F.col("page")).alias("url"), html.alias("html"))
 
 
-@query(_ADVERTS + """ SELECT 'https://a.de/search?page=' || id // 20 AS page, (1000000 + id)::VARCHAR AS source_id, (row_number() OVER (PARTITION BY id // 20 ORDER BY id))::INT AS position, price::DOUBLE AS price, km::INT AS km, power::INT AS power_hp,
-CASE WHEN id % 4 = 0 AND id % 5 <> 0 THEN 'pro' WHEN id % 3 = 0 THEN 'private' WHEN id % 3 = 1 THEN 'pro' ELSE 'unknown' END AS seller_type, lpad((id % 99999)::VARCHAR, 5, '0') AS postcode, CASE WHEN id % 7 = 0 THEN price + 500.0::DOUBLE END AS previous_price FROM a""")
+@query(_ADVERTS + """ SELECT 'https://a.de/search?page=' || id // 20 AS page, (1000000 + id)::VARCHAR AS source_id, (row_number() OVER (PARTITION BY id // 20 ORDER BY id))::INT AS position, price::DOUBLE AS price, km::INT AS km, power::INT AS power_hp, 'Car ' || id || ' essence' AS title,
+year::INT AS year, make_date(year, month, 1) AS first_registration, CASE WHEN id % 4 = 0 AND id % 5 <> 0 THEN 'pro' WHEN id % 3 = 0 THEN 'private' WHEN id % 3 = 1 THEN 'pro' ELSE 'unknown' END AS seller_type, lpad((id % 99999)::VARCHAR, 5, '0') AS postcode, CASE WHEN id % 7 = 0 THEN price + 500.0::DOUBLE END AS previous_price FROM a""")
 def results_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON-LD lists of results pages with their cards merged in."""
-    rows = pg.results_page(_result_pages(_adverts(spark, sf_dir)))
-    return rows.select("page", "source_id", F.col("position").cast("int").alias("position"), "price", "km", "power_hp", "seller_type", "postcode", "previous_price")
+    rows = pg.results_page(_result_pages(_adverts(spark, sf_dir)), as_of())
+    return rows.select("page", "source_id", F.col("position").cast("int").alias("position"), "price", "km", "power_hp", "title", "year", "first_registration", "seller_type", "postcode", "previous_price")
+
+
+@query(_ADVERTS + " SELECT 'https://a.de/search?page=' || id // 20 AS page, (1000000 + id)::VARCHAR AS listing_id, (row_number() OVER (PARTITION BY id // 20 ORDER BY id))::INT AS position, CASE WHEN id % 5 <> 0 THEN price::DOUBLE END AS price, CASE WHEN id % 3 <> 0 AND id % 13 <> 0 THEN km::INT END AS km FROM a")
+def item_list_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists alone, ten graphs deep; the advert that a page lists twice counts once."""
+    rows = pg.item_list_rows(_result_pages(_adverts(spark, sf_dir)), as_of())
+    return rows.select("page", F.col("source_id").alias("listing_id"), F.col("position").cast("int").alias("position"), "price", "km")
+
+
+@query(_ADVERTS + """ SELECT 'https://a.de/search?page=' || id // 20 AS page, (1000000 + id)::VARCHAR AS key, power || ' Ch' AS power_text, CASE id % 7 WHEN 0 THEN price + 500 WHEN 1 THEN price - 500 END || ' €' AS before_text FROM a
+UNION ALL SELECT 'https://a.de/search?page=' || id // 20, 'gallery-' || (1000000 + id), NULL, NULL FROM a""")
+def card_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What named elements hold: a card its whole inside, a gallery in it nothing."""
+    rows = pg.card_texts(_result_pages(_adverts(spark, sf_dir)))
+    return rows.select("page", F.array_join("keys", " ").alias("key"), F.nullif("power_text", F.lit("")).alias("power_text"), "before_text")
+
 
+@query(_ADVERTS + """ SELECT id, km || ' km' AS km, year || ' in spring' AS year, price::VARCHAR AS price, 'a & b ' || id AS name, 'in' AS inner_item, CASE WHEN id % 2 = 0 THEN 'even' END AS follows, 'Km' AS first_item, CASE WHEN id % 3 = 0 THEN 'last' END AS third FROM a""")
+def css_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selectors with combinators, places among children, attributes and lists, over a page for each order."""
+    a = _adverts(spark, sf_dir)
+    body = '<html><body><p>one<p class="y">two<ul class="specs big"><li>Km<li><b>⟨km⟩ km</b><li class="y">⟨year⟩<ul><li>in</ul>spring</ul><div class="x">no</div><section lang="fr-FR"><div class="x" data-price=" ⟨price⟩ ">a &amp; b<span> ⟨id⟩</span><!-- <i>c</i> --><script>"<div class=x>"</script></div>⟨even⟩<ol><li>1<li>2⟨third⟩</ol></section></body></html>'
+    html = _say(body, id=F.col("id"), km=F.col("km"), year=F.col("year"), price=F.col("price"), even=F.when(F.col("id") % 2 == 0, F.lit("<em>even</em>")), third=F.when(F.col("id") % 3 == 0, F.lit("<li>last")))
+    rules = {
+        "km": "ul.specs > li:nth-child(2)", "year": "body > .specs .y", "price": {"selector": "section > .x", "attr": "data-price"}, "name": '[lang|="fr"] .x', "inner_item": "li.y li, .none", "follows": "div.x[data-price] + em",
+        "first_item": "li:not(.y):first-child", "third": "ol > li ~ li:nth-child(2n+3)",
+    }
+    return trees.css_fields(a.select("id", html.alias("html")), rules)
 
-@query(_ADVERTS + " SELECT 'https://a.de/search?page=' || id // 20 AS page, count(*) AS rows, count(*) FILTER (id % 3 <> 0 AND id % 5 <> 0) AS complete, count(*) FILTER (id % 3 <> 0 AND id % 5 <> 0) >= greatest(1, floor(count(*) * 0.5)) AS usable FROM a GROUP BY 1")
+
+@query(_ADVERTS + " SELECT 'https://a.de/search?page=' || id // 20 AS page, count(*) AS rows, count(*) FILTER (id % 3 <> 0 AND id % 5 <> 0 AND id % 13 <> 0) AS complete, count(*) FILTER (id % 3 <> 0 AND id % 5 <> 0 AND id % 13 <> 0) >= greatest(1, floor(count(*) * 0.5)) AS usable FROM a GROUP BY 1")
 def results_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which results pages do without their cards."""
-    return pg.usable(pg.item_list_rows(_result_pages(_adverts(spark, sf_dir))))
+    return pg.usable(pg.item_list_rows(_result_pages(_adverts(spark, sf_dir)), as_of()))
 
 
 def _detail_pages(a: DataFrame) -> DataFrame:
-    """Five kinds in turn: two vehicles in a graph, microdata, OpenGraph, nothing, JSON-LD whose price and km stand in tags."""
-    i, value = F.col("id"), {"id": F.col("id"), "n": 1000000 + F.col("id"), "km": F.col("km"), "price": F.col("price"), "dotted_km": _dotted(F.col("km")), "dotted": _dotted(F.col("price"))}
+    """Five kinds in turn: two vehicles in a graph, microdata, OpenGraph, nothing, JSON-LD whose price, km and year stand in tags."""
+    i, value = F.col("id"), {"id": F.col("id"), "n": 1000000 + F.col("id"), "km": F.col("km"), "price": F.col("price"), "year": F.col("year"), "month": F.lpad(F.col("month").cast("string"), 2, "0"), "dotted_km": _dotted(F.col("km")), "dotted": _dotted(F.col("price")), "hp": F.when(F.col("id") % 3 == 0, 9000).otherwise(F.col("power"))}
     script = lambda body: _say(f'<script type="application/ld+json">{body}</script>', **value)
     html = (
-        F.when(i % 5 == 0, script('{"@graph":[{"@type":"WebPage","name":"x"},{"@type":"Car","name":"decoy","image":"d.jpg","brand":"Decoy"},{"@type":"Car","name":"Golf ⟨id⟩","brand":{"@type":"Brand","name":"Volkswagen"},"fuelType":"Diesel","vehicleTransmission":["Manual"],"mileageFromOdometer":"⟨dotted_km⟩","image":["/1.jpg",{"url":"2.jpg"},"/1.jpg"],"offers":[{"price":"⟨dotted⟩"}]}],}'))
+        F.when(i % 5 == 0, F.concat(F.lit('<script type="application/ld+json">{"@type":"Car", broken</script>'), script('{"@graph":[{"@type":"WebPage","name":"x"},{"@type":"Car","name":"decoy","image":"d.jpg","brand":"Decoy"},{"@type":"Car","name":"Golf ⟨id⟩","brand":{"@type":"Brand","name":"Volkswagen"},"fuelType":"Petrol","vehicleTransmission":["Manual"],"numberOfDoors":5,"seatingCapacity":{"value":"4"},"vehicleModelDate":"⟨year⟩","dateVehicleFirstRegistered":"⟨year⟩-⟨month⟩-15","vehicleEngine":{"enginePower":{"value":⟨hp⟩}},"mileageFromOdometer":"⟨dotted_km⟩","image":["/1.jpg",{"url":"2.jpg"},"/1.jpg"],"offers":[{"price":"⟨dotted⟩","seller":{"@type":"http://schema.org/Person","name":null,"value":"nobody"}}]}],}')))
         .when(i % 5 == 1, _say('<div itemscope><h1 itemprop="name">Focus ⟨id⟩</h1><meta itemprop="price" content="⟨price⟩"></div><meta property="og:title" content="other">', **value))
         .when(i % 5 == 2, _say('<meta property="og:title" content="Polo ⟨id⟩"><meta property="product:price:amount" content="⟨price⟩"><meta property="og:image" content="//img.a.de/⟨id⟩.jpg">', **value))
         .when(i % 5 == 3, F.lit("<html><p>gone</p></html>"))
-        .otherwise(F.concat(script('{"@type":"Car","name":"Clio ⟨id⟩","mileage":{"value":""}}'), _say('<p class="big price-tag" data-x="1">⟨dotted⟩ €</p><b id="km">⟨km⟩ km</b>', **value)))
+        .otherwise(F.concat(script('{"@type":"Car","name":"Clio ⟨id⟩","mileage":{"value":""}}'), _say('<p class="price-tag">none</p><div class="box"><p class="big price-tag" data-x="1"><b>⟨dotted⟩</b> €</p><b id="km">⟨km⟩ km</b><ul><li>x<li>since ⟨month⟩/⟨year⟩</ul></div>', **value)))
     )
     return a.select(F.concat(F.lit("https://a.de/auto/"), 1000000 + i, F.lit(".html")).alias("url"), html.alias("html"))
 
 
-@query(_ADVERTS + """ SELECT 'https://a.de/auto/' || (1000000 + id) || '.html' AS page, CASE id % 5 WHEN 0 THEN 'Golf ' || id || ' Diesel Manual' WHEN 1 THEN 'Focus ' || id WHEN 2 THEN 'Polo ' || id ELSE 'Clio ' || id END AS title, CASE WHEN id % 5 = 0 THEN 'Volkswagen' END AS make, price::DOUBLE AS price, CASE WHEN id % 5 IN (0, 4) THEN km::INT END AS km,
+@query(_ADVERTS + """ SELECT 'https://a.de/auto/' || (1000000 + id) || '.html' AS page, CASE id % 5 WHEN 0 THEN 'Golf ' || id || ' essence Manual' WHEN 1 THEN 'Focus ' || id WHEN 2 THEN 'Polo ' || id ELSE 'Clio ' || id END AS title, CASE WHEN id % 5 = 0 THEN 'Volkswagen' END AS make, price::DOUBLE AS price, CASE WHEN id % 5 IN (0, 4) THEN km::INT END AS km,
+CASE WHEN id % 5 IN (0, 4) THEN year::INT END AS year, CASE WHEN id % 5 = 0 AND id % 3 <> 0 THEN power::INT END AS power_hp, CASE WHEN id % 5 = 0 THEN 5 END AS doors, CASE WHEN id % 5 = 0 THEN 4 END AS seats, CASE id % 5 WHEN 0 THEN make_date(year, month, 15) WHEN 4 THEN make_date(year, month, 1) END AS first_registration,
 CASE id % 5 WHEN 0 THEN 'https://a.de/1.jpg https://a.de/auto/2.jpg' WHEN 2 THEN 'https://img.a.de/' || id || '.jpg' ELSE '' END AS images FROM a WHERE id % 5 <> 3""")
 def detail_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain of a detail page: JSON-LD, microdata, OpenGraph, then selectors."""
-    rows = pg.detail_page(_detail_pages(_adverts(spark, sf_dir)), {"price": ".price-tag", "km": {"selector": "#km"}})
-    return rows.select("page", "title", "make", "price", "km", F.array_join("images", " ").alias("images"))
+    selectors = {"price": "div > .price-tag", "km": {"selector": "#km"}, "year": ".box li:nth-child(2)", "registration": ".box ul > li + li"}
+    rows = pg.detail_page(_detail_pages(_adverts(spark, sf_dir)), as_of(), selectors)
+    return rows.select("page", "title", "make", "price", "km", "year", "power_hp", "doors", "seats", "first_registration", F.array_join("images", " ").alias("images"))
+
+
+@query(_ADVERTS + " SELECT 'https://a.de/auto/' || (1000000 + id) || '.html' AS page, CASE WHEN id % 5 = 0 THEN 'Volkswagen' END AS make, CASE WHEN id % 5 = 0 THEN price::DOUBLE END AS price, CASE WHEN id % 5 = 0 THEN km::INT END AS km, CASE WHEN id % 5 = 0 AND id % 3 <> 0 THEN power::INT END AS power_hp, CASE WHEN id % 5 = 0 THEN 'private' ELSE 'unknown' END AS seller_type, NULL::VARCHAR AS seller_name, CASE WHEN id % 5 = 0 THEN 2 ELSE 0 END AS images FROM a WHERE id % 5 IN (0, 4)")
+def jsonld_vehicle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best vehicle node of each page that has one; a seller whose name is there and null has none."""
+    df = pg.vehicles(_detail_pages(_adverts(spark, sf_dir)), as_of())
+    return df.select("page", "make", "price", "km", "power_hp", "seller_type", "seller_name", F.size("images").alias("images"))
+
+
+@query(_ADVERTS + """, b AS (SELECT *, 'https://a.de/auto/' || (1000000 + id) || '.html' AS url FROM a) SELECT url, 'og:title' AS property, CASE id % 5 WHEN 1 THEN 'other' ELSE 'Polo ' || id END AS content FROM b WHERE id % 5 IN (1, 2)
+UNION ALL SELECT url, 'product:price:amount', price::VARCHAR FROM b WHERE id % 5 = 2 UNION ALL SELECT url, 'og:image', '//img.a.de/' || id || '.jpg' FROM b WHERE id % 5 = 2""")
+def opengraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pg.open_graph(_detail_pages(_adverts(spark, sf_dir)))
+
+
+@query(_ADVERTS + ", b AS (SELECT *, 'https://a.de/auto/' || (1000000 + id) || '.html' AS url FROM a WHERE id % 5 = 1) SELECT url, 'name' AS property, 'Focus ' || id AS content FROM b UNION ALL SELECT url, 'price', price::VARCHAR FROM b")
+def microdata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pg.microdata(_detail_pages(_adverts(spark, sf_dir)))
 
 
 @query("""WITH a AS (SELECT o_orderkey AS id FROM orders), b AS (SELECT id, id % 11 = 0 AS failed, id % 7 <> 0 AS allowed, CASE WHEN id % 5 = 0 THEN 404 ELSE 200 END AS status, CASE WHEN id % 3 = 0 THEN id % 4 ELSE 0 END AS complete, id % 6 AS links, id % 2 = 0 AS js, id % 4 AS samples, least(id % 4, id % 13) AS usable FROM a)

@@ -139,40 +139,6 @@ def link_shape_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.link_shapes(spark.read.parquet(f"{sf_dir}/pages.parquet"), ul.path_of(F.col("url")))
 
 
-PAGES = [
-    ("https://a.de/auto/1234567", '<html><head><script type="application/ld+json">{"@context":"https://schema.org","@graph":[{"@type":"WebPage","name":"x"},{"@type":"Car","name":"Golf 1.6 TDI","brand":{"@type":"Brand","name":"Volkswagen"},"model":"Golf","mileageFromOdometer":{"@type":"QuantitativeValue","value":"98000","unitCode":"KMT"},"vehicleEngine":{"enginePower":{"value":85,"unitCode":"KWT"}},"image":["https://a.de/1.jpg","https://a.de/1.jpg",{"url":"https://a.de/2.jpg"}],"offers":{"price":"12.500","priceCurrency":"EUR","seller":{"@type":"AutoDealer"}},}]}</script><meta property="og:title" content="Golf"><meta property="og:title" content="second"></head></html>'),
-    ("https://a.de/suche?page=1", '<script type="application/ld+json">{"@type":"SearchResultsPage","mainEntity":{"@type":"ItemList","itemListElement":[{"position":1,"item":{"@type":"Car","name":"Clio","url":"https://a.de/d/11111111","offers":{"price":7000}}},{"position":2,"item":{"@type":"Car","name":"Polo","url":"https://a.de/d/22222222","mileageFromOdometer":{"value":50000,"unitCode":"SMI"},"offers":{"price":9000}}},{"position":3,"item":{"@type":"Car","name":"Clio again","url":"https://a.de/d/11111111?ref=x"}}]}}</script>'),
-    ("https://a.de/micro", '<div itemscope><span itemprop="name">Focus</span><meta itemprop="price" content="8800"><a itemprop="url" href="/d/33333">x</a></div>'),
-    ("https://a.de/empty", "<html></html>"),
-    ("https://a.de/null", None),
-]
-
-
-def _own(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PAGES, "url string, html string")
-
-
-@query("SELECT 'https://a.de/auto/1234567' AS page, 'Volkswagen' AS make, 12500::DOUBLE AS price, 98000 AS km, 116 AS power_hp, 'pro' AS seller_type, 2 AS images UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL WHERE false")
-def jsonld_vehicle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = pg.vehicles(_own(spark))
-    return df.select("page", "make", "price", "km", "power_hp", "seller_type", F.size("images").alias("images"))
-
-
-@query("SELECT * FROM (VALUES ('11111111', 1, 7000::DOUBLE, NULL::INT), ('22222222', 2, 9000, 80467)) t(listing_id, position, price, km)")
-def item_list_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pg.item_list_rows(_own(spark)).select(F.col("source_id").alias("listing_id"), "position", "price", "km")
-
-
-@query("SELECT 'https://a.de/auto/1234567' AS url, 'og:title' AS property, 'Golf' AS content")
-def opengraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pg.open_graph(_own(spark))
-
-
-@query("SELECT * FROM (VALUES ('https://a.de/micro', 'name', 'Focus'), ('https://a.de/micro', 'price', '8800'), ('https://a.de/micro', 'url', '/d/33333')) t(url, property, content)")
-def microdata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pg.microdata(_own(spark))
-
-
 @query("WITH r AS (SELECT o_orderkey // 4000 * 20 + o_custkey % 20 AS search, o_orderkey // 20 AS page_no, o_orderkey % 20 AS position, (o_orderkey * 7) % 900 AS listing_id FROM orders), m AS (SELECT *, row_number() OVER (PARTITION BY search, listing_id ORDER BY page_no, position) = 1 AS fresh FROM r), s AS (SELECT search, min(page_no) AS stop FROM (SELECT search, page_no FROM m GROUP BY ALL HAVING count(*) FILTER (fresh) = 0) GROUP BY search), k AS (SELECT m.*, row_number() OVER (PARTITION BY search ORDER BY page_no, position) AS rn FROM m LEFT JOIN s USING (search) WHERE fresh AND (stop IS NULL OR page_no < stop)) SELECT search, listing_id FROM k WHERE rn <= 30")
 def paginated_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over all orders: each 4,000 keys are the results of twenty searches more."""
