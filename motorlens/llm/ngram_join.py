@@ -18,7 +18,7 @@ and links with nothing. Two texts link when 100 * |intersection| >= 80 * |union|
    sketches (counts of shingles by hash range); each pair that is left is verified once, on whole texts, after the
    suffix filter.
 
-Rows that share an id are one document; each row is reported with its own text's set. A NULL id never names a component.
+Rows that share an id are one document, which links as each of its texts does; each row is reported with its own text's set. A NULL id never names a component.
 Only doc_id and text are read by :func:`components_of`; :func:`keep` passes other columns through.
 """
 
@@ -146,6 +146,42 @@ def describe(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary")
 
 
+def with_digest(docs: DataFrame) -> DataFrame:
+    """doc_id, text, digest of the rows of docs (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, data, off in chunks(b.column("text")):
+                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in shingle_sets(data, off)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("text").slice(lo, hi - lo), pa.array(digests, pa.binary())], ["doc_id", "text", "digest"])
+
+    return docs.mapInArrow(run, "doc_id long, text string, digest binary")
+
+
+def first_of_classes(docs: DataFrame, rows: DataFrame, copied: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of docs that stand for their class, and id, comp of documents that join others because rows of one id are
+    in several classes. copied: digest, id of classes of several rows."""
+    others = scratch.save(rows.where("n_shingles > 0").join(copied, "digest").where("doc_id <> id").select("doc_id", "digest", "id").distinct(), "others")
+    n = others.count()
+    chosen = docs.where("doc_id is not null")
+    if not n:
+        return chosen, None
+    ids = others.select("doc_id").distinct()
+    several = rows.where("n_shingles > 0").join(sized(ids, n), "doc_id", "left_semi").groupBy("doc_id").agg((F.min("digest") != F.max("digest")).alias("several")).where("several").select("doc_id")
+    several = scratch.save(several, "several")
+    m = several.count()
+    alone = chosen.join(sized(ids, n), "doc_id", "left_anti")
+    moved = None
+    if m:  # of such an id only the rows that are copies go
+        mixed = others.join(sized(several, m), "doc_id", "left_semi")
+        rest = with_digest(chosen.join(sized(several, m), "doc_id", "left_semi")).join(mixed.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti")
+        alone = alone.unionByName(rest.select("doc_id", "text"))
+        moved = join_components(mixed.select(F.col("doc_id").alias("a"), F.col("id").alias("b")), scratch)
+    if n > BROADCAST_ROWS or m:  # one shuffle of the texts, not one for each pass over them
+        alone = scratch.save(alone, "chosen")
+    return alone, moved
+
+
 def frequent(docs: DataFrame, buckets: int, scratch: Scratch) -> Order:
     """The order of the most frequent shingles, counted over all rows of docs."""
     shift = np.uint64(40 - (buckets.bit_length() - 1))
@@ -535,19 +571,13 @@ def components_of(docs: DataFrame) -> DataFrame:
     rows = scratch.save(describe(docs), "rows")
     classes = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("m"))
     copied = scratch.save(classes.where("m > 1").drop("m"), "copied")
-    # Every row but its class's first is left out from here on.
-    others = scratch.save(rows.where("n_shingles > 0").join(copied, "digest").where("doc_id <> id").select("doc_id").distinct(), "others")
-    chosen = docs.where("doc_id is not null")
-    n = others.count()
-    chosen = chosen.join(sized(others, n), "doc_id", "left_anti") if n else chosen
-    if n > BROADCAST_ROWS:  # one shuffle of the texts, not one for each pass over them
-        chosen = scratch.save(chosen, "chosen")
+    chosen, moved = first_of_classes(docs, rows, copied, scratch)
     total = rows.agg(F.sum("n_shingles")).head()[0] or 0
     buckets = buckets_for(total)
     order = frequent(chosen, buckets, scratch)
     lists = scratch.save(prefix_lists(chosen, order, buckets_for(total // 4)).withColumn("comp", F.col("id")), "lists")
 
-    comps, done, moved = None, None, None
+    comps, done = moved, None
     for turn in range(PIVOT_ROUNDS + 1):
         lists, entries, cross = still_open(lists, moved, scratch)
         if not cross:
