@@ -7,7 +7,7 @@ before or), and evaluating it gives the freedom that the reader has: the best of
 (`with`) makes a strong copyleft a weak one.
 
 The longest phrase at a word is the notice that stands there ("cc by nc" is not also "cc by"); base phrases count wherever
-they stand, inside longer ones too. An expression ends before the first token that cannot continue it; open parentheses
+they stand, inside longer ones too. An expression ends behind a full stop and before the first token that cannot continue it; open parentheses
 close at its end; without a first identifier there is none, and the tag gives no label. Labels are families: gpl-2.0-only
 and GPL-3.0+ are gpl. Score: 1 - product of (1 - strength) over the labels, a tag counting more than a notice; 0 without any.
 
@@ -74,6 +74,8 @@ def postfix(text: str) -> list[str]:
             else:
                 out.append(token.rstrip(".-"))
                 wanted = False
+                if token.endswith("."):  # a sentence ends
+                    break
         elif token == ")":
             if "(" not in held:
                 break

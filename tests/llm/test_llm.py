@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from motorlens.llm import byte_bpe, exact_dedup, ftrl, lm_scoring, ngram_join, quality_classifier, quality_rules, source_mix, token_files, toxicity, url_filter
+from motorlens.llm import byte_bpe, exact_dedup, filter_audit, ftrl, license_scan, lm_scoring, ngram_join, quality_classifier, quality_rules, source_mix, token_files, toxicity, url_filter, vector_codes
 from motorlens.llm import queries as llm_queries
 from motorlens.llm.shared import Scratch, chunks, hashes, segments
 
@@ -169,6 +169,32 @@ def test_components_like_union_find(spark, monkeypatch, held):
     assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in root if find(x) != x)
 
 
+def test_join_of_ids_with_several_texts(spark):
+    """An id whose one row is a copy keeps the links of its other rows; all its rows name one component."""
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(3, a), (5, a), (5, b), (9, b + " tail"), (11, b[:40]), (12, b[:40]), (20, a + " more"), (None, a), (None, b[:40])]
+    for texts in (rows, [*rows, (12, "c " * 30), (30, "c " * 30), (2, "d e f"), (12, "d e f")]):
+        got = ngram_join.query(spark, spark.createDataFrame(texts, "doc_id long, text string")).collect()
+        assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in got) == brute_documents(texts)
+
+
+def brute_documents(rows):
+    """Rows that share an id are one document; NULL ids take part through their class alone."""
+    sets = []
+    for _, t in rows:
+        w = re.findall(WORD, (t or "").lower())
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    ids = sorted({i for i, _ in rows if i is not None})
+    least = {i: i for i in ids}
+    for _ in ids:
+        for (i, _), x in zip(rows, sets):
+            for (j, _), y in zip(rows, sets):
+                if i is not None and j is not None and (i == j or x and y and 100 * len(x & y) >= 80 * len(x | y)):
+                    least[i] = least[j] = min(least[i], least[j])
+    alike = lambda x: min((least[i] for (i, _), y in zip(rows, sets) if i is not None and x and x == y), default=None)
+    return sorted((i or 0, len(x), least[i] if i is not None else alike(x)) for (i, _), x in zip(rows, sets))
+
+
 def test_join_empty(spark):
     assert ngram_join.query(spark, docs(spark, [])).count() == 0
     assert ngram_join.keep(docs(spark, [(1, None, "a", "b", 1), (2, None, "a", "b", 1)])).count() == 2
@@ -597,6 +623,8 @@ def odd_tables(spark, tmp_path_factory):
     labels.withColumns({c: F.lit(5) for c in ("score", "text", "predicted", "_quality_score")}).write.parquet(str(root / "labels.parquet"))
     pages = spark.createDataFrame([(1, "http://a.net/de/9"), (None, None), (1, "x")], "page_id long, url string").withColumns({c: F.lit("x") for c in CLASHES})
     pages.write.parquet(str(root / "pages.parquet"))
+    vectors = [(None, [0.5] * 16, None), (1, [0.25] * 16, 1), (1, [0.25] * 16, None), (2, None, 1), (3, [float("nan")] + [0.0] * 15, 1), (4, [None] + [0.0] * 15, 1), (5, [1.0] * 15, 2), (6, [float("inf")] * 16, 2), (7, [-0.001] * 16, 2)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").withColumns({c: F.lit("x") for c in CLASHES if c != "label"} | {c: F.lit(1) for c in ("code", "error", "_coded", "s0", "entry")}).write.parquet(str(root / "embeddings.parquet"))
     return str(root), df.count()
 
 
@@ -606,7 +634,8 @@ def test_odd_rows_and_clashing_columns(spark, odd_tables, name):
     df = llm_queries.queries()[name](spark, root)
     got = df.collect()
     assert len(set(df.columns)) == len(df.columns)
-    assert len(got) == (3 if name.startswith("op5") else rows)
+    expected = {"op5_url_filter": 3, "op11_filter_audit": 600 * len({r["lang"] or "" for r in spark.read.parquet(f"{root}/documents.parquet").select("lang").distinct().collect()}), "op13_vector_codes": 5}
+    assert len(got) == expected.get(name, rows)
 
 
 def test_pipeline_stages_like_brute_force(spark, odd_tables):
@@ -646,3 +675,197 @@ def test_pipeline_stages_like_brute_force(spark, odd_tables):
     assert set(got) <= set(kept) and all(abs(got[i] - copies[i]) <= 1 for i in kept)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, df.limit(0), root).count() == 0
+
+
+# ---------------------------------------------------------------- filter audit
+
+
+def audit_brute(rows, labels):
+    """Every order of filters applied left to right, one document after the other."""
+    import itertools
+
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, t in labels if t == 1 and i is not None}
+    bad = []
+    for i, t, *_ in rows:
+        t = t or ""
+        w = re.findall(WORD, t)
+        copy = i is not None and any(j is not None and j < i and (u or "") == t for j, u, *_ in rows)
+        fails = {"A": len(w) < 200, "B": 100 * len(set(w)) < 50 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 3 * len(t), "D": bool(re.search("[#$%&*|]", t)), "E": copy}
+        bad.append({c for c, f in fails.items() if f})
+    out = {}
+    for part in {r[2] or "" for r in rows}:
+        docs_ = [(r[0], b) for r, b in zip(rows, bad) if (r[2] or "") == part]
+        for order in itertools.permutations("ABCDE"):
+            left = list(docs_)
+            for step, c in enumerate(order, 1):
+                here = [d for d in left if c in d[1]]
+                left = [d for d in left if c not in d[1]]
+                fails = [d for d in docs_ if c in d[1]]
+                gone = sum(bool(d[1] & set(order[: step - 1])) for d in fails)
+                out[part, "".join(order), step] = [len(left), len(here), gone, sum(d[1] == {c} for d in docs_), sum(d[0] in good for d in here), sum(d[0] in toxic for d in here)]
+    for part, order, step in list(out):
+        c = order[step - 1]
+        out[part, order, step].append(sum(v[1] for (p, o, s), v in out.items() if p == part and o[s - 1] == c))
+    return {k: tuple(v) for k, v in out.items()}
+
+
+AUDITED = [
+    (1, "a " * 300, "en"), (2, "a " * 300, None), (3, None, ""), (4, "", None), (5, "Loud WORDS $ here", "en"), (5, "Loud WORDS $ here", "en"), (6, "Loud WORDS $ here", "de"), (None, "Loud WORDS $ here", "de"),
+    (7, " ".join(f"w{k}" for k in range(250)), "en"), (8, " ".join(f"w{k}" for k in range(250)), "en"), (9, "Ünï 漢字 " * 120, "en"), (10, "X" + "y" * 32, "de"), (11, "é" * 64 + "tail", "de"), (12, "é" * 64 + "tails", "de"),
+]
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_audit_like_every_order(spark, monkeypatch, same):
+    """Also if all texts of one length are in one class."""
+    if same:
+        monkeypatch.setattr(filter_audit, "classes", lambda text: [F.char_length(text).cast("long").alias(f"k{i}") for i in range(len(filter_audit.BLOCKS) + 2)])
+    rows = [*AUDITED, (20, "Loud WORDS % here", "en"), (21, "Loud WORDS % here", "en"), *((100 + k, t, "de") for k, t in enumerate(prose(60, 4, 400)))]
+    labels = [(1, 1, 0), (2, 1, 1), (5, 1, None), (5, 0, 1), (7, 1, 0), (8, 1, 0), (None, 1, 1), (999, 1, 1), (6, None, 1)]
+    df, l = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {(r["part"], r["filter_order"], r["step"]): (r["kept"], r["removed"], r["redundant"], r["unique_fails"], r["good_lost"], r["toxic_lost"], r["shapley"]) for r in filter_audit.query(spark, df, l).collect()}
+    assert got == audit_brute(rows, labels)
+    assert filter_audit.query(spark, df.limit(0), l).count() == 0
+
+
+# ---------------------------------------------------------------- licences
+
+
+def test_expressions_are_ordered_and_evaluated():
+    whole = lambda t: license_scan.evaluate(license_scan.postfix(t)) if license_scan.postfix(t) else None
+    assert whole(" MIT") == (3, ["mit"], "mit")
+    assert whole("MIT OR GPL-3.0-only AND Apache-2.0") == (3, ["mit", "gpl", "apache"], "(mit or (gpl-3.0-only and apache-2.0))")
+    assert whole("(MIT or GPL-3.0+) and apache-2.0") == (3, ["mit", "gpl", "apache"], "((mit or gpl-3.0+) and apache-2.0)")
+    assert whole("GPL-2.0-or-later WITH Classpath-exception-2.0 AND BSD-3-Clause") == (2, ["gpl", "bsd"], "((gpl-2.0-or-later with classpath-exception-2.0) and bsd-3-clause)")
+    assert whole("GPL-2.0 AND Proprietary-Thing") == (0, ["gpl", "proprietary-thing"], "(gpl-2.0 and proprietary-thing)")
+    assert whole("MIT OR") == whole("MIT OR (") == whole("(MIT") == whole("MIT) OR GPL-2.0") == whole("MIT. And so on") == (3, ["mit"], "mit")
+    assert whole("MIT and more words") == (0, ["mit", "more"], "(mit and more)")
+    assert whole("") is whole("( AND MIT") is whole("OR") is whole("--") is None
+
+
+def expression_brute(text):
+    """A recursive reader of complete expressions: the least of `and`, the best of `or`."""
+    tokens = re.findall(r"[()]|[A-Za-z0-9.+-]+", text)
+
+    def either(at):
+        value, at = both(at)
+        while at < len(tokens) and tokens[at].lower() == "or":
+            other, at = both(at + 1)
+            value = max(value, other)
+        return value, at
+
+    def both(at):
+        value, at = single(at)
+        while at < len(tokens) and tokens[at].lower() == "and":
+            other, at = single(at + 1)
+            value = min(value, other)
+        return value, at
+
+    def single(at):
+        if tokens[at] == "(":
+            value, at = either(at + 1)
+            return value, at + 1
+        value = license_scan.FREEDOM.get(license_scan.family(tokens[at]), 0)
+        if at + 2 < len(tokens) and tokens[at + 1].lower() == "with":
+            return (2 if value == 1 else value), at + 3
+        return value, at + 1
+
+    return either(0)[0]
+
+
+def test_expressions_like_a_recursive_reader():
+    r = random.Random(9)
+
+    def made(depth):
+        if depth == 0 or r.random() < 0.3:
+            name = r.choice(["MIT", "GPL-2.0-only", "LGPL-2.1+", "Apache-2.0", "Unknown-1.0", "CC-BY-NC-4.0"])
+            return name + (" WITH Some-exception" if r.random() < 0.2 else "")
+        inner = f" {r.choice(['AND', 'or', 'OR', 'and'])} ".join(made(depth - 1) for _ in range(r.randint(2, 3)))
+        return f"({inner})" if r.random() < 0.5 else inner
+
+    for _ in range(2000):
+        text = made(3)
+        assert license_scan.evaluate(license_scan.postfix(text))[0] == expression_brute(text), text
+
+
+def test_licence_places_like_a_plain_search(spark):
+    r = random.Random(5)
+    pieces = ["MIT", "License", "mit license", "Apache-License", "general public", "GENERAL PUBLIC LICENSE", "lesser", "license", "é", "cc by", "nc", "x1", ".", "\n", "||", "\u00a0"]
+    texts = [" ".join(r.choice(pieces) for _ in range(r.randint(0, 30))) for _ in range(400)]
+    texts += ["SPDX-License-Identifier: (MIT OR GPL-2.0-only) */\nmore", "x\nspdx license identifier : Apache-2.0\r\nMIT", "License-Expression MIT", "license expression: BSD-3-Clause", "SPDX-License-Identifier:", None, "", "mit license " * 20000, "Mit" + "\x00" + "License", "mitlicense", "mit\u00a0license"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({c: F.lit("x") for c in ("labels", "n_words", "row", "got", "spans")})
+    got = {x["doc_id"]: x for x in license_scan.query(spark, df).collect()}
+    for k, t in enumerate(texts):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        found = [(i, label) for phrase, label in license_scan.BASE.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()] if len(w) < 5000 else [(i, "mit") for i in range(0, len(w), 2)]
+        x = got[k]
+        assert (x["n_words"], x["n_base"]) == (len(w), len(found))
+        assert (x["first_word"], x["last_word"]) == ((min(found)[0], max(found)[0]) if found else (None, None))
+        assert x["base_labels"] == ",".join(sorted({label for _, label in found}))
+        assert set(x["base_labels"].split(",")) <= set(x["labels"].split(",")) or not x["base_labels"]
+        assert 0 <= x["score"] <= 1 and (x["score"] > 0) == bool(x["labels"])
+    assert [got[400 + k]["labels"] for k in range(5)] == ["gpl,mit", "apache", "", "bsd", ""]
+    assert got[400]["expressions"] == ["(mit or gpl-2.0-only)"] and got[400]["freedom"] == 3
+    spans = license_scan.scan(df.where("doc_id < 400").select("text")).select("text", "labels", F.explode("spans").alias("s")).collect()
+    assert all(s["s"]["label"] in s["labels"].split(",") for s in spans)
+    assert license_scan.query(spark, df.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- vector codes
+
+
+def codes_brute(rows, parts=16, entries=64, rounds=2, scale=256):
+    import math
+    from fractions import Fraction
+
+    kept = sorted((r for r in rows if r[1] is not None and all(x is not None and math.isfinite(x) for x in r[1])), key=lambda r: (r[0] is None, r[0], r[1]))
+    cut = [[[math.floor(Fraction(x) * scale) for x in r[1]][p * len(r[1]) // parts : (p + 1) * len(r[1]) // parts] for p in range(parts)] for r in kept]
+    books = [[list(c[p]) for c in cut[:entries]] for p in range(parts)]
+    best = lambda p, v: min((sum((a - b) ** 2 for a, b in zip(v, e)), k) for k, e in enumerate(books[p]))
+    for _ in range(rounds):
+        new = [[list(e) for e in b] for b in books]
+        for p in range(parts):
+            groups = collections.defaultdict(list)
+            for c in cut:
+                groups[best(p, c[p])[1]].append(c[p])
+            for k, g in groups.items():
+                new[p][k] = [sum(v) // len(g) for v in zip(*g)]
+        books = new
+    sha = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
+    out = []
+    for r, c in zip(kept, cut):
+        near = [best(p, c[p]) for p in range(parts)]
+        out.append((r[0], "".join(f"{k:02x}" for _, k in near), sum(d for d, _ in near), r[2], sha))
+    totals = collections.Counter()
+    for _, _, e, label, _ in out:
+        totals[label] += e
+    return [(i, code, e, totals[label], sha) for i, code, e, label, sha in out]
+
+
+@pytest.mark.parametrize("size", [0.3, 2e6, 1e9])
+def test_codes_like_brute_force(spark, size):
+    """Also where distances and sums need more than 64 bits."""
+    r = random.Random(2)
+    rows = [(i, [float(np.float32(r.gauss(0, size))) for _ in range(32)], r.choice([None, 1, 2])) for i in range(150)]
+    rows += [(7, list(rows[3][1]), 1), (None, list(rows[5][1]), None), (200, None, 1), (201, [float("nan")] * 32, 1), (202, [None] + [0.0] * 31, 2), (203, [-1e-9] * 32, None), (204, [0.0] * 31 + [float("-inf")], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(5)
+    got = sorted(map(tuple, vector_codes.query(spark, df).collect()), key=repr)
+    most = (1 << 63) - 1
+    want = sorted(((i, c, e if e <= most else None, t, sha) for i, c, e, t, sha in codes_brute(rows)), key=repr)
+    if size < 1e9:
+        assert got == want
+    else:
+        assert [(g[0], g[1], g[2], g[4]) for g in got] == [(w[0], w[1], w[2], w[4]) for w in want]
+
+
+def test_codes_of_small_and_odd_tables(spark):
+    schema = "vec_id long, embedding array<double>, label int"
+    assert vector_codes.query(spark, spark.createDataFrame([], schema)).count() == 0
+    assert vector_codes.query(spark, spark.createDataFrame([(1, None, 1)], schema)).count() == 0
+    rows = [(1, [0.5] * 16, 1), (2, [0.25] * 16, 1), (3, [0.5] * 20, 1), (4, [], 1), (5, [1e300] * 16, 2)]
+    got = {x["vec_id"]: x for x in vector_codes.query(spark, spark.createDataFrame(rows, schema)).collect()}
+    assert got[1]["code"] == "00" * 16 and got[2]["code"] == "01" * 16 and got[5]["code"] == "02" * 16 and got[5]["error"] == 0
+    assert got[3]["code"] is None and got[4]["code"] is None and got[1]["label_error"] == 0
+    out, books = vector_codes.compress(spark.createDataFrame([(1, [1.0] * 18, 1)], schema), parts=4)
+    assert books.shape == (4, 1, 5) and out.first()["code"] == "00000000"
