@@ -20,7 +20,7 @@ SELLER_FACTOR = {"pro": 1.07, "private": 1.0, "unknown": 1.03}
 COUNTRY_FACTOR = {"FR": 1.00, "DE": 0.93, "BE": 0.97, "NL": 1.02, "IT": 0.95, "ES": 0.94, "PT": 0.98, "AT": 0.99, "LU": 0.96, "PL": 0.88, "CH": 1.08, "GB": 0.90, "SE": 0.97, "DK": 1.05, "CZ": 0.90}
 OPTION_VALUE, OPTION_CAP, AUTOMATIC_FACTOR, KM_UNIT = 0.010, 0.09, 1.05, 150_000
 PREMIUM_MAKES = ("BMW", "Mercedes-Benz", "Audi", "Porsche", "Jaguar", "Land Rover", "Lexus", "Maserati", "Ferrari", "Lamborghini", "Alpine", "Tesla", "Polestar", "Volvo", "DS")
-#: Euros for a million input and output tokens before conversion; other models take DEFAULT_PRICE.
+#: Dollars for a million input and output tokens, converted at USD_TO_EUR; other models take DEFAULT_PRICE.
 DEFAULT_PRICE, USD_TO_EUR = (5.0, 25.0), 0.92
 
 
@@ -103,5 +103,5 @@ class Watchlist:
     channels: tuple[str, ...] = field(default=("console",))
 
 
-#: Score from which a deal is great.
+#: Scores from which a deal is great and worth a check, and the confidence from which a price is judged.
 GREAT, CHECK, MIN_CONFIDENCE = 75, 55, 0.35

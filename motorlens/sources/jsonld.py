@@ -31,8 +31,7 @@ SAID = {
 }
 OTHERS = ("asked", "currency_code", "distance", "distance_unit", "power", "doors_said", "seats_said", "seller_said", "locality", "postal_code", "area", "address")
 ENTRY = f"role string, position int, {', '.join(f'{c} string' for c in (*SAID, *OTHERS))}, seller_kinds array<string>, pictures array<string>"
-_TEXTS = pa.list_(pa.string())
-_ARROW = pa.list_(pa.struct([("role", pa.string()), ("position", pa.int32()), *((c, pa.string()) for c in (*SAID, *OTHERS)), ("seller_kinds", _TEXTS), ("pictures", _TEXTS)]))
+_TYPES = {"role": pa.string(), "position": pa.int32(), **dict.fromkeys((*SAID, *OTHERS), pa.string()), "seller_kinds": pa.list_(pa.string()), "pictures": pa.list_(pa.string())}
 
 
 def payloads(scripts: list[str]) -> Iterator[object]:
@@ -61,6 +60,8 @@ def objects(payload: object) -> Iterator[dict]:
 
 def said(value: object) -> str | None:
     """What a value says: a text itself, the first saying key of an object, the first of a list that says anything."""
+    if value.__class__ is str:
+        return value.strip() or None
     while isinstance(value, dict):
         value = next((value[k] for k in SAYING if k in value), None)
     if isinstance(value, list):
@@ -98,7 +99,12 @@ def entry(node: dict, role: str, position: int = 0, address: str | None = None)
     distance = node.get("mileageFromOdometer") or node.get("mileage")
     pictures = node.get("image") or node.get("photo") or []
     pictures = pictures if isinstance(pictures, list) else [pictures]
-    out = {c: next(filter(None, (said(node.get(k)) for k in keys)), None) for c, keys in SAID.items()}
+    out = dict.fromkeys(SAID)
+    for c, keys in SAID.items():
+        for k in keys:
+            if k in node and (text := said(node[k])):
+                out[c] = text
+                break
     return out | {
         "role": role, "position": position, "address": address, "asked": said(offer.get("price")) or said(node.get("price")), "currency_code": said(offer.get("priceCurrency")),
         "distance": _amount(distance), "distance_unit": str(_object(distance).get("unitCode") or _object(distance).get("unitText") or ""), "power": _amount(_object(node.get("vehicleEngine")).get("enginePower")),
@@ -118,18 +124,18 @@ def item_list(nodes: list[dict]) -> list:
     return elements if isinstance(elements, list) else [elements]
 
 
-def entries_of(scripts: list[str]) -> list[dict]:
+def entries_of(scripts: list[str], role: str) -> list[dict]:
     nodes = [n for p in payloads(scripts) for n in objects(p)]
+    if role == "vehicle":
+        best = max(nodes, key=points, default={})  # the first of equals
+        return [entry(best, role)] if points(best) else []
     out = []
-    best = max(nodes, key=points, default=None)  # the first of equals
-    if best is not None and points(best):
-        out.append(entry(best, "vehicle"))
     for i, element in enumerate(item_list(nodes)):
         if isinstance(element, dict):
             node = element["item"] if isinstance(element.get("item"), dict) else element
             address = said(element.get("url")) or said(node.get("url")) or said(element.get("@id"))
             if address and VEHICLES & set(kinds(node)):
-                out.append(entry(node, "item", i + 1, address))
+                out.append(entry(node, role, i + 1, address))
     return out
 
 
@@ -139,6 +145,14 @@ def scripts(html: Column) -> Column:
 
 def entries(pages: DataFrame, role: str) -> DataFrame:
     """page and the entries of one role ("vehicle" or "item") of each page (url, html)."""
-    run = F.arrow_udf(lambda lists: pa.array([[e for e in entries_of(s or []) if e["role"] == role] for s in lists.to_pylist()], _ARROW), f"array<struct<{ENTRY}>>")
+    def walk(lists: pa.Array) -> pa.Array:
+        rows, first = [], [0]
+        for s in lists.to_pylist():
+            rows += entries_of(s or [], role)
+            first.append(len(rows))
+        columns = [pa.array([r[c] for r in rows], t) for c, t in _TYPES.items()]
+        return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.StructArray.from_arrays(columns, list(_TYPES)))
+
+    run = F.arrow_udf(walk, f"array<struct<{ENTRY}>>")
     found = pages.where(F.col("html").contains("ld+json")).select(F.col("url").alias("page"), run(scripts(F.col("html"))).alias("found"))
     return found.select("page", F.inline("found")).drop("role")

@@ -2,7 +2,7 @@
 
 A tokeniser and one nesting scan (:func:`trees`, the only Python here) give every element where it is entered and left.
 After that everything is interval containment inside the row, in Column expressions: an element is inside another if its
-interval is, a text belongs to all elements whose interval holds it. Selectors therefore need no join and no shuffle, and
+interval is, and its texts are a run of the page's texts. Selectors therefore need no join and no shuffle, and
 their work follows the elements that their parts match.
 
 Nesting: end tags close what is open above their element and are ignored without one; void elements hold nothing; list
@@ -30,17 +30,19 @@ ENDS = {
     "tr": (frozenset(("tr",)), frozenset(("table",))), "td": (frozenset(("td", "th")), frozenset(("tr", "table"))), "th": (frozenset(("td", "th")), frozenset(("tr", "table"))),
     "option": (frozenset(("option",)), frozenset(("select",))), **{b: (frozenset(("p",)), _INLINE_STOP) for b in _BLOCKS},
 }
-_TOKEN = re.compile(r"""<!--.*?-->|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|(?P<text>[^<]+|<)""", re.S)
+#: Text; end tag; start tag and its attributes; comments and declarations.
+_TOKEN = re.compile(r"""([^<]+)|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>|<!--.*?-->|<[!?/][^>]*>|(<)""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
-NODE = "struct<enter: int, leave: int, depth: int, parent: int, nth: int, tag: string, attrs: map<string, string>>"
-TREE = f"nodes array<{NODE}>, texts array<struct<at: int, said: string>>"
+NODE = "struct<enter: int, leave: int, depth: int, parent: int, nth: int, first_text: int, texts: int, tag: string, attrs: map<string, string>>"
+TREE = f"nodes array<{NODE}>, texts array<string>"
 
 
-def parse(html: str) -> tuple[list[list], list[tuple[int, str]]]:
-    """([enter, leave, depth, parent, nth, tag, attributes] of each element in document order, [(place, text)])."""
+def parse(html: str) -> tuple[list[list], list[str]]:
+    """([enter, leave, depth, parent, nth, texts before, texts inside, tag, attributes] of each element in document order,
+    and all texts)."""
     nodes: list[list] = []
-    texts: list[tuple[int, str]] = []
+    texts: list[str] = []
     open_: list[int] = []
     children = [0]
     at = pos = 0
@@ -48,37 +50,42 @@ def parse(html: str) -> tuple[list[list], list[tuple[int, str]]]:
     def close(down_to: int) -> None:
         for i in open_[down_to:]:
             nodes[i][1] = at
+            nodes[i][6] = len(texts) - nodes[i][5]
         del open_[down_to:], children[down_to + 1 :]
 
     while m := _TOKEN.match(html, pos):
         pos, at = m.end(), at + 1
-        if m["text"] is not None:
-            if said := unescape(m["text"]).strip():
-                texts.append((at, said))
+        text, end, tag, written, loose = m.groups()
+        if text or loose:
+            if said := (text or loose).strip():
+                texts.append(unescape(said).strip() if "&" in said else said)
             continue
-        if m["tag"] is None:
-            continue
-        tag = m["tag"].lower()
-        if m["end"]:
+        if end:
+            end = end.lower()
             for k in range(len(open_) - 1, -1, -1):
-                if nodes[open_[k]][5] == tag:
+                if nodes[open_[k]][7] == end:
                     close(k)
                     break
             continue
+        if not tag:
+            continue
+        tag = tag.lower()
         if tag in ENDS:
             ended, stops = ENDS[tag]
             for k in range(len(open_) - 1, -1, -1):
-                above = nodes[open_[k]][5]
+                above = nodes[open_[k]][7]
                 if above in ended:
                     close(k)
                     break
                 if above in stops:
                     break
         attrs: dict[str, str] = {}
-        for name, *values in _ATTR.findall(m["attrs"]):
-            attrs.setdefault(name.lower(), unescape("".join(values)))
+        if written:
+            for name, a, b, c in _ATTR.findall(written):
+                value = a or b or c
+                attrs.setdefault(name.lower(), unescape(value) if "&" in value else value)
         children[-1] += 1
-        nodes.append([at, at, len(open_), nodes[open_[-1]][0] if open_ else 0, children[-1], tag, attrs])
+        nodes.append([at, at, len(open_), nodes[open_[-1]][0] if open_ else 0, children[-1], len(texts), 0, tag, attrs])
         if tag in RAW:
             end = re.compile(f"</{tag}", re.I).search(html, pos)
             pos = end.start() if end else len(html)
@@ -98,15 +105,14 @@ def _arrow(htmls: list[str | None]) -> pa.Array:
         texts += t
         first.append(len(nodes))
         first_text.append(len(texts))
-    ints = [pa.array([n[k] for n in nodes], pa.int32()) for k in range(5)]
+    ints = [pa.array([n[k] for n in nodes], pa.int32()) for k in range(7)]
     pairs, offsets = [], [0]
     for n in nodes:
-        pairs += n[6].items()
+        pairs += n[8].items()
         offsets.append(len(pairs))
     attrs = pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), pa.array([k for k, _ in pairs], pa.string()), pa.array([v for _, v in pairs], pa.string()))
-    node = pa.StructArray.from_arrays([*ints, pa.array([n[5] for n in nodes], pa.string()), attrs], ["enter", "leave", "depth", "parent", "nth", "tag", "attrs"])
-    text = pa.StructArray.from_arrays([pa.array([a for a, _ in texts], pa.int32()), pa.array([s for _, s in texts], pa.string())], ["at", "said"])
-    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(first, pa.int32()), node), pa.ListArray.from_arrays(pa.array(first_text, pa.int32()), text)], ["nodes", "texts"])
+    node = pa.StructArray.from_arrays([*ints, pa.array([n[7] for n in nodes], pa.string()), attrs], ["enter", "leave", "depth", "parent", "nth", "first_text", "texts", "tag", "attrs"])
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(first, pa.int32()), node), pa.ListArray.from_arrays(pa.array(first_text, pa.int32()), pa.array(texts, pa.string()))], ["nodes", "texts"])
 
 
 def trees(pages: DataFrame, html: str = "html", out: str = "tree") -> DataFrame:
@@ -130,8 +136,9 @@ _PART = re.compile(
 _COMBINATOR = re.compile(r"\s*([>+~])\s*|\s+")
 
 
-def _words(value: Column) -> Column:
-    return F.split(F.coalesce(value, F.lit("")), "\\s+")
+def _word(value: Column, word: str) -> Column:
+    """Whether a list of words holds one."""
+    return value.contains(word) & value.rlike(f"(?:^|\\s)\\Q{word}\\E(?:\\s|$)")
 
 
 def _nth(node: Column, formula: str) -> Column:
@@ -153,14 +160,14 @@ def _simple(m: re.Match) -> Callable[[Column], Column]:
     if m["tag"]:
         return (lambda n: F.lit(True)) if m["tag"] == "*" else lambda n: n["tag"] == m["tag"].lower()
     if m["cls"]:
-        return lambda n: F.array_contains(_words(n["attrs"]["class"]), m["cls"])
+        return lambda n: _word(n["attrs"]["class"], m["cls"])
     if m["id"]:
         return lambda n: n["attrs"]["id"] == m["id"]
     if m["attr"]:
         name = m["attr"].lower()
         tests = {
             "=": lambda a: a == value, "*=": lambda a: a.contains(value), "^=": lambda a: a.startswith(value), "$=": lambda a: a.endswith(value),
-            "~=": lambda a: F.array_contains(_words(a), value), "|=": lambda a: (a == value) | a.startswith(f"{value}-"),
+            "~=": lambda a: _word(a, value), "|=": lambda a: (a == value) | a.startswith(f"{value}-"),
         }
         if not m["op"]:
             return lambda n: n["attrs"][name].isNotNull()
@@ -245,8 +252,7 @@ def inside(found: Column, node: Column) -> Column:
 
 def text_of(tree: Column, node: Column) -> Column:
     """All texts in an element, stripped and joined by spaces; NULL if there is none."""
-    held = F.filter(tree["texts"], lambda t: (t["at"] > node["enter"]) & (t["at"] < node["leave"]))
-    return F.nullif(F.array_join(F.transform(held, lambda t: t["said"]), " "), F.lit(""))
+    return F.nullif(F.array_join(F.slice(tree["texts"], node["first_text"] + 1, node["texts"]), " "), F.lit(""))
 
 
 def read(tree: Column, selector: str, attr: str = "text") -> Column:
