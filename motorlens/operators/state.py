@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A price has moved when it differs by more than this many euros.
-MOVE = 1.0
+from motorlens.operators.history import MOVE
+
 FRESH_HOURS = 24
 
 
@@ -36,21 +36,16 @@ def price_changes(history: DataFrame) -> DataFrame:
     return history.withColumn("previous", prev).where(F.col("previous").isNull() | (F.abs(F.col("price_eur") - F.col("previous")) > MOVE))
 
 
-def recorded_points(history: DataFrame) -> DataFrame:
-    """The price history: a point is recorded when it differs from the last *recorded* one by more than a euro.
-
-    The rule is a fold, not a lag; it runs over each listing's own points, in time order, inside the JVM."""
-    point = F.struct("seen_at", "event_id", "price_eur")
-    kind = "array<struct<seen_at:timestamp,event_id:bigint,price_eur:double>>"
-    points = history.withColumn("event_id", F.col("event_id").cast("long")).withColumn("seen_at", F.col("seen_at").cast("timestamp")).groupBy("listing_id").agg(F.sort_array(F.collect_list(point)).alias("points"))
-    folded = F.aggregate("points", F.array().cast(kind), lambda a, p: F.when(F.size(a) == 0, F.array(p)).when(F.abs(F.get(a, F.size(a) - 1)["price_eur"] - p["price_eur"]) > MOVE, F.concat(a, F.array(p))).otherwise(a))
-    return points.select("listing_id", F.explode(folded).alias("p")).select("listing_id", "p.price_eur", "p.seen_at", "p.event_id")
-
-
 def upsert(stored: DataFrame, incoming: DataFrame, keys: tuple[str, ...], at: str) -> DataFrame:
-    """Latest state after a batch: rows of incoming replace those of stored, whole; repeats in a batch: the last wins."""
+    """Latest state after a batch: rows of incoming replace those of stored; repeats in a batch: the last wins. Columns
+    that incoming lacks keep what is stored; its own NULLs count."""
+    only = [c for c in stored.columns if c not in incoming.columns]
+    rest = [c for c in dict.fromkeys([*stored.columns, *incoming.columns]) if c not in keys and c not in only]
     both = stored.withColumn("_batch", F.lit(0)).unionByName(incoming.withColumn("_batch", F.lit(1)), allowMissingColumns=True)
-    return latest(both, keys, ("_batch", at)).drop("_batch")
+    order = F.struct("_batch", at)
+    kept = [F.max_by(F.struct(*only), F.when(F.col("_batch") == 0, order)).alias("_kept")] if only else []
+    got = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row"), *kept)
+    return got.select(*keys, "_row.*", *(["_kept.*"] if only else []))
 
 
 def stale(df: DataFrame, hours: Column, touched: Column | None = None, revalue_all: bool = False) -> DataFrame:
@@ -96,13 +91,24 @@ def applied(stored: DataFrame, batch: DataFrame, keys: tuple[str, ...], at: str,
 
 
 def ingest(stored: DataFrame, batch: DataFrame, keys: tuple[str, ...], at: str, turn: str) -> DataFrame:
-    """The stored state after a batch, with price_changed_at of the last move, and touched: whether this batch moved the price."""
+    """The stored state after a batch, with first_seen, price_changed_at of the last move, and touched: whether this batch
+    moved the price. What the batch does not say of an advert (scores, alerts, first_seen) stays as it is stored."""
+    rows = applied(stored, batch, keys, at, turn)
+    news = rows.groupBy(*keys).agg(F.max(F.when(F.col("moved"), F.col(at))).alias("_moved_at"), F.min(F.when(F.col("created"), F.col(at))).alias("_created_at"))
+    for name in ("first_seen", "price_changed_at"):
+        if name not in stored.columns:
+            stored = stored.withColumn(name, F.lit(None).cast("timestamp"))
+    now = upsert(stored.drop("touched"), rows.drop("previous", "created", "moved", "first_seen", "price_changed_at", turn), keys, at)
+    out = now.join(news, list(keys), "left")
+    return out.withColumns({
+        "first_seen": F.coalesce("first_seen", "_created_at"), "price_changed_at": F.coalesce("_moved_at", "price_changed_at"), "touched": F.col("_moved_at").isNotNull(),
+    }).drop("_moved_at", "_created_at")
+
+
+def price_cuts(stored: DataFrame, batch: DataFrame, keys: tuple[str, ...], at: str, turn: str) -> DataFrame:
+    """The price cuts that a batch makes: keys, turn, previous and price_eur, each more than a euro lower."""
     rows = applied(stored, batch, keys, at, turn)
-    moves = rows.where("moved").groupBy(*keys).agg(F.max(at).alias("_moved_at"))
-    now = upsert(stored.drop("price_changed_at", "touched"), rows.drop("previous", "created", "moved"), keys, at).drop(turn)
-    then = stored.select(*keys, (F.col("price_changed_at") if "price_changed_at" in stored.columns else F.lit(None).cast("timestamp")).alias("_before"))
-    out = now.join(moves, list(keys), "left").join(then, list(keys), "left")
-    return out.withColumns({"price_changed_at": F.coalesce("_moved_at", "_before"), "touched": F.col("_moved_at").isNotNull()}).drop("_moved_at", "_before")
+    return rows.where((F.col("previous") != 0) & (F.col("price_eur") < F.col("previous") - MOVE)).select(*keys, turn, "previous", "price_eur")
 
 
 def seeded(rows: DataFrame, keys: tuple[str, ...], at: str) -> DataFrame:

@@ -10,6 +10,8 @@ from motorlens.operators import deals, profile, state
 from motorlens.sources import pages as pg
 from motorlens.sources import trees
 from motorlens.sources.fixtures import as_of, spread
+from motorlens.streaming.folders import shared_folder
+from motorlens.streaming.store import Store
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -179,19 +181,68 @@ w AS (SELECT *, lag(price_eur) OVER (PARTITION BY source_id ORDER BY turn) AS pr
 m AS (SELECT *, late AND (first OR abs(price_eur - previous) > 1) AS moved FROM w) """
 
 
-@query(_SIGHTINGS + "SELECT source_id, arg_max(price_eur, turn) AS price_eur, epoch_ms(max(turn) FILTER (moved) * 1000)::TIMESTAMP AS price_changed_at, bool_or(moved) AS touched FROM m GROUP BY source_id")
+_KEYS = ("source_id",)
+
+
+@query(_SIGHTINGS + """, f AS (SELECT source_id, min(turn) AS turn FROM o WHERE NOT late GROUP BY source_id) SELECT source_id, arg_max(price_eur, m.turn) AS price_eur, epoch_ms(max(m.turn) FILTER (moved) * 1000)::TIMESTAMP AS price_changed_at, bool_or(moved) AS touched,
+epoch_ms(coalesce(any_value(f.turn), min(m.turn) FILTER (late)) * 1000)::TIMESTAMP AS first_seen, CASE WHEN any_value(f.turn) IS NOT NULL THEN source_id % 100 END AS score FROM m LEFT JOIN f USING (source_id) GROUP BY source_id""")
 def ingest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State after a batch, with the adverts whose price it moved."""
+    """State after a batch, with the adverts whose price it moved; what only the store has stays."""
+    stored, batch = _sightings(spark, sf_dir)
+    stored = stored.join(_first_seen(spark, sf_dir), "source_id").withColumn("score", (F.col("source_id") % 100).cast("long"))
+    rows = state.ingest(stored, batch, _KEYS, "last_seen", "turn")
+    plain = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("price_changed_at", "first_seen")]
+    return rows.select("source_id", "price_eur", *plain, "touched", "score")
+
+
+def _first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When adverts of the first half were seen first."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    half = o.agg(F.expr("max(o_orderkey) div 2").alias("half"))
+    early = o.crossJoin(F.broadcast(half)).where("o_orderkey <= half and o_orderkey % 700 < 500 and o_orderkey % 9 <> 0")  # one row
+    return early.groupBy((F.col("o_orderkey") % 700).alias("source_id")).agg(F.timestamp_seconds(F.min("o_orderkey")).alias("first_seen"))
+
+
+@query("""WITH p AS (SELECT max(o_orderkey) // 4 + 1 AS part FROM orders), o AS (SELECT o_orderkey % 700 AS source_id, o_orderkey AS turn, o_orderkey // part AS batch, (1000 + (o_orderkey * 13) % 3)::DOUBLE AS price_eur FROM orders, p WHERE o_orderkey % 9 <> 0),
+w AS (SELECT *, lag(price_eur) OVER (PARTITION BY source_id ORDER BY turn) AS previous FROM o), m AS (SELECT *, previous IS NULL OR abs(price_eur - previous) > 1 AS moved FROM w)
+SELECT source_id, arg_max(price_eur, turn) AS price_eur, min(turn) AS first_turn, max(turn) AS last_turn, max(turn) FILTER (moved) AS moved_turn, bool_or(moved AND batch = 3) AS touched, CASE WHEN min(turn) FILTER (batch <= 1) IS NOT NULL THEN source_id % 100 END AS score,
+CASE WHEN min(turn) FILTER (batch <= 1) IS NOT NULL AND source_id % 100 >= 90 THEN 1 END AS alerted FROM m GROUP BY source_id""")
+def ingest_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table behind four batches, of which two come again, with a scoring run and its alerts in between."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("turn"))
+    part = o.agg(F.expr("max(turn) div 4 + 1").alias("part")).first()["part"]
+    rows = o.select(
+        (F.col("turn") % 700).alias("source_id"), "turn", F.timestamp_seconds("turn").alias("last_seen"), (1000 + (F.col("turn") * 13) % 3).cast("double").alias("price_eur"),
+        F.when(F.col("turn") % 9 != 0, F.lit("car")).alias("title"), F.floor(F.col("turn") / part).alias("batch"),
+    )
+    store = Store(spark, shared_folder(spark, "listings"), _KEYS, "source_id long, last_seen timestamp, price_eur double, title string", buckets=8)
+    take = lambda old, batch: state.ingest(old, batch, _KEYS, "last_seen", "turn")
+    put = lambda n: store.apply("sightings", n, rows.where(F.col("batch") == n).drop("batch"), take)
+    put(0)
+    put(1)
+    scores = store.read().select("source_id", (F.col("source_id") % 100).alias("score"), F.when(F.col("source_id") % 100 >= 90, 1).alias("alerted"))
+    store.apply("scores", 0, scores, lambda old, new: old.join(new, "source_id", "left"))
+    put(1)
+    put(2)
+    put(3)
+    put(3)
+    put(0)
+    second = lambda c: F.unix_seconds(c)
+    return store.read().select("source_id", "price_eur", second("first_seen").alias("first_turn"), second("last_seen").alias("last_turn"), second("price_changed_at").alias("moved_turn"), "touched", "score", "alerted")
+
+
+@query(_SIGHTINGS + "SELECT source_id, turn, previous, price_eur FROM m WHERE late AND NOT first AND price_eur < previous - 1")
+def price_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price cuts of a batch, one by one."""
     stored, batch = _sightings(spark, sf_dir)
-    rows = state.ingest(stored, batch, ("source_id",), "last_seen", "turn")
-    return rows.select("source_id", "price_eur", F.col("price_changed_at").cast("timestamp_ntz").alias("price_changed_at"), "touched")
+    return state.price_cuts(stored, batch, _KEYS, "last_seen", "turn")
 
 
 @query(_SIGHTINGS + "SELECT source_id, 2000.0::DOUBLE AS price_eur, epoch_ms((turn - 1) * 1000)::TIMESTAMP AS seen_at FROM m WHERE late AND first AND cut")
 def price_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First price points of new adverts that show the price they had before."""
     stored, batch = _sightings(spark, sf_dir)
-    seeds = state.seeded(state.applied(stored, batch, ("source_id",), "last_seen", "turn"), ("source_id",), "last_seen")
+    seeds = state.seeded(state.applied(stored, batch, _KEYS, "last_seen", "turn"), _KEYS, "last_seen")
     return seeds.select("source_id", "price_eur", F.col("seen_at").cast("timestamp_ntz").alias("seen_at"))
 
 

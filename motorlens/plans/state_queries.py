@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motorlens.functions import urls as ul
 from motorlens.functions import vocab as v
-from motorlens.operators import profile, state
+from motorlens.operators import history, profile, state
 from motorlens.sources import pages as pg
 from motorlens.sources.fixtures import observations, observations_sql
 from motorlens.streaming import prices
+from motorlens.streaming.folders import shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -52,25 +51,28 @@ SELECT listing_id, price_eur, event_id::BIGINT AS event_id FROM f WHERE kept"""
 
 @query(_FOLD)
 def price_history_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.recorded_points(observations(spark, sf_dir, True)).select("listing_id", "price_eur", "event_id")
+    return history.recorded_points(observations(spark, sf_dir, True)).select("listing_id", "price_eur", "event_id")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of observations."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_folder(sf_dir))
+    price = (1000 + F.floor("value") / 10).alias("price_eur")
+    return raw.select(F.col("user_id").cast("long").alias("listing_id"), price, F.col("ts").cast("timestamp").alias("seen_at"), F.col("event_id").cast("long").alias("event_id")).where("event_id is not null")
 
 
 @query(_FOLD)
 def stream_price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same fold as a stream over the events table, run until all is read."""
-    import tempfile
+    return prices.follow_prices(_events(spark, sf_dir), shared_folder(spark, "stream")).select("listing_id", "price_eur", "event_id")
 
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_folder(sf_dir))
-    raw = raw.select(F.col("user_id").cast("long").alias("listing_id"), (1000 + F.floor("value") / 10).alias("price_eur"), F.col("ts").cast("timestamp").alias("seen_at"), F.col("event_id").cast("long").alias("event_id")).where("event_id is not null")
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="motorlens-stream-")
-    out = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
-    prices.run_once(raw, f"{out}/points", f"{out}/checkpoint")
-    return spark.read.schema(prices.POINT).parquet(f"{out}/points").select("listing_id", "price_eur", "event_id")
+
+@query("WITH l AS (SELECT user_id AS listing_id, max(ts) AS last_seen FROM events GROUP BY user_id) SELECT listing_id::BIGINT AS listing_id, last_seen, false AS active FROM l WHERE last_seen + INTERVAL 6 HOUR + INTERVAL 10 MINUTE < (SELECT max(last_seen) FROM l)")
+def stream_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings that six hours without a sighting have ended, told by timers."""
+    rows = prices.follow_activity(_events(spark, sf_dir), shared_folder(spark, "activity"), "6 hours", "10 minutes").where("not active")
+    return rows.select("listing_id", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "active")
 
 
 def _folder(sf_dir: str) -> str:

@@ -76,6 +76,7 @@ def parse(html: str) -> tuple[list[list], list[str]]:
                 above = nodes[open_[k]][7]
                 if above in ended:
                     close(k)
+                    at += 1
                     break
                 if above in stops:
                     break
