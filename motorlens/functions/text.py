@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from motorlens.schemas import FX_TO_EUR
+from motorlens.schemas import DEFAULT_PRICE, FX_TO_EUR, USD_TO_EUR
 
 _WIDE_SPACES = "\u00a0\u202f\u2009\u2007"
 _PLAIN = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, 0x250)]
@@ -129,6 +129,11 @@ def to_eur(amount: Column, currency: Column) -> Column:
     return F.round(amount * F.try_element_at(rates, F.upper(F.coalesce(F.nullif(currency, F.lit("")), F.lit("EUR")))), 2)
 
 
+def token_cost(read: Column, written: Column, rates: tuple[float, float] = DEFAULT_PRICE) -> Column:
+    """Euros for tokens read and written, at rates in dollars for a million each."""
+    return (read * rates[0] + written * rates[1]) / 1e6 * USD_TO_EUR
+
+
 def country(code: Column) -> Column:
     return F.substring(F.upper(F.coalesce(F.nullif(code, F.lit("")), F.lit("FR"))), 1, 2)
 
