@@ -22,6 +22,8 @@ OPTION_VALUE, OPTION_CAP, AUTOMATIC_FACTOR, KM_UNIT = 0.010, 0.09, 1.05, 150_000
 PREMIUM_MAKES = ("BMW", "Mercedes-Benz", "Audi", "Porsche", "Jaguar", "Land Rover", "Lexus", "Maserati", "Ferrari", "Lamborghini", "Alpine", "Tesla", "Polestar", "Volvo", "DS")
 #: Dollars for a million input and output tokens, converted at USD_TO_EUR; other models take DEFAULT_PRICE.
 DEFAULT_PRICE, USD_TO_EUR = (5.0, 25.0), 0.92
+#: Rates of models by name, for callers to fill.
+MODEL_RATES: dict[str, tuple[float, float]] = {}
 
 
 @dataclass(frozen=True)
