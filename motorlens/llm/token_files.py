@@ -5,8 +5,8 @@ A folder holds, for each part k in ascending document order, ``k.bin`` (ids, uin
 and a ``manifest.json`` with the integer width and, for each part, its documents, tokens and base. Bases are prefix sums
 of the parts' token counts; a document's global start is base + offset.
 
-Parts are ranges of doc_id; each is written by one task under a name of its own attempt and renamed when whole, so a
-repeated task replaces its part. NULL texts are empty documents (the end id alone). NULL ids sort first and read back as
+Parts are ranges of doc_id, as many as the bytes of text ask for; each is written by one task, chunk by chunk, under a name
+of its own attempt and renamed when whole, so a repeated task replaces its part. NULL texts are empty documents (the end id alone). NULL ids sort first and read back as
 NULL. Rows that repeat an id are all written, ordered by text. Only doc_id and text are read.
 """
 
@@ -17,19 +17,23 @@ import os
 import unicodedata
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from motorlens.llm.shared import chunks, shared_root, small_batches
 
 #: Stands for a NULL document id in a .doc file.
 NULL_ID = -(1 << 63)
 END_ID = 1
+#: Bytes of text in a part at most, about; there are spark.sql.shuffle.partitions parts if that makes them smaller.
+PART_BYTES = 256 << 20
 
 
 # ---------------------------------------------------------------- files in the shared folder
@@ -42,8 +46,8 @@ def _local(url: str) -> str | None:
     return url if "://" not in url else None
 
 
-def write_file(url: str, parts: list[bytes]) -> None:
-    """Write and rename, so that a file is whole or absent."""
+def write_file(url: str, parts: Iterable[bytes]) -> None:
+    """Write piece by piece and rename, so that a file is whole or absent."""
     temp = f"{url}.{uuid.uuid4().hex}"
     if path := _local(url):
         os.makedirs(os.path.dirname(path), exist_ok=True)
@@ -171,26 +175,34 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) ->
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, enc = TaskContext.get().partitionId(), encoder(tokenizer, dtype)
-        end, ids, sizes, names = np.array([end_id], dtype).tobytes(), [], [], []
+        end, sizes, names = np.array([end_id], dtype).tobytes(), [], []
         width = np.dtype(dtype).itemsize
-        for b in batches:
-            names.append(b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8"))
-            for _, _, data, off in chunks(b.column(1)):
-                raw = data.tobytes()
-                for i, j in zip(off.tolist(), off[1:].tolist()):
-                    ids.append(enc.ids(raw[i:j]) + end)
-                    sizes.append(len(ids[-1]) // width)
-        if not sizes:
+
+        def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[bytes]:
+            for b in batches:
+                names.append(b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8"))
+                for _, _, data, off in chunks(b.column(1)):
+                    raw = data.tobytes()
+                    ids = [enc.ids(raw[i:j]) + end for i, j in zip(off.tolist(), off[1:].tolist())]
+                    sizes.extend(len(x) // width for x in ids)
+                    yield b"".join(ids)
+
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
             return
+        write_file(f"{folder}/{k:06d}.bin", blocks(chain([first], batches)))  # one chunk of texts is held at a time
         starts = np.zeros(len(sizes) + 1, "<u8")
         np.cumsum(sizes, out=starts[1:])
-        write_file(f"{folder}/{k:06d}.bin", ids)
         write_file(f"{folder}/{k:06d}.idx", [starts.tobytes()])
         write_file(f"{folder}/{k:06d}.doc", [np.concatenate(names).tobytes()])
         yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (k, len(sizes), int(starts[-1]))], ["part", "n_docs", "n_tokens"])
 
     small_batches(docs.sparkSession)
-    ranges = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+    size = plain.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    most = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = plain.repartitionByRange(-(-size // PART_BYTES), "doc_id") if size > most * PART_BYTES else plain.repartitionByRange("doc_id")
+    ranges = dealt.sortWithinPartitions("doc_id", "text")
     parts = sorted(map(tuple, ranges.mapInArrow(part, "part long, n_docs long, n_tokens long").collect()))  # one row for each part
     manifest, base = {"dtype": dtype, "end_id": end_id, "parts": []}, 0
     for k, n_docs, n_tokens in parts:
@@ -231,8 +243,6 @@ def default_tokenizer() -> str:
 
 def query(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
-    from pyspark.sql import functions as F
-
     folder = f"{shared_root(spark)}/motorlens/token-files-{uuid.uuid4().hex[:12]}"
     manifest = write(docs, folder, tokenizer or default_tokenizer())
     return read(spark, folder, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
