@@ -151,9 +151,9 @@ SUSPECT = re.compile(
 
 
 class Restorer:
-    """Restores texts; keeps the readings of spans it has met."""
+    """Restores texts; keeps the readings of short spans it has met."""
 
-    LIMIT = 50_000
+    LIMIT, KEPT = 50_000, 64
 
     def __init__(self, costs: np.ndarray):
         self.costs, self.seen = costs, {}
@@ -161,6 +161,8 @@ class Restorer:
     def read(self, span: str) -> str:
         if (out := self.seen.get(span)) is None:
             out = decode(span, self.costs)
+            if len(span) > self.KEPT:
+                return out
             if len(self.seen) > self.LIMIT:
                 self.seen.clear()
             self.seen[span] = out
