@@ -236,7 +236,7 @@ def judge(docs: DataFrame, shrink: float = SHRINK, quantile: float = QUANTILE) -
     own = scratch.save(mixed(found.join(near(tree.select("group", "parent")), "group"), above, shrink), "groups")
     d2 = F.when(~F.col("base_failed"), F.col("d2"))
     judged = _distance(stats.join(near(own), "group", "left"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", d2.alias("d2"), (~F.col("base_failed") & (F.col("d2") <= chi2_quantile(quantile, DIM))).alias("kept"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("d2") <= chi2_quantile(quantile, DIM))).alias("kept"), d2.alias("d2"))
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
