@@ -88,6 +88,17 @@ def test_token_files_round_trip(spark):
     assert token_files.query(spark, docs(spark, [])).count() == 0
 
 
+def test_token_parts_follow_the_bytes(spark, tmp_path, monkeypatch):
+    """More text makes more parts, which are written chunk by chunk; what is read back is the same."""
+    rows = docs(spark, [(50 + i, x, "en", "a", 1) for i, x in enumerate(prose(400))] + ODD)
+    few = token_files.write(rows, f"file://{tmp_path}/few", token_files.default_tokenizer())
+    monkeypatch.setattr(token_files, "PART_BYTES", 2000)
+    many = token_files.write(rows, f"file://{tmp_path}/many", token_files.default_tokenizer())
+    assert len(many["parts"]) > 2 * len(few["parts"])
+    both = [sorted(map(tuple, token_files.read(spark, f"file://{tmp_path}/{k}", m).select("doc_id", "start", "n_tokens", F.crc32("ids")).collect()), key=repr) for k, m in (("few", few), ("many", many))]
+    assert both[0] == both[1]
+
+
 def brute_components(rows):
     sets = {}
     for i, text, *_ in rows:
@@ -405,6 +416,66 @@ class Seen(toxicity.Restorer):
         return self.spans
 
 
+def every_reading(span, costs):
+    """The cheapest reading among all paths of the lattice, by enumeration."""
+    runs = [len(re.match(re.escape(c) + "+", span[i:]).group()) for i, c in enumerate(span)]
+    best = (float("inf"), "")
+
+    def walk(i, state, cost, text):
+        nonlocal best
+        if i == len(span):
+            total = cost + costs[state[0], state[1], 0]
+            best = min(best, (total, text))
+            return
+        for j, x, channel in toxicity.edges(span, i, runs[i]):
+            if x:
+                code = ord(x) - 96 if "a" <= x <= "z" else 0 if x.isspace() else 27 if ord(x) > 127 else 28
+                walk(j, (state[1], code), cost + channel + costs[state[0], state[1], code], text + x)
+            else:
+                walk(j, state, cost + channel, text)
+
+    walk(0, (0, 0), 0.0, "")
+    return best
+
+
+def cost_of(span, text, costs):
+    """The cheapest path that reads text."""
+    kept = [float("inf")]
+    runs = [len(re.match(re.escape(c) + "+", span[i:]).group()) for i, c in enumerate(span)]
+
+    def walk(i, state, cost, at):
+        if i == len(span):
+            if at == len(text):
+                kept[0] = min(kept[0], cost + costs[state[0], state[1], 0])
+            return
+        for j, x, channel in toxicity.edges(span, i, runs[i]):
+            if x and text.startswith(x, at):
+                code = ord(x) - 96 if "a" <= x <= "z" else 0 if x.isspace() else 27 if ord(x) > 127 else 28
+                walk(j, (state[1], code), cost + channel + costs[state[0], state[1], code], at + len(x))
+            elif not x:
+                walk(j, state, cost + channel, at)
+
+    walk(0, (0, 0), 0.0, 0)
+    return kept[0]
+
+
+def test_decoding_finds_the_cheapest_of_all_paths():
+    r = random.Random(11)
+    signs = "abeilost" * 2 + "013457@$!|+()-. /\\_v<" + "é"
+    for n in range(400):
+        costs = np.random.default_rng(n).exponential(2.0, (toxicity.SYMBOLS,) * 3) + 0.01
+        span = "".join(r.choice(signs) * r.choice([1, 1, 1, 2, 3]) for _ in range(r.randint(1, 4)))[:7]
+        total, _ = every_reading(span, costs)
+        assert abs(cost_of(span, toxicity.decode(span, costs), costs) - total) < 1e-9, span
+
+
+def test_long_spans_are_not_kept():
+    restorer = toxicity.Restorer(np.ones((toxicity.SYMBOLS,) * 3))
+    restorer.read("a" * 65)
+    restorer.read("a" * 64)
+    assert list(restorer.seen) == ["a" * 64]
+
+
 def test_toxicity_chunk_looks_where_the_expression_does():
     for written in ("m 0 r 0 n", "1 d 1 0 t", "i--d--i--o--t", "i  d  i  o  t", "a$$"):
         assert Seen().of(f"you {written}") == [m.group() for m in toxicity.SUSPECT.finditer(f"you {written}")] != []
