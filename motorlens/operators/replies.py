@@ -70,7 +70,7 @@ def checked(replies: DataFrame) -> DataFrame:
 
 
 def applied(reports: DataFrame, replies: DataFrame, key: str = "id") -> DataFrame:
-    """reports (key, report of the rules) with the reply's values in the report where a reply is whole; model, photos_analyzed
+    """reports (key, report of the rules) with the reply's values in the report where a reply is whole; read_by (the model, or rules), photos_analyzed
     (0 for the rules), degraded_reason and cost_eur. An advert without a row in replies was not asked about."""
     points = {"info": 3, "attention": 12, "serieux": 30, "redhibitoire": 60}
     c = checked(replies).select(F.col(key).alias("_key"), F.col("model").alias("_model"), "reply", "degraded_reason", "cost_eur", "photos")
@@ -84,6 +84,6 @@ def applied(reports: DataFrame, replies: DataFrame, key: str = "id") -> DataFram
     )
     whole = r.isNotNull()
     return both.withColumns({
-        "report": F.when(whole, told).otherwise(F.col("report")), "model": F.when(whole, F.col("_model")).otherwise(F.lit("rules")), "photos_analyzed": F.when(whole, F.coalesce("photos", F.lit(0))).otherwise(F.lit(0)),
+        "report": F.when(whole, told).otherwise(F.col("report")), "read_by": F.when(whole, F.col("_model")).otherwise(F.lit("rules")), "photos_analyzed": F.when(whole, F.coalesce("photos", F.lit(0))).otherwise(F.lit(0)),
         "cost_eur": F.coalesce("cost_eur", F.lit(0.0)),
     }).drop("_key", "_model", "reply", "photos")

@@ -181,10 +181,10 @@ def diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- model replies
 
-_GOOD = '{"summary":"fine","condition_score":80,"consistency_score":50,"photo_findings":[],"red_flags":[{"label":"rust","severity":"serieux","evidence":"photo 1","estimated_cost_eur":300}],"strengths":["one owner"],"known_issues_to_check":[],"questions_to_seller":[],"negotiation_levers":[],"estimated_repairs_eur":300,"verdict":"avoid","confidence":70}'
+GOOD_REPLY = '{"summary":"fine","condition_score":80,"consistency_score":50,"photo_findings":[],"red_flags":[{"label":"rust","severity":"serieux","evidence":"photo 1","estimated_cost_eur":300}],"strengths":["one owner"],"known_issues_to_check":[],"questions_to_seller":[],"negotiation_levers":[],"estimated_repairs_eur":300,"verdict":"avoid","confidence":70}'
 _BODIES = [
-    _GOOD, None, _GOOD[:200], _GOOD[:-20], _GOOD.replace('"verdict":"avoid",', ""), _GOOD.replace('"condition_score":80', '"condition_score":180'), _GOOD.replace('"condition_score":80', '"condition_score":"good"'), _GOOD.replace("serieux", "huge"),
-    _GOOD.replace('"avoid"', '"maybe"'), _GOOD.replace('"red_flags":[{', '"red_flags":[null,{'),
+    GOOD_REPLY, None, GOOD_REPLY[:200], GOOD_REPLY[:-20], GOOD_REPLY.replace('"verdict":"avoid",', ""), GOOD_REPLY.replace('"condition_score":80', '"condition_score":180'), GOOD_REPLY.replace('"condition_score":80', '"condition_score":"good"'), GOOD_REPLY.replace("serieux", "huge"),
+    GOOD_REPLY.replace('"avoid"', '"maybe"'), GOOD_REPLY.replace('"red_flags":[{', '"red_flags":[null,{'),
 ]
 _REASONS = [None, "refused by the model", "reply cut off", "reply is no JSON", "lacks verdict", "condition_score out of range", "condition_score of another type", "unknown severity", "unknown verdict", "unknown severity"]
 
@@ -200,8 +200,8 @@ def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         (i % 9000).alias("input_tokens"), F.lit(100).alias("output_tokens"), F.lit("m").alias("model"), F.lit(3).alias("photos"),
     )
     got = replies.applied(expert.report(df, as_of()).select("id", "report"), told)
-    mine = F.col("model") == "m"
-    return got.select("id", "model", F.when(mine, F.col("report.verdict")).alias("told"), F.when(mine, F.col("report.risk_score")).alias("risk"), F.col("photos_analyzed").alias("photos"), "degraded_reason", "cost_eur")
+    mine = F.col("read_by") == "m"
+    return got.select("id", F.col("read_by").alias("model"), F.when(mine, F.col("report.verdict")).alias("told"), F.when(mine, F.col("report.risk_score")).alias("risk"), F.col("photos_analyzed").alias("photos"), "degraded_reason", "cost_eur")
 
 
 @query(DUCK + """ SELECT id, '# Car' || chr(10) || 'make: ' || make || chr(10) || 'model: ' || model || chr(10) || 'year: ' || year || chr(10) || 'km: ' || replace(format('{:,}', km), ',', ' ') || chr(10) || 'fuel: ' || fuel || chr(10) || 'gearbox: ' || gearbox || chr(10) || 'power (hp): ' || power_hp

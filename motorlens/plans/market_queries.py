@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from motorlens import schemas as s
 from motorlens.functions import signals as sg
 from motorlens.functions import text as tx
-from motorlens.operators import alerts, deals, expert, profile, state
+from motorlens.operators import alerts, deals, expert, profile, scan, state
 from motorlens.operators import valuation as val
 from motorlens.plans.market_sql import BEST, CHAIN, HEADLINE, SAID, SCORE
-from motorlens.sources.fixtures import DUCK, as_of, listings
+from motorlens.sources.fixtures import DUCK, PLAIN_DUCK, as_of, duck, listings
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -308,3 +308,47 @@ def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(DUCK + " SELECT field, filled FROM (SELECT count(price_eur) AS price_eur, count(*) FILTER (description <> '') AS description, count(*) FILTER (seller_type <> 'unknown') AS seller_type, count(km) AS km FROM listings) UNPIVOT (filled FOR field IN (price_eur, description, seller_type, km))")
 def field_fill_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.filled(listings(spark, sf_dir), ("price_eur", "description", "seller_type", "km"))
+
+
+# ---------------------------------------------------------------- a whole scan
+
+_DEEP = 10
+_CANDIDATE = "active AND price_eur IS NOT NULL AND (analyzed_hours > 24 OR analyzed_hours = 0 OR id % 17 = 0)"
+_STUBS = f"SELECT * REPLACE (CASE WHEN id % 4 = 0 THEN 0 ELSE sentence END AS sentence) FROM ({PLAIN_DUCK}) z"
+_PICKED = SCORE.replace(DUCK, duck(_STUBS)) + f" SELECT id FROM deal WHERE {_CANDIDATE} AND (id % 4 = 0 OR sentence = 0) ORDER BY score DESC, id LIMIT {scan.DETAILS}"
+_AFTER = f"SELECT * REPLACE (CASE WHEN id % 4 = 0 AND NOT (id % 12 <> 0 AND id IN (FROM picked)) THEN 0 ELSE sentence END AS sentence, (CASE WHEN id % 12 <> 0 AND id IN (FROM picked) AND NOT (id % 4 <> 0) AND told <> 0 THEN km + 400 ELSE km END)::INT AS km) FROM (SELECT *, sentence AS told FROM ({PLAIN_DUCK}) y) z"
+_SCAN = "WITH picked AS MATERIALIZED (" + _PICKED + "), " + SCORE.replace(DUCK, duck(_AFTER)).removeprefix("WITH ")
+
+
+def _ask(best: DataFrame) -> DataFrame:
+    """Replies to the best adverts: every third is refused, the others are whole."""
+    from motorlens.plans.crawl_queries import GOOD_REPLY
+
+    i = F.col("id")
+    return best.select("id", F.when(i % 3 == 0, "refusal").otherwise("end_turn").alias("stop_reason"), F.lit(GOOD_REPLY).alias("body"), (1000 + i % 1000).alias("input_tokens"), F.lit(100).alias("output_tokens"), F.lit("m").alias("model"), F.lit(2).alias("photos"))
+
+
+def _scan(spark: SparkSession, sf_dir: str, deep: int = 0) -> scan.Scan:
+    """Every fourth advert is listed without its description. Its own page tells it, and 400 km more; every third of these
+    pages tells nothing."""
+    full = _worded(listings(spark, sf_dir)).withColumn("price_dropped", F.col("id") % 9 == 0)
+    market = full.withColumn("description", F.when(F.col("id") % 4 != 0, F.col("description")))
+    searched = deals.search_filter(market, s.SearchQuery())
+    candidates = state.stale(searched, F.nullif(F.col("analyzed_hours"), F.lit(0)), F.col("id") % 17 == 0)
+    opened = full.where("id % 4 = 0").withColumns({"description": F.when(F.col("id") % 12 != 0, F.col("description")), "km": F.col("km") + 400})
+    return scan.run(market, searched, candidates, as_of(), opened, ("demo", "sitea", "siteb", "sitec", "sited"), deep, ask=_ask if deep else None)
+
+
+@query(_SCAN + f" SELECT id, score, comps_count, round(fair_price_eur, 0) AS fair_price_eur, id IN (FROM picked) AS opened FROM deal WHERE {_CANDIDATE}")
+def scan_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After a scan with its second pass, every candidate is scored as if all were valued anew."""
+    return _scan(spark, sf_dir).scored.select("id", "score", "comps_count", F.round("fair_price_eur", 0).alias("fair_price_eur"), "opened")
+
+
+@query(_SCAN + f""", best AS (SELECT * FROM deal WHERE {_CANDIDATE} ORDER BY score DESC, id LIMIT {_DEEP}), every AS (SELECT count(*) AS n, count(*) FILTER (id % 5 = 0) AS new, count(*) FILTER (active AND price_eur IS NOT NULL) AS searched, count(*) FILTER ({_CANDIDATE}) AS candidates FROM listings)
+SELECT n AS collected, new AS created, candidates AS valued, searched - candidates AS skipped_fresh, (SELECT count(*) FROM picked) AS opened, (SELECT count(*) FROM picked JOIN listings USING (id) WHERE id % 4 = 0 AND id % 12 <> 0 AND sentence <> 0) AS detailed,
+(SELECT count(*) FROM best WHERE id % 3 <> 0) AS deep, (SELECT count(*) FROM best WHERE id % 3 = 0) AS degraded, (SELECT round(coalesce(sum(round(((1000 + id % 1000) * {s.DEFAULT_PRICE[0]} + 100 * {s.DEFAULT_PRICE[1]}) / 1e6 * {s.USD_TO_EUR}::DOUBLE, 4)), 0), 4) FROM best WHERE id % 3 <> 0) AS cost_eur FROM every""")
+def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of a scan with a deep pass."""
+    seen = listings(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("id") % 5 == 0).alias("created"))
+    return scan.summary(_scan(spark, sf_dir, _DEEP), seen)

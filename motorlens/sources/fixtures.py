@@ -87,12 +87,16 @@ FROM (SELECT y.*,
             FROM {orders} LEFT JOIN {customer} ON o_custkey = c_custkey) a) b) y) x"""
 
 
-#: The same listings for DuckDB, with the fingerprint, to put before an oracle's own query.
-DUCK = (
-    "WITH listings AS (SELECT *, substr(sha1(concat_ws('|', lower(make), lower(model), year::VARCHAR, km::VARCHAR, fuel, power_hp::VARCHAR)), 1, 24) AS fingerprint FROM ("
-    + listings_sql(False).replace("AS STRING)", "AS VARCHAR)")
-    + ") l)"
-)
+#: The same listings for DuckDB, without the fingerprint.
+PLAIN_DUCK = listings_sql(False).replace("AS STRING)", "AS VARCHAR)")
+
+
+def duck(inner: str) -> str:
+    """listings for DuckDB from the SQL of their rows, with the fingerprint, to put before an oracle's own query."""
+    return "WITH listings AS (SELECT *, substr(sha1(concat_ws('|', lower(make), lower(model), year::VARCHAR, km::VARCHAR, fuel, power_hp::VARCHAR)), 1, 24) AS fingerprint FROM (" + inner + ") l)"
+
+
+DUCK = duck(PLAIN_DUCK)
 
 
 def spread(df: DataFrame) -> DataFrame:
