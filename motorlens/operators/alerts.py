@@ -48,10 +48,14 @@ def record(alerts: DataFrame, sent_at: Column) -> DataFrame:
     return alerts.select("watchlist_id", F.col("id").alias("listing_id"), "score", sent_at.alias("sent_at"))
 
 
-def criteria(q: s.SearchQuery) -> str:
+def criteria(q: s.SearchQuery, search_url: str | None = None) -> str:
+    """What a watchlist looks for: its own search address, else its criteria."""
+    if search_url:
+        return search_url
     bits = [x for x in (q.make, q.model) if x]
-    if q.price_max:
-        bits.append(f"jusqu'a {q.price_max:,.0f} EUR".replace(",", " "))
+    for value, wording in ((q.price_max, "jusqu'a {:.0f} EUR"), (q.year_min, "a partir de {}"), (q.km_max, "moins de {} km")):  # fixed wording
+        if value:
+            bits.append(wording.format(value))
     return " ".join(bits) or "tous criteres"
 
 
@@ -71,3 +75,17 @@ def deliver(alerts: DataFrame, sink: str, path: str) -> None:
         alerts.withColumn("payload", payload()).select("watchlist_id", "id", "payload").write.mode("append").format(sink).save(path)
     elif sink == "console":
         alerts.select(message().alias("alert")).show(truncate=False)
+
+
+STORED_REPORT = "summary string, condition_score int, consistency_score int, verdict string, confidence int, score struct<score: int, headline: string, net_gain_eur: double, verdict: string>"
+
+
+def reloaded(alerts: DataFrame, valuations: DataFrame, analyses: DataFrame) -> DataFrame:
+    """alerts with their stored valuation and analysis (listing_id, report as JSON). An alert without either, or whose report
+    cannot be read, is not sent. What the stored score leaves out comes from the alert's own row."""
+    read = analyses.select("listing_id", F.from_json("report", STORED_REPORT).alias("stored")).where("stored.summary is not null and stored.verdict is not null")
+    both = alerts.join(valuations.withColumnRenamed("listing_id", "_v"), F.col("id") == F.col("_v")).join(read, F.col("id") == F.col("listing_id")).drop("_v", "listing_id")
+    score = F.col("stored.score")
+    return both.withColumns({
+        "score": F.coalesce(score["score"], F.col("score"), F.lit(0)), "headline": F.coalesce(score["headline"], F.lit("")), "net_gain_eur": F.coalesce(score["net_gain_eur"], F.lit(0.0)), "verdict": F.coalesce(score["verdict"], F.col("verdict"), F.lit("check")),
+    })

@@ -48,12 +48,20 @@ def upsert(stored: DataFrame, incoming: DataFrame, keys: tuple[str, ...], at: st
     return got.select(*keys, "_row.*", *(["_kept.*"] if only else []))
 
 
-def stale(df: DataFrame, hours: Column, touched: Column | None = None, revalue_all: bool = False) -> DataFrame:
-    """Rows to value again: never analysed, analysed too long ago, priced anew since, or touched by this run."""
+def stale(df: DataFrame, hours: Column, touched: Column | None = None, revalue_all: bool = False, repriced: Column | None = None) -> DataFrame:
+    """Rows to value again: never analysed, analysed too long ago, priced anew since (repriced), or touched by this run."""
     if revalue_all:
         return df
     ok = hours.isNull() | (hours > FRESH_HOURS)
-    return df.where(ok | touched) if touched is not None else df.where(ok)
+    for more in (touched, repriced):
+        if more is not None:
+            ok |= F.coalesce(more, F.lit(False))
+    return df.where(ok)
+
+
+def newest_first(df: DataFrame, at: str, key: str = "id") -> DataFrame:
+    """df in the order in which a run takes its rows: those seen last come first."""
+    return df.orderBy(F.desc_nulls_last(at), key)
 
 
 def deactivate(df: DataFrame, source: str, unseen: Column) -> DataFrame:

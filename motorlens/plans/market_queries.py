@@ -265,6 +265,42 @@ def candidates_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.stale(df, F.nullif(F.col("analyzed_hours"), F.lit(0)), F.col("id") % 17 == 0).select("id")
 
 
+@query(DUCK + " SELECT id, seen_days FROM listings WHERE active AND price_eur IS NOT NULL AND (analyzed_hours > 24 OR analyzed_hours = 0 OR id % 17 = 0 OR analyzed_hours > seen_days AND id % 3 = 0)")
+def candidates_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run takes, also adverts whose price changed after their analysis; those seen last come first."""
+    df = deals.search_filter(listings(spark, sf_dir), s.SearchQuery())
+    df = df.withColumns({"analyzed_at": as_of().cast("timestamp") - F.make_dt_interval(hours=F.col("analyzed_hours")), "price_changed_at": F.when(F.col("id") % 3 == 0, as_of().cast("timestamp") - F.make_dt_interval(hours=F.col("seen_days"))), "last_seen": F.date_sub(as_of(), F.col("seen_days"))})
+    due = state.stale(df, F.nullif(F.col("analyzed_hours"), F.lit(0)), F.col("id") % 17 == 0, repriced=F.col("analyzed_at") < F.col("price_changed_at"))
+    return state.newest_first(due, "last_seen").select("id", "seen_days")
+
+
+@query(SCORE + "SELECT id, unnest(codes) AS code, (generate_subscripts(codes, 1) - 1)::INT AS turn FROM df WHERE len(codes) > 0")
+def defects_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known weaknesses with their place in the report, the most severe first."""
+    df = _worded(listings(spark, sf_dir))
+    per_year = tx.km_per_year(F.col("km"), tx.age_years(F.col("year"), as_of()))
+    return sg.match_defects(df, per_year).select("id", F.posexplode("defects").alias("turn", "d")).select("id", "d.code", "turn")
+
+
+@query(SCORE + "SELECT r.id, least(8, 3 + (km > 120000)::INT + least(2, len(codes)) + least(2, heavy + light))::INT AS questions, (unexplained::INT + coalesce(kmy > 32000, false)::INT)::INT AS own_flags FROM r JOIN df USING (id)")
+def report_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many questions a report has, eight at most, and flags that no wording gave."""
+    df = expert.report(_worded(valued(spark, sf_dir)), as_of())
+    own = F.filter("report.red_flags", lambda f: f["label"].startswith("Decote") | f["label"].startswith("Kilometrage annuel"))
+    return df.select("id", F.size("report.questions").alias("questions"), F.size(own).alias("own_flags"))
+
+
+@query(DUCK + """ SELECT id, CASE WHEN id % 4 = 0 THEN 90 ELSE (id % 100)::INT END AS score, CASE WHEN id % 4 = 0 THEN 'stored' ELSE '' END AS headline, CASE WHEN id % 4 = 0 THEN 'grab' ELSE 'check' END AS verdict, (10000.0 + id)::DOUBLE AS fair_price_eur FROM listings WHERE id % 5 = 0 AND id % 2 = 0 AND id % 3 = 0 AND id % 7 <> 0 AND id % 11 <> 0""")
+def alerts_reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts from what is stored: without a valuation, without an analysis or with a broken one there is none."""
+    i, df = F.col("id"), listings(spark, sf_dir)
+    due = df.where("id % 5 = 0").select("id", "make", (i % 100).cast("int").alias("score"), F.lit("check").alias("verdict"))
+    valuations = df.where("id % 2 = 0").select(i.alias("listing_id"), (10000.0 + i).alias("fair_price_eur"))
+    whole = F.concat(F.lit('{"summary":"s","condition_score":1,"consistency_score":2,"verdict":"check","confidence":3'), F.when(i % 4 == 0, ',"score":{"score":90,"headline":"stored","net_gain_eur":5.0,"verdict":"grab"}').otherwise(""), F.lit("}"))
+    analyses = df.where("id % 3 = 0").select(i.alias("listing_id"), F.when(i % 7 == 0, F.lit('{"summary": ')).when(i % 11 == 0, F.lit('{"summary":"s"}')).otherwise(whole).alias("report"))
+    return alerts.reloaded(due, valuations, analyses).select("id", "score", "headline", "verdict", "fair_price_eur")
+
+
 @query(DUCK + " SELECT id FROM listings WHERE price_eur IS NOT NULL AND price_eur <> 0")
 def ingest_admissible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.admissible(_worded(listings(spark, sf_dir))).select("id")

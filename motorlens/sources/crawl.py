@@ -254,3 +254,9 @@ class SiteSource(DataSource):
         size = int(self.options.get("run", 20))
         asked = json.loads(self.options["requests"])
         return _Reader([Run(s, urls[i : i + size]) for s, urls in asked.items() for i in range(0, len(urls), size)], self.options["getter"], None)
+
+
+def register(spark) -> None:
+    """Make motor_sites known to a session, and let it take filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(SiteSource)

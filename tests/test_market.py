@@ -14,7 +14,7 @@ def test_prices_scores_and_alerts(spark):
     worded = valued.withColumns({"title": F.concat_ws(" ", "make", "model", "year"), "version": F.lit(None).cast("string"), "price_dropped": F.lit(False)})
     scored = expert.score(expert.report(worded, as_of()), as_of()).cache()
     error = scored.where("comps_count >= 6 and kind = 'fair'").select(F.median(F.abs(F.col("fair_price_eur") - F.col("true_price")) / F.col("true_price"))).head()[0]
-    assert error < 0.15
+    assert error < 0.12
     medians = {r["kind"]: r["m"] for r in scored.groupBy("kind").agg(F.median("score").alias("m")).collect()}
     assert medians["bargain"] > medians["fair"] > medians["trap"]
     top = deals.top_deals(scored, 20).collect()
