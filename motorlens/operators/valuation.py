@@ -1,8 +1,9 @@
-"""Fair prices from tiered comparables: one range self-join, then windows and aggregates on the target's key.
+"""Fair prices from tiered comparables: range self-joins in steps, then windows and aggregates on the target's key.
 
-Tiers are nested, so a pair needs only the first tier that admits it; cumulative counts then choose a tier, and no tier is
-joined on its own. Adverts of one car (fingerprint) count once, with the cheapest. The pairs are shuffled once, by target;
-deduplication, choice, medians and regression reuse that partitioning.
+Tiers are nested, so a pair needs only the first tier that admits it; cumulative counts then choose a tier. Narrow tiers are
+joined first, on longer keys, and only targets that they leave without enough cars meet wider pools (``find``): a wider tier
+never changes the choice of a narrower one. Adverts of one car (fingerprint) count once, with the cheapest. The pairs of a
+step are shuffled once, by target; deduplication and choice reuse that partitioning, as do medians and regression.
 """
 
 from __future__ import annotations
@@ -66,45 +67,67 @@ def _tier(t: s.Tier) -> Column:
     return ok & (F.col("t_country") == F.col("c_country")) if t.country else ok
 
 
-def pairs(targets: DataFrame, market: DataFrame, max_age_days: int = s.MAX_AGE_DAYS, exclude_ids: tuple[int, ...] = ()) -> DataFrame:
-    """t_*, c_* and tier (1..5) of every admissible pair. Both sides carry FACTS; only those columns are read."""
+def pairs(targets: DataFrame, market: DataFrame, max_age_days: int = s.MAX_AGE_DAYS, exclude_ids: tuple[int, ...] = (), widest: int = len(s.TIERS)) -> DataFrame:
+    """t_*, c_* and tier (1..widest) of every pair that the tiers up to widest admit. Both sides carry FACTS; only those
+    columns are read. What the widest tier demands of country joins the key."""
     t = targets.select(*[F.col(c).alias(f"t_{c}") for c in FACTS])
     offered = (F.col("price_eur") > s.MIN_PRICE) & (F.col("seen_days") <= max_age_days)
     c = market.where(offered & ~F.col("id").isin(*exclude_ids) if exclude_ids else offered).select(*[F.col(c).alias(f"c_{c}") for c in FACTS])
     tier = F.lit(None).cast("int")
-    for k in range(len(s.TIERS), 0, -1):
+    for k in range(widest, 0, -1):
         tier = F.when(_tier(s.TIERS[k - 1]), F.lit(k)).otherwise(tier)
     same = (F.col("t_make") == F.col("c_make")) & (F.col("t_model") == F.col("c_model")) & (F.col("t_is_synthetic") == F.col("c_is_synthetic"))
     other = (F.col("t_id") != F.col("c_id")) & ((F.col("c_fingerprint") == "") | (F.col("t_fingerprint") != F.col("c_fingerprint")))
     # The widest tier goes into the join condition, so that only admissible pairs leave the join.
-    return t.join(c, same & other & _tier(s.TIERS[-1])).withColumn("tier", tier)
+    return t.join(c, same & other & _tier(s.TIERS[widest - 1])).withColumn("tier", tier)
 
 
-def comparables(found: DataFrame, min_count: int = s.MIN_COMPS, limit: int | None = None) -> DataFrame:
+def comparables(found: DataFrame, min_count: int = s.MIN_COMPS, limit: int | None = None, widest: int = len(s.TIERS)) -> DataFrame:
     """The chosen comparables: one row for each target and car, with chosen (tier number) and comps (their count).
 
-    limit: adverts that a tier may take for a target, those of the smallest ids; None takes all."""
+    limit: adverts that a tier may take for a target, those of the smallest ids; None takes all. widest: the last tier of
+    found. If it is not the last of all, targets without min_count cars in any tier are left out: they are still open."""
     lean = found.select("t_id", "t_factor", "t_km", "t_year", F.when(F.col("c_fingerprint") == "", F.concat(F.lit("id:"), F.col("c_id"))).otherwise(F.col("c_fingerprint")).alias("car"), "tier", F.struct(F.col("c_price_eur").alias("price"), F.col("c_id").alias("id"), F.col("c_factor").alias("factor"), F.col("c_year").alias("year"), F.col("c_km").alias("km"), F.col("c_country").alias("country")).alias("ad"))
-    lean, taken = lean.repartition("t_id"), {k: F.col("tier") <= k for k in range(1, 6)}
+    tiers = range(1, widest + 1)
+    lean, taken = lean.repartition("t_id"), {k: F.col("tier") <= k for k in tiers}
     if limit is not None:
         by_id = Window.partitionBy("t_id").orderBy("ad.id")
         lean = lean.withColumns({f"r{k}": F.count(F.when(taken[k], 1)).over(by_id) for k in taken})
         taken = {k: taken[k] & (F.col(f"r{k}") <= limit) for k in taken}
-    cheapest = [F.min(F.when(taken[k], F.col("ad"))).alias(f"ad{k}") for k in range(1, 6)]
+    cheapest = [F.min(F.when(taken[k], F.col("ad"))).alias(f"ad{k}") for k in tiers]
     cars = lean.groupBy("t_id", "t_factor", "t_km", "t_year", "car").agg(*cheapest)
     w = Window.partitionBy("t_id")
-    cars = cars.withColumns({f"n{k}": F.count(f"ad{k}").over(w) for k in range(1, 6)})
+    cars = cars.withColumns({f"n{k}": F.count(f"ad{k}").over(w) for k in tiers})
     # Failing that, the first tier with the most cars: a limit may leave a wider tier fewer than a narrower one.
-    chosen, most = F.lit(None).cast("int"), F.greatest(*[F.col(f"n{k}") for k in range(1, 6)])
-    for k in range(5, 0, -1):
-        chosen = F.when(F.col(f"n{k}") == most, F.lit(k)).otherwise(chosen)
-    for k in range(5, 0, -1):
+    chosen = F.lit(None).cast("int")
+    if widest == len(s.TIERS):
+        most = F.greatest(*[F.col(f"n{k}") for k in tiers])
+        for k in tiers[::-1]:
+            chosen = F.when(F.col(f"n{k}") == most, F.lit(k)).otherwise(chosen)
+    for k in tiers[::-1]:
         chosen = F.when(F.col(f"n{k}") >= min_count, F.lit(k)).otherwise(chosen)
-    of = lambda name: F.element_at(F.array(*[F.col(f"{name}{k}") for k in range(1, 6)]), F.col("chosen"))
+    of = lambda name: F.element_at(F.array(*[F.col(f"{name}{k}") for k in tiers]), F.col("chosen"))
     kept = cars.withColumn("chosen", chosen).withColumns({"comps": of("n"), "ad": of("ad")}).where("ad is not null")
     return kept.select("t_id", "t_factor", "t_km", "t_year", "car", "chosen", "comps", "ad")
 
 
+#: The widest tier of each step of ``find``: first within the target's country, then everywhere.
+STEPS = (3, 5)
+
+
+def find(targets: DataFrame, market: DataFrame, min_count: int = s.MIN_COMPS, limit: int | None = None, max_age_days: int = s.MAX_AGE_DAYS, exclude_ids: tuple[int, ...] = (), steps: tuple[int, ...] = STEPS) -> DataFrame:
+    """comparables(pairs(targets, market)), without joining a target to pools wider than it needs. The last step ends with
+    the last tier, so that targets without enough cars still get the best of what there is. An id stands for one target."""
+    chosen, open_targets = None, targets
+    for widest in steps:
+        here = comparables(pairs(open_targets, market, max_age_days, exclude_ids, widest), min_count, limit, widest)
+        chosen = here if chosen is None else chosen.unionByName(here)
+        if widest < len(s.TIERS):
+            done = here.select(F.col("t_id").alias("id")).distinct()
+            open_targets = open_targets.join(done, "id", "left_anti")
+    return chosen
+
+
 # ---------------------------------------------------------------- estimates
 
 
@@ -177,7 +200,7 @@ def value_market(listings: DataFrame, as_of: Column, targets: DataFrame | None =
     """Valuation of targets (all priced listings if none are given) against listings. limit: as for comparables."""
     market = vehicle_factor(listings, as_of)
     mine = vehicle_factor(targets, as_of) if targets is not None else market.where("price_eur is not null")
-    return estimate(mine, comparables(pairs(mine, market), limit=limit), as_of)
+    return estimate(mine, find(mine, market, limit=limit), as_of)
 
 
 def quality(valued: DataFrame, kind: str = "kind") -> DataFrame:

@@ -71,8 +71,8 @@ _LIMIT, _KS = 12, range(1, len(s.TIERS) + 1)
 def comps_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiers that take twelve adverts each, without some ids."""
     m = _market(spark, sf_dir)
-    found = val.pairs(m.where("price_eur is not null"), m, exclude_ids=tuple(range(0, 101, 5)))
-    return val.comparables(found, limit=_LIMIT).select(F.col("t_id").alias("id"), F.col("chosen").alias("tier_no"), "comps").distinct()
+    found = val.find(m.where("price_eur is not null"), m, limit=_LIMIT, exclude_ids=tuple(range(0, 101, 5)))
+    return found.select(F.col("t_id").alias("id"), F.col("chosen").alias("tier_no"), "comps").distinct()
 
 
 def valued(spark: SparkSession, sf_dir: str) -> DataFrame:

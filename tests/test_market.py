@@ -23,3 +23,29 @@ def test_prices_scores_and_alerts(spark):
     first = alerts.new_alerts(scored, WATCHLISTS, none, cap=10**6)
     sent = alerts.record(first, F.current_timestamp()).select("watchlist_id", "listing_id")
     assert alerts.new_alerts(scored, WATCHLISTS, sent, cap=10**6).count() == 0
+
+
+def test_steps_choose_what_one_join_chooses(spark):
+    """Targets leave fuel, gearbox, year or km open; one model and country has a third of all adverts."""
+    ads = market.generate(spark, 900, as_of(), seed=5)
+    hot, first = F.col("id") % 3 == 0, ads.orderBy("id").select("make", "model", "country").head()
+    ads = ads.withColumns({c: F.when(hot, F.lit(first[c])).otherwise(F.col(c)) for c in ("make", "model", "country")})
+    ads = ads.withColumns({"fuel": F.when(F.col("id") % 7 == 0, "unknown").otherwise(F.col("fuel")), "gearbox": F.when(F.col("id") % 11 == 0, "unknown").otherwise(F.col("gearbox"))})
+    ads = ads.withColumns({"year": F.when(F.col("id") % 13 != 0, F.col("year")), "km": F.when(F.col("id") % 17 != 0, F.col("km"))})
+    m = valuation.vehicle_factor(ads, as_of()).cache()
+    rows = lambda df: sorted((r["t_id"], r["car"], r["chosen"], r["comps"], r["ad"]["id"]) for r in df.select("t_id", "car", "chosen", "comps", "ad").collect())
+    for limit in (None, 10):
+        whole = rows(valuation.comparables(valuation.pairs(m, m), limit=limit))
+        assert len({r[2] for r in whole}) >= 4 and rows(valuation.find(m, m, limit=limit)) == whole == rows(valuation.find(m, m, limit=limit, steps=(1, 3, 4, 5)))
+    found = valuation.find(m, m.limit(0))
+    assert found.count() == 0 and valuation.find(m.limit(0), m).count() == 0
+
+
+def test_steps_join_fewer_pairs_as_the_market_grows(spark):
+    """Of four times the adverts, the wide step sees fewer targets, while one join would make sixteen times the pairs."""
+    share = []
+    for n in (1500, 6000):
+        m = valuation.vehicle_factor(market.generate(spark, n, as_of(), seed=5), as_of()).cache()
+        done = valuation.comparables(valuation.pairs(m, m, widest=3), widest=3).select("t_id").distinct().count()
+        share.append(1 - done / n)
+    assert share[1] < 0.6 * share[0]
