@@ -136,7 +136,9 @@ def link_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pg.links(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-@query("SELECT regexp_replace(regexp_extract(regexp_replace(regexp_replace(url, '#.*$', ''), '\\?.*$', ''), '://[^/]*(.*)$', 1), '/[0-9]+(/|$)', '/\\\\d+\\1') AS shape, count(*) AS n FROM pages WHERE NOT contains(url, '.html') GROUP BY 1 HAVING count(*) >= 3")
+@query(r"""WITH p AS (SELECT string_split(regexp_extract(regexp_replace(regexp_replace(url, '#.*$', ''), '\?.*$', ''), '://[^/]*(.*)$', 1), '/') AS parts FROM pages),
+s AS (SELECT array_to_string(list_transform(parts, lambda x: CASE WHEN regexp_matches(x, '^[0-9]+$') THEN '\d+' WHEN regexp_matches(x, '^[0-9a-f-]{30,}$') THEN '[0-9a-f-]{30,}' WHEN regexp_matches(x, '[0-9]{4,}') THEN '[^/]+-?\d{4,}' ELSE x END), '/') AS shape FROM p)
+SELECT shape, count(*) AS n FROM s WHERE contains(shape, '\d') OR contains(shape, '[0-9a-f-]') GROUP BY shape HAVING count(*) >= 3""")
 def link_shape_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.link_shapes(spark.read.parquet(f"{sf_dir}/pages.parquet"), ul.path_of(F.col("url")))
 

@@ -139,3 +139,24 @@ def test_cache_keeps_the_newest(spark, tmp_path):
     wanted = spark.createDataFrame([("u", 1), ("v", 2)], "url string, k int")
     got = {r["k"]: (r["hit"], r["html"]) for r in cache.look_up(wanted, F.lit("2026-01-02 11:00:00").cast("timestamp"), 12).collect()}
     assert got == {1: (True, "new"), 2: (False, None)}
+
+
+def _both(spark, folder, name, rows):
+    """Rows of a query and of its SQL over pages (page_id, url, html)."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{folder}/pages.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view pages as select * from read_parquet('{folder}/pages.parquet/*.parquet')")
+    got = entry.queries()[name](spark, str(folder))
+    columns = sorted(got.columns)
+    want = c.sql(f"select {', '.join(columns)} from ({entry.oracle_sql()[name]})").fetchall()
+    return sorted(map(repr, map(tuple, got.select(*columns).collect()))), sorted(map(repr, want))
+
+
+def test_shapes_of_links_with_numbered_slugs(spark, tmp_path):
+    rows = [(i, f"https://a.example.com/{'en' if i % 2 else 'fr'}/{p}#x", "") for i, p in enumerate([f"{n}.html" for n in range(996, 1006)] + [f"golf-{n}" for n in range(12345, 12351)] + ["7", "8", "9", "10", "11", "12"])]
+    got, want = _both(spark, tmp_path / "a", "link_shape_topk", rows)
+    assert got == want and any("[^/]+" in r for r in got)
