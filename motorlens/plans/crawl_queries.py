@@ -96,9 +96,11 @@ def robots_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.crawl_delays(_robots(spark, sf_dir), "motorlens", 2.5)
 
 
-@query("""SELECT page_id, page_id % 4 = 1 AS hit, CASE page_id % 4 WHEN 1 THEN length(html) + 1 END AS size, page_id % 4 <> 0 AND page_id % 4 <> 3 AS hit_any_age, page_id % 4 = 2 AS hit_before FROM pages""")
+@query("""WITH k AS (SELECT url, CASE WHEN count(*) FILTER (page_id % 4 = 3) > 0 THEN 3 WHEN count(*) FILTER (page_id % 4 = 1) > 0 THEN 1 WHEN count(*) FILTER (page_id % 4 = 2) > 0 THEN 2 ELSE 0 END AS kind, max(html || '+') FILTER (page_id % 4 = 1) AS renewed FROM pages WHERE url IS NOT NULL GROUP BY url)
+SELECT page_id, coalesce(kind = 1, false) AS hit, CASE kind WHEN 1 THEN length(renewed) END AS size, coalesce(kind IN (1, 2), false) AS hit_any_age, coalesce(kind = 2, false) AS hit_before FROM pages LEFT JOIN k USING (url)""")
 def page_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two loads, the first of which comes again: pages are too old, renewed, not there, or read after the time asked for."""
+    """Two loads, the first of which comes again: pages are too old, renewed, not there, or read after the time asked for. Pages
+    of one URL share what was read last."""
     cache, i = crawl.PageCache(spark, shared_folder(spark, "pages"), 16), F.col("page_id")
     pages = _pages(spark, sf_dir)
     load = lambda rows, html, at: rows.select("url", F.lit(200).alias("status"), html.alias("html"), F.lit(at).cast("timestamp").alias("fetched_at"))
@@ -137,7 +139,10 @@ def sources_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.when(F.col("url").contains("://blog."), "blog").otherwise(F.regexp_extract("url", "example[.]([a-z]+)", 1))
     pages = spread(_pages(spark, sf_dir).select(source.alias("source"), "url", "html"))
     got = crawl.extract(pages, {"com": _one, "net": _broken, "org": _partly})
-    return got.groupBy("source").agg(F.countDistinct("url").alias("pages"), F.count("listing").alias("listings"), F.count("error").alias("failed"), F.max("error").alias("error"))
+    read = got.groupBy(F.col("source").alias("_source")).agg(F.count("listing").alias("listings"), F.count("error").alias("failed"), F.max("error").alias("error"))
+    # Counted before they are read: a page may give several adverts, and pages may share a URL.
+    each = pages.groupBy("source").agg(F.count(F.lit(1)).alias("pages"))
+    return each.join(read, F.col("source").eqNullSafe(F.col("_source"))).select("source", "pages", "listings", "failed", "error")
 
 
 # ---------------------------------------------------------------- diagnosis

@@ -172,8 +172,8 @@ class PageCache:
         self.store = Store(spark, root, ("url",), PAGE, buckets)
 
     def load(self, number: int, pages: DataFrame) -> bool:
-        """Keep pages (PAGE), the newest of each URL."""
-        newest = lambda df: df.groupBy("url").agg(F.max_by(F.struct("status", "html", "fetched_at"), "fetched_at").alias("r")).select("url", "r.*")
+        """Keep pages (PAGE), the newest of each URL; of several read at one time, that of the largest status and html."""
+        newest = lambda df: df.groupBy("url").agg(F.max(F.struct("fetched_at", "status", "html")).alias("r")).select("url", "r.*")
         return self.store.apply("pages", number, pages, lambda old, new: newest(old.unionByName(new.select(*old.columns))))
 
     def look_up(self, wanted: DataFrame, at: Column, ttl_hours: float | None) -> DataFrame:

@@ -160,3 +160,10 @@ def test_shapes_of_links_with_numbered_slugs(spark, tmp_path):
     rows = [(i, f"https://a.example.com/{'en' if i % 2 else 'fr'}/{p}#x", "") for i, p in enumerate([f"{n}.html" for n in range(996, 1006)] + [f"golf-{n}" for n in range(12345, 12351)] + ["7", "8", "9", "10", "11", "12"])]
     got, want = _both(spark, tmp_path / "a", "link_shape_topk", rows)
     assert got == want and any("[^/]+" in r for r in got)
+
+
+def test_pages_that_share_a_url(spark, tmp_path):
+    rows = [(i, f"https://x.example.{('com', 'net', 'org')[i // 3 % 3]}/en/{i // 3}", f"<p>{'x' * (i * 7 % 5)}</p>") for i in range(60)]
+    for name in ("page_cache", "sources_isolated"):
+        got, want = _both(spark, tmp_path / name, name, rows)
+        assert got == want, name
