@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from motorlens.operators import deals, profile, state
 from motorlens.sources import pages as pg
 from motorlens.sources import trees
-from motorlens.sources.fixtures import as_of, spread
+from motorlens.sources.fixtures import as_of, spread, tasks_of
 from motorlens.streaming.folders import shared_folder
 from motorlens.streaming.store import Store
 
@@ -66,7 +66,7 @@ def _result_pages(a: DataFrame) -> DataFrame:
     item = _say('{"@type":"ListItem","item":{"@type":"https://schema.org/Car","name":"Car ⟨id⟩"⟨km_⟩⟨offer⟩,"url":"/d/advert-⟨n⟩?ref=x"}}', **value, km_=km, offer=offer)
     before = F.when(i % 7 == 0, F.col("price") + 500).when(i % 7 == 1, F.col("price") - 500)
     card = _say('<article class="card" data-guid="⟨n⟩" data-price="⟨price⟩" data-mileage="⟨km⟩" data-zip-code="⟨zip⟩" data-seller-type="⟨code⟩" data-first-registration="⟨since⟩" data-fuel="b"><div id="gallery-⟨n⟩"><img src="x.jpg"></div><h2>Car</h2><div><span class="ListItemPill_text__a1">Diesel</span><span class="ListItemPill_text__a1"><i>9 kW</i> (<b>⟨power⟩ <u>Ch</u></b>)</span></div>⟨old⟩</article>', **value, zip=F.lpad((i % 99999).cast("string"), 5, "0"), code=F.element_at(F.array(F.lit("p"), F.lit("d"), F.lit("z")), (i % 3 + 1).cast("int")), old=F.when(before.isNotNull(), F.concat(F.lit('<s class="PreviousPrice_price__b"><em>'), before.cast("string"), F.lit("</em> €</s>"))))
-    rows = a.select(F.expr("id div 20").alias("page"), F.struct("id", item.alias("item"), card.alias("card")).alias("r")).groupBy("page").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    rows = a.select(F.expr("id div 20").alias("page"), F.struct("id", item.alias("item"), card.alias("card")).alias("r")).repartition(tasks_of(a), "page").groupBy("page").agg(F.array_sort(F.collect_list("r")).alias("r"))
     items = F.concat_ws(",", F.transform("r", lambda x: x["item"]), F.col("r")[0]["item"])
     deep, shut = '{"@graph":[' * _DEEP, "]}" * _DEEP
     html = F.concat(F.lit(f'<html><script type="application/ld+json">[{{"@type":"WebSite"}},{deep}{{"@type":"SearchResultsPage","mainEntity":{{"@type":"ItemList","itemListElement":['), items, F.lit(f"]}}}}{shut},]</script>"), F.concat_ws("", F.transform("r", lambda x: x["card"])), F.lit("</html>"))

@@ -99,10 +99,19 @@ def duck(inner: str) -> str:
 DUCK = duck(PLAIN_DUCK)
 
 
+#: Rows of a task at most, where work on each row is heavy.
+TASK_ROWS = 20_000
+
+
+def tasks_of(df: DataFrame) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer splits than cores dealt to all cores, before work on its rows; larger tables are as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A table dealt to all cores, and to tasks of some TASK_ROWS rows, before work on its rows. Narrow keys become whole
+    pages, so that splits by bytes are too few however large the table; one that has enough splits is as it is."""
+    tasks = tasks_of(df)
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:

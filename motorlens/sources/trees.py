@@ -17,7 +17,7 @@ from collections.abc import Callable
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -116,8 +116,21 @@ def _arrow(htmls: list[str | None]) -> pa.Array:
     return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(first, pa.int32()), node), pa.ListArray.from_arrays(pa.array(first_text, pa.int32()), pa.array(texts, pa.string()))], ["nodes", "texts"])
 
 
+#: Pages and bytes of an Arrow batch at most: a worker holds what it reads from a whole batch as Python objects.
+BATCH_PAGES, BATCH_BYTES = 200, 1 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few pages from here on, unless the session's are smaller."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_PAGES), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def trees(pages: DataFrame, html: str = "html", out: str = "tree") -> DataFrame:
     """pages with the tree of each page."""
+    small_batches(pages.sparkSession)
     run = F.arrow_udf(lambda htmls: _arrow(htmls.to_pylist()), TREE)
     return pages.withColumn(out, run(F.col(html)))
 

@@ -105,3 +105,14 @@ def test_pages_to_open(spark):
 def test_filters_on_scores_do_not_score_twice(spark):
     plan = registry.QUERIES["deals_topk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_batches_and_tasks_stay_small(spark):
+    """However many pages there are, a worker holds few of them at a time, and a task has few rows."""
+    from motorlens.sources import fixtures, trees
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10000")
+    pages = spark.range(1000).selectExpr("cast(id AS string) AS url", "concat('<p>', id) AS html")
+    assert trees.trees(pages).count() == 1000 and 0 < int(spark.conf.get(key)) <= trees.BATCH_PAGES
+    assert fixtures.spread(spark.range(20 * fixtures.TASK_ROWS)).rdd.getNumPartitions() == 20
