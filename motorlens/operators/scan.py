@@ -54,7 +54,7 @@ def run(market: DataFrame, searched: DataFrame, candidates: DataFrame, as_of: Co
         return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     def scores(targets: DataFrame, of: DataFrame) -> DataFrame:
-        return expert.score(expert.report(val.value_market(of, as_of, targets), as_of), as_of)
+        return expert.score(expert.report(val.value_market(of, as_of, targets, among=True), as_of), as_of)
 
     first = saved(scores(candidates, market), "first")
     picked = saved(deals.to_reopen(first, sources, max(deep, details)).select("id"), "picked")
