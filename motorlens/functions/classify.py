@@ -18,9 +18,16 @@ def any_of(keywords: tuple[str, ...]) -> str:
     return f"(?<![a-z0-9])(?:{words})(?![a-z0-9])"
 
 
-def _let(value: Column, of) -> Column:
-    """of(value), with value evaluated once."""
-    return F.get(F.transform(F.array(value), of), 0)
+def has_any(hay: Column, keywords: tuple[str, ...], pattern: str | None = None) -> Column:
+    """Whether hay has one of keywords as a whole word, in the way of pattern if one is given. Most texts have none of them
+    at all, which is seen without an expression."""
+    held = F.lit(False)
+    for k in dict.fromkeys(k.strip() for k in keywords):
+        held |= hay.contains(k)
+    return held & hay.rlike(pattern or any_of(keywords))
+
+
+_let = tx.let
 
 
 #: Not right after a word of equipment: `hayon electrique` is a tailgate.
@@ -31,7 +38,8 @@ def first_class(hay: Column, table: dict[str, tuple[str, ...]], guarded: tuple[s
     """The first class of table with a keyword in hay, or NULL."""
     out = F.lit(None).cast("string")
     for name, words in reversed(table.items()):
-        out = F.when(hay.rlike((_NOT_EQUIPMENT if name in guarded else "") + any_of(words)), F.lit(name)).otherwise(out)
+        # The words come first: a look behind of many lengths at every letter costs more than all words together.
+        out = F.when(has_any(hay, words, f"(?={any_of(words)}){_NOT_EQUIPMENT}" if name in guarded else None), F.lit(name)).otherwise(out)
     return out
 
 
@@ -74,7 +82,7 @@ def detect_options(*parts: Column) -> Column:
 
 
 def options_in(hay: Column) -> Column:
-    found = F.array(*[F.when(hay.rlike(any_of(words)), F.lit(code)) for code, words in v.OPTIONS.items()])
+    found = F.array(*[F.when(has_any(hay, words), F.lit(code)) for code, words in v.OPTIONS.items()])
     return F.array_sort(F.filter(found, lambda c: c.isNotNull()))
 
 
@@ -148,9 +156,10 @@ def power_in(text: Column) -> Column:
 
 def power_of(hay: Column) -> Column:
     """Power with its unit, else the number behind an engine badge."""
-    unit = F.nullif(F.regexp_extract(hay, "(\\d{2,4})\\s*(ch|cv|hp|ps|bhp|kw)\\b", 0), F.lit(""))
-    badge = F.nullif(F.regexp_extract(hay, f"\\b({'|'.join(v.POWER_BADGES)})\\s*[- ]?(\\d{{2,3}})\\b", 2), F.lit(""))
-    return F.when(unit.isNotNull(), tx.parse_power_hp(unit)).otherwise(tx.parse_power_hp(badge))
+    unit = F.regexp_extract(hay, "(\\d{2,4})\\s*(ch|cv|hp|ps|bhp|kw)\\b", 0)
+    badge = F.regexp_extract(hay, f"\\b({'|'.join(v.POWER_BADGES)})\\s*[- ]?(\\d{{2,3}})\\b", 2)
+    found = _let(unit, lambda u: F.when(u == "", badge).otherwise(u))
+    return _let(_let(found, lambda t: F.nullif(t, F.lit(""))), tx.parse_power_hp)
 
 
 def km_in(text: Column) -> Column:
@@ -158,7 +167,8 @@ def km_in(text: Column) -> Column:
 
 
 def km_of(hay: Column) -> Column:
-    return tx.parse_km(F.nullif(F.regexp_extract(hay, "([\\d.,\\s]{2,12})\\s*(km|miles|mi)\\b", 0), F.lit("")))
+    found = _let(F.regexp_extract(hay, "([\\d.,\\s]{2,12})\\s*(km|miles|mi)\\b", 0), lambda t: F.nullif(t, F.lit("")))
+    return _let(found, tx.parse_km)
 
 
 def enrich(df: DataFrame, as_of: Column) -> DataFrame:

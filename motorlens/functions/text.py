@@ -23,6 +23,11 @@ MONTHS = {
 }
 
 
+def let(value: Column, of) -> Column:
+    """of(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), of), 0)
+
+
 @F.arrow_udf(T.StringType())
 def nfkc(text: pa.Array) -> pa.Array:
     """Compatibility normal form, which Spark SQL lacks."""
@@ -52,23 +57,27 @@ def slugify(text: Column) -> Column:
 
 def title_case(text: Column) -> Column:
     """A capital wherever a letter follows something that is not a letter; other letters are small."""
-    chars = F.split(text, "(?!^)")
     letter = lambda c: c.rlike("^\\p{L}$")
-    return F.array_join(F.transform(chars, lambda c, i: F.when((i == 0) | ~F.coalesce(letter(F.get(chars, i - 1)), F.lit(False)), F.upper(c)).otherwise(F.lower(c))), "")
+    cased = lambda chars: F.transform(chars, lambda c, i: F.when((i == 0) | ~F.coalesce(letter(F.get(chars, i - 1)), F.lit(False)), F.upper(c)).otherwise(F.lower(c)))
+    return let(F.split(text, "(?!^)"), lambda chars: F.array_join(cased(chars), ""))
 
 
 def number_token(text: Column) -> Column:
     """The first number with its separators; blanks inside belong to it. NULL if there is none."""
     plain = F.translate(text, _WIDE_SPACES, " " * len(_WIDE_SPACES))
-    return F.nullif(F.regexp_extract(plain, "(\\d[\\d\\s.,]*\\d|\\d)", 1), F.lit(""))
+    return let(F.regexp_extract(plain, "(\\d[\\d\\s.,]*\\d|\\d)", 1), lambda t: F.nullif(t, F.lit("")))
 
 
 def parse_price(text: Column) -> Column:
     """Separators are thousands, but one or two digits after the last of `.,` are decimals."""
-    token = number_token(text)
-    digits, tail = F.regexp_replace(token, "\\D", ""), F.regexp_extract(token, "[.,](\\d{1,2})$", 1)
-    whole = F.substring(digits, F.lit(1), F.length(digits) - F.length(tail))
-    return F.when((tail != "") & (F.length(digits) > F.length(tail)), F.concat(whole, F.lit("."), tail)).otherwise(digits).try_cast("double")
+
+    def price(part: Column) -> Column:
+        digits, tail = part["digits"], part["tail"]
+        whole = F.substring(digits, F.lit(1), F.length(digits) - F.length(tail))
+        return F.when((tail != "") & (F.length(digits) > F.length(tail)), F.concat(whole, F.lit("."), tail)).otherwise(digits).try_cast("double")
+
+    parts = let(number_token(text), lambda t: F.struct(F.regexp_replace(t, "\\D", "").alias("digits"), F.regexp_extract(t, "[.,](\\d{1,2})$", 1).alias("tail")))
+    return let(parts, price)
 
 
 def parse_decimal(text: Column) -> Column:
@@ -79,8 +88,7 @@ def parse_decimal(text: Column) -> Column:
 
 
 def _whole(value: Column, low: int, high: int) -> Column:
-    n = F.bround(value).cast("long")
-    return F.when(n.between(low, high), n.cast("int"))
+    return let(F.bround(value).cast("long"), lambda n: F.when(n.between(low, high), n.cast("int")))
 
 
 def parse_km(text: Column) -> Column:

@@ -2,7 +2,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from motorlens.functions import classify, signals, text, urls
+from motorlens.functions import classify, signals, text, urls, vocab
 from motorlens.operators import deals, state
 from motorlens.schemas import SearchQuery
 
@@ -75,3 +75,13 @@ def test_enrich_keeps_what_is_there(spark):
         df = df.withColumn(c, F.lit(None).cast(t))
     r = classify.enrich(df, F.lit("2026-01-01").cast("date")).head()
     assert (r["make"], r["model"], r["fuel"], r["gearbox"], r["options"]) == ("Volkswagen", "Golf", "petrol", "unknown", [])
+
+
+def test_texts_are_read_once_and_words_before_what_stands_before_them(spark):
+    """No expression holds its input for each letter or branch; keywords are sought before the words of equipment."""
+    assert str(text.title_case(F.col("t"))).count("split(") == 1
+    assert str(classify.power_of(F.col("t"))).count("regexp_extract(t,") == 2 and str(classify.km_of(F.col("t"))).count("regexp_extract(t,") == 1
+    assert ", (?<!(?:^" not in str(classify.first_class(F.col("t"), vocab.FUEL, ("electric",)))
+    rows = [("hayon electrique, gazole", "diesel"), ("hayon electrique et moteur electrique", "electric"), ("sieges  electriques", "unknown"), ("electrique", "electric"), ("dieselx essence", "petrol"), ("hybride plug-in", "phev"), (None, "unknown")]
+    df = spark.createDataFrame(rows, "t string, want string")
+    assert df.where(~F.coalesce(classify.detect_fuel(F.col("t")) == F.col("want"), F.lit(False))).count() == 0
