@@ -65,7 +65,7 @@ def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order asks one site; templates have codes of countries, page parameters and first pages of their own."""
     known = spark.createDataFrame([(n, u, c, p, m, None) for n, u, c, p, m in _SITES], "name string, search_url string, country_codes map<string, string>, page_param string, max_pages int, error string")
     k = F.col("o_orderkey")
-    asked = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+    asked = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")).select(
         k.alias("query_id"), F.concat(F.lit("s"), k % 3).alias("source"), F.when(k % 4 == 0, "Alfa Romeo").when(k % 4 == 1, "BMW").alias("make"), F.when(k % 7 != 0, 1000 + k).cast("string").alias("price_max"), F.when(k % 5 == 0, "de").alias("country")
     )
     return crawl.requests(known, asked).select("query_id", "source", "page_no", "url")

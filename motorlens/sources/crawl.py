@@ -79,7 +79,8 @@ def requests(known: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, source, page_no, url: the results pages to read for each query (query_id, source and any of country, make,
     model, keywords, price_min, ... as text). Codes of countries are the site's own. Parameters without a value go."""
     fields = ("make", "model", "keywords", "price_min", "price_max", "year_min", "year_max", "km_max", "postcode", "radius")
-    q = queries.join(known.where("error is null").withColumnRenamed("name", "source"), "source")
+    # Sites are few and have no figures of their size: without the hint queries travel, to as many tasks as there are sites.
+    q = queries.join(F.broadcast(known.where("error is null").withColumnRenamed("name", "source")), "source")
     country = F.upper(F.coalesce(F.col("country"), F.lit("FR"))) if "country" in queries.columns else F.lit("FR")
     url = F.replace("search_url", F.lit("{country}"), F.coalesce(F.try_element_at("country_codes", country), country))
     for name in fields:

@@ -167,3 +167,12 @@ def test_pages_that_share_a_url(spark, tmp_path):
     for name in ("page_cache", "sources_isolated"):
         got, want = _both(spark, tmp_path / name, name, rows)
         assert got == want, name
+
+
+def test_search_requests_are_made_where_the_queries_are(spark):
+    """Sites go to the queries, not queries to the few tasks that hold a site."""
+    import __spark_entry__ as entry
+
+    df = entry.queries()["search_requests"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "SortMergeJoin" not in plan
