@@ -53,8 +53,11 @@ SENTENCES = (
 )
 
 
-def _pick(values: tuple, number: str) -> str:
+def _pick(values: tuple, number: str, spark: bool = False) -> str:
+    """The value in place number, from 0. Spark: from an array, since its code for long CASEs is too large to be compiled."""
     quoted = [f"'{str(v).replace(chr(39), chr(39) * 2)}'" if isinstance(v, str) else str(v) for v in values]
+    if spark:
+        return f"get(array({', '.join(quoted)}), CAST({number} AS INT))"
     return "CASE " + number + " " + " ".join(f"WHEN {i} THEN {q}" for i, q in enumerate(quoted)) + " END"
 
 
@@ -63,7 +66,8 @@ def listings_sql(spark: bool = True) -> str:
     div = (lambda a, b: f"({a} div {b})") if spark else (lambda a, b: f"({a} // {b})")
     orders, customer = ("{orders}", "{customer}") if spark else ("orders", "customer")
     # Spark reads backslashes in literals; the sentences have none, but apostrophes are doubled for both.
-    c = lambda k: _pick(tuple(x[k] for x in CATALOG), "(h % 24)")
+    pick = lambda values, number: _pick(values, number, spark)
+    c = lambda k: pick(tuple(x[k] for x in CATALOG), "(h % 24)")
     return f"""
 SELECT x.*, CASE WHEN raw_price IS NULL THEN NULL ELSE CAST(raw_price AS DOUBLE) END AS price_eur
 FROM (SELECT y.*,
@@ -73,17 +77,17 @@ FROM (SELECT y.*,
   FROM (SELECT id, h, source, CAST(id AS STRING) AS source_id, source = 'demo' AS is_synthetic, kind,
       {c(0)} AS make, {c(1)} || ' v' || CAST({div('h', 24)} % {VARIANTS} AS STRING) AS model, {c(2)} AS base, {c(3)} AS body,
       CAST(2012 + {div('h', 12)} % 14 AS INT) AS year, CAST(3000 + (h * 31) % 200000 AS INT) AS km, CAST(70 + (h % 17) * 10 AS INT) AS power_hp,
-      {_pick(("diesel", "petrol", "hybrid", "electric"), f"({div('h', 7)} % 4)")} AS fuel,
-      {_pick(("manual", "automatic"), f"({div('h', 5)} % 2)")} AS gearbox,
-      {_pick(COUNTRIES, "(c_nationkey % 6)")} AS country,
+      {pick(("diesel", "petrol", "hybrid", "electric"), f"({div('h', 7)} % 4)")} AS fuel,
+      {pick(("manual", "automatic"), f"({div('h', 5)} % 2)")} AS gearbox,
+      {pick(COUNTRIES, "(c_nationkey % 6)")} AS country,
       CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 'pro' WHEN c_mktsegment IN ('BUILDING', 'FURNITURE') THEN 'private' ELSE 'unknown' END AS seller_type,
       CAST(h % 12 AS INT) AS options_n, CAST(id % 14 AS INT) AS photos_n, CAST(id % 150 AS INT) AS seen_days, id % 13 <> 0 AS active,
       CAST(id % 40 AS INT) AS analyzed_hours, CAST({div('h', 3)} % {len(SENTENCES)} AS INT) AS sentence,
-      {_pick(tuple(s for s, _ in SENTENCES), f"({div('h', 3)} % {len(SENTENCES)})")} AS description
+      {pick(tuple(s for s, _ in SENTENCES), f"({div('h', 3)} % {len(SENTENCES)})")} AS description
     FROM (SELECT id, vk, (vk * 7919) % 100003 AS h, c_nationkey, c_mktsegment, source,
           CASE WHEN (vk * 7919) % 100003 % 100 < 8 THEN 'bargain' WHEN (vk * 7919) % 100003 % 100 < 15 THEN 'trap' ELSE 'fair' END AS kind
         FROM (SELECT CAST(o_orderkey AS BIGINT) AS id, CAST(CASE WHEN o_orderkey % 10 < 3 THEN o_orderkey - o_orderkey % 10 ELSE o_orderkey END AS BIGINT) AS vk,
-              c_nationkey, c_mktsegment, {_pick(SOURCES, "(o_orderkey % 5)")} AS source
+              c_nationkey, c_mktsegment, {pick(SOURCES, "(o_orderkey % 5)")} AS source
             FROM {orders} LEFT JOIN {customer} ON o_custkey = c_custkey) a) b) y) x"""
 
 

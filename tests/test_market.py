@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from motorlens.operators import alerts, deals, expert, valuation
 from motorlens.plans.market_queries import WATCHLISTS
 from motorlens.sources import market
-from motorlens.sources.fixtures import as_of
+from motorlens.sources.fixtures import as_of, listings
 
 
 def test_prices_scores_and_alerts(spark):
@@ -89,3 +89,16 @@ def test_one_offer_of_a_kind_is_enough_among_themselves(spark, monkeypatch):
     whole = valuation.comparables(valuation.pairs(m, m)).groupBy("t_id").agg(F.first("comps").alias("comps"), F.min(F.col("ad.price") * F.col("t_factor") / F.col("ad.factor")).alias("least"))
     rows = lambda df: sorted((r[0], r[1], round(r[2], 4)) for r in df.collect())
     assert rows(valued.select("id", "comps_count", "min_adjusted")) == rows(whole.select("t_id", "comps", "least"))
+
+
+def test_first_step_stays_within_one_fuel(spark):
+    """Steps choose what one join chooses, targets of unknown fuel and adverts without a fingerprint included."""
+    i = F.col("id")
+    m = valuation.vehicle_factor(listings(spark, "/root/testdata/sf0.001"), as_of()).where("model like '%v1'")
+    m = m.withColumns({"fuel": F.when(i % 7 == 0, "unknown").otherwise(F.col("fuel")), "fingerprint": F.when(i % 5 == 1, "").otherwise(F.col("fingerprint")), "country": F.lit("FR"), "km": 50_000 + i % 900}).localCheckpoint()
+    targets = m.where("price_eur is not null")
+    rows = lambda df: sorted(df.select("t_id", "car", "chosen", "comps", "ad.id").collect())
+    assert rows(valuation.find(targets, m, min_count=2, among=True)) == rows(valuation.comparables(valuation.pairs(targets, m), min_count=2))
+    first, _ = valuation.chosen_steps(valuation.specs(valuation.own(targets, None)), m, min_count=2, among=True)[0]
+    assert {r[0] for r in first.select("chosen").distinct().collect()} <= {1, 2}
+    assert first.count() > 0
