@@ -72,18 +72,40 @@ def complete(stubs: DataFrame, details: DataFrame, key: str, columns: tuple[str,
 
 #: Two adverts of one car: km apart at most, and price apart at most as a share of the cheaper.
 SAME_KM, SAME_PRICE = 3000, 0.15
+#: Km of a cell, in which and beside which near ones are sought, and ids of adverts alike that are joined as one row at most.
+CELL_KM, ALIKE = 4 * SAME_KM, 1000
 
 
 def same_car(df: DataFrame) -> DataFrame:
     """id, twin_id (id < twin_id) of adverts that look like one car though a field differs: equal make, model and year
-    (unknown equals unknown); km, power and price near each other where both are known. df: those columns and id."""
-    a, b = df.alias("a"), df.alias("b")
+    (unknown equals unknown); km, power and price near each other where both are known. df: those columns and id.
+
+    Adverts alike in all of that are joined as one row, which holds their ids, and pairs are made of it last. Rows meet by what
+    they have: by power and a cell of km, by power where km is open, by make, model and year alone where power is."""
+    facts = ("make", "model", "year", "km", "power_hp", "price_eur")
+    # Dealt and counted without the price, since what is grouped by a fraction is dealt anew.
+    turn = F.row_number().over(Window.partitionBy(*facts[:-1]).orderBy("price_eur", "id"))
+    kinds = df.select("id", *facts).withColumn("part", F.floor(turn / F.lit(ALIKE)).cast("int")).groupBy(*facts, "part").agg(F.collect_list("id").alias("ids"))
+    level = F.when(~F.coalesce(F.col("power_hp") != 0, F.lit(False)), 3).when(F.col("km").isNull(), 2).otherwise(1)
+    kinds = kinds.withColumn("level", level)
+    key = lambda at, power, cell: F.struct(F.lit(at).alias("at"), power.cast("double").alias("power"), cell.cast("long").alias("cell"))
+    cell, none = (lambda km: F.floor(km / F.lit(CELL_KM))), F.lit(None)
+    cells = F.transform(F.sequence(cell(F.col("km") - SAME_KM), cell(F.col("km") + SAME_KM)), lambda c: key(1, F.col("power_hp"), c))
+    sought = F.when(F.col("level") == 1, cells).when(F.col("level") == 2, F.array(key(2, F.col("power_hp"), none))).otherwise(F.array(key(3, none, none)))
+    met = F.array_compact(F.array(F.when(F.col("level") == 1, key(1, F.col("power_hp"), cell(F.col("km")))), F.when(F.col("level") < 3, key(2, F.col("power_hp"), none)), key(3, none, none)))
+    a, b = (kinds.withColumn("key", F.explode(keys)).alias(n) for n, keys in (("a", sought), ("b", met)))
     x, y = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     known = lambda c: F.coalesce(x(c) != 0, F.lit(False)) & F.coalesce(y(c) != 0, F.lit(False))
     near = F.coalesce(F.abs(x("km") - y("km")) <= SAME_KM, F.lit(True)) & (~known("power_hp") | (x("power_hp") == y("power_hp")))
     near &= ~known("price_eur") | (F.abs(x("price_eur") - y("price_eur")) / F.least(x("price_eur"), y("price_eur")) <= SAME_PRICE)
-    alike = x("make").eqNullSafe(y("make")) & x("model").eqNullSafe(y("model")) & x("year").eqNullSafe(y("year")) & (x("id") < y("id"))
-    return a.join(b, alike & near).select(x("id").alias("id"), y("id").alias("twin_id"))
+    alike = x("key").eqNullSafe(y("key")) & x("make").eqNullSafe(y("make")) & x("model").eqNullSafe(y("model")) & x("year").eqNullSafe(y("year"))
+    # The wider of two rows seeks the other, the first of equals; a row meets itself too.
+    mine, other = (F.struct(*[c(n) for n in (*facts, "part")]) for c in (x, y))
+    turn = (x("level") > y("level")) | (x("level") == y("level")) & (mine <= other)
+    both = a.join(b, alike & near & turn).select((mine == other).alias("itself"), x("ids").alias("ids"), y("ids").alias("others"))
+    pairs = both.select("itself", "others", F.explode("ids").alias("one")).select("itself", "one", F.explode("others").alias("other"))
+    pairs = pairs.where(F.when(F.col("itself"), F.col("one") < F.col("other")).otherwise(F.col("one") != F.col("other")))
+    return pairs.select(F.least("one", "other").alias("id"), F.greatest("one", "other").alias("twin_id"))
 
 
 def to_reopen(scored: DataFrame, sources: tuple[str, ...], limit: int) -> DataFrame:

@@ -139,3 +139,28 @@ def test_pairs_are_counted_without_being_made(spark):
         got = valuation.pair_counts(m, target, i % 1000, exclude_ids=(4, 5))
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
         assert want.count() == 5 and "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_adverts_alike_are_paired_as_one_row(spark, monkeypatch):
+    """The pairs are those of all adverts with all, open fields, negative km and copies included; adverts that are alike, and
+    those of far km or other power, do not meet each other one by one."""
+    i = F.col("id")
+    ads = spark.range(400).select(
+        "id", F.when(i % 50 != 0, "Audi").alias("make"), F.lit("A4").alias("model"), F.when(i % 7 != 0, (2015 + i % 2).cast("int")).alias("year"),
+        F.when(i % 11 != 0, (F.pmod(F.xxhash64(i % 60), F.lit(40)) * 1000 - 4000 + i % 3).cast("int")).alias("km"), F.when(i % 13 == 0, 0).when(i % 17 != 0, (100 + i % 3 * 10).cast("int")).alias("power_hp"),
+        F.when(i % 19 == 0, 0.0).when(i % 23 != 0, 10_000.0 + i % 5 * 900).alias("price_eur"),
+    )
+    ads = ads.unionByName(ads.where("id < 40").withColumn("id", i + 1000))
+    rows = [r.asDict() for r in ads.collect()]
+    unlike = lambda a, b, c: a[c] and b[c] and a[c] != b[c]
+    far = lambda a, b: a["km"] is not None and b["km"] is not None and abs(a["km"] - b["km"]) > deals.SAME_KM
+    dear = lambda a, b: a["price_eur"] and b["price_eur"] and abs(a["price_eur"] - b["price_eur"]) / min(a["price_eur"], b["price_eur"]) > deals.SAME_PRICE
+    same = lambda a, b: all(a[c] == b[c] for c in ("make", "model", "year")) and not (unlike(a, b, "power_hp") or far(a, b) or dear(a, b))
+    want = sorted((a["id"], b["id"]) for a in rows for b in rows if a["id"] < b["id"] and same(a, b))
+    assert len(want) > 3000
+    for alike in (2, 1000):
+        monkeypatch.setattr(deals, "ALIKE", alike)
+        got = deals.same_car(ads)
+        assert sorted(map(tuple, got.collect())) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Join") :] and "Explode" in plan.title()
